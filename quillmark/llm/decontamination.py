@@ -329,3 +329,10 @@ def _finished(parts: DataFrame) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"),
         F.size("near").cast("long").alias("near_items"),
     )
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark window.  Of rows
+    that repeat an id, all go if one is contaminated; rows without id stay."""
+    found = materialize(contamination(docs, benchmark, **options).filter("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
+    return docs.join(found, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")

@@ -317,3 +317,13 @@ def _components(docs: DataFrame, sets: DataFrame, postings: DataFrame, size: int
             break
         round_no += 1
     return labels if labels is not None else postings.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0)
+
+
+def first_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: its smallest doc_id.
+
+    Rows that repeat the smallest id all stay (nothing tells them apart), as do
+    rows without words and rows without an id.
+    """
+    groups = near_duplicates(docs, size, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(materialize(groups, "dropped"), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")

@@ -102,9 +102,17 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and for each text the index of its first word (one
     entry more than texts)."""
+    hashes, first, _ = words_and_heads(data, offsets, table, ())
+    return hashes, first
+
+
+def words_and_heads(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """As ``words``, and for each size (word index, hash of its first bytes)
+    of all words longer than that."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return none[1], np.zeros(len(offsets), np.int64), [none for _ in sizes]
     flags = np.zeros(n + 1, bool)
     flags[:n] = table[data]
     heads = flags[:n].copy()
@@ -118,8 +126,11 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     sums = np.take(_CODES, data)
     sums *= up
     np.cumsum(sums, out=sums)
-    hashes = sums[ends]
-    hashes -= np.where(starts > 0, sums[starts - 1], np.uint64(0))
-    hashes *= down[starts]
-    hashes += (ends - starts).astype(np.uint64)
-    return mix(hashes), np.searchsorted(starts, offsets)
+    before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
+    hashes = mix((sums[ends] - before) * down[starts] + (ends - starts).astype(np.uint64))
+    heads = []
+    for size in sizes:
+        long = np.flatnonzero(ends - starts >= size)
+        first = starts[long]
+        heads.append((long, mix((sums[first + size - 1] - before[long]) * down[first] + np.uint64(size << 32))))
+    return hashes, np.searchsorted(starts, offsets), heads
