@@ -11,8 +11,9 @@ fragments; every document's set is cut likewise into segments.
 2. *Candidates*: two sets of Jaccard similarity t share an n-gram among the
    first ``n - ceil(t n) + 1`` of either in the global order.  Those postings
    whose n-gram another class has too are kept.
-3. *Partial counts*: for a candidate pair, overlaps are counted fragment by
-   fragment, separately, and summed per pair; the sum decides exactly.
+3. *Partial counts*: a pair stays a candidate only if the n-grams it shares in
+   both prefixes and all that may follow can reach the similarity; for those, overlaps are counted fragment by fragment, separately, and summed per pair;
+   the sum decides exactly.
 4. *Links*: in each round every class is only compared with one hub of each
    of its posting lists (linear in the list), and pairs inside a known
    component are never looked at again.  When hubs find nothing more, or few
@@ -42,6 +43,8 @@ FRAGMENT_BITS = 3
 #: every task: bits of the bitmap of repeated n-grams, most frequent n-grams.
 COUNT_FRAGMENT_BITS = 6
 BITMAP_BITS = 27
+#: Bits of the bitmap that picks the sets whose segments are read.
+WANTED_BITS = 25
 MOST_FREQUENT = 1 << 20
 #: Documents from which an n-gram counts as frequent, unless that gave more
 #: than MOST_FREQUENT of them.
@@ -161,21 +164,22 @@ def _frequencies(keys: DataFrame, total: int, rare: int) -> tuple[np.ndarray, np
 
 
 def _postings(docs: DataFrame, size: int, percent: int, bitmap: np.ndarray, frequent: np.ndarray) -> DataFrame:
-    """(gram, fp, n) of each set's prefix in the global order, without n-grams
-    that no other set has."""
+    """(gram, fp, n, rest) of each set's prefix in the global order, without
+    n-grams that no other set has; ``rest`` n-grams follow the prefix."""
     shared = docs.sparkSession.sparkContext.broadcast((bitmap, frequent))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, frequent = shared.value
         seen: set[bytes] = set()
-        held: list[tuple[np.ndarray, bytes, int]] = []
+        held: list[tuple[np.ndarray, bytes, int, int]] = []
         count = 0
 
         def flush() -> pa.RecordBatch:
-            sizes = [len(g) for g, _, _ in held]
-            grams = np.concatenate([g for g, _, _ in held]).view(np.int64)
+            sizes = [len(h[0]) for h in held]
+            grams = np.concatenate([h[0] for h in held]).view(np.int64)
             owner = pa.array(np.repeat(np.arange(len(held)), sizes))
-            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array([f for _, f, _ in held], pa.binary()).take(owner), pa.array(np.array([n for _, _, n in held], np.int32)).take(owner)], ["gram", "fp", "n"])
+            numbers = (pa.array(np.array([h[i] for h in held], np.int32)).take(owner) for i in (2, 3))
+            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array([h[1] for h in held], pa.binary()).take(owner), *numbers], ["gram", "fp", "n", "rest"])
 
         for _, grams in _sets(batches, size):
             n = len(grams)
@@ -196,7 +200,7 @@ def _postings(docs: DataFrame, size: int, percent: int, bitmap: np.ndarray, freq
             bit = keys[chosen] >> np.uint32(32 - BITMAP_BITS)
             chosen = chosen[(bitmap[bit >> np.uint32(3)] >> (np.uint8(7) - (bit & np.uint32(7)).astype(np.uint8))) & np.uint8(1) > 0]
             if len(chosen):
-                held.append((grams[chosen], fp, n))
+                held.append((grams[chosen], fp, n, n - first))
                 count += len(chosen)
             if count > 50_000:
                 yield flush()
@@ -204,25 +208,65 @@ def _postings(docs: DataFrame, size: int, percent: int, bitmap: np.ndarray, freq
         if held:
             yield flush()
 
-    return _texts(docs).mapInArrow(run, "gram long, fp binary, n int")
+    return _texts(docs).mapInArrow(run, "gram long, fp binary, n int, rest int")
 
 
-def _segments(docs: DataFrame, size: int) -> DataFrame:
-    """(fp, fragment, segment): each set cut at the fragments' borders."""
+def _wanted_bits(fps: DataFrame) -> np.ndarray:
+    """Bitmap of a fixed size over the hashes of fingerprints."""
+    chunk_bits = 16
+
+    def fill(key: tuple, table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << chunk_bits, bool)
+        bits[table.column("bit").to_numpy()] = True
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    h = F.conv(F.hex(F.substring("fp", 1, 4)), 16, 10).cast("long").bitwiseAND((1 << WANTED_BITS) - 1)  # fingerprints are hashes
+    places = fps.select(F.shiftright(h, chunk_bits).alias("chunk"), h.bitwiseAND((1 << chunk_bits) - 1).alias("bit")).distinct()
+    out = np.zeros((1 << WANTED_BITS) // 8, np.uint8)
+    step = (1 << chunk_bits) // 8
+    for row in places.groupBy("chunk").applyInArrow(fill, "chunk long, bits binary").toLocalIterator():
+        out[row.chunk * step : (row.chunk + 1) * step] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def _segments(docs: DataFrame, size: int, fps: DataFrame) -> DataFrame:
+    """(fp, fragment, segment): the sets named in ``fps``, once each, cut at
+    the fragments' borders.  The texts are read where they lie: a bitmap of a
+    fixed size passes over nearly all other sets, a join drops the rest."""
     schema = pa.schema([("fp", pa.binary()), ("fragment", pa.int32()), ("segment", pa.binary())])
     borders = np.arange(1, 1 << FRAGMENT_BITS, dtype=np.uint64) << np.uint64(64 - FRAGMENT_BITS)
+    names = fps.select("fp").distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(_wanted_bits(names))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        seen: set[bytes] = set()
         for _, grams in _sets(batches, size):
             fp = _fingerprint(grams)
+            if fp in seen or not len(grams) or not _in_bits(fp, shared.value):
+                continue
+            seen.add(fp)
             for fragment, part in enumerate(np.split(grams, np.searchsorted(grams, borders))):
                 if len(part):
-                    yield {"fp": fp, "fragment": fragment, "segment": part.astype("<u8").tobytes()}
+                    # the bits of the fragment are known: 45 bits a n-gram are kept
+                    low = (part >> np.uint64(64 - FRAGMENT_BITS - 40)) & np.uint64((1 << 40) - 1)
+                    yield {"fp": fp, "fragment": fragment, "segment": np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _chunks(rows(batches), schema)
 
-    return _texts(docs).mapInArrow(run, "fp binary, fragment int, segment binary")
+    found = _texts(docs).mapInArrow(run, "fp binary, fragment int, segment binary")
+    return found.join(names, "fp", "left_semi")
+
+
+def _in_bits(fp: bytes, bits: np.ndarray) -> bool:
+    at = int.from_bytes(fp[:4], "big") & ((1 << WANTED_BITS) - 1)
+    return bool(bits[at >> 3] >> (7 - (at & 7)) & 1)
+
+
+def _grams_of(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return wide.view("<u8").ravel()
 
 
 def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -232,7 +276,7 @@ def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     def overlap(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = [
-                len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
+                len(np.intersect1d(_grams_of(x), _grams_of(y)))
                 for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(counts, pa.int64()), batch.column(6)], ["a", "b", "na", "nb", "common", "fragment"])
@@ -267,7 +311,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85, rare: int
     postings = materialize(raw.join(shared, "gram").distinct(), "postings")
     discard(raw)
     classes = sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    linked = _components(docs, sets, postings, size, percent)
+    linked = _components(docs, postings, size, percent)
     named = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "id", "copies", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "classes")
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -277,24 +321,22 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85, rare: int
     )
 
 
-def _components(docs: DataFrame, sets: DataFrame, postings: DataFrame, size: int, percent: int) -> DataFrame:
+def _components(docs: DataFrame, postings: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, root) over fingerprints that have a link."""
-    wanted = sets.join(postings.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    chosen = _texts(docs).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    unnamed = sets.filter("doc_id IS NULL").limit(1).count() > 0
-    if unnamed:  # sets that only rows without an id have
-        chosen = chosen.unionByName(_texts(docs).filter("doc_id IS NULL"))
-    segments = materialize(_segments(chosen, size), "segments")
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    # the overlap that a pair needs, and the most that its prefixes leave open:
+    # beyond the nearer of their ends at most the rest of that set is shared
+    needed = f"ceil({percent} * (na + nb) / {100 + percent}.0)"
+    possible = f"shared + greatest(ra, rb) >= {needed}"
     links: DataFrame | None = None
     labels: DataFrame | None = None
     hubs_left = True
     round_no = 0
     while True:
         listed = postings if labels is None else postings.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
-        listed = listed.withColumn("label", F.col("fp") if labels is None else F.coalesce("root", "fp")).select("gram", "fp", "n", "label")
+        listed = listed.withColumn("label", F.col("fp") if labels is None else F.coalesce("root", "fp")).select("gram", "fp", "n", "rest", "label")
         # lists of one component have no pair left to look at
-        groups = listed.groupBy("gram", "label").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64(F.lit(round_no), "fp").alias("h"), F.col("fp").alias("hub"), F.col("n").alias("m"))).alias("pick"))
+        groups = listed.groupBy("gram", "label").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64(F.lit(round_no), "fp").alias("h"), F.col("fp").alias("hub"), F.col("n").alias("m"), F.col("rest").alias("r"))).alias("pick"))
         lists = groups.groupBy("gram").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.max(F.struct("k", "label")).alias("major"), F.min("pick").alias("pick"), F.count("*").alias("labels")).filter("labels > 1")
         lists = materialize(lists, "lists")
         size_of = lists.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs"), F.sum("k").alias("rows")).first()
@@ -303,13 +345,20 @@ def _components(docs: DataFrame, sets: DataFrame, postings: DataFrame, size: int
         last = not hubs_left or size_of["pairs"] <= FEW_PAIRS * size_of["rows"]
         if last:
             some = listed.join(lists.select("gram", F.col("major.label").alias("major")), "gram")
-            one = some.filter("label <> major").select("gram", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            two = some.select("gram", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            pairs = one.join(two, "gram").filter(f"la <> lb AND {fits}")
+            one = some.filter("label <> major").select("gram", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("label").alias("la"))
+            two = some.select("gram", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("label").alias("lb"), (F.col("label") == F.col("major")).alias("most"))
+            pairs = one.join(two, "gram").filter(f"la <> lb AND (most OR a < b) AND {fits}")
         else:
-            pairs = listed.join(lists.select("gram", F.col("pick.hub").alias("b"), F.col("pick.m").alias("nb")), "gram").select(F.col("fp").alias("a"), F.col("n").alias("na"), "b", "nb", "label").filter(f"a <> b AND {fits}")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.expr("a < b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.expr("a < b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
-        found = materialize(_links(materialize(pairs, "pairs"), segments, percent), "links")
+            pairs = listed.join(lists.select("gram", F.col("pick.hub").alias("b"), F.col("pick.m").alias("nb"), F.col("pick.r").alias("rb")), "gram").select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), "b", "nb", "rb").filter(f"a <> b AND {fits}")
+        swap = F.expr("a > b")
+        ends = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("b", "a"), ("a", "b"), ("nb", "na"), ("na", "nb"), ("rb", "ra"), ("ra", "rb"))]
+        counted = pairs.select(*ends).groupBy("a", "b", "na", "nb", "ra", "rb").agg(F.count("*").alias("shared"))
+        # exact for the last pairs, whose shared postings are all counted; a
+        # hub's are not, so there it only picks the pairs worth looking at
+        chosen = materialize(counted.filter(possible if last else possible.replace("shared", "2 * shared")).select("a", "b", "na", "nb"), "pairs")
+        segments = materialize(_segments(docs, size, chosen.select(F.col("a").alias("fp")).unionByName(chosen.select(F.col("b").alias("fp")))), "segments")
+        found = materialize(_links(chosen, segments, percent), "links")
+        discard(segments)
         hubs_left = round_no < 3 and found.limit(1).count() > 0
         links = found if links is None else links.unionByName(found)
         labels = materialize(components(links), "components")
