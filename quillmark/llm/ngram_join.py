@@ -9,16 +9,17 @@ fragments; every document's set is cut likewise into segments.
    The same pass emits the fragments' n-gram keys, from which the frequent
    n-grams and a fixed-size bitmap of the repeated ones are found.
 2. *Candidates*: two sets of Jaccard similarity t share an n-gram among the
-   first ``n - ceil(t n) + 1`` of either in the global order.  Those postings
-   whose n-gram another class has too are kept.
-3. *Partial counts*: a pair stays a candidate only if the n-grams it shares in
-   both prefixes and all that may follow can reach the similarity; for those, overlaps are counted fragment by fragment, separately, and summed per pair;
-   the sum decides exactly.
-4. *Links*: in each round every class is only compared with one hub of each
-   of its posting lists (linear in the list), and pairs inside a known
-   component are never looked at again.  When hubs find nothing more, or few
-   pairs are left, all remaining pairs of *different* components that share a
-   posting are counted, so no link between different components is lost.
+   first ``n - ceil(t n) + 1`` of either in the global order.  Posting lists of
+   those are read in order; short lists give all their pairs, and of a pair the
+   n-grams in common, with all that may follow the nearer end of the two
+   prefixes, must be able to reach the similarity.
+3. *Partial counts*: for the pairs left, overlaps are counted fragment by
+   fragment, separately, and summed per pair; the sum decides exactly.
+4. *Long lists* (groups of many near copies): in each round every class is only
+   compared with one hub of its list (linear in the list), and pairs inside a
+   known component are never looked at again.  When hubs find nothing more, or
+   few pairs are left, all pairs of *different* components in a list are
+   counted as in 2 and 3, so no link between different components is lost.
 
 Nothing is capped; frequency limits only choose the order, which is a total
 order for any limit, so results do not depend on them.
@@ -49,6 +50,9 @@ MOST_FREQUENT = 1 << 20
 #: Documents from which an n-gram counts as frequent, unless that gave more
 #: than MOST_FREQUENT of them.
 RARE = 64
+#: Classes of one posting list that are all compared with each other; longer
+#: lists go through hubs.
+SHORT_LIST = 8
 #: Cross-component pairs that are counted at once rather than after more hubs.
 FEW_PAIRS = 4.0
 
@@ -163,23 +167,27 @@ def _frequencies(keys: DataFrame, total: int, rare: int) -> tuple[np.ndarray, np
     return bitmap, np.sort(np.concatenate(frequent))
 
 
+_POSTING = "gram long, fp binary, n int, rest int, pos int, last long"
+
+
 def _postings(docs: DataFrame, size: int, percent: int, bitmap: np.ndarray, frequent: np.ndarray) -> DataFrame:
-    """(gram, fp, n, rest) of each set's prefix in the global order, without
-    n-grams that no other set has; ``rest`` n-grams follow the prefix."""
+    """Each set's prefix in the global order, without n-grams that no other set
+    has: the n-gram, its place in the order (from 1), the n-grams after the
+    prefix, and the order's key at the prefix's end."""
     shared = docs.sparkSession.sparkContext.broadcast((bitmap, frequent))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, frequent = shared.value
         seen: set[bytes] = set()
-        held: list[tuple[np.ndarray, bytes, int, int]] = []
+        held: list[tuple[np.ndarray, np.ndarray, bytes, int, int, int]] = []
         count = 0
 
         def flush() -> pa.RecordBatch:
-            sizes = [len(h[0]) for h in held]
-            grams = np.concatenate([h[0] for h in held]).view(np.int64)
-            owner = pa.array(np.repeat(np.arange(len(held)), sizes))
-            numbers = (pa.array(np.array([h[i] for h in held], np.int32)).take(owner) for i in (2, 3))
-            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array([h[1] for h in held], pa.binary()).take(owner), *numbers], ["gram", "fp", "n", "rest"])
+            owner = pa.array(np.repeat(np.arange(len(held)), [len(h[0]) for h in held]))
+            each = [pa.array([h[i] for h in held], t).take(owner) for i, t in ((2, pa.binary()), (3, pa.int32()), (4, pa.int32()))]
+            last = pa.array([h[5] for h in held], pa.int64()).take(owner)
+            grams, places = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), *each, pa.array(places.astype(np.int32)), last], ["gram", "fp", "n", "rest", "pos", "last"])
 
         for _, grams in _sets(batches, size):
             n = len(grams)
@@ -191,24 +199,91 @@ def _postings(docs: DataFrame, size: int, percent: int, bitmap: np.ndarray, freq
             seen.add(fp)
             first = n - -(-percent * n // 100) + 1
             keys = (grams >> np.uint64(32)).astype(np.uint32)
+            often = np.zeros(n, bool)
             if len(frequent):
-                at = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
-                often = frequent[at] == keys
-                chosen = np.concatenate([np.flatnonzero(~often), np.flatnonzero(often)])[:first]
-            else:
-                chosen = np.arange(min(first, n))
-            bit = keys[chosen] >> np.uint32(32 - BITMAP_BITS)
-            chosen = chosen[(bitmap[bit >> np.uint32(3)] >> (np.uint8(7) - (bit & np.uint32(7)).astype(np.uint8))) & np.uint8(1) > 0]
-            if len(chosen):
-                held.append((grams[chosen], fp, n, n - first))
-                count += len(chosen)
+                often = frequent[np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)] == keys
+            prefix = np.concatenate([np.flatnonzero(~often), np.flatnonzero(often)])[:first]
+            last = int(often[prefix[-1]]) << 62 | int(grams[prefix[-1]]) >> 2
+            bit = keys[prefix] >> np.uint32(32 - BITMAP_BITS)
+            places = np.flatnonzero((bitmap[bit >> np.uint32(3)] >> (np.uint8(7) - (bit & np.uint32(7)).astype(np.uint8))) & np.uint8(1) > 0)
+            if len(places):
+                held.append((grams[prefix[places]], places + 1, fp, n, n - first, last))
+                count += len(places)
             if count > 50_000:
                 yield flush()
                 held, count = [], 0
         if held:
             yield flush()
 
-    return _texts(docs).mapInArrow(run, "gram long, fp binary, n int, rest int")
+    return _texts(docs).mapInArrow(run, _POSTING)
+
+
+_SIDES = ("n", "rest", "pos", "last")
+
+
+def _in_lists(postings: DataFrame, percent: int) -> DataFrame:
+    """Posting lists, read in order: of lists of up to SHORT_LIST classes all
+    pairs (a, b) whose sizes fit, of longer ones the postings (b is null).  A
+    task holds one batch and at most SHORT_LIST rows of an unfinished list, so
+    no list is gathered, however long."""
+    names = ["gram", "a", *(f"{c}a" for c in _SIDES), "b", *(f"{c}b" for c in _SIDES)]
+    types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches([], pa.schema([("gram", pa.int64()), ("fp", pa.binary()), ("n", pa.int32()), ("rest", pa.int32()), ("pos", pa.int32()), ("last", pa.int64())]))
+        long_gram: int | None = None
+        long_fp = b""
+
+        def finished(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            gram = rows.column("gram").to_numpy()
+            if not len(gram):
+                return
+            heads = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            sizes = np.diff(np.append(heads, len(gram)))
+            long = sizes > SHORT_LIST
+            if long_gram is not None:
+                long |= gram[heads] == long_gram
+            long_rows = np.flatnonzero(np.repeat(long, sizes))
+            left = [rows.take(pa.array(long_rows))]
+            if len(long_rows):
+                yield from paired(left[0], None)
+            size, place = np.repeat(np.where(long, 0, sizes), sizes), np.arange(len(gram)) - np.repeat(heads, sizes)
+            n = rows.column("n").to_numpy()
+            for step in range(1, SHORT_LIST):
+                i = np.flatnonzero(place + step < size)
+                if not len(i):
+                    break
+                low, high = np.minimum(n[i], n[i + step]).astype(np.int64), np.maximum(n[i], n[i + step]).astype(np.int64)
+                i = i[100 * low >= percent * high]
+                if len(i):
+                    yield from paired(rows.take(pa.array(i)), rows.take(pa.array(i + step)))
+
+        def paired(one: pa.Table, two: pa.Table | None) -> Iterator[pa.RecordBatch]:
+            one = one.combine_chunks()
+            columns = [one.column(c) for c in ("gram", "fp", *_SIDES)]
+            columns += [pa.nulls(len(one), t) for t in types[6:]] if two is None else [two.combine_chunks().column(c) for c in ("fp", *_SIDES)]
+            yield from pa.Table.from_arrays(columns, schema=pa.schema(list(zip(names, types, strict=True)))).to_batches()
+
+        for batch in batches:
+            rows = pa.concat_tables([held, pa.Table.from_batches([batch]).cast(held.schema)]).combine_chunks()
+            gram, fp = rows.column("gram").to_numpy(), rows.column("fp").to_pylist()
+            fresh = np.array([long_gram is None or gram[0] != long_gram or fp[0] != long_fp, *(fp[i] != fp[i - 1] or gram[i] != gram[i - 1] for i in range(1, len(fp)))])
+            tail = int(gram[-1]), fp[-1]
+            rows = rows.filter(pa.array(fresh))
+            gram = rows.column("gram").to_numpy()
+            cut = int(np.searchsorted(gram == tail[0], True)) if len(gram) else 0
+            held = rows.slice(cut)
+            yield from finished(rows.slice(0, cut))
+            if tail[0] == long_gram or len(held) > SHORT_LIST:
+                yield from paired(held, None) if len(held) else ()
+                held = held.slice(0, 0)
+                long_gram, long_fp = tail
+            else:
+                long_gram = None
+        yield from finished(held)
+
+    ordered = postings.repartition(F.col("gram")).sortWithinPartitions("gram", "fp")
+    return ordered.mapInArrow(run, "gram long, a binary, na int, resta int, posa int, lasta long, b binary, nb int, restb int, posb int, lastb long")
 
 
 def _wanted_bits(fps: DataFrame) -> np.ndarray:
@@ -306,12 +381,9 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85, rare: int
     sets = measured.filter("fragment IS NULL").select("doc_id", "n", "fp")
     total = sets.agg(F.sum("n")).first()[0] or 0
     bitmap, frequent = _frequencies(measured.filter("fragment IS NOT NULL").select("fragment", "keys"), total, rare)
-    raw = materialize(_postings(docs, size, percent, bitmap, frequent), "prefixes")
-    shared = raw.groupBy("gram").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").select("gram")
-    postings = materialize(raw.join(shared, "gram").distinct(), "postings")
-    discard(raw)
+    lists = materialize(_in_lists(_postings(docs, size, percent, bitmap, frequent), percent), "lists")
     classes = sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    linked = _components(docs, postings, size, percent)
+    linked = _components(docs, lists, size, percent)
     named = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "id", "copies", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "classes")
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -321,51 +393,68 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85, rare: int
     )
 
 
-def _components(docs: DataFrame, postings: DataFrame, size: int, percent: int) -> DataFrame:
+def _components(docs: DataFrame, lists: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, root) over fingerprints that have a link."""
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    # the overlap that a pair needs, and the most that its prefixes leave open:
-    # beyond the nearer of their ends at most the rest of that set is shared
-    needed = f"ceil({percent} * (na + nb) / {100 + percent}.0)"
-    possible = f"shared + greatest(ra, rb) >= {needed}"
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
+    needed = f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}"
+    # beyond the nearer of the two prefix ends a pair shares at most what
+    # either set still has there
+    rest = "CASE WHEN lasta <= lastb THEN least(resta, nb - posb) ELSE least(restb, na - posa) END"
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        """Each pair once, with the number of its postings in common."""
+        same = [F.any_value(f"{c}{s}").alias(f"{c}{s}") for c in ("n", "rest", "last") for s in "ab"]
+        return pairs.groupBy("a", "b").agg(F.count("*").alias("common"), F.max("posa").alias("posa"), F.max("posb").alias("posb"), *same)
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        chosen = materialize(pairs.select("a", "b", "na", "nb"), "pairs")
+        segments = materialize(_segments(docs, size, chosen.select(F.col("a").alias("fp")).unionByName(chosen.select(F.col("b").alias("fp")))), "segments")
+        found = materialize(_links(chosen, segments, percent), name)
+        discard(segments)
+        return found
+
+    long = lists.filter("b IS NULL").select("gram", F.col("a").alias("fp"), *(F.col(f"{c}a").alias(c) for c in _SIDES))
+    # postings in long lists may be in common as well: the bound allows for them
+    of_long = long.groupBy("fp").agg(F.count("*").alias("k"))
+    short = counted(lists.filter("b IS NOT NULL"))
+    for side in "ab":
+        short = short.join(of_long.select(F.col("fp").alias(side), F.col("k").alias(f"k{side}")), side, "left")
+    links = linked(short.filter(f"common + least(coalesce(ka, 0L), coalesce(kb, 0L)) + {rest} >= {needed}"), "links")
+    labels = materialize(components(links), "components")
     hubs_left = True
     round_no = 0
     while True:
-        listed = postings if labels is None else postings.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
-        listed = listed.withColumn("label", F.col("fp") if labels is None else F.coalesce("root", "fp")).select("gram", "fp", "n", "rest", "label")
+        listed = long.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("root", "fp")).drop("root")
         # lists of one component have no pair left to look at
-        groups = listed.groupBy("gram", "label").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64(F.lit(round_no), "fp").alias("h"), F.col("fp").alias("hub"), F.col("n").alias("m"), F.col("rest").alias("r"))).alias("pick"))
-        lists = groups.groupBy("gram").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.max(F.struct("k", "label")).alias("major"), F.min("pick").alias("pick"), F.count("*").alias("labels")).filter("labels > 1")
-        lists = materialize(lists, "lists")
-        size_of = lists.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs"), F.sum("k").alias("rows")).first()
-        if not size_of["pairs"]:
-            break
-        last = not hubs_left or size_of["pairs"] <= FEW_PAIRS * size_of["rows"]
+        pick = F.min(F.struct(F.xxhash64(F.lit(round_no), "fp").alias("h"), "fp", *_SIDES)).alias("pick")
+        groups = listed.groupBy("gram", "label").agg(F.count("*").alias("k"), pick)
+        open_lists = groups.groupBy("gram").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.max(F.struct("k", "label")).alias("major"), F.min("pick").alias("pick"), F.count("*").alias("labels")).filter("labels > 1")
+        open_lists = materialize(open_lists, "open")
+        left = open_lists.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs"), F.sum("k").alias("rows")).first()
+        if not left["pairs"]:
+            return labels
+        last = not hubs_left or left["pairs"] <= FEW_PAIRS * left["rows"]
+        one = listed.select("gram", F.col("fp").alias("a"), *(F.col(c).alias(f"{c}a") for c in _SIDES), F.col("label").alias("la"))
         if last:
-            some = listed.join(lists.select("gram", F.col("major.label").alias("major")), "gram")
-            one = some.filter("label <> major").select("gram", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("label").alias("la"))
-            two = some.select("gram", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("label").alias("lb"), (F.col("label") == F.col("major")).alias("most"))
-            pairs = one.join(two, "gram").filter(f"la <> lb AND (most OR a < b) AND {fits}")
+            two = listed.select("gram", F.col("fp").alias("b"), *(F.col(c).alias(f"{c}b") for c in _SIDES), F.col("label").alias("lb"))
+            major = open_lists.select("gram", F.col("major.label").alias("major"))
+            pairs = one.join(major, "gram").filter("la <> major").join(two, "gram").filter(f"la <> lb AND (lb = major OR a < b) AND {fits}")
         else:
-            pairs = listed.join(lists.select("gram", F.col("pick.hub").alias("b"), F.col("pick.m").alias("nb"), F.col("pick.r").alias("rb")), "gram").select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), "b", "nb", "rb").filter(f"a <> b AND {fits}")
+            hubs = open_lists.select("gram", F.col("pick.fp").alias("b"), *(F.col(f"pick.{c}").alias(f"{c}b") for c in _SIDES))
+            pairs = one.join(hubs, "gram").filter(f"a <> b AND {fits}")
         swap = F.expr("a > b")
-        ends = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("b", "a"), ("a", "b"), ("nb", "na"), ("na", "nb"), ("rb", "ra"), ("ra", "rb"))]
-        counted = pairs.select(*ends).groupBy("a", "b", "na", "nb", "ra", "rb").agg(F.count("*").alias("shared"))
-        # exact for the last pairs, whose shared postings are all counted; a
-        # hub's are not, so there it only picks the pairs worth looking at
-        chosen = materialize(counted.filter(possible if last else possible.replace("shared", "2 * shared")).select("a", "b", "na", "nb"), "pairs")
-        segments = materialize(_segments(docs, size, chosen.select(F.col("a").alias("fp")).unionByName(chosen.select(F.col("b").alias("fp")))), "segments")
-        found = materialize(_links(chosen, segments, percent), "links")
-        discard(segments)
+        sides = [(f"{c}a", f"{c}b") for c in _SIDES]
+        turned = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in [("a", "b"), *sides]] + [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in [("a", "b"), *sides]]
+        # exact at the end, where all postings in common are counted; a hub's
+        # are not, so before that the bound only picks what is worth counting
+        common = "common" if last else "2 * common"
+        found = linked(counted(pairs.select(*turned)).filter(f"{common} + {rest} >= {needed}"), "links")
         hubs_left = round_no < 3 and found.limit(1).count() > 0
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         labels = materialize(components(links), "components")
         if last:
-            break
+            return labels
         round_no += 1
-    return labels if labels is not None else postings.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0)
 
 
 def first_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -64,6 +64,21 @@ def test_any_frequency_limit_gives_the_same_rows(spark):
     assert rows(near_duplicates(df, size=5, percent=80)) == brute(docs, 5, 80)
 
 
+def test_large_groups_of_near_copies(spark):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    docs = []
+    for _ in range(3):
+        base = [rnd.choice(words) for _ in range(70)]
+        for _ in range(45):
+            text = list(base)
+            for _ in range(rnd.choice([1, 1, 2, 3])):
+                text[rnd.randrange(len(text))] = rnd.choice(words)
+            docs.append((len(docs), " ".join(text)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(near_duplicates(df)) == brute(docs)
+
+
 def test_empty_table(spark):
     assert rows(near_duplicates(spark.createDataFrame([], "doc_id long, text string"))) == []
 
