@@ -1,15 +1,13 @@
-"""All queries and their oracles, gathered from the operator modules."""
+"""All queries and their oracles, gathered from the query modules."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillmark.plans import base, corpus, features, generation, metrics, models, relational, splits, streams, text  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, base.Query]:
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.ORACLES)
