@@ -119,9 +119,17 @@ def gram_matrix(rows: DataFrame, column: str, centred: bool = False) -> tuple[in
 
 
 def vif(gram: np.ndarray) -> np.ndarray:
-    """Variance inflation of each column, without a constant: G_ii (G^-1)_ii."""
-    inverse = np.linalg.pinv(gram)
-    return np.diag(gram) * np.diag(inverse)
+    """Variance inflation of each column, without a constant: its squares over
+    those the other columns leave unexplained (infinite if they leave none)."""
+    out = np.ones(len(gram))
+    for i in range(len(gram)):
+        others = [j for j in range(len(gram)) if j != i]
+        if not others:
+            continue
+        g = gram[others, i]
+        left = gram[i, i] - g @ np.linalg.lstsq(gram[np.ix_(others, others)], g, rcond=None)[0]
+        out[i] = gram[i, i] / left if left > 1e-10 * gram[i, i] else np.inf
+    return out
 
 
 def filter_by_vif(gram: np.ndarray, threshold: float = 10.0) -> list[int]:
