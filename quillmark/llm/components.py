@@ -8,11 +8,18 @@ or label is ever gathered on the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import discard, materialize
 
+#: Distinct links up to which one executor task joins them in memory (some tens
+#: of MB); more of them take the distributed steps.  Both give the same rows.
+TASK_LINKS = 200_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link the larger (or all not larger) neighbours of each node to its least
@@ -28,10 +35,39 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return to.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """Union-find over a bounded number of links."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = find(a), find(b)
+                root[max(a, b)] = min(a, b)
+        nodes = list(root)
+        for low in range(0, len(nodes), 10_000):
+            part = nodes[low : low + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, schema.field(0).type), pa.array([find(n) for n in part], schema.field(0).type)], ["node", "root"])
+
+    return edges.coalesce(1).mapInArrow(join, f"node {kind}, root {kind}")
+
+
+def components(edges: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the least node
     of the component.  Rows with a null or two equal ends are ignored."""
     edges = materialize(edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if edges.limit(task_links + 1).count() <= task_links:
+        return _in_one_task(edges)
     while True:
         stars = materialize(_star(_star(edges, True), False), "stars")
         # a fixpoint has one parent for each node and no parent that has one

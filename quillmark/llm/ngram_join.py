@@ -408,6 +408,8 @@ def _components(docs: DataFrame, lists: DataFrame, size: int, percent: int) -> D
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         chosen = materialize(pairs.select("a", "b", "na", "nb"), "pairs")
+        if not chosen.limit(1).count():
+            return chosen.select("a", "b")
         segments = materialize(_segments(docs, size, chosen.select(F.col("a").alias("fp")).unionByName(chosen.select(F.col("b").alias("fp")))), "segments")
         found = materialize(_links(chosen, segments, percent), name)
         discard(segments)

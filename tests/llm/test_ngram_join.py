@@ -85,5 +85,6 @@ def test_empty_table(spark):
 
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
-    got = {r.node: r.root for r in components(edges).collect()}
-    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+    for task_links in (0, 1000):
+        got = {r.node: r.root for r in components(edges, task_links).collect()}
+        assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
