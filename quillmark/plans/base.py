@@ -31,7 +31,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A table of fewer splits than cores (one small file) dealt out to all of
+    them, since per-document work is heavy; larger tables are left alone."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def r6(c: Column) -> Column:
