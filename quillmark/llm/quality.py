@@ -1,17 +1,17 @@
-"""Quality classifier: interpolated modified Kneser-Ney over characters.
+"""Quality classifier: interpolated modified Kneser-Ney over words.
 
-Trusted text (documents labelled good) trains a character 4-gram model over an
-alphabet of 32 symbols: a-z, and one symbol each for upper-case letters, other
-letters, digits, white space, sentence punctuation and everything else.  So
-every count table has at most 32**4 rows whatever the corpus, which is the
-proven bound that allows the finished model (4 MB) to be sent to every task.
+Trusted text (documents labelled good) trains a word bigram model, whose
+tables grow with it and are joined shard by shard with what the documents hold
+(``wordmodel``).  Words that no trusted text has are spelled by a character
+4-gram model over an alphabet of 32 symbols: a-z, and one symbol each for
+upper-case letters, other letters, digits, white space, sentence punctuation
+and everything else.  Its count tables have at most 32**4 rows whatever the
+corpus, so the finished speller (4 MB) can be sent to every task.
 
-Counts are summed over all trusted documents: each task counts its texts, and
-the tables are sharded by n-gram.  Continuation counts, context totals and
-interpolated probabilities are grouped counts and joins of those tables.  A
+Trusted documents are measured without what only they added to the tables.  A
 document's perplexity is drawn towards the mean of all by ``PRIOR`` imagined
-characters, so that a few odd characters do not decide about a short text.
-Documents above their language's quantile of trusted documents are rejected.
+words, so that a few odd words do not decide about a short text.  Documents
+above their language's quantile of trusted documents are rejected.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm import wordstream
-from quillmark.llm.common import materialize
+from quillmark.llm import wordmodel, wordstream
+from quillmark.llm.common import discard, materialize
 
 ORDER = 4
 SYMBOL_BITS = 5
@@ -142,22 +142,17 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("quality")).filter("quality = 1").select("doc_id")
 
 
-def scorer(model: np.ndarray, spark):
-    """Column function: struct<symbols, loss> of a text column."""
+def speller(model: np.ndarray, spark):
+    """Function without arguments that gives, in a task, the log probabilities
+    of words (bytes, offsets) by the character model."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<symbols:bigint,loss:double>")
-    def score(texts: pa.Array) -> pa.Array:
-        symbols, loss = [], []
-        for _, _, data, offsets in wordstream.text_slices(texts):
-            codes, first = _grams(data, offsets) if len(data) else (np.zeros(0, np.int64), np.zeros(len(offsets), np.int64))
-            sums = np.concatenate([[0.0], np.cumsum(shared.value[codes], dtype=np.float64)])
-            symbols.append(np.diff(first))
-            loss.append(-np.diff(sums[first]))
-        flat = [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((symbols, np.int64), (loss, np.float64))]
-        return pa.StructArray.from_arrays([pa.array(flat[0], pa.int64()), pa.array(flat[1], pa.float64())], ["symbols", "loss"])
+    def spell(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        codes, first = _grams(data, offsets)
+        sums = np.concatenate([[0.0], np.cumsum(shared.value[codes], dtype=np.float64)])
+        return np.diff(sums[first])
 
-    return score
+    return lambda: spell
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, prior: int = PRIOR) -> tuple[DataFrame, DataFrame]:
@@ -170,12 +165,19 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     perplexity and are kept; without any trusted text everything is kept.
     """
     spark = docs.sparkSession
+    key = F.xxhash64(F.col("text").cast("string"))
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    asked = typed.filter("text <> ''").select(key.alias("key"), "text")
     trusted = trusted_ids(labels)
     # a hash join in every case: the texts are dealt out once and never sorted
-    model = train(typed.filter("text IS NOT NULL").select("doc_id", "text").join(trusted.hint("shuffle_hash"), "doc_id", "left_semi").select("text"))
-    score = scorer(model, spark)
-    scores = materialize(typed.select("doc_id", "lang", score("text").alias("s")).select("doc_id", "lang", "s.symbols", "s.loss"), "scores").join(trusted, "doc_id", "left_semi")
+    good = materialize(typed.filter("text <> ''").select("doc_id", "text").join(trusted.hint("shuffle_hash"), "doc_id", "left_semi").select(F.lit(0).cast("long").alias("key"), "text"), "trusted")
+    wordmodel.free_shuffles(spark)
+    spell = speller(train(good.select("text")), spark)
+    model = wordmodel.train(good, wordmodel.shard_count(asked))
+    discard(good)
+    losses = wordmodel.losses(asked, model, spell)
+    names = typed.select("doc_id", "lang", key.alias("key"))
+    scores = materialize(names.join(trusted.hint("shuffle_hash"), "doc_id", "left_semi").join(losses.hint("shuffle_hash"), "key", "left").select("lang", F.coalesce("words", F.lit(0)).alias("symbols"), F.coalesce("unseen", F.lit(0.0)).alias("loss")), "scores")
     mean = scores.agg(F.try_divide(F.sum("loss"), F.sum("symbols")).alias("m")).first().m or 0.0
 
     def perplexity(symbols: Column, loss: Column) -> Column:
@@ -185,11 +187,16 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     limit = F.percentile_approx(ppl, F.lit(quantile), F.lit(10_000)) * margin
     of_all = scores.agg(limit.alias("limit")).first().limit
     limits = materialize(scores.groupBy("lang").agg(F.count("*").alias("n"), limit.alias("limit")).filter(f"n >= {LEAST_TRUSTED} AND lang IS NOT NULL").select(F.col("lang").alias("_lang"), F.col("limit").alias("_own")), "limits")
-    scored = docs.withColumn("_s", score(F.col("text").cast("string"))).withColumn("_symbols", F.col("_s.symbols")).withColumn("_perplexity", perplexity(F.col("_s.symbols"), F.col("_s.loss")))
+    # a text is judged alike wherever it stands, so what is trusted is known by its key
+    own = names.join(trusted.hint("shuffle_hash"), "doc_id", "left_semi").select(F.col("key").alias("_key")).distinct().withColumn("_trusted", F.lit(True))
+    judged = losses.withColumnRenamed("key", "_key").join(own.hint("shuffle_hash"), "_key", "left").select("_key", F.col("words").alias("_words"), F.when(F.col("_trusted"), F.col("unseen")).otherwise(F.col("loss")).alias("_loss"))
+    joined = docs.withColumn("_key", key).join(judged.hint("shuffle_hash"), "_key", "left")
+    loss = F.coalesce("_loss", F.lit(0.0))
+    scored = joined.withColumn("_symbols", F.coalesce("_words", F.lit(0)).cast("long")).withColumn("_perplexity", perplexity(F.col("_symbols"), loss))
     if limits.count() <= 4096:  # else a shuffled join
         limits = F.broadcast(limits)
     joined = scored.join(limits, F.col("lang").cast("string") == F.col("_lang"), "left").withColumn("_limit", F.coalesce("_own", F.lit(of_all)))
-    return joined.withColumn("_keep", F.coalesce(F.col("_perplexity") <= F.col("_limit"), F.lit(True))).drop("_s", "_lang", "_own"), limits
+    return joined.withColumn("_keep", F.coalesce(F.col("_perplexity") <= F.col("_limit"), F.lit(True))).drop("_key", "_words", "_loss", "_lang", "_own"), limits
 
 
 def quality(docs: DataFrame, labels: DataFrame, **options: float) -> DataFrame:
