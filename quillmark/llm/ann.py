@@ -5,8 +5,8 @@ product is the smallest angle, and every tree gives each vector a string of
 random-hyperplane bits.  A tree is the sorted array of those strings, cut by
 their first bits into shards of bounded size that tasks hold one at a time.  A
 query descends to its longest prefix matches in all trees and then ascends in
-all of them at once, level by level, until enough candidates share a prefix
-with it; all of them are scored exactly.
+all of them at once, level by level, until enough entries of one tree share a
+prefix with it; all that any tree has there are scored exactly.
 
 How long a prefix must at least be shared is fitted on a bounded sample: for
 ``SAMPLE_QUERIES`` queries the true neighbours are found by brute force, and
@@ -168,11 +168,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int =
     index = entries.select("rid", "v").mapInArrow(strings(False), schema).withColumn("shard", prefix)
     queries = materialize(named.select("rid", "v").mapInArrow(strings(True), schema).withColumn("shard", prefix), "strings")
 
-    # how many candidates share a prefix of each length, over all trees
+    # how many entries share a prefix of each length, tree by tree
     sizes = index.groupBy("tree", "shard").agg(F.count("*").alias("n")).toPandas()  # TREES * rows / shard_rows rows
     held = np.zeros((TREES, 1 << head_bits), np.int64)
     held[sizes["tree"].to_numpy(), sizes["shard"].to_numpy()] = sizes["n"].to_numpy()
-    stop = _stop_levels(index.select("tree", "shard", "hash"), queries.select("tree", "shard", "hash", "rid"), held, head_bits, level, 2 * (k + 1))
+    stop = _stop_levels(index.select("tree", "shard", "hash"), queries.select("tree", "shard", "hash", "rid"), held, head_bits, level, 4 * (k + 1))
     sent = queries.join(stop, "rid")
     low = F.expr(f"shiftleft(shiftright(shard, {head_bits} - least(stop, {head_bits})), {head_bits} - least(stop, {head_bits}))")
     sent = sent.withColumn("to", F.explode(F.sequence(low, low + F.expr(f"shiftleft(1L, {head_bits} - least(stop, {head_bits}))") - 1))).select("tree", F.col("to").alias("shard"), "hash", "rid", "v", "stop")
@@ -181,8 +181,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int =
 
 
 def _stop_levels(index: DataFrame, queries: DataFrame, held: np.ndarray, head_bits: int, level: int, enough: int) -> DataFrame:
-    """(rid, stop): the longest level, ``level`` at most, at which all trees
-    together have ``enough`` candidates; 0 if none has."""
+    """(rid, stop): the longest level, ``level`` at most, at which one tree
+    alone has ``enough`` entries; 0 if none has.
+
+    Entries of one tree are distinct and at most one is the query's own, so
+    what all trees find can't be repeats of a few."""
     shared = index.sparkSession.sparkContext.broadcast(held)
     deepest = max(level, head_bits)
 
@@ -201,11 +204,11 @@ def _stop_levels(index: DataFrame, queries: DataFrame, held: np.ndarray, head_bi
         return pd.DataFrame({"rid": right["rid"].to_numpy(np.int64)} | {f"c{i}": out[:, i] for i in range(deepest + 1)})
 
     counts = index.groupBy("tree", "shard").cogroup(queries.groupBy("tree", "shard")).applyInPandas(count, "rid long" + "".join(f", c{i} long" for i in range(deepest + 1)))
-    sums = counts.groupBy("rid").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(deepest + 1)))
+    most = counts.groupBy("rid").agg(*(F.max(f"c{i}").alias(f"c{i}") for i in range(deepest + 1)))
     stop = F.lit(0)
     for at in range(1, level + 1):
         stop = F.when(F.col(f"c{at}") >= enough, F.lit(at)).otherwise(stop)
-    return materialize(sums.select("rid", stop.alias("stop")), "stop")
+    return materialize(most.select("rid", stop.alias("stop")), "stop")
 
 
 def _candidates(index: DataFrame, sent: DataFrame, dimension: int, k: int) -> DataFrame:

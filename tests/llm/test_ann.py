@@ -56,3 +56,12 @@ def test_nothing_to_find(spark):
     assert searched(spark, [], 20, 1) == {}
     assert searched(spark, [(1, [0.0, 0.0])], 20, 1) == {}
     assert searched(spark, [(1, [1.0, 0.0])], 20, 1) == {}
+
+
+def test_mixed_density_gives_every_query_k_rows(spark):
+    rng = np.random.default_rng(1)
+    near = np.repeat(rng.standard_normal((57, 32)), 50, axis=0) + 0.01 * rng.standard_normal((2850, 32))
+    every = np.concatenate([near, rng.standard_normal((150, 32))])
+    every /= np.linalg.norm(every, axis=1, keepdims=True)
+    got = searched(spark, list(enumerate(rng.permutation(every).astype(np.float32).tolist())), 20, 2)
+    assert len(got) == 1500 and all(len(near) == 20 for near in got.values())
