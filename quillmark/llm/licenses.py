@@ -27,6 +27,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": (
         "Released under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     ),
     "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.", "Licensed under the Simplified BSD License."),
     "BSD-3-Clause": (
@@ -39,7 +40,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
     "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."),
-    "ISC": ("Released under the ISC License.",),
+    "ISC": (
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "CC0-1.0": ("Licensed under CC0 1.0 Universal.",),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -67,15 +71,37 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+#: Words of a window before and after the start of a line with a cue.
+WORDS_BEFORE = 20
+WORDS_AFTER = 20 + max(len(_words(t)) for texts in TEMPLATES.values() for t in texts)
+
+
 def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of candidate blocks: each line with a cue, and where such
-    lines stand near each other, the run from the first to the last."""
+    """(start, end) of candidate blocks: each line with a cue; where such
+    lines stand near each other, the run from the first to the last; and round
+    each the lines that a wrapped notice may go on in."""
     cue = re.compile(CUE)
     lines = [(m.start(), m.end()) for m in re.finditer(r"[^\n]+", text)]
     marked = [i for i, (a, b) in enumerate(lines) if cue.search(text, a, b)]
+    sizes: dict[int, int] = {}
+
+    def size(i: int) -> int:
+        if i not in sizes:
+            sizes[i] = len(_WORD.findall(text, *lines[i]))
+        return sizes[i]
+
     run: list[int] = []
     for i in marked:
         yield lines[i]
+        low, high, before, after = i, i, 0, size(i)
+        while low > 0 and i - low < WORDS_BEFORE and before < WORDS_BEFORE:
+            low -= 1
+            before += size(low)
+        while high + 1 < len(lines) and high - i < WORDS_AFTER and after < WORDS_AFTER:
+            high += 1
+            after += size(high)
+        if low < high:
+            yield lines[low][0], lines[high][1]
         if run and i - run[-1] <= 2 and i - run[0] < BLOCK_LINES:
             run.append(i)
         else:
@@ -160,7 +186,7 @@ def licenses(docs: DataFrame) -> DataFrame:
         for text in texts.to_pylist():
             found: dict[tuple[int, int, str], float] = {}
             for low, high in blocks(text or ""):
-                for a, b, name, saved in matcher.match(text[low:high]):
+                for a, b, name, saved in matcher.match(text[low:high].replace("\n", " ")):  # wrapped sentences are whole
                     key = (low + a, low + b, name)
                     found[key] = max(saved, found.get(key, 0.0))
             inner = [k for k in found if not any(o != k and o[2] == k[2] and o[0] >= k[0] and o[1] <= k[1] for o in found)]

@@ -1,3 +1,5 @@
+import textwrap
+
 from quillmark.llm.licenses import TEMPLATES, licenses
 
 CASES = [
@@ -38,3 +40,13 @@ def test_every_template_names_itself(spark):
 
 def test_empty_table(spark):
     assert licenses(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_wrapped_notices(spark):
+    rows = [(name, before + textwrap.fill(text, width, initial_indent=lead, subsequent_indent=lead, break_on_hyphens=False) + "\nother words\n") for name, texts in TEMPLATES.items() for text in texts for width, lead, before in ((78, "", "Some prose.\n\n"), (60, " * ", "/*\n"), (40, "# ", ""))]
+    rows.append(("GPL-3.0", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n"))
+    rows.append(("GPL-2.0", "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n"))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses(docs).collect()}
+    for i, (name, text) in enumerate(rows):
+        assert got[i] == [name], (text, got[i])
