@@ -78,3 +78,13 @@ def test_permutations_are_one_to_one(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.pseudonymise(docs).collect() == []
+
+
+def test_iban_before_a_short_word(spark):
+    cases = [("ES91 2100 0418 4502 0005 1332", "EUR"), ("AT61 1904 3002 3457 3201", "BIC"), ("BE68539007547034", "2021"), ("NO93 8601 1117 947", "X"), ("DE89 3704 0044 0532 0130 00", "ABCD")]
+    for i, row in found(spark, [f"to {v} {word}" for v, word in cases]).items():
+        value, word = cases[i]
+        assert row.n_found == 1 and row.found[0].kind == "iban", value
+        made = row.found[0].made
+        assert iban(made) and shape(made) == shape(value) and made != value
+        assert row.text == f"to {made} {word}"
