@@ -139,11 +139,28 @@ class _Source:
         return self.data[offset - self.at :]
 
 
-def _decoded_start(data: bytes) -> bytes:
-    try:
-        return zlib.decompressobj(31).decompress(data, 1 << 16)
-    except zlib.error:
-        return b""
+def _is_record(source: _Source, at: int) -> bool:
+    """Whether a member with a WARC header begins at ``at``: decoded until the
+    header ends, however long it is, or until it can't be one."""
+    unpacker, data, offset = zlib.decompressobj(31), bytearray(), at
+    while True:
+        piece = source.from_(offset)[:READ_BYTES]
+        offset += len(piece)
+        try:
+            while piece:
+                done = len(data)
+                data += unpacker.decompress(piece, 1 << 16)
+                piece = unpacker.unconsumed_tail
+                if not data.startswith(b"WARC/1."[: len(data)]):
+                    return False
+                if data.find(b"\r\n\r\n", max(0, done - 3)) >= 0:
+                    return _header(bytes(data)) is not None
+                if unpacker.eof:
+                    return False
+        except zlib.error:
+            return False
+        if not source.from_(offset):
+            return False
 
 
 def records(file, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -161,7 +178,7 @@ def records(file, start: int, end: int) -> Iterator[tuple[int, dict[str, str], b
         at += found
         if at >= end:
             return
-        if _header(_decoded_start(source.from_(at, READ_BYTES)[: 1 << 16])) is None:
+        if not _is_record(source, at):
             at += 1
             continue
         unpacker, parts, offset = zlib.decompressobj(31), [], at

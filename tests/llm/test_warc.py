@@ -67,3 +67,11 @@ def test_every_split_point_gives_each_record_once():
 
 def test_empty_table(spark):
     assert warc.roundtrip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_very_long_urls_are_read(spark):
+    rnd = random.Random(6)
+    pages = [(1, "http://x.org/" + "".join(rnd.choice("abcdefgh0123456789é ") for _ in range(400_000)), "a"), (2, "u", "b"), (3, "é" * 100_000, "c")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for split in (5000, 1 << 24):
+        assert sorted((tuple(r)[:5] for r in warc.roundtrip(df, split).collect()), key=str) == want(pages)
