@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,5 +48,13 @@ def discard(df: DataFrame) -> None:
         delete_path(df.sparkSession, files[0].rsplit("/", 1)[0])
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of frames that nothing holds any more are deleted."""
+    for _ in range(2):  # the first makes the frames unreachable, the second finds their shuffles so
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,9 +1,11 @@
 """Connected components of a distributed edge list.
 
-Alternating large-star and small-star steps (Kiveris et al., 2014) on tables:
-each step is a grouped minimum with map-side combine, and every iteration is
+Each task first joins the links it holds, a bounded number at a time, and
+passes on a star for each part it found.  Alternating large-star and
+small-star steps (Kiveris et al., 2014) on tables then join the stars: each
+step is a grouped minimum with map-side combine, and every iteration is
 written to the shared folder, so lineage stays short and no component, link
-or label is ever gathered on the driver.
+or label is ever gathered on the driver or in a task.
 """
 
 from __future__ import annotations
@@ -16,31 +18,18 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.common import discard, materialize
 
-#: Distinct links up to which one executor task joins them in memory (some tens
-#: of MB); more of them take the distributed steps.  Both give the same rows.
-TASK_LINKS = 200_000
+#: Links that a task joins at once.
+HELD_LINKS = 100_000
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link the larger (or all not larger) neighbours of each node to its least
-    neighbour."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    back = both.select(F.col("v").alias("u"), F.col("u").alias("v"))
-    near = both.unionByName(back) if large else both.unionByName(back).filter("v < u")
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    kept = near.join(least, "u")
-    if large:
-        return kept.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-    to = kept.select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return to.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
-
-
-def _in_one_task(edges: DataFrame) -> DataFrame:
-    """Union-find over a bounded number of links."""
+def _local_stars(edges: DataFrame, held_links: int) -> DataFrame:
+    """Fewer links with the same components: those of the least node of each
+    component among the links that a task holds at a time."""
     kind = edges.schema["a"].dataType.simpleString()
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root: dict = {}
+        schema, held = None, 0
 
         def find(x):
             while root.setdefault(x, x) != x:
@@ -48,33 +37,53 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
                 x = root[x]
             return x
 
-        schema = None
+        def stars() -> Iterator[pa.RecordBatch]:
+            ends = [(n, r) for n in list(root) if (r := find(n)) != n]
+            for low in range(0, len(ends), 10_000):
+                part = ends[low : low + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in part], schema.field(i).type) for i in (0, 1)], ["a", "b"])
+
         for batch in batches:
-            schema = batch.schema
+            schema, held = batch.schema, held + len(batch)
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 a, b = find(a), find(b)
                 root[max(a, b)] = min(a, b)
-        nodes = list(root)
-        for low in range(0, len(nodes), 10_000):
-            part = nodes[low : low + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, schema.field(0).type), pa.array([find(n) for n in part], schema.field(0).type)], ["node", "root"])
+            if held >= held_links:
+                yield from stars()
+                root.clear()
+                held = 0
+        if root:
+            yield from stars()
 
-    return edges.coalesce(1).mapInArrow(join, f"node {kind}, root {kind}")
+    return edges.mapInArrow(join, f"a {kind}, b {kind}")
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Link the larger (or all not larger) neighbours of each node to its least
+    neighbour."""
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    back = both.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    near = both.unionByName(back) if large else both.unionByName(back).filter("v < u")
+    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    kept = near.join(least, "u")
+    if large:
+        return kept.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    to = kept.select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return to.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
+def components(edges: DataFrame, held_links: int = HELD_LINKS) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the least node
     of the component.  Rows with a null or two equal ends are ignored."""
-    edges = materialize(edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    if edges.limit(task_links + 1).count() <= task_links:
-        return _in_one_task(edges)
+    edges = edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = materialize(_local_stars(edges, held_links).distinct(), "edges")
     while True:
         stars = materialize(_star(_star(edges, True), False), "stars")
         # a fixpoint has one parent for each node and no parent that has one
-        state = stars.groupBy("a").agg(F.count("*").alias("n")).agg(F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("many")).first()
-        chained = stars.select("a").join(stars.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count()
+        many = stars.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+        chained = many or stars.select("a").join(stars.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count()
         discard(edges)
         edges = stars
-        if not (state["many"] or 0) and not chained:
+        if not chained:
             break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

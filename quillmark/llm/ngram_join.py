@@ -1,370 +1,521 @@
 """Near-duplicate join on word n-gram sets by vertical partitioning.
 
-The global n-gram order is: n-grams of up to ``rare`` documents first, by
-64-bit hash, then the frequent ones, by hash.  The hash space is cut into
-fragments; every document's set is cut likewise into segments.
-
-1. *Sets*: one pass over the texts gives each document its set size and a
-   128-bit fingerprint of its set.  Equal sets are one class from here on.
-   The same pass emits the fragments' n-gram keys, from which the frequent
-   n-grams and a fixed-size bitmap of the repeated ones are found.
-2. *Candidates*: two sets of Jaccard similarity t share an n-gram among the
-   first ``n - ceil(t n) + 1`` of either in the global order.  Posting lists of
-   those are read in order; short lists give all their pairs, and of a pair the
-   n-grams in common, with all that may follow the nearer end of the two
-   prefixes, must be able to reach the similarity.
-3. *Partial counts*: for the pairs left, overlaps are counted fragment by
-   fragment, separately, and summed per pair; the sum decides exactly.
-4. *Long lists* (groups of many near copies): in each round every class is only
-   compared with one hub of its list (linear in the list), and pairs inside a
-   known component are never looked at again.  When hubs find nothing more, or
-   few pairs are left, all pairs of *different* components in a list are
-   counted as in 2 and 3, so no link between different components is lost.
-
-Nothing is capped; frequency limits only choose the order, which is a total
-order for any limit, so results do not depend on them.
+The global n-gram order is that of 64-bit hashes.  It is cut into fragments,
+and every document's set is cut likewise into segments.
+
+1. *Segments as signatures*: sets that can be similar differ in at most ``d``
+   n-grams, ``d`` following from their sizes.  Sizes are dealt into groups, one
+   for each power of the similarity, and the order is cut into ``k > d``
+   fragments for each group; of two similar sets at least ``k - d`` segments
+   must be equal.  One pass over the texts sends the hash of every segment to
+   its shard.  Equal sets are one class from here on.
+2. *Candidates*: short lists of classes with an equal segment give their
+   pairs.  Of the segments with long lists a class leaves out the ``k - d - 1``
+   most frequent ones, as it must share one of the others with each similar
+   class (those that it shares with more are not all left out).
+3. *Bound*: a class carries 512 parity bits of its n-grams; the bits in which
+   two classes differ are no more than the n-grams in which they differ.
+4. *Partial counts*: for the pairs left, overlaps are counted fragment by
+   fragment, separately, and summed per pair; the sum decides.
+5. *Long lists* (groups of many near copies): in each round every class is only
+   compared with one hub of its list, and pairs inside a known component are
+   never looked at again.  When hubs find little more, the classes of
+   *different* components in a list are held against each other block by
+   block, and the pairs that pass the bound are counted as in 4.  So no link
+   between different components is lost, and no task sees more than two blocks.
+
+Nothing is capped, and every size of input takes these steps.  Sets are held
+as 64-bit hashes, so an overlap of two sets of n and m n-grams is wrong with a
+probability of about n * m / 2**64, and two sets are taken for equal by 128
+bits.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm import wordstream
-from quillmark.llm.common import discard, materialize
+from quillmark.llm.common import discard, free_shuffles, materialize
 from quillmark.llm.components import components
 
-FRAGMENT_BITS = 3
-#: Fragments of the pass that counts n-grams, fixed sizes of what it sends to
-#: every task: bits of the bitmap of repeated n-grams, most frequent n-grams.
-COUNT_FRAGMENT_BITS = 6
-BITMAP_BITS = 27
-#: Bits of the bitmap that picks the sets whose segments are read.
-WANTED_BITS = 25
-MOST_FREQUENT = 1 << 20
-#: Documents from which an n-gram counts as frequent, unless that gave more
-#: than MOST_FREQUENT of them.
-RARE = 64
-#: Classes of one posting list that are all compared with each other; longer
-#: lists go through hubs.
+#: Fragments in which overlaps are counted.
+FRAGMENT_BITS = 2
+#: Fragments of a group beyond the ``d + 1`` it needs, as a part of those.
+SPARE = 0.25
+#: Classes of one list that are all compared with each other; longer lists go
+#: through hubs, and block by block what hubs leave open.
 SHORT_LIST = 8
-#: Cross-component pairs that are counted at once rather than after more hubs.
-FEW_PAIRS = 4.0
+BLOCK = 1024
+#: Text for each shard of segments (about 2 million), segments sent at once.
+SHARD_BYTES = 32 << 20
+CHUNK_SEGMENTS = 1 << 19
+#: Hubs are tried on while a round links more than this part of the open rows.
+HUB_GAIN = 0.02
+#: Parity bits of a class, as 64-bit words.
+WORDS = 8
+#: Least and most bits of the filter that picks the sets to read again.
+FILTER_BITS = (16, 28)
 
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
+_BITS = [f"w{i}" for i in range(WORDS)]
 
+_DOCS, _OWNERS, _SEGMENTS, _MORE, _PAIR, _HOT = range(6)
+_SENT = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
+_SENT_SQL = "shard long, kind int, chunk long, x binary, y binary, z binary"
+_FOUND = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary()), ("gram", pa.int64()), ("total", pa.int64()), ("at", pa.int64()), ("chunk2", pa.int64()), ("at2", pa.int64())])
+_FOUND_SQL = "kind int, chunk long, x binary, y binary, z binary, gram long, total long, at long, chunk2 long, at2 long"
 
-def _shingles(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Sorted distinct n-gram hashes of one text's word hashes."""
-    if not len(hashes):
-        return hashes
-    n = min(size, len(hashes))
-    count = len(hashes) - n + 1
-    total = np.full(count, n, np.uint64)
-    for i in range(n):
-        total += wordstream.mix(hashes[i : i + count] + _K[i % 8]) * _K[(i + 3) % 8] * np.uint64(2 * i + 1)
-    out = np.sort(wordstream.mix(total))
-    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
+# --- sets -------------------------------------------------------------------
 
-def _sets(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[object, np.ndarray]]:
-    """(doc_id, set) of each row of (doc_id, text) batches."""
+
+def _slice_grams(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words from every word on (fewer at the end)."""
+    total = np.full(len(hashes), size, np.uint64)
+    for i in range(min(size, len(hashes))):
+        total[: len(hashes) - i] += wordstream.mix(hashes[i:] + _K[i % 8]) * _K[(i + 3) % 8] * np.uint64(2 * i + 1)
+    return wordstream.mix(total)
+
+
+def _sets(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[object, int, np.ndarray]]:
+    """(doc_id, key, sorted distinct n-gram hashes) of each row of (doc_id,
+    text, key)."""
     for batch in batches:
-        ids = batch.column(0).to_pylist()
+        ids, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         for start, end, data, offsets in wordstream.text_slices(batch.column(1)):
             hashes, first = wordstream.words(data, offsets, wordstream.SPACE_WORDS)
+            grams = _slice_grams(hashes, size)
             for i in range(end - start):
-                yield ids[start + i], _shingles(hashes[first[i] : first[i + 1]], size)
+                low, high = first[i], first[i + 1]
+                if high - low > size:
+                    out = np.sort(grams[low : high - size + 1])
+                    yield ids[start + i], keys[start + i], out[np.concatenate([[True], out[1:] != out[:-1]])]
+                else:  # the whole sequence as one; its length is in the hash
+                    yield ids[start + i], keys[start + i], _slice_grams(hashes[low:high], high - low)[:1]
 
 
 def _fingerprint(grams: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(grams.tobytes())
 
 
-def _chunks(rows: Iterator[dict], schema: pa.Schema, most: int = 2000) -> Iterator[pa.RecordBatch]:
-    held: list[dict] = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= most:
-            yield pa.RecordBatch.from_pylist(held, schema=schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema=schema)
+def _row_key() -> Column:
+    """Rows of equal id and text have equal keys."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _row_key().alias("key"))
 
 
-def _measure(docs: DataFrame, size: int) -> DataFrame:
-    """Rows (doc_id, n, fp) and, with a fragment number, packed n-gram keys."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("fragment", pa.int32()), ("keys", pa.binary())])
+def _parity(grams: np.ndarray) -> np.ndarray:
+    bits = np.bincount((grams & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view("<i8")
 
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-        held: list[np.ndarray] = []
-        seen: set[bytes] = set()
-        count = 0
-        for doc, grams in _sets(batches, size):
-            fp = _fingerprint(grams) if len(grams) else None
-            yield {"doc_id": doc, "n": len(grams), "fp": fp, "fragment": None, "keys": None}
-            if fp is not None and fp not in seen:  # equal sets count once in a task
-                seen.add(fp)
-                held.append((grams >> np.uint64(32)).astype(np.uint32))
-                count += len(grams)
-            if count > 1 << 20:
-                yield from keys(held)
-                held, count = [], 0
-        if held:
-            yield from keys(held)
 
-    def keys(held: list[np.ndarray]) -> Iterator[dict]:
-        every = np.sort(np.concatenate(held))
-        cuts = np.searchsorted(every, np.arange(1, 1 << COUNT_FRAGMENT_BITS, dtype=np.uint64) << np.uint64(32 - COUNT_FRAGMENT_BITS))
-        for fragment, part in enumerate(np.split(every, cuts)):
-            if len(part):
-                gaps = np.diff(part, prepend=part[:1])
-                gaps[0] = part[0]
-                yield {"doc_id": None, "n": None, "fp": None, "fragment": fragment, "keys": np.ascontiguousarray(gaps.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()}
+# --- groups of sizes --------------------------------------------------------
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _chunks(rows(batches), schema, 500)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, fp binary, fragment int, keys binary")
+class _Groups:
+    """Largest smaller set of each group, its ``d`` and its ``k``."""
 
+    def __init__(self, percent: int) -> None:
+        self.percent, top = percent, [1]
+        while top[-1] < 1 << 40:
+            top.append(max(top[-1] + 1, 100 * top[-1] // percent))
+        self.top = np.array(top)
+        self.apart = [(u + 100 * u // percent) * (100 - percent) // (100 + percent) for u in top]
+        self.cuts = [d + 1 + math.ceil(SPARE * (d + 1)) for d in self.apart]
 
-def _frequencies(keys: DataFrame, total: int, rare: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmap of n-gram keys in two sets or more, and the sorted frequent keys.
+    def of(self, n: int) -> range:
+        """Groups of the pairs in which a set of ``n`` can stand."""
+        low, high = np.searchsorted(self.top, [-(-self.percent * n // 100), n])
+        return range(int(low), int(high) + 1)
 
-    Both have a fixed greatest size: the bitmap 2**BITMAP_BITS bits, and at
-    most total / limit <= MOST_FREQUENT keys are as frequent as the limit.
-    """
-    limit = max(rare, -(-total // MOST_FREQUENT))
-
-    def count(key: tuple, table: pa.Table) -> pa.Table:
-        parts = []
-        for data in table.column("keys").to_pylist():
-            planes = np.frombuffer(data, np.uint8).reshape(4, -1)
-            parts.append(np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint64).astype(np.uint32))
-        every = np.sort(np.concatenate(parts))
-        heads = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-        counts = np.diff(np.append(heads, len(every)))
-        found = every[heads]
-        bits = np.zeros(1 << (BITMAP_BITS - COUNT_FRAGMENT_BITS), bool)
-        bits[(found[counts > 1] >> np.uint32(32 - BITMAP_BITS)) & np.uint32(len(bits) - 1)] = True
-        return pa.table({"fragment": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()), "frequent": pa.array([found[counts >= limit].astype("<u4").tobytes()], pa.binary())})
-
-    bitmap = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
-    frequent = [np.zeros(0, np.uint32)]
-    step = len(bitmap) >> COUNT_FRAGMENT_BITS
-    for row in keys.groupBy("fragment").applyInArrow(count, "fragment int, bits binary, frequent binary").collect():
-        bitmap[row.fragment * step : (row.fragment + 1) * step] = np.frombuffer(row.bits, np.uint8)
-        frequent.append(np.frombuffer(row.frequent, "<u4"))
-    return bitmap, np.sort(np.concatenate(frequent))
-
-
-_POSTING = "gram long, fp binary, n int, rest int, pos int, last long"
-
-
-def _postings(docs: DataFrame, size: int, percent: int, bitmap: np.ndarray, frequent: np.ndarray) -> DataFrame:
-    """Each set's prefix in the global order, without n-grams that no other set
-    has: the n-gram, its place in the order (from 1), the n-grams after the
-    prefix, and the order's key at the prefix's end."""
-    shared = docs.sparkSession.sparkContext.broadcast((bitmap, frequent))
+    def segments(self, grams: np.ndarray, mixed: np.ndarray, group: int) -> tuple[np.ndarray, int]:
+        """Hashes of a set's segments, and how many of them it must share
+        with a similar set."""
+        cuts = self.cuts[group]
+        fragment = ((grams >> np.uint64(32)) * np.uint64(cuts)) >> np.uint64(32)
+        at = np.flatnonzero(np.concatenate([[True], fragment[1:] != fragment[:-1]]))
+        which, sums = fragment[at], np.add.reduceat(mixed, at)
+        share = cuts - self.apart[group] - (cuts - len(at))
+        if share <= 0:  # so many segments are empty that these may be all it shares
+            empty = np.setdiff1d(np.arange(cuts, dtype=np.uint64), which)
+            which, sums = np.concatenate([which, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
+        return wordstream.mix(sums + which * _K[0] + np.uint64(group + 1) * _K[1]), max(share, 1)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Bytes of equal weight together, so that leading zeros compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T).tobytes()
+
+
+def _values(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+# --- candidates -------------------------------------------------------------
+
+
+def _sent(docs: DataFrame, size: int, percent: int, shards: int) -> DataFrame:
+    """Packed rows, by kind.  _DOCS: x ids and null marks, y set sizes
+    and row keys, z fingerprints of the rows of a chunk.  _OWNERS: x (n, group, share) and y
+    parity bits, z fingerprints of each class and group of the chunk.
+    _SEGMENTS: x sorted hashes, y number of owners of each, z owners.  _MORE:
+    x hash and z owner beyond the first ``SHORT_LIST + 1`` in the chunk."""
+    groups, short = _Groups(percent), SHORT_LIST
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, frequent = shared.value
+        part = TaskContext.get().partitionId() << 32
         seen: set[bytes] = set()
-        held: list[tuple[np.ndarray, np.ndarray, bytes, int, int, int]] = []
-        count = 0
+        number = 0
+        rows: list[tuple] = []
+        owners: list[tuple] = []
+        hashes: list[np.ndarray] = []
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            chunk = part | number
+            out = [{"shard": chunk % shards, "kind": _DOCS, "chunk": chunk, "x": np.array([0 if r[0] is None else r[0] for r in rows], "<i8").tobytes() + np.array([r[0] is None for r in rows], bool).tobytes(), "y": np.array([r[1:3] for r in rows], "<i8").T.tobytes(), "z": b"".join(r[3] for r in rows)}]
+            if owners:
+                out.append({"shard": chunk % shards, "kind": _OWNERS, "chunk": chunk, "x": np.array([o[:3] for o in owners], "<i8").tobytes(), "y": np.concatenate([o[3] for o in owners]).tobytes(), "z": b"".join(o[4] for o in owners)})
+                every = np.concatenate(hashes)
+                who = np.repeat(np.arange(len(owners), dtype=np.int64), [len(h) for h in hashes])
+                by = np.argsort(every, kind="stable")
+                every, who = every[by], who[by]
+                heads = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+                counts = np.diff(np.append(heads, len(every)))
+                over = np.arange(len(every)) - np.repeat(heads, counts) > short
+                if over.any():
+                    out.append({"shard": chunk % shards, "kind": _MORE, "chunk": chunk, "x": _planes(every[over]), "z": _planes(who[over].astype("<u4"))})
+                gram, counts, who = every[heads], np.minimum(counts, short + 1), who[~over]
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                cuts = np.searchsorted(_shards_of(gram, shards), np.arange(shards + 1))
+                for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    if b > a:
+                        out.append({"shard": s, "kind": _SEGMENTS, "chunk": chunk, "x": _planes(np.diff(gram[a:b], prepend=np.uint64(0))), "y": counts[a:b].astype(np.uint8).tobytes(), "z": _planes(who[ends[a] : ends[b]].astype("<u4"))})
+            for row in out:
+                yield pa.RecordBatch.from_pylist([row], schema=_SENT)
+
+        for doc, key, grams in _sets(batches, size):
+            n = len(grams)
+            fp = _fingerprint(grams) if n else bytes(16)
+            rows.append((doc, n, key, fp))
+            if n and fp not in seen:  # equal sets stand once in a task
+                seen.add(fp)
+                mixed = wordstream.mix(grams)
+                bits = None
+                for group in groups.of(n):
+                    if groups.apart[group]:
+                        found, share = groups.segments(grams, mixed, group)
+                        bits = _parity(grams) if bits is None else bits
+                        owners.append((n, group, share, bits, fp))
+                        hashes.append(found)
+                        held += len(found)
+            if held >= CHUNK_SEGMENTS or len(rows) >= 50_000:
+                yield from flush()
+                number, held, rows, owners, hashes = number + 1, 0, [], [], []
+                if len(seen) > 500_000:
+                    seen = set()
+        if rows:
+            yield from flush()
+
+    return _texts(docs).mapInArrow(run, _SENT_SQL)
+
+
+def _shards_of(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of each hash; ascending hashes have ascending shards."""
+    return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def _lists(table: pa.Table, short: int) -> pa.Table:
+    """Lists of a shard: the pairs of short ones (_PAIR), the owners in long
+    ones (_HOT, with the list's length); other rows pass.
+
+    A chunk sends at most ``SHORT_LIST + 1`` owners of a segment here, however
+    many it has, so a segment of all documents costs a shard some ten bytes for
+    each chunk of the corpus."""
+    passed = table.filter(pc.not_equal(table.column("kind"), _SEGMENTS))
+    out = [pa.table({"kind": passed.column("kind"), "chunk": passed.column("chunk"), "x": passed.column("x"), "y": passed.column("y"), "z": passed.column("z"), **{f.name: pa.nulls(len(passed), f.type) for f in list(_FOUND)[5:]}}, schema=_FOUND)]
+    rows = table.filter(pc.equal(table.column("kind"), _SEGMENTS)).select(["chunk", "x", "y", "z"]).to_pylist()
+    if rows:
+        sizes = [np.frombuffer(r["y"], np.uint8) for r in rows]
+        gram = np.concatenate([np.repeat(np.cumsum(_values(r["x"], "<u8"), dtype=np.uint64), s) for r, s in zip(rows, sizes, strict=True)])
+        at = np.concatenate([_values(r["z"], "<u4") for r in rows])
+        chunk = np.repeat(np.array([r["chunk"] for r in rows]), [int(s.sum()) for s in sizes])
+        by = np.argsort(gram, kind="stable")
+        gram, at, chunk = gram[by], at[by].astype(np.int64), chunk[by]
+        heads = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        counts = np.diff(np.append(heads, len(gram)))
+        hot = np.repeat(counts > short, counts)
+        none = pa.nulls(int(hot.sum()), pa.binary())
+        out.append(pa.table({"kind": pa.array(np.full(int(hot.sum()), _HOT, np.int32)), "chunk": chunk[hot], "x": none, "y": none, "z": none, "gram": gram[hot].view(np.int64), "total": np.repeat(counts, counts)[hot], "at": at[hot], "chunk2": pa.nulls(len(none), pa.int64()), "at2": pa.nulls(len(none), pa.int64())}, schema=_FOUND))
+        size, place = np.repeat(np.where(counts > short, 0, counts), counts), np.arange(len(gram)) - np.repeat(heads, counts)
+        pairs = []
+        for step in range(1, short):
+            i = np.flatnonzero(place + step < size)
+            if not len(i):
+                break
+            pairs.append(np.stack([chunk[i], at[i], chunk[i + step], at[i + step]], axis=1))
+        if pairs:
+            unlike = np.unique(np.concatenate(pairs), axis=0)
+            nothing = pa.nulls(len(unlike), pa.binary())
+            out.append(pa.table({"kind": pa.array(np.full(len(unlike), _PAIR, np.int32)), "chunk": unlike[:, 0], "x": nothing, "y": nothing, "z": nothing, "gram": pa.nulls(len(unlike), pa.int64()), "total": pa.nulls(len(unlike), pa.int64()), "at": unlike[:, 1], "chunk2": unlike[:, 2], "at2": unlike[:, 3]}, schema=_FOUND))
+    return pa.concat_tables(out)
+
+
+def _sets_of(found: DataFrame) -> DataFrame:
+    """(doc_id, key, n, fp) of every row of the documents; fp is null if n is 0."""
 
-        def flush() -> pa.RecordBatch:
-            owner = pa.array(np.repeat(np.arange(len(held)), [len(h[0]) for h in held]))
-            each = [pa.array([h[i] for h in held], t).take(owner) for i, t in ((2, pa.binary()), (3, pa.int32()), (4, pa.int32()))]
-            last = pa.array([h[5] for h in held], pa.int64()).take(owner)
-            grams, places = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), *each, pa.array(places.astype(np.int32)), last], ["gram", "fp", "n", "rest", "pos", "last"])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y, z in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                n, keys = np.frombuffer(y, "<i8").reshape(2, -1)
+                fps = pa.Array.from_buffers(pa.binary(16), len(n), [None, pa.py_buffer(z)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x[: 8 * len(n)], "<i8"), mask=np.frombuffer(x[8 * len(n) :], bool)), pa.array(keys), pa.array(n), pc.if_else(pa.array(n > 0), fps.cast(pa.binary()), pa.scalar(None, pa.binary()))], ["doc_id", "key", "n", "fp"])
+
+    return found.filter(f"kind = {_DOCS}").select("x", "y", "z").mapInArrow(run, "doc_id long, key long, n long, fp binary")
 
-        for _, grams in _sets(batches, size):
-            n = len(grams)
-            if not n:
-                continue
-            fp = _fingerprint(grams)
-            if fp in seen:
-                continue
-            seen.add(fp)
-            first = n - -(-percent * n // 100) + 1
-            keys = (grams >> np.uint64(32)).astype(np.uint32)
-            often = np.zeros(n, bool)
-            if len(frequent):
-                often = frequent[np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)] == keys
-            prefix = np.concatenate([np.flatnonzero(~often), np.flatnonzero(often)])[:first]
-            last = int(often[prefix[-1]]) << 62 | int(grams[prefix[-1]]) >> 2
-            bit = keys[prefix] >> np.uint32(32 - BITMAP_BITS)
-            places = np.flatnonzero((bitmap[bit >> np.uint32(3)] >> (np.uint8(7) - (bit & np.uint32(7)).astype(np.uint8))) & np.uint8(1) > 0)
-            if len(places):
-                held.append((grams[prefix[places]], places + 1, fp, n, n - first, last))
-                count += len(places)
-            if count > 50_000:
-                yield flush()
-                held, count = [], 0
-        if held:
-            yield flush()
 
-    return _texts(docs).mapInArrow(run, _POSTING)
+def _owners(found: DataFrame) -> DataFrame:
+    """(chunk, at, fp, n, group, share, parity bits)."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, x, y, z in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                numbers, bits = np.frombuffer(x, "<i8").reshape(-1, 3), np.frombuffer(y, "<i8").reshape(-1, WORDS)
+                fps = pa.Array.from_buffers(pa.binary(16), len(bits), [None, pa.py_buffer(z)]).cast(pa.binary())
+                columns = [np.full(len(bits), chunk), np.arange(len(bits)), *numbers.T, *bits.T]
+                yield pa.RecordBatch.from_arrays([fps, *(pa.array(np.ascontiguousarray(c)) for c in columns)], ["fp", "chunk", "at", "n", "group", "share", *_BITS])
 
-_SIDES = ("n", "rest", "pos", "last")
+    names = ", ".join(f"{w} long" for w in _BITS)
+    return found.filter(f"kind = {_OWNERS}").select("chunk", "x", "y", "z").mapInArrow(run, f"fp binary, chunk long, at long, n long, group long, share long, {names}")
 
 
-def _in_lists(postings: DataFrame, percent: int) -> DataFrame:
-    """Posting lists, read in order: of lists of up to SHORT_LIST classes all
-    pairs (a, b) whose sizes fit, of longer ones the postings (b is null).  A
-    task holds one batch and at most SHORT_LIST rows of an unfinished list, so
-    no list is gathered, however long."""
-    names = ["gram", "a", *(f"{c}a" for c in _SIDES), "b", *(f"{c}b" for c in _SIDES)]
-    types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+def _more(found: DataFrame) -> DataFrame:
+    """(gram, chunk, at) of the owners beyond those a chunk sent to a shard."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches([], pa.schema([("gram", pa.int64()), ("fp", pa.binary()), ("n", pa.int32()), ("rest", pa.int32()), ("pos", pa.int32()), ("last", pa.int64())]))
-        long_gram: int | None = None
-        long_fp = b""
-
-        def finished(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            gram = rows.column("gram").to_numpy()
-            if not len(gram):
-                return
-            heads = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-            sizes = np.diff(np.append(heads, len(gram)))
-            long = sizes > SHORT_LIST
-            if long_gram is not None:
-                long |= gram[heads] == long_gram
-            long_rows = np.flatnonzero(np.repeat(long, sizes))
-            left = [rows.take(pa.array(long_rows))]
-            if len(long_rows):
-                yield from paired(left[0], None)
-            size, place = np.repeat(np.where(long, 0, sizes), sizes), np.arange(len(gram)) - np.repeat(heads, sizes)
-            n = rows.column("n").to_numpy()
-            for step in range(1, SHORT_LIST):
-                i = np.flatnonzero(place + step < size)
-                if not len(i):
-                    break
-                low, high = np.minimum(n[i], n[i + step]).astype(np.int64), np.maximum(n[i], n[i + step]).astype(np.int64)
-                i = i[100 * low >= percent * high]
-                if len(i):
-                    yield from paired(rows.take(pa.array(i)), rows.take(pa.array(i + step)))
-
-        def paired(one: pa.Table, two: pa.Table | None) -> Iterator[pa.RecordBatch]:
-            one = one.combine_chunks()
-            columns = [one.column(c) for c in ("gram", "fp", *_SIDES)]
-            columns += [pa.nulls(len(one), t) for t in types[6:]] if two is None else [two.combine_chunks().column(c) for c in ("fp", *_SIDES)]
-            yield from pa.Table.from_arrays(columns, schema=pa.schema(list(zip(names, types, strict=True)))).to_batches()
-
         for batch in batches:
-            rows = pa.concat_tables([held, pa.Table.from_batches([batch]).cast(held.schema)]).combine_chunks()
-            gram, fp = rows.column("gram").to_numpy(), rows.column("fp").to_pylist()
-            fresh = np.array([long_gram is None or gram[0] != long_gram or fp[0] != long_fp, *(fp[i] != fp[i - 1] or gram[i] != gram[i - 1] for i in range(1, len(fp)))])
-            tail = int(gram[-1]), fp[-1]
-            rows = rows.filter(pa.array(fresh))
-            gram = rows.column("gram").to_numpy()
-            cut = int(np.searchsorted(gram == tail[0], True)) if len(gram) else 0
-            held = rows.slice(cut)
-            yield from finished(rows.slice(0, cut))
-            if tail[0] == long_gram or len(held) > SHORT_LIST:
-                yield from paired(held, None) if len(held) else ()
-                held = held.slice(0, 0)
-                long_gram, long_fp = tail
-            else:
-                long_gram = None
-        yield from finished(held)
-
-    ordered = postings.repartition(F.col("gram")).sortWithinPartitions("gram", "fp")
-    return ordered.mapInArrow(run, "gram long, a binary, na int, resta int, posa int, lasta long, b binary, nb int, restb int, posb int, lastb long")
-
-
-def _wanted_bits(fps: DataFrame) -> np.ndarray:
-    """Bitmap of a fixed size over the hashes of fingerprints."""
-    chunk_bits = 16
+            for chunk, x, z in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                gram = _values(x, "<u8").view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.full(len(gram), chunk)), pa.array(_values(z, "<u4").astype(np.int64))], ["gram", "chunk", "at"])
+
+    return found.filter(f"kind = {_MORE}").select("chunk", "x", "z").mapInArrow(run, "gram long, chunk long, at long")
+
+
+def _long_lists(found: DataFrame, owners: DataFrame) -> DataFrame:
+    """(gram, fp, n, parity bits): the classes in long lists, without each
+    class's ``share - 1`` most frequent segments."""
+    hot = found.filter(f"kind = {_HOT}").select("gram", "total", "chunk", "at")
+    totals = hot.select("gram", "total").distinct()
+    every = hot.unionByName(_more(found).join(totals, "gram").select("gram", "total", "chunk", "at"))
+    classes = every.join(owners, ["chunk", "at"]).groupBy("gram", "fp").agg(*(F.any_value(c).alias(c) for c in ("total", "n", "group", "share", *_BITS)))
+    by = Window.partitionBy("fp", "group").orderBy(F.desc("total"), F.desc("gram"))
+    kept = classes.withColumn("rank", F.row_number().over(by)).filter("rank >= share").drop("rank", "total", "group", "share")
+    return materialize(kept, "long")
+
+
+def _side(names: Iterable[str], suffix: str) -> list[Column]:
+    return [F.col(c).alias(f"{c}{suffix}") for c in names]
+
+
+_CLASS = ("fp", "n", *_BITS)
+
+
+def _can_link(percent: int) -> str:
+    """SQL: sizes and parity bits of the two sides allow the similarity."""
+    apart = " + ".join(f"bit_count({w}a ^ {w}b)" for w in _BITS)
+    return f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND {100 + percent} * ((na + nb - ({apart})) div 2) >= {percent} * (na + nb)"
+
+
+def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb), a < b, of the pairs of two classes that can be linked."""
+    kept = pairs.filter("fpa <> fpb").filter(_can_link(percent))
+    swap = F.col("fpa") > F.col("fpb")
+    return kept.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name) for x, y, name in (("fpa", "fpb", "a"), ("fpb", "fpa", "b"), ("na", "nb", "na"), ("nb", "na", "nb")))).distinct()
+
+
+def _short_pairs(found: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
+    pairs = found.filter(f"kind = {_PAIR}").select("chunk", "at", "chunk2", "at2").distinct()
+    one = owners.select("chunk", "at", *_side(_CLASS, "a"))
+    two = owners.select(F.col("chunk").alias("chunk2"), F.col("at").alias("at2"), *_side(_CLASS, "b"))
+    return _candidates(pairs.join(one, ["chunk", "at"]).join(two, ["chunk2", "at2"]), percent)
+
+
+def _hub_pairs(open_lists: DataFrame, round_no: int, percent: int) -> DataFrame:
+    """Every class of a list with the list's hub of this round."""
+    hubs = open_lists.groupBy("gram").agg(F.min(F.struct(F.xxhash64(F.lit(round_no), "fp").alias("h"), *_CLASS, "label")).alias("hub"))
+    hub = hubs.select("gram", *(F.col(f"hub.{c}").alias(f"{c}b") for c in (*_CLASS, "label")))
+    return _candidates(open_lists.select("gram", *_side((*_CLASS, "label"), "a")).join(hub, "gram").filter("labela <> labelb"), percent)
+
+
+def _cross_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes of different components in a list that can be
+    linked, found block by block."""
+    sizes = open_lists.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = open_lists.join(sizes, "gram").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    copies = rows.withColumn("other", other).select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *_CLASS, "label")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        block = table.column("block").to_numpy()
+        low, high = key[1].as_py(), key[2].as_py()
+        n = table.column("n").to_numpy()
+        bits = np.stack([table.column(w).to_numpy() for w in _BITS], axis=1).view(np.uint64)
+        label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        order = right[np.argsort(n[right], kind="stable")]
+        sizes = n[order]
+        a, b = [], []
+        for at, i in enumerate(left):
+            x = int(n[i])
+            near = order[np.searchsorted(sizes, -(-percent * x // 100)) : np.searchsorted(sizes, 100 * x // percent, "right")]
+            near = near[(label[near] != label[i]) & (near > i if low == high else True)]
+            if len(near):
+                apart = np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                both = x + n[near]
+                near = near[(100 + percent) * ((both - apart) // 2) >= percent * both]
+                a.append(np.full(len(near), i))
+                b.append(near)
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        fp = table.column("fp").combine_chunks()
+        return pa.table({"x": fp.take(pa.array(a)), "y": fp.take(pa.array(b)), "nx": n[a], "ny": n[b]})
+
+    found = copies.groupBy("gram", "i", "j").applyInArrow(compare, "x binary, y binary, nx long, ny long")
+    swap = F.col("x") > F.col("y")
+    return found.select(*(F.when(swap, F.col(q)).otherwise(F.col(p)).alias(name) for p, q, name in (("x", "y", "a"), ("y", "x", "b"), ("nx", "ny", "na"), ("ny", "nx", "nb")))).distinct()
+
+
+# --- partial counts ---------------------------------------------------------
+
+
+def _filter_of(fps: DataFrame) -> tuple[np.ndarray, int]:
+    """Bit filter over fingerprints, of a size that follows their number up to
+    a greatest one; beyond that more sets are sent, and dropped by a join."""
+    bits = min(max(math.ceil(math.log2(16 * max(1, fps.count()))), FILTER_BITS[0]), FILTER_BITS[1])
+    chunk_bits = min(16, bits)
 
     def fill(key: tuple, table: pa.Table) -> pa.Table:
-        bits = np.zeros(1 << chunk_bits, bool)
-        bits[table.column("bit").to_numpy()] = True
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+        marks = np.zeros(1 << chunk_bits, bool)
+        marks[table.column("bit").to_numpy()] = True
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(marks).tobytes()], pa.binary())})
 
-    h = F.conv(F.hex(F.substring("fp", 1, 4)), 16, 10).cast("long").bitwiseAND((1 << WANTED_BITS) - 1)  # fingerprints are hashes
+    h = F.conv(F.hex(F.substring("fp", 1, 4)), 16, 10).cast("long").bitwiseAND((1 << bits) - 1)  # fingerprints are hashes
     places = fps.select(F.shiftright(h, chunk_bits).alias("chunk"), h.bitwiseAND((1 << chunk_bits) - 1).alias("bit")).distinct()
-    out = np.zeros((1 << WANTED_BITS) // 8, np.uint8)
+    out = np.zeros((1 << bits) // 8, np.uint8)
     step = (1 << chunk_bits) // 8
     for row in places.groupBy("chunk").applyInArrow(fill, "chunk long, bits binary").toLocalIterator():
         out[row.chunk * step : (row.chunk + 1) * step] = np.frombuffer(row.bits, np.uint8)
-    return out
+    return out, bits
 
 
-def _segments(docs: DataFrame, size: int, fps: DataFrame) -> DataFrame:
-    """(fp, fragment, segment): the sets named in ``fps``, once each, cut at
-    the fragments' borders.  The texts are read where they lie: a bitmap of a
-    fixed size passes over nearly all other sets, a join drops the rest."""
-    schema = pa.schema([("fp", pa.binary()), ("fragment", pa.int32()), ("segment", pa.binary())])
+def _segments(docs: DataFrame, size: int, names: DataFrame) -> DataFrame:
+    """(fp, fragment, segment): the sets named in ``names``, once each, cut at
+    the fragments' borders.  The texts are read where they lie."""
     borders = np.arange(1, 1 << FRAGMENT_BITS, dtype=np.uint64) << np.uint64(64 - FRAGMENT_BITS)
-    names = fps.select("fp").distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(_wanted_bits(names))
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(names))
 
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, bits = shared.value
         seen: set[bytes] = set()
-        for _, grams in _sets(batches, size):
+        held: list[tuple[bytes, int, np.ndarray]] = []
+        count = 0
+
+        def flush() -> pa.RecordBatch:
+            ends = np.concatenate([[0], np.cumsum([len(h[2]) for h in held])]).astype(np.int32)
+            values = pa.array(np.concatenate([h[2] for h in held]).view(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.binary()), pa.array([h[1] for h in held], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), values)], ["fp", "fragment", "segment"])
+
+        for _, _, grams in _sets(batches, size):
+            if not len(grams):
+                continue
             fp = _fingerprint(grams)
-            if fp in seen or not len(grams) or not _in_bits(fp, shared.value):
+            at = int.from_bytes(fp[:4], "big") & ((1 << bits) - 1)
+            if not marks[at >> 3] >> (7 - (at & 7)) & 1 or fp in seen:
                 continue
             seen.add(fp)
             for fragment, part in enumerate(np.split(grams, np.searchsorted(grams, borders))):
                 if len(part):
-                    # the bits of the fragment are known: 45 bits a n-gram are kept
-                    low = (part >> np.uint64(64 - FRAGMENT_BITS - 40)) & np.uint64((1 << 40) - 1)
-                    yield {"fp": fp, "fragment": fragment, "segment": np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()}
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _chunks(rows(batches), schema)
-
-    found = _texts(docs).mapInArrow(run, "fp binary, fragment int, segment binary")
-    return found.join(names, "fp", "left_semi")
-
-
-def _in_bits(fp: bytes, bits: np.ndarray) -> bool:
-    at = int.from_bytes(fp[:4], "big") & ((1 << WANTED_BITS) - 1)
-    return bool(bits[at >> 3] >> (7 - (at & 7)) & 1)
-
+                    held.append((fp, fragment, part))
+                    count += len(part)
+            if count > 200_000:
+                yield flush()
+                held, count = [], 0
+        if held:
+            yield flush()
 
-def _grams_of(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return wide.view("<u8").ravel()
+    found = _texts(docs).mapInArrow(run, "fp binary, fragment int, segment array<long>")
+    return materialize(found.join(names, "fp", "left_semi").dropDuplicates(["fp", "fragment"]), "segments")
 
 
 def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b, na, nb), those whose summed partial overlaps reach
     the similarity."""
+    one = segments.select(F.col("fp").alias("a"), "fragment", F.col("segment").alias("one"))
+    two = segments.select(F.col("fp").alias("b"), "fragment", F.col("segment").alias("two"))
+    partial = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("one", "two")).cast("long").alias("common"))
+    summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+    return materialize(summed.filter(f"100 * common >= {percent} * (na + nb - common)").select("a", "b"), "links")
+
+
+# --- components -------------------------------------------------------------
+
+
+def _linked(docs: DataFrame, found: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, root) over the fingerprints that have a link."""
+    owners = materialize(_owners(found), "owners")
+    short = materialize(_short_pairs(found, owners, percent), "pairs")
+    lists = _long_lists(found, owners)
+    lists = lists.join(lists.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1").select("gram"), "gram", "left_semi")
+    names = materialize(short.select(F.col("a").alias("fp")).unionByName(short.select(F.col("b").alias("fp"))).unionByName(lists.select("fp")).distinct(), "names")
+    segments = _segments(docs, size, names)
+    labels: DataFrame | None = None
+    open_lists = lists.withColumn("label", F.col("fp"))
+    round_no = 0
+    while True:
+        candidates = _hub_pairs(open_lists, round_no, percent)
+        links = _links(materialize(candidates.unionByName(short).distinct() if round_no == 0 else candidates, "pairs"), segments, percent)
+        labels = _joined(labels, links)
+        listed = lists.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("root", "fp")).drop("root")
+        several = listed.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("gram")
+        open_lists = materialize(listed.join(several, "gram", "left_semi"), "open")
+        left = open_lists.count()
+        if not left:
+            return labels
+        if links.count() <= HUB_GAIN * left:
+            break
+        round_no += 1
+    return _joined(labels, _links(materialize(_cross_pairs(open_lists, percent), "pairs"), segments, percent))
 
-    def overlap(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [
-                len(np.intersect1d(_grams_of(x), _grams_of(y)))
-                for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(counts, pa.int64()), batch.column(6)], ["a", "b", "na", "nb", "common", "fragment"])
 
-    left = segments.select(F.col("fp").alias("a"), "fragment", F.col("segment").alias("one"))
-    right = segments.select(F.col("fp").alias("b"), "fragment", F.col("segment").alias("two"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", "one", "two", "fragment").mapInArrow(overlap, "a binary, b binary, na int, nb int, common long, fragment int")
-    # rows that repeat an id give a segment more than once: each fragment counts once
-    each = partial.groupBy("a", "b", "na", "nb").agg(*(F.max(F.when(F.col("fragment") == i, F.col("common"))).alias(f"c{i}") for i in range(1 << FRAGMENT_BITS)))
-    return each.select("a", "b", "na", "nb", sum((F.coalesce(f"c{i}", F.lit(0)) for i in range(1 << FRAGMENT_BITS)), F.lit(0)).alias("common")).filter(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    edges = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return materialize(components(edges), "components")
+
 
+def classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, key, n, fp, root) of every row; root is null without words."""
+    spark = docs.sparkSession
+    shards = max(16, math.ceil((docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) / SHARD_BYTES))
+    short = SHORT_LIST
+    found = materialize(_sent(docs, size, percent, shards).groupBy("shard").applyInArrow(lambda key, table: _lists(table, short), _FOUND_SQL), "lists")
+    free_shuffles(spark)
+    linked = _linked(docs, found, size, percent)
+    return _sets_of(found).join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "key", "n", "fp", F.coalesce("root", "fp").alias("root"))
 
-def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85, rare: int = RARE) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """Components of documents linked by 100 * overlap >= percent * union.
 
     Words are runs other than ASCII white space, A-Z lower-cased; a set holds
@@ -377,93 +528,28 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85, rare: int
     component's smallest id, null if it has none; repeated rows are rows of
     one class; other columns are ignored; an empty table gives no rows.
     """
-    measured = materialize(_measure(docs, size), "sets")
-    sets = measured.filter("fragment IS NULL").select("doc_id", "n", "fp")
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    bitmap, frequent = _frequencies(measured.filter("fragment IS NOT NULL").select("fragment", "keys"), total, rare)
-    lists = materialize(_in_lists(_postings(docs, size, percent, bitmap, frequent), percent), "lists")
-    classes = sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    linked = _components(docs, lists, size, percent)
-    named = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "id", "copies", F.coalesce("root", "fp").alias("root"))
-    named = materialize(named, "classes")
-    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    labels = materialize(named.join(least, "root").select("fp", "copies", "component_id"), "labels")
-    return sets.join(labels, "fp", "left").select(
+    rows = materialize(classes(docs, size, percent), "classes")
+    by_class = rows.filter("n > 0").groupBy("fp", "root").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
+    least = by_class.groupBy("root").agg(F.min("id").alias("component_id"))
+    labels = by_class.join(least, "root").select("fp", "copies", "component_id")
+    return rows.select("doc_id", "n", "fp").join(labels, "fp", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("copies", F.lit(1).cast("long")).alias("n_copies")
     )
 
 
-def _components(docs: DataFrame, lists: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, root) over fingerprints that have a link."""
-    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    needed = f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}"
-    # beyond the nearer of the two prefix ends a pair shares at most what
-    # either set still has there
-    rest = "CASE WHEN lasta <= lastb THEN least(resta, nb - posb) ELSE least(restb, na - posa) END"
-
-    def counted(pairs: DataFrame) -> DataFrame:
-        """Each pair once, with the number of its postings in common."""
-        same = [F.any_value(f"{c}{s}").alias(f"{c}{s}") for c in ("n", "rest", "last") for s in "ab"]
-        return pairs.groupBy("a", "b").agg(F.count("*").alias("common"), F.max("posa").alias("posa"), F.max("posb").alias("posb"), *same)
-
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        chosen = materialize(pairs.select("a", "b", "na", "nb"), "pairs")
-        if not chosen.limit(1).count():
-            return chosen.select("a", "b")
-        segments = materialize(_segments(docs, size, chosen.select(F.col("a").alias("fp")).unionByName(chosen.select(F.col("b").alias("fp")))), "segments")
-        found = materialize(_links(chosen, segments, percent), name)
-        discard(segments)
-        return found
-
-    long = lists.filter("b IS NULL").select("gram", F.col("a").alias("fp"), *(F.col(f"{c}a").alias(c) for c in _SIDES))
-    # postings in long lists may be in common as well: the bound allows for them
-    of_long = long.groupBy("fp").agg(F.count("*").alias("k"))
-    short = counted(lists.filter("b IS NOT NULL"))
-    for side in "ab":
-        short = short.join(of_long.select(F.col("fp").alias(side), F.col("k").alias(f"k{side}")), side, "left")
-    links = linked(short.filter(f"common + least(coalesce(ka, 0L), coalesce(kb, 0L)) + {rest} >= {needed}"), "links")
-    labels = materialize(components(links), "components")
-    hubs_left = True
-    round_no = 0
-    while True:
-        listed = long.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("root", "fp")).drop("root")
-        # lists of one component have no pair left to look at
-        pick = F.min(F.struct(F.xxhash64(F.lit(round_no), "fp").alias("h"), "fp", *_SIDES)).alias("pick")
-        groups = listed.groupBy("gram", "label").agg(F.count("*").alias("k"), pick)
-        open_lists = groups.groupBy("gram").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.max(F.struct("k", "label")).alias("major"), F.min("pick").alias("pick"), F.count("*").alias("labels")).filter("labels > 1")
-        open_lists = materialize(open_lists, "open")
-        left = open_lists.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs"), F.sum("k").alias("rows")).first()
-        if not left["pairs"]:
-            return labels
-        last = not hubs_left or left["pairs"] <= FEW_PAIRS * left["rows"]
-        one = listed.select("gram", F.col("fp").alias("a"), *(F.col(c).alias(f"{c}a") for c in _SIDES), F.col("label").alias("la"))
-        if last:
-            two = listed.select("gram", F.col("fp").alias("b"), *(F.col(c).alias(f"{c}b") for c in _SIDES), F.col("label").alias("lb"))
-            major = open_lists.select("gram", F.col("major.label").alias("major"))
-            pairs = one.join(major, "gram").filter("la <> major").join(two, "gram").filter(f"la <> lb AND (lb = major OR a < b) AND {fits}")
-        else:
-            hubs = open_lists.select("gram", F.col("pick.fp").alias("b"), *(F.col(f"pick.{c}").alias(f"{c}b") for c in _SIDES))
-            pairs = one.join(hubs, "gram").filter(f"a <> b AND {fits}")
-        swap = F.expr("a > b")
-        sides = [(f"{c}a", f"{c}b") for c in _SIDES]
-        turned = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in [("a", "b"), *sides]] + [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in [("a", "b"), *sides]]
-        # exact at the end, where all postings in common are counted; a hub's
-        # are not, so before that the bound only picks what is worth counting
-        common = "common" if last else "2 * common"
-        found = linked(counted(pairs.select(*turned)).filter(f"{common} + {rest} >= {needed}"), "links")
-        hubs_left = round_no < 3 and found.limit(1).count() > 0
-        links = links.unionByName(found)
-        labels = materialize(components(links), "components")
-        if last:
-            return labels
-        round_no += 1
-
-
 def first_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: its smallest doc_id.
+    """``docs`` with one row of each near-duplicate group: that of the smallest
+    doc_id (null only if all are), of rows that repeat an id the one with the
+    smallest key, of equal rows any one.
 
-    Rows that repeat the smallest id all stay (nothing tells them apart), as do
-    rows without words and rows without an id.
+    Rows without words are in no group and stay; other columns are kept as
+    they are; an empty table stays empty.
     """
-    groups = near_duplicates(docs, size, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(materialize(groups, "dropped"), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    rows = materialize(classes(docs, size, percent).filter("n > 0").select("doc_id", "key", "root"), "rows")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("first")).select("root", F.col("first.key").alias("first"))
+    other = materialize(rows.join(first, "root").filter("key <> first").select(F.col("key").alias("_key")).distinct(), "others")
+    kept = docs.withColumn("_key", _row_key()).join(other, "_key", "left_anti")
+    again = materialize(rows.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("k")).filter("k > 1").select("_key"), "again")
+    if again.limit(1).count():  # rows that are equal to one another
+        kept = kept.join(again, "_key", "left_anti").unionByName(kept.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
+    return kept.select(*docs.columns)

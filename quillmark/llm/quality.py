@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import wordmodel, wordstream
-from quillmark.llm.common import discard, materialize
+from quillmark.llm.common import discard, free_shuffles, materialize
 
 ORDER = 4
 SYMBOL_BITS = 5
@@ -171,7 +171,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     trusted = trusted_ids(labels)
     # a hash join in every case: the texts are dealt out once and never sorted
     good = materialize(typed.filter("text <> ''").select("doc_id", "text").join(trusted.hint("shuffle_hash"), "doc_id", "left_semi").select(F.lit(0).cast("long").alias("key"), "text"), "trusted")
-    wordmodel.free_shuffles(spark)
+    free_shuffles(spark)
     spell = speller(train(good.select("text")), spark)
     model = wordmodel.train(good, wordmodel.shard_count(asked))
     discard(good)

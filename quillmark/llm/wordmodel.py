@@ -19,19 +19,17 @@ trusted text is worth to a model that was not trained on it.
 
 from __future__ import annotations
 
-import gc
 import math
-import time
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import wordstream
-from quillmark.llm.common import discard, materialize
+from quillmark.llm.common import discard, free_shuffles, materialize
 
 #: Bits kept of hashes; bytes of text packed together and to a shard.
 HASH_BITS = 48
@@ -179,14 +177,6 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [min(max(d, 0.05), i + 0.95) for i, d in enumerate(found)]
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Shuffle files of frames that nothing holds any more are deleted."""
-    for _ in range(2):  # the first makes the frames unreachable, the second finds their shuffles so
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-
-
 class Model:
     """words (gram, weight, n) and bigrams as packed rows (``_MODEL``)."""
 

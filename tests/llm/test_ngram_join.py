@@ -1,8 +1,9 @@
 import random
 import re
 
+from quillmark.llm import ngram_join
 from quillmark.llm.components import components
-from quillmark.llm.ngram_join import near_duplicates
+from quillmark.llm.ngram_join import first_of_each_group, near_duplicates
 
 
 def shingles(text, size=4):
@@ -57,10 +58,14 @@ def test_matches_brute_force(spark):
     assert rows(near_duplicates(df)) == brute(docs)
 
 
-def test_any_frequency_limit_gives_the_same_rows(spark):
+def test_any_limits_give_the_same_rows(spark, monkeypatch):
     docs = corpus(5)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert rows(near_duplicates(df, rare=3)) == brute(docs)
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "HUB_GAIN", 2.0)
+    monkeypatch.setattr(ngram_join, "CHUNK_SEGMENTS", 40)
+    assert rows(near_duplicates(df)) == brute(docs)
     assert rows(near_duplicates(df, size=5, percent=80)) == brute(docs, 5, 80)
 
 
@@ -85,6 +90,31 @@ def test_empty_table(spark):
 
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
-    for task_links in (0, 1000):
-        got = {r.node: r.root for r in components(edges, task_links).collect()}
+    for held_links in (1, 1000):
+        got = {r.node: r.root for r in components(edges, held_links).collect()}
         assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_one_row_of_each_group_stays(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    docs = [(5, base, 1), (3, base + " tail", 2), (3, base + " tail", 2), (3, base + " end", 3), (None, base + " x", 4), (None, "only null ids here", 5), (None, "only null ids here", 6), (8, None, 7), (8, None, 8), (9, "", 9), (10, "other words", 10)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, key int")
+    left = first_of_each_group(df)
+    assert left.columns == df.columns
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    assert len([g for g in got if g[1] and g[1].startswith("w0")]) == 1 and [g[0] for g in got if g[1] and g[1].startswith("w0")] == [3]
+    assert got.count((None, "only null ids here")) == 1 and got.count((8, None)) == 2 and (9, "") in got and (10, "other words") in got and len(got) == 6
+    assert first_of_each_group(df.limit(0)).count() == 0
+
+
+def test_two_thousand_near_copies(spark):
+    rnd = random.Random(4)
+    base = [f"w{rnd.randrange(500)}" for _ in range(150)]
+    docs = []
+    for i in range(2000):
+        text = list(base)
+        text[rnd.randrange(150)] = f"x{i}"
+        docs.append((i, " ".join(text)))
+    docs += [(3000 + i, " ".join(base[:100] + [f"y{rnd.randrange(10**6)}" for _ in range(70)])) for i in range(300)]  # share a passage, linked with nothing
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {**{i: 0 for i in range(2000)}, **{3000 + i: 3000 + i for i in range(300)}}
