@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.spans import joined, matches, replaced, spans
+from quillmark.llm.spans import bound, joined, matches, replaced, spans
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_VALUE = 12
@@ -28,55 +28,60 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}+={0,2}" % WINDOW
 #: Bits per character of a window: strings of hexadecimal digits, all others.
 HEX_BITS = 3.0
 BASE64_BITS = 3.8
-#: Candidates that are no secrets: no digit or no letter at all, UUIDs, paths
-#: of plain words, one character repeated, documentation examples.
+#: Candidates that are no secrets, besides paths of plain words and one
+#: character repeated: no digit or no letter at all, UUIDs, documentation
+#: examples.  No pattern repeats a group, which the regular-expression engine
+#: would do by recursion.
 ALLOW = (
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^/?(?:[a-z]+[/_-])*[a-z]*[/_-]?[0-9]{1,4}/?$",
-    r"^(?<same>.)\k<same>*$",
     r"(?i:example|placeholder|changeme|dummy|x{8})",
 )
 
 
+def _plain(hit: Column) -> Column:
+    """Words of small letters, each set off by one of ``/_-``, with a number of
+    up to four digits at the end; or one character repeated."""
+    path = F.rlike(hit, F.lit("^[a-z/][a-z/_-]*[0-9]{1,4}/?$")) & ~F.rlike(hit, F.lit("[/_-]{2}[a-z]|[/_-]{3}"))
+    return path | (F.replace(hit, F.substring(hit, 1, 1), F.lit("")) == "")
+
+
 def _entropy_window(text: Column, window: int, bits: Column) -> Column:
     """struct<low, high>: from the first to the last window of at least
-    ``bits``, as character places; low is null if there is none."""
+    ``bits`` (a bound value), as character places; low is null if there is none.
+
+    The sum of c log2 c over a window's counts changes by what the character
+    that enters adds to its own count, and the one that leaves takes from its
+    own; both counts are taken in the window alone."""
+    gains = [(n + 1) * math.log2(n + 1) - (n * math.log2(n) if n else 0.0) for n in range(window)]
+    gain = F.array(*(F.lit(g) for g in gains))
     codes = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c))
 
-    def plogp(n: Column) -> Column:
-        return F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+    def changes(held: Column) -> Column:
+        def count(low: Column, length: Column, code: Column) -> Column:
+            return F.size(F.filter(F.slice(held, F.greatest(low, F.lit(1)), length), lambda x: x == code))
 
-    def changed(counts: Column, total: Column, code: Column, by: int) -> tuple[Column, Column]:
-        old = F.get(counts, code)
-        return F.transform(counts, lambda n, i: F.when(i == code, n + by).otherwise(n)), total + plogp(old + by) - plogp(old)
+        def change(code: Column, i: Column) -> Column:
+            enters = F.get(gain, count(i - window + 2, F.least(i, F.lit(window - 1)), code))
+            leaves = F.get(gain, count(i - window + 1, F.lit(window), F.get(held, i - window)) - 1)
+            return enters - F.when(i >= window, leaves).otherwise(F.lit(0.0))
 
-    start = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("counts"),
-        F.lit(0.0).alias("total"),
-        F.lit(None).cast("int").alias("low"),
-        F.lit(None).cast("int").alias("high"),
-        F.lit(0).alias("at"),
-    )
+        return F.transform(held, change)
+
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"), F.lit(0).alias("at"))
 
-    def step(state: Column, pair: Column) -> Column:
-        counts, total = changed(state["counts"], state["total"], pair["enters"], 1)
-        kept, less = changed(counts, total, pair["leaves"], -1)
-        counts, total = F.when(pair["leaves"].isNull(), counts).otherwise(kept), F.when(pair["leaves"].isNull(), total).otherwise(less)
-        at = state["at"] + 1
+    def step(state: Column, change: Column) -> Column:
+        total, at = state["total"] + change, state["at"] + 1
         hot = (at >= window) & (F.lit(math.log2(window)) - total / window >= bits - 1e-9)
         return F.struct(
-            counts.alias("counts"),
             total.alias("total"),
             F.when(hot, F.coalesce(state["low"], at - window)).otherwise(state["low"]).alias("low"),
             F.when(hot, at).otherwise(state["high"]).alias("high"),
             at.alias("at"),
         )
 
-    pairs = F.transform(codes, lambda c, i: F.struct(c.alias("enters"), F.when(i >= window, F.get(codes, i - window)).alias("leaves")))
-    end = F.aggregate(pairs, start, step)
-    return F.struct(end["low"].alias("low"), end["high"].alias("high"))
+    return F.aggregate(bound(codes, changes), start, step, lambda end: F.struct(end["low"].alias("low"), end["high"].alias("high")))
 
 
 def with_spans(docs: DataFrame, window: int = WINDOW, hex_bits: float = HEX_BITS, base64_bits: float = BASE64_BITS, allow: tuple[str, ...] = ALLOW) -> DataFrame:
@@ -92,18 +97,21 @@ def with_spans(docs: DataFrame, window: int = WINDOW, hex_bits: float = HEX_BITS
     access = found(ACCESS, "access", 1, F.contains(text, F.lit("AKIA")))
     hexes = found(HEX, "hex", 2, F.rlike(text, F.lit(HEX)))
     candidates = found(CANDIDATE, "entropy", 3, F.rlike(text, F.lit(CANDIDATE)))
+    candidates = F.filter(candidates, lambda s: ~_plain(s["hit"]))
     if allow:
         candidates = F.filter(candidates, lambda s: ~F.rlike(s["hit"], F.lit("|".join(f"(?:{p})" for p in allow))))
 
     def scored(span: Column) -> Column:
-        is_hex = F.rlike(span["hit"], F.lit("^[0-9a-fA-F]+$"))
-        place = _entropy_window(span["hit"], window, F.when(is_hex, F.lit(hex_bits)).otherwise(F.lit(base64_bits)))
-        return F.struct(
-            (span["start"] + place["low"]).alias("start"),
-            F.when(is_hex, 3).otherwise(4).alias("ord"),
-            (span["start"] + place["high"]).alias("end"),
-            F.when(is_hex, F.lit("entropy_hex")).otherwise(F.lit("entropy_base64")).alias("kind"),
-        )
+        def by_class(is_hex: Column) -> Column:
+            place = bound(F.when(is_hex, F.lit(hex_bits)).otherwise(F.lit(base64_bits)), lambda bits: _entropy_window(span["hit"], window, bits))
+            return bound(place, lambda p: F.struct(
+                (span["start"] + p["low"]).alias("start"),
+                F.when(is_hex, 3).otherwise(4).alias("ord"),
+                (span["start"] + p["high"]).alias("end"),
+                F.when(is_hex, F.lit("entropy_hex")).otherwise(F.lit("entropy_base64")).alias("kind"),
+            ))
+
+        return bound(F.rlike(span["hit"], F.lit("^[0-9a-fA-F]+$")), by_class)
 
     plain = "array<struct<start:int,ord:int,end:int,kind:string>>"
 
@@ -135,6 +143,10 @@ def scan(docs: DataFrame, **options: object) -> DataFrame:
 
 
 def redact(docs: DataFrame, word: str = "[SECRET]", **options: object) -> DataFrame:
-    """``docs`` with every span replaced by ``word``; null texts stay null."""
+    """``docs`` with every span replaced by ``word``.
+
+    Null texts stay null and empty ones empty; repeated rows, rows without id
+    and other columns stay as they are; an empty table stays empty.
+    """
     found = with_spans(docs, **options)
     return found.withColumn("text", F.when(F.col("text").isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col("_all"), word))).select(*docs.columns)
