@@ -315,70 +315,92 @@ def _more(found: DataFrame) -> DataFrame:
 
 
 def _long_lists(found: DataFrame, owners: DataFrame) -> DataFrame:
-    """(gram, fp, n, parity bits): the classes in long lists, without each
-    class's ``share - 1`` most frequent segments."""
+    """(gram, fp, n): the classes in long lists, without each class's
+    ``share - 1`` most frequent segments; lists of one class are left out."""
     hot = found.filter(f"kind = {_HOT}").select("gram", "total", "chunk", "at")
     totals = hot.select("gram", "total").distinct()
     every = hot.unionByName(_more(found).join(totals, "gram").select("gram", "total", "chunk", "at"))
-    classes = every.join(owners, ["chunk", "at"]).groupBy("gram", "fp").agg(*(F.any_value(c).alias(c) for c in ("total", "n", "group", "share", *_BITS)))
+    classes = every.join(owners.select("chunk", "at", "fp", "n", "group", "share"), ["chunk", "at"]).select("gram", "fp", "total", "n", "group", "share").distinct()
     by = Window.partitionBy("fp", "group").orderBy(F.desc("total"), F.desc("gram"))
-    kept = classes.withColumn("rank", F.row_number().over(by)).filter("rank >= share").drop("rank", "total", "group", "share")
-    return materialize(kept, "long")
+    kept = materialize(classes.withColumn("rank", F.row_number().over(by)).filter("rank >= share").select("gram", "fp", "n"), "kept")
+    several = kept.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1").select("gram")
+    lists = materialize(kept.join(several, "gram", "left_semi"), "long")
+    discard(kept)
+    return lists
+
+
+_CLASS = ("fp", "n", *_BITS)
 
 
 def _side(names: Iterable[str], suffix: str) -> list[Column]:
     return [F.col(c).alias(f"{c}{suffix}") for c in names]
 
 
-_CLASS = ("fp", "n", *_BITS)
+def _fits(percent: int) -> str:
+    """SQL: sizes of the two sides allow the similarity."""
+    return f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
 
 
 def _can_link(percent: int) -> str:
     """SQL: sizes and parity bits of the two sides allow the similarity."""
     apart = " + ".join(f"bit_count({w}a ^ {w}b)" for w in _BITS)
-    return f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND {100 + percent} * ((na + nb - ({apart})) div 2) >= {percent} * (na + nb)"
+    return f"{_fits(percent)} AND {100 + percent} * ((na + nb - ({apart})) div 2) >= {percent} * (na + nb)"
 
 
-def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb), a < b, of the pairs of two classes that can be linked."""
-    kept = pairs.filter("fpa <> fpb").filter(_can_link(percent))
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """(a, b, na, nb), a < b, of pairs (fpa, fpb, na, nb), each once."""
     swap = F.col("fpa") > F.col("fpb")
-    return kept.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name) for x, y, name in (("fpa", "fpb", "a"), ("fpb", "fpa", "b"), ("na", "nb", "na"), ("nb", "na", "nb")))).distinct()
+    return pairs.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name) for x, y, name in (("fpa", "fpb", "a"), ("fpb", "fpa", "b"), ("na", "nb", "na"), ("nb", "na", "nb")))).distinct()
 
 
 def _short_pairs(found: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
     pairs = found.filter(f"kind = {_PAIR}").select("chunk", "at", "chunk2", "at2").distinct()
     one = owners.select("chunk", "at", *_side(_CLASS, "a"))
     two = owners.select(F.col("chunk").alias("chunk2"), F.col("at").alias("at2"), *_side(_CLASS, "b"))
-    return _candidates(pairs.join(one, ["chunk", "at"]).join(two, ["chunk2", "at2"]), percent)
+    return _ordered(pairs.join(one, ["chunk", "at"]).join(two, ["chunk2", "at2"]).filter("fpa <> fpb").filter(_can_link(percent)))
 
 
-def _hub_pairs(open_lists: DataFrame, round_no: int, percent: int) -> DataFrame:
-    """Every class of a list with the list's hub of this round."""
-    hubs = open_lists.groupBy("gram").agg(F.min(F.struct(F.xxhash64(F.lit(round_no), "fp").alias("h"), *_CLASS, "label")).alias("hub"))
-    hub = hubs.select("gram", *(F.col(f"hub.{c}").alias(f"{c}b") for c in (*_CLASS, "label")))
-    return _candidates(open_lists.select("gram", *_side((*_CLASS, "label"), "a")).join(hub, "gram").filter("labela <> labelb"), percent)
+def _hub_pairs(open_lists: DataFrame, bits: DataFrame, round_no: int, percent: int) -> DataFrame:
+    """Every class of a list with the list's hub of this round, where they can
+    be linked."""
+    hubs = open_lists.groupBy("gram").agg(F.min(F.struct(F.xxhash64(F.lit(round_no), "fp").alias("h"), "fp", "n", "label")).alias("hub"))
+    hub = hubs.select("gram", *(F.col(f"hub.{c}").alias(f"{c}b") for c in ("fp", "n", "label")))
+    pairs = _ordered(open_lists.select("gram", *_side(("fp", "n", "label"), "a")).join(hub, "gram").filter("labela <> labelb").filter(_fits(percent)).select("fpa", "fpb", "na", "nb"))
+    one, two = bits.select(F.col("fp").alias("a"), *_side(_BITS, "a")), bits.select(F.col("fp").alias("b"), *_side(_BITS, "b"))
+    return pairs.join(one, "a").join(two, "b").filter(_can_link(percent)).select("a", "b", "na", "nb")
 
 
-def _cross_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
+#: Lists that a class names, so that a pair is passed on from one of them.
+NAMED_LISTS = 8
+
+
+def _cross_pairs(open_lists: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """All pairs of classes of different components in a list that can be
-    linked, found block by block."""
+    linked, found block by block.  A pair in many lists comes from the first
+    that both classes name (a class names its first NAMED_LISTS; pairs that
+    name none in common come from each)."""
     sizes = open_lists.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = open_lists.join(sizes, "gram").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    first = F.row_number().over(Window.partitionBy("fp").orderBy("gram"))
+    named = open_lists.withColumn("i", first).filter(f"i <= {NAMED_LISTS}").groupBy("fp").agg(F.array_sort(F.collect_list("gram")).alias("lists"))
+    described = bits.join(open_lists.select("fp").distinct(), "fp", "left_semi").join(named, "fp").select("fp", "lists", *_BITS)
+    rows = open_lists.join(sizes, "gram").join(described, "fp").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    copies = rows.withColumn("other", other).select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *_CLASS, "label")
+    copies = rows.withColumn("other", other).select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "label", "lists", *_CLASS)
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         block = table.column("block").to_numpy()
-        low, high = key[1].as_py(), key[2].as_py()
+        gram, low, high = (k.as_py() for k in key)
         n = table.column("n").to_numpy()
         bits = np.stack([table.column(w).to_numpy() for w in _BITS], axis=1).view(np.uint64)
+        lists = np.full((len(table), NAMED_LISTS), gram)
+        for at, names in enumerate(table.column("lists").to_pylist()):
+            lists[at, : len(names)] = names
         label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         order = right[np.argsort(n[right], kind="stable")]
         sizes = n[order]
         a, b = [], []
-        for at, i in enumerate(left):
+        for i in left:
             x = int(n[i])
             near = order[np.searchsorted(sizes, -(-percent * x // 100)) : np.searchsorted(sizes, 100 * x // percent, "right")]
             near = near[(label[near] != label[i]) & (near > i if low == high else True)]
@@ -386,15 +408,16 @@ def _cross_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
                 apart = np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1, dtype=np.int64)
                 both = x + n[near]
                 near = near[(100 + percent) * ((both - apart) // 2) >= percent * both]
+            if len(near):
+                same = (lists[near][:, :, None] == lists[i][None, None, :]).any(axis=2)
+                near = near[np.where(same, lists[near], gram).min(axis=1) == gram]
                 a.append(np.full(len(near), i))
                 b.append(near)
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         fp = table.column("fp").combine_chunks()
-        return pa.table({"x": fp.take(pa.array(a)), "y": fp.take(pa.array(b)), "nx": n[a], "ny": n[b]})
+        return pa.table({"fpa": fp.take(pa.array(a)), "fpb": fp.take(pa.array(b)), "na": n[a], "nb": n[b]})
 
-    found = copies.groupBy("gram", "i", "j").applyInArrow(compare, "x binary, y binary, nx long, ny long")
-    swap = F.col("x") > F.col("y")
-    return found.select(*(F.when(swap, F.col(q)).otherwise(F.col(p)).alias(name) for p, q, name in (("x", "y", "a"), ("y", "x", "b"), ("nx", "ny", "na"), ("ny", "nx", "nb")))).distinct()
+    return _ordered(copies.groupBy("gram", "i", "j").applyInArrow(compare, "fpa binary, fpb binary, na long, nb long"))
 
 
 # --- partial counts ---------------------------------------------------------
@@ -477,14 +500,17 @@ def _linked(docs: DataFrame, found: DataFrame, size: int, percent: int) -> DataF
     owners = materialize(_owners(found), "owners")
     short = materialize(_short_pairs(found, owners, percent), "pairs")
     lists = _long_lists(found, owners)
-    lists = lists.join(lists.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1").select("gram"), "gram", "left_semi")
-    names = materialize(short.select(F.col("a").alias("fp")).unionByName(short.select(F.col("b").alias("fp"))).unionByName(lists.select("fp")).distinct(), "names")
+    in_lists = lists.select("fp").distinct()
+    bits = materialize(owners.select(*_CLASS).join(in_lists, "fp", "left_semi").dropDuplicates(["fp"]).select("fp", *_BITS), "bits")
+    discard(owners)
+    names = materialize(short.select(F.col("a").alias("fp")).unionByName(short.select(F.col("b").alias("fp"))).unionByName(in_lists).distinct(), "names")
+    free_shuffles(docs.sparkSession)
     segments = _segments(docs, size, names)
     labels: DataFrame | None = None
     open_lists = lists.withColumn("label", F.col("fp"))
     round_no = 0
     while True:
-        candidates = _hub_pairs(open_lists, round_no, percent)
+        candidates = _hub_pairs(open_lists, bits, round_no, percent)
         links = _links(materialize(candidates.unionByName(short).distinct() if round_no == 0 else candidates, "pairs"), segments, percent)
         labels = _joined(labels, links)
         listed = lists.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("root", "fp")).drop("root")
@@ -496,7 +522,8 @@ def _linked(docs: DataFrame, found: DataFrame, size: int, percent: int) -> DataF
         if links.count() <= HUB_GAIN * left:
             break
         round_no += 1
-    return _joined(labels, _links(materialize(_cross_pairs(open_lists, percent), "pairs"), segments, percent))
+    free_shuffles(docs.sparkSession)
+    return _joined(labels, _links(materialize(_cross_pairs(open_lists, bits, percent), "pairs"), segments, percent))
 
 
 def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
