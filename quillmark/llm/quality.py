@@ -5,8 +5,8 @@ tables grow with it and are joined shard by shard with what the documents hold
 (``wordmodel``).  Words that no trusted text has are spelled by a character
 4-gram model over an alphabet of 32 symbols: a-z, and one symbol each for
 upper-case letters, other letters, digits, white space, sentence punctuation
-and everything else.  Its count tables have at most 32**4 rows whatever the
-corpus, so the finished speller (4 MB) can be sent to every task.
+and everything else.  It has 32**4 values whatever the corpus, so it is
+finished on the driver and the speller (4 MB) is sent to every task.
 
 Trusted documents are measured without what only they added to the tables.  A
 document's perplexity is drawn towards the mean of all by ``PRIOR`` imagined
@@ -16,7 +16,7 @@ above their language's quantile of trusted documents are rejected.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,68 +73,55 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes, first
 
 
-def _counts(texts: DataFrame) -> DataFrame:
-    """(gram, n) over all texts; each task sends a row for each n-gram it saw."""
+_RUN_BITS = 14
+
+
+def _counts(texts: DataFrame, pick: Callable | None) -> np.ndarray:
+    """How often every possible n-gram occurs; tasks send runs of counts."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(SYMBOLS**ORDER, np.int64)
-        for batch in batches:
-            for _, _, data, offsets in wordstream.text_slices(batch.column(0)):
+        for batch in batches if pick is None else pick(batches):
+            for _, _, data, offsets in wordstream.text_slices(batch.column(1)):
                 if len(data):
                     totals += np.bincount(_grams(data, offsets)[0], minlength=len(totals))
-        found = np.flatnonzero(totals)
-        for low in range(0, len(found), 50_000):
-            part = found[low : low + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(totals[part])], ["gram", "n"])
-
-    return texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        runs = totals.reshape(-1, 1 << _RUN_BITS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(runs))), pa.array([r.tobytes() for r in runs], pa.binary())], ["run", "n"])
 
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(data, np.int64) for data in table.column("n").to_pylist())
+        return pa.table({"run": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([total.tobytes()], pa.binary())})
 
-def _discounts(counts: DataFrame) -> list[float]:
-    """D1, D2 and D3+ of modified Kneser-Ney (Chen and Goodman, 1998)."""
-    n = counts.agg(*(F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5))).first()
-    if not n.n1 or not n.n2:
-        return [0.5, 0.5, 0.5]
-    y = n.n1 / (n.n1 + 2 * n.n2)
-    found = [1 - 2 * y * n.n2 / n.n1, 2 - 3 * y * n.n3 / n.n2, 3 - 4 * y * n.n4 / n.n3 if n.n3 else 2.0]
-    return [min(max(d, 0.05), i + 0.95) for i, d in enumerate(found)]
+    found = np.zeros((SYMBOLS**ORDER >> _RUN_BITS, 1 << _RUN_BITS), np.int64)
+    for row in texts.mapInArrow(count, "run long, n binary").groupBy("run").applyInArrow(add, "run long, n binary").toLocalIterator():
+        found[row.run] = np.frombuffer(row.n, np.int64)
+    return found.ravel()
 
 
-def train(texts: DataFrame) -> np.ndarray:
+def _speller(counts: np.ndarray) -> np.ndarray:
     """Log probability of the last symbol of every possible n-gram given those
-    before it, from a table of one text column."""
-    spark = texts.sparkSession
-    tables = {ORDER: materialize(_counts(texts), "counts")}
+    before it: interpolated modified Kneser-Ney on arrays of a fixed size."""
+    tables = {ORDER: counts}
     for order in range(ORDER - 1, 0, -1):  # in how many contexts a shorter n-gram continues one
-        suffix = F.col("gram").bitwiseAND((1 << (SYMBOL_BITS * order)) - 1)
-        tables[order] = tables[order + 1].groupBy(suffix.alias("gram")).agg(F.count("*").alias("n"))
-    lower: DataFrame | None = None
+        tables[order] = (tables[order + 1].reshape(SYMBOLS, -1) > 0).sum(axis=0)
+    lower = np.ones(1)
+    below_of_first = 1.0 / SYMBOLS
     for order in range(1, ORDER + 1):
-        counts = tables[order]
-        d1, d2, d3 = _discounts(counts)
-        discount: Column = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        contexts = counts.groupBy(F.shiftright("gram", SYMBOL_BITS).alias("context")).agg(F.sum("n").alias("total"), F.sum(discount).alias("held"))
-        every = spark.range(SYMBOLS**order).select(F.col("id").alias("gram"), F.shiftright("id", SYMBOL_BITS).alias("context"))
-        joined = every.join(counts.select("gram", "n", discount.alias("d")), "gram", "left").join(contexts, "context", "left")
-        if lower is None:
-            joined = joined.withColumn("below", F.lit(1.0 / SYMBOLS))
-        else:
-            joined = joined.withColumn("suffix", F.col("gram").bitwiseAND((1 << (SYMBOL_BITS * (order - 1))) - 1)).join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
-        p = F.when(F.col("total").isNull(), F.col("below")).otherwise((F.coalesce(F.col("n") - F.col("d"), F.lit(0.0)) + F.col("held") * F.col("below")) / F.col("total"))
-        lower = materialize(joined.select("gram", p.alias("p")), f"order{order}")
-    # SYMBOLS ** ORDER values reach the driver as packed runs, not as rows
-    run_bits = 14
-
-    def packed(key: tuple, table: pa.Table) -> pa.Table:
-        values = np.zeros(1 << run_bits, "<f4")
-        values[table.column("gram").to_numpy() & ((1 << run_bits) - 1)] = table.column("p").to_numpy()
-        return pa.table({"run": pa.array([key[0].as_py()], pa.int64()), "p": pa.array([values.tobytes()], pa.binary())})
-
-    model = np.zeros(SYMBOLS**ORDER, np.float32)
-    runs = lower.select(F.shiftright("gram", run_bits).alias("run"), "gram", F.log("p").cast("float").alias("p")).groupBy("run").applyInArrow(packed, "run long, p binary")
-    for row in runs.toLocalIterator():
-        model[row.run << run_bits : (row.run + 1) << run_bits] = np.frombuffer(row.p, "<f4")
-    return model
+        n = tables[order]
+        discount = np.array([0.0, *wordmodel.discounts(*(int((n == i).sum()) for i in range(1, 5)))])[np.minimum(n, 3)]
+        by_context = n.reshape(-1, SYMBOLS)
+        total = by_context.sum(axis=1, keepdims=True)
+        held = discount.reshape(-1, SYMBOLS).sum(axis=1, keepdims=True)
+        below = np.tile(lower, SYMBOLS).reshape(-1, SYMBOLS) if order > 1 else np.full((1, SYMBOLS), below_of_first)
+        counted = by_context - discount.reshape(-1, SYMBOLS) + held * below
+        lower = np.where(total == 0, below, counted / np.maximum(total, 1)).ravel()
+    return np.log(lower).astype(np.float32)
+
+
+def train(texts: DataFrame, pick: Callable | None = None) -> np.ndarray:
+    """The character model of a table (key, text); ``pick``, if given, leaves
+    of the batches of texts what is to be counted."""
+    return _speller(_counts(texts, pick))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -155,61 +142,91 @@ def speller(model: np.ndarray, spark):
     return lambda: spell
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, prior: int = PRIOR) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with columns ``_symbols``, ``_perplexity``, ``_limit`` and
-    ``_keep``; and the thresholds by language.
+#: Trusted ids that go to every task (32 MB); more are joined.
+MOST_IDS = 4_000_000
 
-    A language's limit is the ``quantile`` of its trusted documents'
-    perplexity times ``margin``; languages with few trusted documents, null
-    among them, take that of all.  Null and empty texts have the mean
-    perplexity and are kept; without any trusted text everything is kept.
-    """
+
+def _trusted_texts(typed: DataFrame, trusted: DataFrame, most_ids: int) -> tuple[DataFrame, Callable | None]:
+    """Table (doc_id, text) and a filter of its batches that together hold the
+    trusted texts: a bounded number of ids goes to where the texts are, more
+    are joined, for which the texts are dealt out once."""
+    texts = typed.filter("text <> ''").select("doc_id", "text")
+    if trusted.limit(most_ids + 1).count() > most_ids:
+        return materialize(texts.join(trusted.hint("shuffle_hash"), "doc_id", "left_semi").select(F.col("doc_id"), "text"), "trusted"), None
+    ids = trusted.select(F.col("doc_id").cast("long")).toPandas()["doc_id"].to_numpy(np.int64)
+    shared = typed.sparkSession.sparkContext.broadcast(np.sort(ids))
+
+    def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            if len(known):
+                asked = batch.column(0).to_numpy(zero_copy_only=False)
+                kept = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked
+                yield batch.filter(pa.array(kept))
+
+    return texts.filter("doc_id IS NOT NULL"), pick
+
+
+def _judged(docs: DataFrame, labels: DataFrame, quantile: float, margin: float, prior: int, most_ids: int) -> tuple[DataFrame, Column, DataFrame]:
+    """(key, lang, symbols, perplexity, limit, keep) of every distinct text and
+    language, the key of a row of ``docs``, and the thresholds by language."""
     spark = docs.sparkSession
     key = F.xxhash64(F.col("text").cast("string"))
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     asked = typed.filter("text <> ''").select(key.alias("key"), "text")
-    trusted = trusted_ids(labels)
-    # a hash join in every case: the texts are dealt out once and never sorted
-    good = materialize(typed.filter("text <> ''").select("doc_id", "text").join(trusted.hint("shuffle_hash"), "doc_id", "left_semi").select(F.lit(0).cast("long").alias("key"), "text"), "trusted")
+    trusted = materialize(trusted_ids(labels).select(F.col("doc_id").cast("long").alias("doc_id")), "ids")
+    good, pick = _trusted_texts(typed, trusted, most_ids)
     free_shuffles(spark)
-    spell = speller(train(good.select("text")), spark)
-    model = wordmodel.train(good, wordmodel.shard_count(asked))
-    discard(good)
+    spell = speller(train(good, pick), spark)
+    model = wordmodel.train(good, wordmodel.shard_count(asked), pick)
+    if pick is None:
+        discard(good)
     losses = wordmodel.losses(asked, model, spell)
     names = typed.select("doc_id", "lang", key.alias("key"))
-    scores = materialize(names.join(trusted.hint("shuffle_hash"), "doc_id", "left_semi").join(losses.hint("shuffle_hash"), "key", "left").select("lang", F.coalesce("words", F.lit(0)).alias("symbols"), F.coalesce("unseen", F.lit(0.0)).alias("loss")), "scores")
+    # a text is judged alike wherever it stands, so what is trusted is known by its key
+    own = names.join(trusted, "doc_id", "left_semi").select("key", "lang")
+    scores = materialize(own.join(losses, "key", "left").select("lang", F.coalesce("words", F.lit(0)).alias("symbols"), F.coalesce("unseen", F.lit(0.0)).alias("loss")), "scores")
     mean = scores.agg(F.try_divide(F.sum("loss"), F.sum("symbols")).alias("m")).first().m or 0.0
 
     def perplexity(symbols: Column, loss: Column) -> Column:
         return F.exp((loss + prior * mean) / (symbols + prior))
 
-    ppl = perplexity(F.col("symbols"), F.col("loss"))
-    limit = F.percentile_approx(ppl, F.lit(quantile), F.lit(10_000)) * margin
+    limit = F.percentile_approx(perplexity(F.col("symbols"), F.col("loss")), F.lit(quantile), F.lit(10_000)) * margin
     of_all = scores.agg(limit.alias("limit")).first().limit
-    limits = materialize(scores.groupBy("lang").agg(F.count("*").alias("n"), limit.alias("limit")).filter(f"n >= {LEAST_TRUSTED} AND lang IS NOT NULL").select(F.col("lang").alias("_lang"), F.col("limit").alias("_own")), "limits")
-    # a text is judged alike wherever it stands, so what is trusted is known by its key
-    own = names.join(trusted.hint("shuffle_hash"), "doc_id", "left_semi").select(F.col("key").alias("_key")).distinct().withColumn("_trusted", F.lit(True))
-    judged = losses.withColumnRenamed("key", "_key").join(own.hint("shuffle_hash"), "_key", "left").select("_key", F.col("words").alias("_words"), F.when(F.col("_trusted"), F.col("unseen")).otherwise(F.col("loss")).alias("_loss"))
-    joined = docs.withColumn("_key", key).join(judged.hint("shuffle_hash"), "_key", "left")
-    loss = F.coalesce("_loss", F.lit(0.0))
-    scored = joined.withColumn("_symbols", F.coalesce("_words", F.lit(0)).cast("long")).withColumn("_perplexity", perplexity(F.col("_symbols"), loss))
-    if limits.count() <= 4096:  # else a shuffled join
-        limits = F.broadcast(limits)
-    joined = scored.join(limits, F.col("lang").cast("string") == F.col("_lang"), "left").withColumn("_limit", F.coalesce("_own", F.lit(of_all)))
-    return joined.withColumn("_keep", F.coalesce(F.col("_perplexity") <= F.col("_limit"), F.lit(True))).drop("_key", "_words", "_loss", "_lang", "_own"), limits
-
-
-def quality(docs: DataFrame, labels: DataFrame, **options: float) -> DataFrame:
+    limits = materialize(scores.groupBy("lang").agg(F.count("*").alias("n"), limit.alias("limit")).filter(f"n >= {LEAST_TRUSTED} AND lang IS NOT NULL").select("lang", F.col("limit").alias("own")), "limits")
+    marks = own.select("key").distinct().withColumn("trusted", F.lit(True))
+    each = names.select("key", "lang").distinct().join(losses, "key", "left").join(marks, "key", "left").join(limits, "lang", "left")
+    symbols = F.coalesce("words", F.lit(0)).cast("long")
+    loss = F.coalesce(F.when(F.col("trusted"), F.col("unseen")).otherwise(F.col("loss")), F.lit(0.0))
+    scored = each.select("key", "lang", symbols.alias("symbols"), perplexity(symbols, loss).alias("perplexity"), F.coalesce("own", F.lit(of_all)).alias("limit"))
+    return materialize(scored.withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(True))), "judged"), key, limits
+
+
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, prior: int = PRIOR, most_ids: int = MOST_IDS) -> DataFrame:
     """One row per document: doc_id, lang, symbols, perplexity, limit, keep.
 
+    A language's limit is the ``quantile`` of its trusted documents'
+    perplexity times ``margin``; languages with few trusted documents, null
+    among them, take that of all.  Null and empty texts have the mean
+    perplexity and are kept; without any trusted text everything is kept.
     Rows without id and repeated rows are rows like any other; other columns
     are ignored; an empty table gives no rows.
     """
-    found, _ = classify(docs.select("doc_id", "text", "lang"), labels, **options)
-    return found.select("doc_id", "lang", F.col("_symbols").alias("symbols"), F.col("_perplexity").alias("perplexity"), F.col("_limit").alias("limit"), F.col("_keep").alias("keep"))
+    judged, key, _ = _judged(docs, labels, quantile, margin, prior, most_ids)
+    rows = docs.select("doc_id", F.col("lang").alias("_lang"), key.alias("_key"))
+    found = rows.join(judged, F.col("_key").eqNullSafe(F.col("key")) & F.col("_lang").cast("string").eqNullSafe(F.col("lang")), "left")
+    return found.select("doc_id", F.col("_lang").alias("lang"), "symbols", "perplexity", "limit", "keep")
+
 
+def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, prior: int = PRIOR, most_ids: int = MOST_IDS) -> DataFrame:
+    """The documents that the classifier keeps, with their own columns.
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options: float) -> DataFrame:
-    """The documents that the classifier keeps, with their own columns."""
-    found, _ = classify(docs, labels, **options)
-    return found.filter("_keep").select(*docs.columns)
+    Rows with null or empty texts, without id or language stay like any other
+    that isn't rejected, repeated rows all go or all stay, other columns are
+    untouched, and an empty table stays empty.
+    """
+    judged, key, _ = _judged(docs, labels, quantile, margin, prior, most_ids)
+    rejected = materialize(judged.filter("NOT keep").select(F.col("key").alias("_key"), F.col("lang").alias("_lang")), "rejected")
+    discard(judged)
+    same = (key == F.col("_key")) & F.col("lang").cast("string").eqNullSafe(F.col("_lang"))
+    return docs.join(rejected, same, "left_anti")

@@ -12,6 +12,10 @@ log p(w|v) - log gamma(v) - log p(w).  So texts are scored by one count join
 for each order, in which tasks send what their texts hold as packed postings
 and get sums by text back; the texts themselves are not sent.
 
+Three things of a fixed greatest size spare most of what would be sent: the
+HEAD most frequent n-grams of either order go to every task, and a bit filter
+of the others tells what was surely never counted.
+
 Every sum comes twice: as it is, and with what only the text itself can have
 added (as many counts as the text has) taken as unseen, which is what a
 trusted text is worth to a model that was not trained on it.
@@ -33,8 +37,12 @@ from quillmark.llm.common import discard, free_shuffles, materialize
 
 #: Bits kept of hashes; bytes of text packed together and to a shard.
 HASH_BITS = 48
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 SHARD_BYTES = 48 << 20
+#: Most n-grams of an order that go to every task (16 bytes each), and most
+#: bits of the filter of the others (16 MB).
+HEAD = 1 << 20
+FILTER_BITS = 27
 
 _EDGE = np.uint64(1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -43,8 +51,8 @@ _PAIRS = pa.schema([("shard", pa.int32()), ("v", pa.binary()), ("w", pa.binary()
 _PAIRS_SQL = "shard int, v binary, w binary, n binary"
 _MODEL = pa.schema([("shard", pa.int32()), ("gram", pa.binary()), ("weight", pa.binary()), ("n", pa.binary())])
 _MODEL_SQL = "shard int, gram binary, weight binary, n binary"
-_ASKED = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("words", pa.binary()), ("gram", pa.binary()), ("size", pa.binary()), ("doc", pa.binary()), ("n", pa.binary()), ("spelled", pa.binary())])
-_ASKED_SQL = "shard int, chunk long, keys binary, words binary, gram binary, size binary, doc binary, n binary, spelled binary"
+_ASKED = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("words", pa.binary()), ("gram", pa.binary()), ("size", pa.binary()), ("doc", pa.binary()), ("n", pa.binary()), ("spelled", pa.binary()), ("loss", pa.binary()), ("unseen", pa.binary())])
+_ASKED_SQL = "shard int, chunk long, keys binary, words binary, gram binary, size binary, doc binary, n binary, spelled binary, loss binary, unseen binary"
 _SUMS = pa.schema([("chunk", pa.int64()), ("keys", pa.binary()), ("words", pa.binary()), ("loss", pa.binary()), ("unseen", pa.binary())])
 _SUMS_SQL = "chunk long, keys binary, words binary, loss binary, unseen binary"
 
@@ -87,6 +95,25 @@ def _word_bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.flatnonzero(heads), np.flatnonzero(tails) + 1
 
 
+class Known:
+    """The most frequent n-grams of an order, sorted, and the filter of all."""
+
+    def __init__(self, gram: np.ndarray, weight: np.ndarray, n: np.ndarray, marks: np.ndarray, bits: int) -> None:
+        self.gram, self.weight, self.n, self.marks, self.bits = gram, weight, n, marks, bits
+
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the head, and whether it is there."""
+        if not len(self.gram):
+            return np.zeros(len(grams), np.int64), np.zeros(len(grams), bool)
+        at = np.minimum(np.searchsorted(self.gram, grams), len(self.gram) - 1)
+        return at, self.gram[at] == grams
+
+    def maybe(self, grams: np.ndarray) -> np.ndarray:
+        """False only for n-grams that no trusted text has."""
+        place = grams >> np.uint64(HASH_BITS - self.bits)
+        return self.marks[place >> np.uint64(3)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
 class _Chunk:
     """Words of many texts, one edge mark (hash 1) before each text's."""
 
@@ -94,21 +121,28 @@ class _Chunk:
         self.bytes, self.texts = 0, 0
         self.v, self.w, self.doc, self.lengths, self.keys, self.spelled = [], [], [], [], [], []
 
-    def add(self, keys: np.ndarray, data: np.ndarray, offsets: np.ndarray, spell: Callable | None) -> None:
+    def add(self, keys: np.ndarray, data: np.ndarray, offsets: np.ndarray, spell: Callable | None, known: Known | None) -> None:
         words, first = wordstream.words(data, offsets, wordstream.SPACE_WORDS)
+        words >>= _SHIFT
         lengths = np.diff(first)
-        seq = np.insert(words >> _SHIFT, first[:-1], _EDGE) if len(lengths) else words
+        seq = np.insert(words, first[:-1], _EDGE) if len(lengths) else words
         after = np.append(seq[1:], _EDGE) if len(seq) else seq  # the mark before a text ends the one before it
-        doc = np.repeat(np.arange(self.texts, self.texts + len(lengths), dtype=np.int64), lengths + 1)
+        doc = np.repeat(np.arange(self.texts, self.texts + len(lengths), dtype=np.uint32), lengths + 1)
         if spell is not None:
             logs = np.zeros(len(seq), np.float32)
             if len(words):
-                unlike, at, back = np.unique(words, return_index=True, return_inverse=True)
+                unlike, at, back, count = np.unique(words, return_index=True, return_inverse=True, return_counts=True)
+                place, there = known.find(unlike)
+                there[there] = known.n[place[there]] > count[there]  # never worth less than counted: needs no spelling
+                wanted = np.flatnonzero(~there)
                 start, end = _word_bytes(data, offsets)
-                size = (end - start)[at]
+                size = (end - start)[at[wanted]]
                 inner = np.concatenate([[0], np.cumsum(size)])
-                letters = data[np.arange(inner[-1]) + np.repeat(start[at] - inner[:-1], size)]
-                logs[~np.insert(np.zeros(len(words), bool), first[:-1], True)] = spell(letters, inner)[back]
+                letters = data[np.arange(inner[-1]) + np.repeat(start[at[wanted]] - inner[:-1], size)]
+                each = np.zeros(len(unlike), np.float32)
+                if len(letters):
+                    each[wanted] = spell(letters, inner)
+                logs[~np.insert(np.zeros(len(words), bool), first[:-1], True)] = each[back]
             self.spelled.append(logs)
         self.v.append(seq)
         self.w.append(after)
@@ -119,13 +153,13 @@ class _Chunk:
         self.bytes += len(data)
 
 
-def _chunks(batches: Iterable[pa.RecordBatch], spell: Callable | None = None) -> Iterator[_Chunk]:
+def _chunks(batches: Iterable[pa.RecordBatch], spell: Callable | None = None, known: Known | None = None) -> Iterator[_Chunk]:
     """Chunks of (key, text) batches."""
     chunk = _Chunk()
     for batch in batches:
         keys = batch.column(0).to_numpy()
         for low, high, data, offsets in wordstream.text_slices(batch.column(1)):
-            chunk.add(keys[low:high], data, offsets, spell)
+            chunk.add(keys[low:high], data, offsets, spell, known)
             if chunk.bytes >= CHUNK_BYTES:
                 yield chunk
                 chunk = _Chunk()
@@ -137,12 +171,12 @@ def shard_count(texts: DataFrame) -> int:
     return max(6, math.ceil((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / SHARD_BYTES))
 
 
-def _pairs(texts: DataFrame, shards: int) -> DataFrame:
-    """Counted bigrams of a table (key, text): one row for each shard of first
-    words, sorted by both words."""
+def _pairs(texts: DataFrame, shards: int, pick: Callable | None) -> DataFrame:
+    """Counted bigrams of a table (key, text), of the batches that ``pick``
+    leaves: one row for each shard of first words, sorted by both words."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches):
+        for chunk in _chunks(batches if pick is None else pick(batches)):
             v, w, n = _distinct(np.concatenate(chunk.v), np.concatenate(chunk.w), None)
             cuts = np.searchsorted(_shards_of(v, shards), np.arange(shards + 1))
             rows = [{"shard": s, "v": _steps(v[a:b]), "w": _planes(w[a:b]), "n": _planes(n[a:b].astype("<u4"))} for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
@@ -178,16 +212,81 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 
 
 class Model:
-    """words (gram, weight, n) and bigrams as packed rows (``_MODEL``)."""
+    """By order: packed rows of all n-grams (``_MODEL``), and what goes to
+    every task (a broadcast ``Known``)."""
+
+    def __init__(self, shards: int, unseen: float) -> None:
+        self.tables: dict[int, DataFrame] = {}
+        self.known: dict[int, object] = {}
+        self.shards, self.unseen = shards, unseen
+
 
-    def __init__(self, words: DataFrame, bigrams: DataFrame, shards: int, unseen: float) -> None:
-        self.tables, self.shards, self.unseen = {1: words, 2: bigrams}, shards, unseen
+def _read_model(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _summed(row["gram"]), _values(row["weight"], "<f4"), _values(row["n"], "<u4")
 
 
-def train(texts: DataFrame, shards: int) -> Model:
-    """Model of a table (key, text), in tables of ``shards`` shards."""
+_STEPS = 8
+
+
+def _level(n: np.ndarray) -> np.ndarray:
+    return (np.log2(np.maximum(n, 1)) * _STEPS).astype(np.int64)
+
+
+def _known(table: DataFrame, head: int) -> Known:
+    """The n-grams of the highest counts, as many whole levels of counts as
+    fit into ``head``; and the filter of all."""
+
+    def levels(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(32 * _STEPS + 1, np.int64)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                found += np.bincount(_level(_values(data, "<u4")), minlength=len(found))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(found)], ["level", "k"])
+
+    counts = np.zeros(32 * _STEPS + 1, np.int64)
+    for row in table.select("n").mapInArrow(levels, "level long, k long").groupBy("level").agg(F.sum("k").alias("k")).collect():
+        counts[row.level] = row.k
+    fits = np.flatnonzero(np.cumsum(counts[::-1])[::-1] <= head)
+    least = int(fits[0]) if len(fits) else len(counts)
+    bits = min(FILTER_BITS, max(16, math.ceil(math.log2(8 * max(1, int(counts.sum()))))))
+
+    def top(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                gram, weight, n = _read_model(row)
+                there = _level(n) >= least
+                yield pa.RecordBatch.from_arrays([pa.array([x[there].tobytes()], pa.binary()) for x in (gram, weight, n)], ["gram", "weight", "n"])
+
+    def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = np.unique(_summed(row["gram"]) >> np.uint64(HASH_BITS - bits))
+                yield pa.RecordBatch.from_arrays([pa.array([row["shard"]], pa.int32()), pa.array([_steps(found)], pa.binary())], ["shard", "places"])
+
+    def marks(key: tuple, table: pa.Table) -> pa.Table:
+        found = np.concatenate([_summed(data) for data in table.column("places").to_pylist()]).astype(np.int64)
+        first = int(found.min()) // 8 * 8
+        flags = np.zeros(int(found.max()) - first + 1, bool)
+        flags[found - first] = True
+        return pa.table({"first": pa.array([first // 8], pa.int64()), "marks": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+
+    parts: tuple[list, list, list] = ([], [], [])
+    for row in table.select("gram", "weight", "n").mapInArrow(top, "gram binary, weight binary, n binary").toLocalIterator():
+        for held, data, kind in zip(parts, row, ("<u8", "<f4", "<u4"), strict=True):
+            held.append(np.frombuffer(data, kind))
+    gram, weight, n = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in zip(parts, ("<u8", "<f4", "<u4"), strict=True))
+    by = np.argsort(gram)
+    whole = np.zeros((1 << bits) // 8, np.uint8)
+    for row in table.select("shard", "gram").mapInArrow(places, "shard int, places binary").groupBy("shard").applyInArrow(marks, "first long, marks binary").toLocalIterator():
+        whole[row.first : row.first + len(row.marks)] |= np.frombuffer(row.marks, np.uint8)
+    return Known(gram[by], weight[by], n[by], whole, bits)
+
+
+def train(texts: DataFrame, shards: int, pick: Callable | None = None, head: int = HEAD) -> Model:
+    """Model of a table (key, text), in tables of ``shards`` shards.  ``pick``,
+    if given, leaves of the batches of texts what is to be counted."""
     spark = texts.sparkSession
-    pairs = materialize(_pairs(texts, shards), "pairs")
+    pairs = materialize(_pairs(texts, shards, pick), "pairs")
     free_shuffles(spark)
 
     def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,75 +313,114 @@ def train(texts: DataFrame, shards: int) -> Model:
                     for low in range(0, len(columns[0]), 50_000):
                         yield pa.RecordBatch.from_arrays([pa.array(x[low : low + 50_000]) for x in columns], ["word", "c", "n", "gamma"])
 
-    words = materialize(pairs.mapInArrow(contexts, "word long, c long, n long, gamma double").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.sum("gamma").alias("gamma")), "words")
-    total = words.agg(F.sum("c").alias("total"), *(F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, 5))).first()
+    counted = materialize(pairs.mapInArrow(contexts, "word long, c long, n long, gamma double").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.sum("gamma").alias("gamma")), "words")
+    total = counted.agg(F.sum("c").alias("total"), *(F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, 5))).first()
     d1, d2, d3 = discounts(total.n1, total.n2, total.n3, total.n4)
     less = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-    held = words.agg(F.sum(less)).first()[0] or 0.0
-    words = words.select("word", "n", "gamma", ((F.col("c") - less) / F.lit(total.total or 1)).alias("p"))
-
-    def bigrams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(gram, word, n, r): r is the counted share over what is held back."""
+    held = counted.agg(F.sum(less)).first()[0] or 0.0
+    words = counted.select("word", "n", "gamma", ((F.col("c") - less) / F.lit(total.total or 1)).alias("p"))
+
+    def ratios(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each bigram: the hash, the second word, the count, and the counted
+        share over what is held back."""
+        v, w, n = _read_pairs(row)
+        at = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
+        less = d[np.minimum(n, 3) - 1]
+        r = (n - less) / np.repeat(np.add.reduceat(less, at), np.diff(np.append(at, len(v)))) if len(v) else less
+        return _bigram(v, w), w, n, r
+
+    def common(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Finished bigrams whose second word is in the head."""
+        probable = shared.value
         for batch in batches:
             for row in batch.to_pylist():
-                v, w, n = _read_pairs(row)
-                if len(v):
-                    at = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-                    less = d[np.minimum(n, 3) - 1]
-                    r = (n - less) / np.repeat(np.add.reduceat(less, at), np.diff(np.append(at, len(v))))
-                    columns = [_bigram(v, w).astype(np.int64), w.astype(np.int64), n, r]
-                    for low in range(0, len(w), 50_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(x[low : low + 50_000]) for x in columns], ["gram", "word", "n", "r"])
+                gram, w, n, r = ratios(row)
+                at, there = probable.find(w)
+                if there.any():
+                    gram, n, weight = gram[there], n[there], np.log1p(r[there] / probable.weight[at[there]])
+                    yield pack(gram, weight.astype("<f4"), np.minimum(n, (1 << 32) - 1).astype("<u4"))
+
+    def others(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(gram, word, n, r) of the other bigrams."""
+        probable = shared.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                gram, w, n, r = ratios(row)
+                left = ~probable.find(w)[1]
+                columns = [gram[left].astype(np.int64), w[left].astype(np.int64), n[left], r[left]]
+                for low in range(0, len(columns[0]), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[low : low + 50_000]) for x in columns], ["gram", "word", "n", "r"])
+
+    def pack(gram: np.ndarray, weight: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(gram)
+        gram, weight, n = gram[order], weight[order], n[order]
+        cuts = np.searchsorted(_shards_of(gram, shards), np.arange(shards + 1))
+        return pa.RecordBatch.from_pylist([{"shard": s, "gram": _steps(gram[a:b]), "weight": _planes(weight[a:b]), "n": _planes(n[a:b])} for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a], schema=_MODEL)
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
-
-        def flush() -> pa.RecordBatch:
-            gram, weight, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(gram)
-            gram, weight, n = gram[order], weight[order], n[order]
-            cuts = np.searchsorted(_shards_of(gram, shards), np.arange(shards + 1))
-            return pa.RecordBatch.from_pylist([{"shard": s, "gram": _steps(gram[a:b]), "weight": _planes(weight[a:b]), "n": _planes(n[a:b])} for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a], schema=_MODEL)
-
         for batch in batches:
             held.append((batch.column(0).to_numpy().astype(np.uint64), batch.column(1).to_numpy().astype("<f4"), np.minimum(batch.column(2).to_numpy(), (1 << 32) - 1).astype("<u4")))
-            if sum(len(x[0]) for x in held) >= 2_000_000:
-                yield flush()
+            if sum(len(x[0]) for x in held) >= 1_000_000:
+                yield pack(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 held = []
         if held:
-            yield flush()
-
-    one = words.select(F.col("word").alias("gram"), (F.log("p") + F.log("gamma")).alias("weight"), "n").mapInArrow(packed, _MODEL_SQL)
-    two = pairs.mapInArrow(bigrams, "gram long, word long, n long, r double").join(words.select("word", "p"), "word").select("gram", F.log1p(F.col("r") / F.col("p")).alias("weight"), "n").mapInArrow(packed, _MODEL_SQL)
-    model = Model(materialize(one, "model1"), materialize(two, "model2"), shards, math.log(held / total.total) if total.total and held else 0.0)
-    discard(pairs)
+            yield pack(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    model = Model(shards, math.log(held / total.total) if total.total and held else 0.0)
+    model.tables[1] = materialize(words.select(F.col("word").alias("gram"), (F.log("p") + F.log("gamma")).alias("weight"), "n").mapInArrow(packed, _MODEL_SQL), "model1")
+    probable = materialize(words.select(F.col("word").alias("gram"), F.col("p").alias("weight"), "n").mapInArrow(packed, _MODEL_SQL), "words1")
+    shared = spark.sparkContext.broadcast(_known(probable, head))
+    joined = pairs.mapInArrow(others, "gram long, word long, n long, r double").join(words.select("word", "p"), "word").select("gram", F.log1p(F.col("r") / F.col("p")).alias("weight"), "n").mapInArrow(packed, _MODEL_SQL)
+    model.tables[2] = materialize(pairs.mapInArrow(common, _MODEL_SQL).unionByName(joined), "model2")
+    shared.unpersist()
+    for table in (pairs, probable, counted):
+        discard(table)
+    del joined, words
     free_shuffles(spark)
+    for order, table in model.tables.items():
+        model.known[order] = spark.sparkContext.broadcast(_known(table, head))
     return model
 
 
-def _asked(texts: DataFrame, order: int, shards: int, spell_of: Callable) -> DataFrame:
-    """What the texts hold, as postings by gram: rows of ``_ASKED``."""
+def _asked(texts: DataFrame, model: Model, order: int, spell_of: Callable) -> DataFrame:
+    """What the texts hold and the head doesn't, as postings by n-gram, and a
+    row for each chunk with the sums over what needs no asking: rows of
+    ``_ASKED``."""
+    shards, unseen, shared = model.shards, model.unseen, model.known[order]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         task = TaskContext.get().partitionId() << 32
-        for number, chunk in enumerate(_chunks(batches, spell_of() if order == 1 else None)):
+        for number, chunk in enumerate(_chunks(batches, spell_of() if order == 1 else None, known)):
             first, doc = np.concatenate(chunk.v), np.concatenate(chunk.doc)
             gram = first if order == 1 else _bigram(first, np.concatenate(chunk.w))
             by = np.argsort(gram, kind="stable")
             gram, doc = gram[by], doc[by]
             at = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])]))
             n = np.diff(np.append(at, len(gram))).astype("<u4")
-            spelled = np.concatenate(chunk.spelled)[by][at] if order == 1 else None
-            gram, doc = gram[at], doc[at].astype("<u4")
+            spelled = np.concatenate(chunk.spelled)[by][at] if order == 1 else np.zeros(len(at), np.float32)
+            gram, doc = gram[at], doc[at]
             heads = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-            size = np.diff(np.append(heads, len(gram))).astype("<u4")
-            gram, ends = gram[heads], np.append(heads, len(doc))
+            size = np.diff(np.append(heads, len(gram)))
+            unlike = gram[heads]
+            place, there = known.find(unlike)
+            ask = ~there
+            ask[ask] = known.maybe(unlike[ask])
+            else_ = unseen + spelled.astype(np.float64) if order == 1 else np.zeros(len(gram))
+            value = np.where(np.repeat(there, size), np.repeat(known.weight[place].astype(np.float64) if len(known.weight) else np.zeros(len(place)), size), else_)
+            other = np.where(np.repeat(np.where(there, known.n[place] if len(known.n) else 0, 0), size) > n, value, else_)
+            asked = np.repeat(ask, size)
+            value[asked] = other[asked] = 0.0
+            loss, alone = (-np.bincount(doc, x * n, chunk.texts) for x in (value, other))
+            rows = [{"shard": (task >> 32) % shards, "chunk": task | number, "keys": np.concatenate(chunk.keys).tobytes(), "words": np.concatenate(chunk.lengths).astype("<i8").tobytes(), "loss": loss.astype("<f8").tobytes(), "unseen": alone.astype("<f8").tobytes()}]
+            gram, size, doc, n, spelled = unlike[ask], size[ask].astype("<u4"), doc[asked].astype("<u4"), n[asked], spelled[heads][ask]
+            ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
             cuts = np.searchsorted(_shards_of(gram, shards), np.arange(shards + 1))
-            rows = [{"shard": (task >> 32) % shards, "chunk": task | number, "keys": np.concatenate(chunk.keys).tobytes(), "words": np.concatenate(chunk.lengths).astype("<i8").tobytes()}]
             for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if b > a:
                     part = slice(ends[a], ends[b])
-                    rows.append({"shard": s, "chunk": task | number, "words": np.int64(chunk.texts).tobytes(), "gram": _steps(gram[a:b]), "size": _planes(size[a:b]), "doc": _planes(doc[part]), "n": _planes(n[part]), "spelled": None if spelled is None else _planes(spelled[heads[a:b]].astype("<f4"))})
+                    rows.append({"shard": s, "chunk": task | number, "words": np.int64(chunk.texts).tobytes(), "gram": _steps(gram[a:b]), "size": _planes(size[a:b]), "doc": _planes(doc[part]), "n": _planes(n[part]), "spelled": _planes(spelled[a:b].astype("<f4")) if order == 1 else None})
             for row in rows:
                 yield pa.RecordBatch.from_pylist([row], schema=_ASKED)
 
@@ -294,14 +432,14 @@ def _sums(texts: DataFrame, model: Model, order: int, spell_of: Callable) -> Dat
     unseen = model.unseen
 
     def look_up(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = [(_summed(r["gram"]), _values(r["weight"], "<f4"), _values(r["n"], "<u4")) for r in left.to_pylist()]
+        parts = [_read_model(r) for r in left.to_pylist()]
         known, weight, count = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, "<f4"), np.zeros(0, "<u4"))
         by = np.argsort(known, kind="stable")
         known, weight, count = known[by], weight[by].astype(np.float64), count[by]
         out = []
         for r in right.to_pylist():
             if r["keys"] is not None:
-                out.append({"chunk": r["chunk"], "keys": r["keys"], "words": r["words"]})
+                out.append({c: r[c] for c in ("chunk", "keys", "words", "loss", "unseen")})
                 continue
             gram, size = _summed(r["gram"]), _values(r["size"], "<u4")
             doc, n = _values(r["doc"], "<u4"), _values(r["n"], "<u4")
@@ -322,11 +460,11 @@ def _sums(texts: DataFrame, model: Model, order: int, spell_of: Callable) -> Dat
         for r in sorted(table.to_pylist(), key=lambda r: r["loss"] or b""):  # one order of addition
             if r["keys"] is not None:
                 keys, words = np.frombuffer(r["keys"], "<i8"), np.frombuffer(r["words"], "<i8")
-            else:
+            if r["loss"] is not None:
                 loss, alone = loss + np.frombuffer(r["loss"], "<f8"), alone + np.frombuffer(r["unseen"], "<f8")
         return pa.table({"key": keys, "words": words, "loss": loss, "unseen": alone})
 
-    asked = _asked(texts, order, model.shards, spell_of)
+    asked = _asked(texts, model, order, spell_of)
     found = model.tables[order].groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(look_up, _SUMS_SQL)
     return found.groupBy("chunk").applyInArrow(gather, "key long, words long, loss double, unseen double")
 
@@ -334,12 +472,15 @@ def _sums(texts: DataFrame, model: Model, order: int, spell_of: Callable) -> Dat
 def losses(texts: DataFrame, model: Model, spell_of: Callable) -> DataFrame:
     """(key, words, loss, unseen) of each key of a table (key, text) in which
     equal keys have equal texts.  ``words`` counts the end of the text.
-    ``spell_of()`` gives a function of bytes and offsets to log probabilities."""
+    ``spell_of()`` gives a function of bytes and offsets to log probabilities.
+    The model's tables are used up."""
     spark = texts.sparkSession
     parts = []
     for order in model.tables:
         found = _sums(texts, model, order, spell_of).groupBy("key").agg(F.max("words").alias("words"), F.max("loss").alias("loss"), F.max("unseen").alias("unseen"))
         parts.append(materialize(found, f"sums{order}"))
+        discard(model.tables[order])
+        model.known[order].unpersist()
         del found
         free_shuffles(spark)
     both = parts[0].unionByName(parts[1])

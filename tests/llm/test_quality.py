@@ -58,7 +58,7 @@ def corpus():
 
 def test_model_equals_dictionaries(spark):
     texts = [t for _, t, _ in corpus()[:40]]
-    model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    model = quality.train(spark.createDataFrame([(0, t) for t in texts], "key long, text string"))
     p = kneser_ney(texts)
     assert np.exp(model.astype(float)).reshape(-1, 32).sum(axis=1) == pytest.approx(1, abs=1e-4)
     for text in ("the stan", "zq $", "A1. "):
@@ -77,7 +77,11 @@ def test_keeps_good_and_rejects_bad(spark):
     kept = [r for r in got if r.doc_id is None or r.doc_id < 1000 or r.doc_id in (2000, 2001)]
     assert sum(r.keep for r in kept) >= len(kept) - 2
     assert not any(r.keep for r in got if r.doc_id is not None and 1000 <= r.doc_id < 1010)
-    assert quality.keep_good(docs, labels).columns == docs.columns
+    kept_rows = quality.keep_good(docs, labels)
+    assert kept_rows.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept_rows.collect()) == sorted(str(r.doc_id) for r in got if r.keep)
+    joined = {(r.doc_id, r.symbols): r.perplexity for r in quality.quality(docs, labels, most_ids=3).collect()}
+    assert joined == pytest.approx({(r.doc_id, r.symbols): r.perplexity for r in got})
 
 
 def test_without_trusted_texts_or_rows(spark):

@@ -36,7 +36,8 @@ def brute(trusted, spelled):
     return lambda text: sum(math.log(p2(v, w)) for v, w in zip(["", *text.split()], [*text.split(), ""], strict=True))
 
 
-def test_losses_equal_dictionaries(spark):
+@pytest.mark.parametrize("head", [0, 6, 1000])
+def test_losses_equal_dictionaries(spark, head):
     rnd = random.Random(3)
     words = ["ab", "cd", "e", "fgh", "ijk.", "l", "mn"]
     trusted = [" ".join(rnd.choices(words, range(1, 8), k=rnd.choice([1, 4, 30]))) for _ in range(40)]
@@ -46,7 +47,7 @@ def test_losses_equal_dictionaries(spark):
     def spell(data, offsets):
         return -2.0 * np.diff(offsets)
 
-    model = wordmodel.train(texts, 5)
+    model = wordmodel.train(texts, 5, head=head)
     want = brute(trusted, lambda w: -2.0 * len(w))
     frame = spark.createDataFrame(list(enumerate(asked)), "key long, text string").repartition(2)
     got = {r.key: r for r in wordmodel.losses(frame, model, lambda: spell).collect()}
@@ -55,9 +56,10 @@ def test_losses_equal_dictionaries(spark):
         assert -got[i].loss == pytest.approx(want(text), rel=1e-5, abs=1e-4), text
 
 
-def test_own_counts_are_unseen(spark):
+@pytest.mark.parametrize("head", [0, 1000])
+def test_own_counts_are_unseen(spark, head):
     texts = spark.createDataFrame([(1, "a b a b"), (2, "c d"), (3, "c d")], "key long, text string")
-    got = {r.key: r for r in wordmodel.losses(texts, wordmodel.train(texts, 3), lambda: lambda data, offsets: -9.0 * np.diff(offsets)).collect()}
+    got = {r.key: r for r in wordmodel.losses(texts, wordmodel.train(texts, 3, head=head), lambda: lambda data, offsets: -9.0 * np.diff(offsets)).collect()}
     assert got[1].unseen > got[1].loss + 20  # only its own text has these words
     assert got[2].unseen == pytest.approx(got[2].loss)
 
