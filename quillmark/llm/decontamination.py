@@ -1,17 +1,20 @@
 """Benchmark decontamination on a distributed positional inverted index.
 
-``build_index`` stores the corpus as shards: one row per run of about 2 MB of
-text holds the document borders and, term by term, the sorted word positions
-(delta coded).  The index is a table in the shared folder, so searching
-reads it instead of the texts, and losing an executor loses nothing.
+``build_index`` stores the corpus as shards: one row per run of about 1 MB of
+text holds the document borders and, term by term, the sorted positions of
+all words (delta coded).  The index is a table in the shared folder, so any
+benchmark is looked for in it instead of the texts, and losing an executor
+loses nothing.
 ``search`` answers phrase and proximity queries shard by shard: the list of a
 window's rarest term (by counts over the whole corpus) gives the candidate
 starts, which are intersected with the offset-adjusted lists of the other
 terms in order of rarity.
 
 Sizes: a shard is bounded by its text run.  Benchmark items are handled in
-blocks of bounded bytes, so what reaches the driver and the executors at once
-does not grow with the benchmark or the corpus.
+blocks of bounded bytes (their windows are one array of words and places in
+it), so what reaches the driver and the executors at once does not grow with
+the benchmark or the corpus.  Words are compared by 64-bit hashes: a window of
+ten words is taken for another with a probability of 2**-64 for each word.
 """
 
 from __future__ import annotations
@@ -29,10 +32,10 @@ from quillmark.llm import wordstream
 from quillmark.llm.common import materialize
 
 WINDOW_WORDS = 10
-#: Benchmark text looked for at once, and the vocabulary up to which the index
-#: stores only the words the benchmark has (beyond it: all words).
-BLOCK_BYTES = 16 << 20
-MAX_VOCABULARY = 4 << 20
+#: Words from a window's rarest word within which all its words must lie.
+SLOP = 12
+#: Benchmark text looked for at once.
+BLOCK_BYTES = 4 << 20
 
 INDEX_SCHEMA = "shard string, doc_ids binary, id_nulls binary, doc_first binary, terms binary, counts binary, postings binary"
 PART_SCHEMA = "shard string, ordinal int, doc_id long, n_words long, n_hit long, hits binary, items array<string>, near array<string>"
@@ -48,14 +51,18 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int64)
 
 
-def _shard(ids: np.ndarray, nulls: np.ndarray, hashes: np.ndarray, first: np.ndarray, vocabulary: np.ndarray | None) -> dict:
-    positions = np.arange(len(hashes))
-    if vocabulary is not None:
-        at = np.searchsorted(vocabulary, hashes)
-        positions = np.flatnonzero(vocabulary[np.minimum(at, len(vocabulary) - 1)] == hashes) if len(vocabulary) else positions[:0]
+def _wide(values: np.ndarray) -> bytes:
+    """uint64 values as byte planes."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _terms(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def _shard(ids: np.ndarray, nulls: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> dict:
+    positions = np.argsort(hashes, kind="stable")
     own = hashes[positions]
-    order = np.argsort(own, kind="stable")
-    own, positions = own[order], positions[order]
     heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
     deltas = np.diff(positions, prepend=0)
     deltas[heads] = positions[heads]
@@ -63,18 +70,15 @@ def _shard(ids: np.ndarray, nulls: np.ndarray, hashes: np.ndarray, first: np.nda
         "doc_ids": ids.astype("<i8").tobytes(),
         "id_nulls": nulls.astype(np.uint8).tobytes(),
         "doc_first": _pack(first),
-        "terms": own[heads].astype("<u8").tobytes(),
+        "terms": _wide(np.diff(own[heads], prepend=np.uint64(0))),
         "counts": _pack(np.diff(np.append(heads, len(own)))),
         "postings": _pack(deltas),
     }
 
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
-    """Positional inverted index of ``docs`` (doc_id, text), materialised.
-
-    ``vocabulary``: sorted word hashes to store; None stores every word.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def build_index(docs: DataFrame) -> DataFrame:
+    """Positional inverted index of all words of ``docs`` (doc_id, text),
+    materialised."""
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.string()), *((n, pa.binary()) for n in ("doc_ids", "id_nulls", "doc_first", "terms", "counts", "postings"))])
@@ -84,7 +88,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFr
             ids = np.asarray(ids.fill_null(0))
             for start, end, data, offsets in wordstream.text_slices(batch.column(1)):
                 hashes, first = wordstream.words(data, offsets, wordstream.ALNUM_WORDS)
-                row = _shard(ids[start:end], nulls[start:end], hashes, first, shared.value)
+                row = _shard(ids[start:end], nulls[start:end], hashes, first)
                 yield pa.RecordBatch.from_pylist([{"shard": uuid.uuid4().hex} | row], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(index, INDEX_SCHEMA)
@@ -98,7 +102,7 @@ class _Shard:
         self.ids = np.frombuffer(row["doc_ids"], "<i8")
         self.nulls = np.frombuffer(row["id_nulls"], np.uint8).astype(bool)
         self.first = _unpack(row["doc_first"])
-        self.terms = np.frombuffer(row["terms"], "<u8")
+        self.terms = _terms(row["terms"])
         counts = _unpack(row["counts"])
         self.starts = np.concatenate([[0], np.cumsum(counts)])
         deltas = np.cumsum(_unpack(row["postings"]))
@@ -132,62 +136,86 @@ class _Shard:
 
 
 class Windows:
-    """Distinct benchmark windows, grouped by length, with their items."""
+    """Distinct benchmark windows by length: the words of all items in one
+    array, where each window begins in it, and the numbers of its items."""
 
     def __init__(self, items: list[tuple[str, np.ndarray]], width: int) -> None:
-        found: dict[tuple[int, ...], set[str]] = {}
-        for name, hashes in items:
-            size = min(width, len(hashes))
-            for i in range(len(hashes) - size + 1 if size else 0):
-                found.setdefault(tuple(hashes[i : i + size].tolist()), set()).add(name)
-        self.groups = []
-        for size in sorted({len(k) for k in found}):
-            keys = [k for k in found if len(k) == size]
-            self.groups.append((size, np.array(keys, np.uint64), [sorted(found[k]) for k in keys]))
-        self.vocabulary = np.unique(np.concatenate([g[1].ravel() for g in self.groups])) if self.groups else np.zeros(0, np.uint64)
+        self.names = [name for name, _ in items]
+        self.words = np.concatenate([h for _, h in items]) if items else np.zeros(0, np.uint64)
+        self.vocabulary = np.unique(self.words)
+        sizes = np.array([len(h) for _, h in items], np.int64)
+        first = np.cumsum(sizes) - sizes
+        wide = np.minimum(sizes, width)
+        self.groups: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []  # size, starts, item numbers and where each window's begin
+        for size in np.unique(wide[wide > 0]).tolist():
+            own = np.flatnonzero(wide == size)
+            each = sizes[own] - size + 1
+            item = np.repeat(own, each)
+            start = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(first[own], each)
+            # equal windows have equal ranks: words are numbered, and rows compared
+            number = np.searchsorted(self.vocabulary, self.words).astype(np.int32)
+            rows = np.stack([number[start + i] for i in range(size)], axis=1)
+            order = np.lexsort((item, *rows.T[::-1]))
+            rows, item, start = rows[order], item[order], start[order]
+            fresh = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
+            heads = np.flatnonzero(fresh)
+            self.groups.append((size, start[heads], item, np.append(heads, len(item))))
+
+    def terms(self, start: np.ndarray, size: int) -> np.ndarray:
+        return self.words[start[:, None] + np.arange(size)]
+
+    def items_of(self, group: int, row: int) -> list[str]:
+        _, _, item, heads = self.groups[group]
+        return [self.names[i] for i in item[heads[row] : heads[row + 1]]]
 
     def rank(self, totals: np.ndarray) -> None:
         """Order each window's offsets from the rarest term on."""
-        self.orders = [np.argsort(totals[np.searchsorted(self.vocabulary, terms)], axis=1, kind="stable") for _, terms, _ in self.groups]
-
-
-def phrase_hits(shard: _Shard, windows: Windows) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[list[str]]]]:
-    """(length, window rows, start positions, items of all rows) per length."""
-    for (size, terms, items), order in zip(windows.groups, windows.orders, strict=True):
-        local = shard.local(terms)
-        rows = np.flatnonzero((local >= 0).all(axis=1))
+        self.orders = [np.argsort(totals[np.searchsorted(self.vocabulary, self.terms(start, size))], axis=1, kind="stable").astype(np.int16) for size, start, _, _ in self.groups]
+
+    def here(self, group: int, shard: _Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows all of whose words the shard has: rows, the shard's numbers
+        of their words, and the order of their offsets."""
+        size, start, _, _ = self.groups[group]
+        known = shard.local(self.vocabulary)
+        number = known[np.searchsorted(self.vocabulary, self.words)]
+        rows = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(number, size).min(axis=1)[start] >= 0)
+        return rows, number[start[rows][:, None] + np.arange(size)], self.orders[group][rows].astype(np.int64)
+
+
+def phrase_hits(shard: _Shard, windows: Windows) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(group, length, window rows, start positions) per length."""
+    for group, (size, _, _, _) in enumerate(windows.groups):
+        rows, local, order = windows.here(group, shard)
         if not len(rows):
             continue
-        lead = order[rows, 0]
-        which, at = shard.candidates(local[rows, lead])
-        at = at - lead[which]
-        which = rows[which]
+        which, at = shard.candidates(local[np.arange(len(rows)), order[:, 0]])
+        at = at - order[which, 0]
         for step in range(1, size):
             offset = order[which, step]
             kept = shard.has(local[which, offset], at + offset, at + offset)
             which, at = which[kept], at[kept]
-        kept = (at >= 0) & (shard.document(at) == shard.document(at + size - 1))
+        kept = at >= 0
+        which, at = which[kept], at[kept]
+        kept = shard.document(at) == shard.document(at + size - 1)
         if kept.any():
-            yield size, which[kept], at[kept], items
+            yield group, size, rows[which[kept]], at[kept]
 
 
-def near_hits(shard: _Shard, windows: Windows, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[list[str]]]]:
-    """(window rows, position of the rarest word, items) where every word of the
+def near_hits(shard: _Shard, windows: Windows, slop: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(group, window rows, position of the rarest word) where every word of the
     window lies within ``slop`` words of that position, in the same document."""
-    for (size, terms, items), order in zip(windows.groups, windows.orders, strict=True):
-        local = shard.local(terms)
-        rows = np.flatnonzero((local >= 0).all(axis=1))
+    for group, (size, _, _, _) in enumerate(windows.groups):
+        rows, local, order = windows.here(group, shard)
         if not len(rows):
             continue
-        which, at = shard.candidates(local[rows, order[rows, 0]])
-        which = rows[which]
+        which, at = shard.candidates(local[np.arange(len(rows)), order[:, 0]])
         for step in range(1, size):
             document = shard.document(at)
             low, high = np.maximum(at - slop, shard.first[document]), np.minimum(at + slop, shard.first[document + 1] - 1)
             kept = shard.has(local[which, order[which, step]], low, high)
             which, at = which[kept], at[kept]
         if len(which):
-            yield which, at, items
+            yield group, rows[which], at
 
 
 def _search_shard(row: dict, windows: Windows, slop: int | None) -> list[dict]:
@@ -196,15 +224,15 @@ def _search_shard(row: dict, windows: Windows, slop: int | None) -> list[dict]:
     edges = np.zeros(n_words + 1, np.int64)
     named: list[set[str]] = [set() for _ in range(n_docs)]
     near: list[set[str]] = [set() for _ in range(n_docs)]
-    for size, rows, at, items in phrase_hits(shard, windows):
+    for group, size, rows, at in phrase_hits(shard, windows):
         np.add.at(edges, at, 1)
         np.add.at(edges, at + size, -1)
         for d, r in set(zip(shard.document(at).tolist(), rows.tolist(), strict=True)):
-            named[d].update(items[r])
+            named[d].update(windows.items_of(group, r))
     if slop is not None:
-        for rows, at, items in near_hits(shard, windows, slop):
+        for group, rows, at in near_hits(shard, windows, slop):
             for d, r in set(zip(shard.document(at).tolist(), rows.tolist(), strict=True)):
-                near[d].update(items[r])
+                near[d].update(windows.items_of(group, r))
     covered = np.cumsum(edges[:-1]) > 0
     return [
         {
@@ -229,7 +257,7 @@ def _term_totals(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
         totals = np.zeros(len(shared.value), np.int64)
         for frame in frames:
             for terms, counts in zip(frame["terms"], frame["counts"], strict=True):
-                terms = np.frombuffer(terms, "<u8")
+                terms = _terms(terms)
                 at = np.minimum(np.searchsorted(shared.value, terms), len(shared.value) - 1)
                 kept = shared.value[at] == terms
                 np.add.at(totals, at[kept], _unpack(counts)[kept])
@@ -275,14 +303,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW_WOR
     id or text are ignored; repeated rows and ids give a row each; an empty
     benchmark leaves every document clean; other columns are ignored.
     """
-    vocabulary: np.ndarray | None = np.zeros(0, np.uint64)
-    for block in _blocks(benchmark, block_bytes):
-        found = _item_words([t for _, t in block])
-        vocabulary = np.unique(np.concatenate([vocabulary, *found]))
-        if len(vocabulary) > MAX_VOCABULARY:
-            vocabulary = None
-            break
-    index = build_index(docs, vocabulary)
+    index = build_index(docs)
     found = [_search(index, block, width, slop) for block in _blocks(benchmark, block_bytes)] or [_search(index, [], width, slop)]
     if len(found) == 1:
         return _finished(found[0])
@@ -331,8 +352,12 @@ def _finished(parts: DataFrame) -> DataFrame:
     )
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window.  Of rows
-    that repeat an id, all go if one is contaminated; rows without id stay."""
-    found = materialize(contamination(docs, benchmark, **options).filter("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark window, whatever their
+    ids: null and repeated ids are rows like any other, null and empty texts
+    are clean and stay, other columns are untouched, an empty table or an empty
+    benchmark changes nothing."""
+    key = F.xxhash64(F.col("text").cast("string"))
+    rows = docs.select(key.alias("doc_id"), "text")  # a row is known by its text
+    found = contamination(rows, benchmark, width, None, block_bytes).filter("contaminated").select(F.col("doc_id").alias("_key")).distinct()
+    return docs.join(materialize(found, "contaminated"), key == F.col("_key"), "left_anti")

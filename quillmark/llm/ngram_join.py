@@ -353,11 +353,19 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name) for x, y, name in (("fpa", "fpb", "a"), ("fpb", "fpa", "b"), ("na", "nb", "na"), ("nb", "na", "nb")))).distinct()
 
 
-def _short_pairs(found: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
+def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (fpa, fpb, na, nb) those that can be linked, each once: sizes
+    first, then the parity bits of what is left."""
+    unlike = _ordered(pairs.filter("fpa <> fpb").filter(_fits(percent)))
+    one, two = bits.select(F.col("fp").alias("a"), *_side(_BITS, "a")), bits.select(F.col("fp").alias("b"), *_side(_BITS, "b"))
+    return unlike.join(one, "a").join(two, "b").filter(_can_link(percent)).select("a", "b", "na", "nb")
+
+
+def _short_pairs(found: DataFrame, owners: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     pairs = found.filter(f"kind = {_PAIR}").select("chunk", "at", "chunk2", "at2").distinct()
-    one = owners.select("chunk", "at", *_side(_CLASS, "a"))
-    two = owners.select(F.col("chunk").alias("chunk2"), F.col("at").alias("at2"), *_side(_CLASS, "b"))
-    return _ordered(pairs.join(one, ["chunk", "at"]).join(two, ["chunk2", "at2"]).filter("fpa <> fpb").filter(_can_link(percent)))
+    one = owners.select("chunk", "at", *_side(("fp", "n"), "a"))
+    two = owners.select(F.col("chunk").alias("chunk2"), F.col("at").alias("at2"), *_side(("fp", "n"), "b"))
+    return _bounded(pairs.join(one, ["chunk", "at"]).join(two, ["chunk2", "at2"]).select("fpa", "fpb", "na", "nb"), bits, percent)
 
 
 def _hub_pairs(open_lists: DataFrame, bits: DataFrame, round_no: int, percent: int) -> DataFrame:
@@ -365,9 +373,8 @@ def _hub_pairs(open_lists: DataFrame, bits: DataFrame, round_no: int, percent: i
     be linked."""
     hubs = open_lists.groupBy("gram").agg(F.min(F.struct(F.xxhash64(F.lit(round_no), "fp").alias("h"), "fp", "n", "label")).alias("hub"))
     hub = hubs.select("gram", *(F.col(f"hub.{c}").alias(f"{c}b") for c in ("fp", "n", "label")))
-    pairs = _ordered(open_lists.select("gram", *_side(("fp", "n", "label"), "a")).join(hub, "gram").filter("labela <> labelb").filter(_fits(percent)).select("fpa", "fpb", "na", "nb"))
-    one, two = bits.select(F.col("fp").alias("a"), *_side(_BITS, "a")), bits.select(F.col("fp").alias("b"), *_side(_BITS, "b"))
-    return pairs.join(one, "a").join(two, "b").filter(_can_link(percent)).select("a", "b", "na", "nb")
+    pairs = open_lists.select("gram", *_side(("fp", "n", "label"), "a")).join(hub, "gram").filter("labela <> labelb")
+    return _bounded(pairs.select("fpa", "fpb", "na", "nb"), bits, percent)
 
 
 #: Lists that a class names, so that a pair is passed on from one of them.
@@ -498,12 +505,11 @@ def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 def _linked(docs: DataFrame, found: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, root) over the fingerprints that have a link."""
     owners = materialize(_owners(found), "owners")
-    short = materialize(_short_pairs(found, owners, percent), "pairs")
+    bits = materialize(owners.select("fp", *_BITS).dropDuplicates(["fp"]), "bits")
+    short = materialize(_short_pairs(found, owners, bits, percent), "pairs")
     lists = _long_lists(found, owners)
-    in_lists = lists.select("fp").distinct()
-    bits = materialize(owners.select(*_CLASS).join(in_lists, "fp", "left_semi").dropDuplicates(["fp"]).select("fp", *_BITS), "bits")
     discard(owners)
-    names = materialize(short.select(F.col("a").alias("fp")).unionByName(short.select(F.col("b").alias("fp"))).unionByName(in_lists).distinct(), "names")
+    names = materialize(short.select(F.col("a").alias("fp")).unionByName(short.select(F.col("b").alias("fp"))).unionByName(lists.select("fp")).distinct(), "names")
     free_shuffles(docs.sparkSession)
     segments = _segments(docs, size, names)
     labels: DataFrame | None = None
