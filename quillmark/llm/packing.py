@@ -44,13 +44,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, e
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        from quillmark.llm.tokens import BatchEncoder
+        from quillmark.llm.tokens import encoder
 
-        encoder, task, row = BatchEncoder(tokenizer_path), uuid.uuid4().hex, 0
+        task, row = uuid.uuid4().hex, 0
         end = np.array([end_id], "<u4")
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for low, high, ids, first in encoder.encode(batch.column(1)):
+            for low, high, ids, first in encoder(tokenizer_path).encode(batch.column(1)):
                 out: dict[str, list] = {n: [] for n in schema.names}
                 for i in range(high - low):
                     own = np.concatenate([ids[first[i] : first[i + 1]].astype("<u4"), end])

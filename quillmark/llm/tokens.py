@@ -9,6 +9,7 @@ once and its ids are copied wherever it occurs.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 from collections.abc import Iterator
@@ -20,7 +21,9 @@ import regex
 from quillmark.llm import wordstream
 
 #: Distinct pre-tokens kept by a worker before it starts over (memory bound).
-CACHE_ENTRIES = 2_000_000
+CACHE_ENTRIES = 300_000
+#: Bytes of text encoded at once.
+SLICE_BYTES = 256 << 10
 
 _LETTER, _NUMBER, _SPACE = 1, 2, 3
 _ONE_LETTER = tuple(map(ord, "stmd"))
@@ -127,6 +130,12 @@ class _Known:
         return None
 
 
+@functools.cache
+def encoder(path: str) -> BatchEncoder:
+    """The encoder of a vocabulary file, loaded once in a worker."""
+    return BatchEncoder(path)
+
+
 class BatchEncoder:
     """Ids of texts as ``Tokenizer.from_file(path)`` gives them, special-token
     strings taken as ordinary text."""
@@ -205,6 +214,6 @@ class BatchEncoder:
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, ids, first id of each row and the end) per run."""
-        for start, end, data, offsets in wordstream.text_slices(column):
+        for start, end, data, offsets in wordstream.text_slices(column, SLICE_BYTES):
             ids, first = self._slice(data, offsets)
             yield start, end, ids, first
