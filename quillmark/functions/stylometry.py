@@ -18,6 +18,15 @@ STOP_WORDS = (
 )
 
 
+#: Words of these signs alone don't count for coherence, and the
+#: patterns of irregular orthography.
+NOT_ONLY_SIGNS = r"""[^.,!?;:"'()]"""
+REPEATED_SIGNS = r"([!?.,])\1+|[!?]{2,}|\.{4,}"
+BLANK_RUN = "  +"
+LOWER_AFTER_END = r"[.!?]\s+[a-zçğıöşü]"
+LETTER_AFTER_END = r"[.!?]\s+[a-zA-ZçğıöşüÇĞİÖŞÜ]"
+
+
 def ttr(counts: Column) -> Column:
     return ratio(F.size(counts), total(counts))
 
@@ -73,7 +82,7 @@ def lexical_coherence(sentences: Column) -> Column:
     keep their punctuation; pairs of empty sets are passed over."""
 
     def word_set(s: Column) -> Column:
-        kept = F.filter(words(s), lambda w: F.regexp_replace(w, r"^[.,!?;:]+|[.,!?;:]+$", "") != "")
+        kept = F.filter(words(s), lambda w: F.rlike(w, F.lit(NOT_ONLY_SIGNS)))
         lowered = F.transform(kept, lambda w: F.lower(w))
         return F.array_distinct(F.filter(lowered, lambda w: ~w.isin(*STOP_WORDS)))
 
@@ -88,16 +97,16 @@ def lexical_coherence(sentences: Column) -> Column:
 
 
 def punct_irregularity_rate(text: Column) -> Column:
-    return ratio(F.regexp_count(text, F.lit(r"([!?.,])\1+|[!?]{2,}|\.{4,}")), F.length(text))
+    return ratio(F.regexp_count(text, F.lit(REPEATED_SIGNS)), F.length(text))
 
 
 def double_space_rate(text: Column) -> Column:
-    return ratio(F.regexp_count(text, F.lit("  +")), F.size(words(text)))
+    return ratio(F.regexp_count(text, F.lit(BLANK_RUN)), F.size(words(text)))
 
 
 def post_punct_case_irregularity_rate(text: Column) -> Column:
-    lower = F.regexp_count(text, F.lit(r"[.!?]\s+[a-zçğıöşü]"))
-    return ratio(lower, F.regexp_count(text, F.lit(r"[.!?]\s+[a-zA-ZçğıöşüÇĞİÖŞÜ]")))
+    lower = F.regexp_count(text, F.lit(LOWER_AFTER_END))
+    return ratio(lower, F.regexp_count(text, F.lit(LETTER_AFTER_END)))
 
 
 def syllables(word: Column) -> Column:

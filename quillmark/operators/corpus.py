@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.operators.features import gram_counts
+from quillmark.operators.ordered import quantiles
 
 NOISE_TOKEN = r"^[,.\-:;]+$"
 
@@ -49,8 +50,7 @@ def fit_zscore(rows: DataFrame, features: list[str], train: str = "true") -> Dat
 
 
 def fit_robust(rows: DataFrame, features: list[str], train: str = "true") -> DataFrame:
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    found = long_form(rows.filter(train), features).groupBy("feature").agg(q.alias("q"))
+    found = quantiles(long_form(rows.filter(train), features), "feature", "x", [0.25, 0.5, 0.75])
     return found.select("feature", F.get("q", F.lit(1)).alias("centre"), F.coalesce(F.nullif(F.get("q", F.lit(2)) - F.get("q", F.lit(0)), F.lit(0.0)), F.lit(1.0)).alias("scale"))
 
 
@@ -83,9 +83,9 @@ def residualize(rows: DataFrame, fitted: DataFrame, tokens: str) -> DataFrame:
 
 def fuse(left: DataFrame, vectors: DataFrame, features: list[str], key: str, column: str, train: str = "true") -> DataFrame:
     """Scaled features and scaled vector components as one array, joined by
-    key (rows without a partner go)."""
+    key (rows without a partner go); both scalers are fitted on training rows."""
     scaled = standardize(left, features, "zscore", train).select(key, "label", F.array(*features).alias("_f"))
-    long = vectors.select(F.posexplode(column).alias("i", "x"))
+    long = vectors.join(left.filter(train).select(key), key, "left_semi").select(F.posexplode(column).alias("i", "x"))
     fitted = long.groupBy("i").agg(F.avg("x").alias("m"), F.coalesce(F.nullif(F.stddev_pop("x"), F.lit(0.0)), F.lit(1.0)).alias("s")).orderBy("i").collect()  # a row for each component
     mean, scale = F.array(*(F.lit(float(r.m)) for r in fitted)), F.array(*(F.lit(float(r.s)) for r in fitted))
     z = F.transform(column, lambda x, i: F.coalesce((x - F.get(mean, i)) / F.get(scale, i), F.lit(0.0)))
@@ -149,7 +149,7 @@ def mutual_information(rows: DataFrame, features: list[str], label: str, bins: i
     declared substitute for the nearest-neighbour estimate).  Bins are quantile
     ranges, so no window sees all rows."""
     long = long_form(rows, features, label).filter("x IS NOT NULL")
-    edges = long.groupBy("feature").agg(F.percentile("x", F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("e"))
+    edges = quantiles(long, "feature", "x", [i / bins for i in range(1, bins)]).withColumnRenamed("q", "e")
     binned = long.join(F.broadcast(edges), "feature").select("feature", label, F.size(F.filter("e", lambda e: e < F.col("x"))).alias("bin"))  # a row for each feature
     cells = binned.groupBy("feature", "bin", label).agg(F.count("*").alias("k"))
     each = Window.partitionBy("feature")
@@ -235,13 +235,15 @@ def neighbourhood_dispersion(rows: DataFrame, key: str, column: str, k: int = 10
 
 
 def human_reference(rows: DataFrame, features: list[str], human: str) -> DataFrame:
-    """(feature, mean, std): sample deviation, 1 where it is 0 or unknown."""
-    return long_form(rows.filter(human), features).groupBy("feature").agg(F.avg("x").alias("mean"), F.coalesce(F.nullif(F.stddev_samp("x"), F.lit(0.0)), F.lit(1.0)).alias("std"))
+    """(feature, mean, std): sample deviation, null for fewer than two values."""
+    return long_form(rows.filter(human), features).groupBy("feature").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
 
 
 def anomalies(rows: DataFrame, features: list[str], reference: DataFrame, *keys: str) -> DataFrame:
-    """(keys, feature, z); null where the value is unknown."""
-    return long_form(rows, features, *keys).join(F.broadcast(reference), "feature").select(*keys, "feature", ((F.col("x") - F.col("mean")) / F.col("std")).alias("z"))  # a row for each feature
+    """(keys, feature, z); null where the value or the deviation is unknown,
+    and a deviation of 0 counts as 1."""
+    scale = F.when(F.col("std") == 0, 1.0).otherwise(F.col("std"))
+    return long_form(rows, features, *keys).join(F.broadcast(reference), "feature").select(*keys, "feature", ((F.col("x") - F.col("mean")) / scale).alias("z"))  # a row for each feature
 
 
 def distance(z: DataFrame, *keys: str) -> DataFrame:

@@ -17,6 +17,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.w", F.col("p.c").cast("long").alias("c"))
 
 
+#: Parts into which the rows of a word are dealt before they are joined.
+SALTS = 16
+
+
+def by_word(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, w, ...) with the columns of ``known`` (w, ...), null
+    where it has no such word.  Every document has the common words, so their
+    rows are dealt into SALTS parts, and ``known`` is sent to each."""
+    parts = known.withColumn("_salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(parts, ["w", "_salt"], "left").drop("_salt")
+
+
 def word_freqs(docs: DataFrame) -> DataFrame:
     n = F.size("tokens")
     pairs = F.arrays_zip(F.array_sort(F.array_distinct("tokens")).alias("w"), F.col("counts").alias("c"))
@@ -35,7 +47,7 @@ def reference_freqs(docs: DataFrame) -> DataFrame:
 
 def kl_divergence(docs: DataFrame, reference: DataFrame) -> DataFrame:
     """Sum of p ln(p / q), q of unseen words 1e-10, never below 0."""
-    joined = word_freqs(docs).join(reference, "w", "left")
+    joined = by_word(word_freqs(docs), reference)
     term = F.col("freq") * F.log(F.col("freq") / F.coalesce("q", F.lit(1e-10)))
     return joined.groupBy("doc_id").agg(F.greatest(F.lit(0.0), F.sum(term)).alias("kl"))
 
@@ -56,16 +68,21 @@ def gram_counts(docs: DataFrame, orders: tuple[int, ...]) -> DataFrame:
 
 
 def lexicon_density(docs: DataFrame, lexicon: DataFrame, orders: tuple[int, ...] = (2, 3)) -> DataFrame:
-    """Share of a document's n-grams, of all orders together, in the lexicon."""
-    marked = lexicon.select("g", F.lit(1).alias("hit"))
-    return gram_rows(docs, orders).join(marked, "g", "left").groupBy("doc_id").agg((F.count("hit") / F.count("*")).alias("density"))
+    """Share of a document's n-grams, of all orders together, in the lexicon (a
+    few hundred n-grams, held against each document's in its row); documents
+    without n-grams have no row."""
+    listed = lexicon.agg(F.collect_set("g").alias("_lexicon"))  # one row
+    grams = docs.select("doc_id", F.concat(*(arrays.ngrams(F.col("tokens"), n) for n in orders)).alias("_grams"))
+    found = grams.filter(F.size("_grams") > 0).crossJoin(F.broadcast(listed)).withColumn("_hits", F.array_intersect("_grams", "_lexicon"))
+    hits = F.when(F.size("_hits") == 0, 0).otherwise(F.size(F.filter("_grams", lambda g: F.array_contains("_hits", g))))
+    return found.select("doc_id", (hits / F.size("_grams")).alias("density"))
 
 
 def unigram_perplexity(docs: DataFrame, known: DataFrame, smoothing: float) -> DataFrame:
     """Perplexity of each document under an add-k unigram model (the declared
     substitute for a masked language model); unseen words share one place."""
     size = known.agg(F.sum("c").alias("n"), F.count("*").alias("v"))
-    joined = word_counts(docs).join(known.withColumnRenamed("c", "seen"), "w", "left").crossJoin(F.broadcast(size))  # one row
+    joined = by_word(word_counts(docs), known.withColumnRenamed("c", "seen")).crossJoin(F.broadcast(size))  # one row
     p = (F.coalesce("seen", F.lit(0)) + smoothing) / (F.col("n") + smoothing * (F.col("v") + 1))
     return joined.groupBy("doc_id").agg(F.exp(-F.sum(F.col("c") * F.log(p)) / F.sum("c")).alias("perplexity"))
 
@@ -83,7 +100,7 @@ def token_ranks(docs: DataFrame, known: DataFrame) -> DataFrame:
     equal buckets of log2 rank; unseen words rank last."""
     ranked = ranks(known)
     last = ranked.agg((F.count("*") + 1).alias("vmax"))
-    rows = word_counts(docs).join(ranked, "w", "left").crossJoin(F.broadcast(last)).withColumn("r", F.coalesce("r", "vmax"))  # one row
+    rows = by_word(word_counts(docs), ranked).crossJoin(F.broadcast(last)).withColumn("r", F.coalesce("r", "vmax"))  # one row
     bucket = F.least(F.floor(F.log2("r") / (F.log2("vmax") / 10)), F.lit(9))
     n = F.sum("c")
     buckets = [F.sum(F.when(bucket == b, F.col("c"))) for b in range(10)]

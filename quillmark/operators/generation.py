@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import cleaning
-from quillmark.operators.text import numbered
+from quillmark.operators.ordered import numbered
 
 
 class EchoGenerator:
@@ -51,13 +51,16 @@ def plan(spark: SparkSession, prompts: DataFrame, n: int, provider: str, start:
     return wanted.join(listed, "i").select(F.format_string(f"ai_raw_{provider}_%04d", "id").alias("sample_id"), "prompt")
 
 
-def generated(requests: DataFrame, make: Callable[[], object]) -> DataFrame:
-    """(sample_id, text): every request through a generator, in batches."""
+def generated(requests: DataFrame, make: Callable[[], object], batch: int = 1000) -> DataFrame:
+    """(sample_id, text): every request through a generator, at most ``batch``
+    prompts at a time."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generator = make()
         for frame in frames:
-            yield pd.DataFrame({"sample_id": frame["sample_id"], "text": generator.generate(frame["prompt"].tolist())})
+            for low in range(0, len(frame), batch):
+                part = frame.iloc[low : low + batch]
+                yield pd.DataFrame({"sample_id": part["sample_id"], "text": generator.generate(part["prompt"].tolist())})
 
     return requests.select("sample_id", "prompt").mapInPandas(run, "sample_id string, text string")
 
@@ -79,3 +82,39 @@ def rewritten(samples: DataFrame, make: Callable[[], object], prefix: str, label
     done = generated(asked, make).select(F.split("sample_id", "#").alias("k"), "text").select(F.col("k")[0].alias("original_id"), F.col("k")[1].cast("int").alias("pos"), "text")
     whole = done.groupBy("original_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda p: p["text"]), " ").alias("text"))
     return whole.select(F.concat(F.lit(prefix), F.col("original_id")).alias("sample_id"), "text", F.lit(label).alias("label"), "original_id")
+
+
+class RefusesLongBatches(EchoGenerator):
+    """Stands for a local model whose memory holds few prompts."""
+
+    def __init__(self, most: int = 8) -> None:
+        self.most = most
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        if len(prompts) > self.most:
+            raise ValueError("too many prompts at once")
+        return super().generate(prompts)
+
+
+#: Services that rewrite a single text, by name, each with its own generator.
+REWRITERS: dict[str, Callable[[], object]] = {"gemini": EchoGenerator, "openai": EchoGenerator, "llama": EchoGenerator, "transformers": RefusesLongBatches}
+REWRITE_PROMPT = "Rewrite in about {words} words: {text}"
+
+
+def rewritten_by(samples: DataFrame, service: str, words: int, batch: int = 8) -> DataFrame:
+    """(sample_id, original_id, text): whole texts through one service, with a
+    length to aim at."""
+    if service not in REWRITERS:
+        raise ValueError(f"unknown service: {service}")
+    before, after = REWRITE_PROMPT.format(words=words, text="\0").split("\0")
+    asked = samples.select("sample_id", F.concat(F.lit(before), "text", F.lit(after)).alias("prompt"))
+    done = generated(asked, REWRITERS[service], batch)
+    return done.select(F.concat(F.lit(f"ai_humanized_{service}_"), "sample_id").alias("sample_id"), F.col("sample_id").alias("original_id"), "text")
+
+
+def collect(spark: SparkSession, prompts: DataFrame, have: DataFrame, target: int, provider: str, make: Callable[[], object]) -> DataFrame:
+    """(sample_id, text): what is there, and the rest of ``target`` requests,
+    numbered on from it."""
+    start = have.count()
+    rest = generated(plan(spark, prompts, target, provider, start), make) if start < target else have.limit(0)
+    return have.select("sample_id", "text").unionByName(rest.select("sample_id", "text"))

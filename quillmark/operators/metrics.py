@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.operators.ordered import quantiles, running_sums
+
 
 def confusion(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by, "y", "yhat").agg(F.count("*").alias("n"))
@@ -39,8 +41,7 @@ def auc(rows: DataFrame, k: int = 3) -> DataFrame:
     """(class, auc) by rank sums over the distinct scores; null without rows of
     either kind."""
     by_score = one_vs_rest(rows, k).groupBy("class", "p").agg(F.sum("t").alias("pos"), F.sum(1 - F.col("t")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy("class").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counted = by_score.withColumn("below", below)
+    counted = running_sums(by_score, ["class"], "p", "neg").withColumn("below", F.col("sum_neg") - F.col("neg"))
     area = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
     return counted.groupBy("class").agg(F.try_divide(area, F.sum("pos") * F.sum("neg")).alias("auc"))
 
@@ -59,7 +60,8 @@ def reliability(rows: DataFrame, bins: int = 10, k: int = 3) -> DataFrame:
 
 def confidence(rows: DataFrame, top: Column) -> DataFrame:
     share = lambda x: F.avg((top > x).cast("int"))
-    return rows.agg(F.avg(top).alias("mean"), F.percentile(top, F.lit(0.5)).alias("median"), share(0.99).alias("over_99"), share(0.999).alias("over_999"))
+    median = quantiles(rows.select(F.lit(0).alias("all"), top.alias("p")), "all", "p", [0.5]).select(F.get("q", F.lit(0)).alias("median"))
+    return rows.agg(F.avg(top).alias("mean"), share(0.99).alias("over_99"), share(0.999).alias("over_999")).join(median, how="left").select("mean", "median", "over_99", "over_999")  # one row each
 
 
 def row_shares(rows: DataFrame) -> DataFrame:
@@ -69,8 +71,9 @@ def row_shares(rows: DataFrame) -> DataFrame:
 def roc(rows: DataFrame, k: int = 3) -> DataFrame:
     """(class, p, fpr, tpr) at every distinct score, highest first."""
     by_score = one_vs_rest(rows, k).groupBy("class", "p").agg(F.sum("t").alias("pos"), F.sum(1 - F.col("t")).alias("neg"))
-    down, whole = Window.partitionBy("class").orderBy(F.desc("p")), Window.partitionBy("class")
-    return by_score.select("class", "p", F.try_divide(F.sum("neg").over(down), F.sum("neg").over(whole)).alias("fpr"), F.try_divide(F.sum("pos").over(down), F.sum("pos").over(whole)).alias("tpr"))
+    down = running_sums(by_score.withColumn("_down", -F.col("p")), ["class"], "_down", "pos", "neg")
+    whole = by_score.groupBy("class").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    return down.join(F.broadcast(whole), "class").select("class", "p", F.try_divide("sum_neg", "_neg").alias("fpr"), F.try_divide("sum_pos", "_pos").alias("tpr"))  # a row for each class
 
 
 def fold_summary(scores: DataFrame) -> DataFrame:

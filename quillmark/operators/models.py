@@ -6,7 +6,6 @@ metrics reach the driver.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable
 
 from pyspark.ml import Estimator, Model
@@ -17,11 +16,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Search space of the tuner (fixed values: names, kinds and ranges).
-SEARCH_SPACE = {"logreg": {"regParam": [0.001, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]}, "forest": {"numTrees": [10, 20], "maxDepth": [3, 5]}}
+SEARCH_SPACE = {
+    "xgboost": {"max_depth": ("int", 3, 10), "n_estimators": ("int", 100, 600), "eta": ("log", 0.01, 0.3), "colsample_bytree": ("float", 0.5, 1.0), "min_child_weight": ("int", 1, 10)},
+    "catboost": {"depth": ("int", 4, 10), "learning_rate": ("log", 0.01, 0.3), "iterations": ("int", 200, 1000)},
+    "mlp": {"n_layers": ("int", 1, 4), "n_units": ("int", 64, 512), "learning_rate": ("log", 1e-4, 1e-2), "epochs": ("int", 30, 100)},
+    "logreg": {"C": ("log", 1e-3, 1e2), "penalty": ("choice", "l1", "l2")},
+}
+
+
+def suggested(name: str, trial: int, seed: int = 42) -> dict[str, object]:
+    """Setting number ``trial`` of a model's search space (seeded draws; the
+    declared substitute for the guided sampler)."""
+    import random
+
+    if name not in SEARCH_SPACE:
+        raise ValueError(f"no search space for: {name}")
+    draw = random.Random(f"{seed}/{name}/{trial}")
+    found: dict[str, object] = {}
+    for key, (kind, *span) in SEARCH_SPACE[name].items():
+        if kind == "int":
+            found[key] = draw.randint(*span)
+        elif kind == "choice":
+            found[key] = draw.choice(span)
+        else:
+            found[key] = span[0] * (span[1] / span[0]) ** draw.random() if kind == "log" else draw.uniform(*span)
+    if name == "mlp":
+        found["hidden_layers"] = [found["n_units"], *(draw.randint(64, 512) for _ in range(found["n_layers"] - 1))]
+        del found["n_layers"], found["n_units"]
+    return found
+
+
+def translated(name: str, params: dict[str, object], n_features: int, n_classes: int, n_rows: int = 1000) -> tuple[str, dict[str, object]]:
+    """Registry name and parameters for those of the search space."""
+    if name == "logreg":
+        return name, {"regParam": 1 / (params.get("C", 1.0) * n_rows), "elasticNetParam": 1.0 if params.get("penalty") == "l1" else 0.0}
+    if name == "mlp":
+        return name, {"layers": [n_features, *params.get("hidden_layers", [32]), n_classes], "stepSize": params.get("learning_rate", 0.03), "maxIter": params.get("epochs", 30)}
+    names = {"max_depth": "maxDepth", "depth": "maxDepth", "n_estimators": "maxIter", "iterations": "maxIter", "eta": "stepSize", "learning_rate": "stepSize", "min_child_weight": "minInstancesPerNode"}
+    found = {names[k]: v for k, v in params.items() if k in names}
+    if "colsample_bytree" in params:
+        found["featureSubsetStrategy"] = str(params["colsample_bytree"])
+    return "boosting", found
 
 
 def estimator(name: str, n_features: int, n_classes: int = 3, **params: object) -> Estimator:
-    """Registry: logreg, forest, boosting (one against the rest), mlp."""
+    """Registry: logreg, forest, boosting (one against the rest), mlp; xgboost
+    and catboost with their own parameter names, as boosting."""
+    if name in ("xgboost", "catboost"):
+        name, params = translated(name, params, n_features, n_classes)
     if name == "logreg":
         return LogisticRegression(featuresCol="features", labelCol="y", **({"regParam": 0.01, "maxIter": 50} | params))
     if name == "forest":
@@ -92,20 +134,56 @@ def calibrated(rows: DataFrame, fits: list[Model]) -> DataFrame:
     return staged.withColumn("yhat", best.cast("int")).drop(*(f"_c{c}" for c in range(k)))
 
 
-def stacked(train: DataFrame, test: DataFrame, makes: dict[str, Callable[[], Estimator]], key: str, k: int = 3) -> DataFrame:
-    """Base models' out-of-fold scores feed a logistic meta model; base models
+def calibrated_cv(train: DataFrame, test: DataFrame, make: Callable[[], Estimator], key: str, k: int = 3, fold: str = "fold") -> DataFrame:
+    """``test`` scored by one calibrated model for each fold - fitted without
+    the fold, calibrated on it - and the mean of their scores."""
+    folds = sorted(r[0] for r in train.select(fold).distinct().collect())  # a row for each fold
+    parts = []
+    for f in folds:
+        model = make().fit(train.filter(F.col(fold) != f))
+        fits = calibrators(scored(model, train.filter(F.col(fold) == f), k), k)
+        parts.append(calibrated(scored(model, test, k), fits).select(key, "y", *(f"p_{c}" for c in range(k))))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    mean = whole.groupBy(key, "y").agg(*(F.avg(f"p_{c}").alias(f"p_{c}") for c in range(k)))
+    columns = [F.col(f"p_{c}") for c in range(k)]
+    return mean.withColumn("yhat", (F.array_position(F.array(*columns), F.greatest(*columns)) - 1).cast("int"))
+
+
+def stacked(train: DataFrame, test: DataFrame, makes: dict[str, Callable[[], Estimator]], key: str, k: int = 3, meta_make: Callable[[int], Estimator] | None = None, passthrough: bool = False) -> DataFrame:
+    """Base models' out-of-fold scores feed a meta model (logistic unless one
+    is given), with the features themselves if ``passthrough``; base models
     are fitted again on all training rows for the test rows."""
 
-    def meta(parts: dict[str, DataFrame]) -> DataFrame:
+    def meta(parts: dict[str, DataFrame], rows: DataFrame) -> DataFrame:
         whole = None
         for name, part in parts.items():
             slim = part.select(key, "y", *(F.col(f"p_{c}").alias(f"{name}_{c}") for c in range(k)))
             whole = slim if whole is None else whole.join(slim.drop("y"), key)
-        return whole.withColumn("features", array_to_vector(F.array(*(f"{n}_{c}" for n in parts for c in range(k)))))
+        inputs = F.array(*(F.col(f"{n}_{c}").cast("double") for n in parts for c in range(k)))
+        if passthrough:
+            whole = whole.join(rows.select(key, vector_to_array("features").alias("_own")), key)
+            inputs = F.concat(inputs, "_own")
+        return whole.withColumn("features", array_to_vector(inputs))
+
+    inner = meta({n: out_of_fold(train, m, k) for n, m in makes.items()}, train)
+    outer = meta({n: scored(m().fit(train), test, k) for n, m in makes.items()}, test)
+    make = meta_make or (lambda n: estimator("logreg", n, k))
+    return scored(make(len(inner.first().features)).fit(inner), outer, k)
+
 
-    inner = meta({n: out_of_fold(train, m, k) for n, m in makes.items()})
-    outer = meta({n: scored(m().fit(train), test, k) for n, m in makes.items()})
-    return scored(estimator("logreg", k * len(makes)).fit(inner), outer, k)
+def stacking_from_config(config: dict, n_features: int, n_classes: int = 3) -> tuple[dict[str, Callable[[], Estimator]], Callable[[int], Estimator], bool]:
+    """Base models, meta model and passthrough of a configuration: each model
+    has the common parameters, and its own over them."""
+    stacking, common = config.get("stacking", {}), config.get("common", {})
+
+    def make(name: str, n: int) -> Estimator:
+        return estimator(name, n, n_classes, **{**common, **config.get(name, {})})
+
+    bases = stacking.get("base_models", ["xgboost", "catboost", "mlp", "logreg"])
+    meta = stacking.get("meta_learner", "logreg")
+    return {n: (lambda n=n: make(n, n_features)) for n in bases}, lambda n: make(meta, n), stacking.get("passthrough", False)
 
 
 def cascade(train: DataFrame, test: DataFrame, make: Callable[[int], Estimator], key: str) -> DataFrame:
@@ -117,16 +195,29 @@ def cascade(train: DataFrame, test: DataFrame, make: Callable[[int], Estimator],
     return a.join(b, key).select(key, "y", F.when(F.col("_a") == 0, 0).otherwise(1 + F.col("_b")).alias("yhat"))
 
 
-def search(rows: DataFrame, name: str, n_features: int, score: Callable[[DataFrame], float], space: dict[str, list] | None = None) -> list[tuple[dict, float]]:
-    """All settings of a space with their out-of-fold score, best first."""
-    space = space or SEARCH_SPACE[name]
+def search(rows: DataFrame, name: str, n_features: int, score: Callable[[DataFrame], float], settings: list[dict] | None = None, trials: int = 50, n_classes: int = 3) -> list[tuple[dict, float]]:
+    """Settings with their out-of-fold score, best first: those given, else
+    ``trials`` of the search space."""
+    n_rows = rows.count()
     found = []
-    for values in itertools.product(*space.values()):
-        params = dict(zip(space, values, strict=True))
-        found.append((params, score(out_of_fold(rows, lambda params=params: estimator(name, n_features, **params)))))
+    for params in settings if settings is not None else [suggested(name, i) for i in range(trials)]:
+        kind, own = translated(name, params, n_features, n_classes, n_rows)
+        found.append((params, score(out_of_fold(rows, lambda kind=kind, own=own: estimator(kind, n_features, n_classes, **own), n_classes))))
     return sorted(found, key=lambda x: -x[1])
 
 
+def unwrapped(model: Model) -> Model:
+    """The innermost model of a pipeline or a one-against-the-rest model, its
+    first where there are several."""
+    while True:
+        if hasattr(model, "stages"):
+            model = model.stages[-1]
+        elif hasattr(model, "models"):
+            model = model.models[0]
+        else:
+            return model
+
+
 def linear_attribution(rows: DataFrame, weights: list[float], means: list[float], names: list[str], array: str, key: str) -> DataFrame:
     """(key, feature, phi): w (x - mean), exact for a linear model."""
     terms = F.array(*(F.struct(F.lit(n).alias("feature"), (F.lit(float(w)) * (F.get(array, F.lit(i)) - float(m))).alias("phi")) for i, (n, w, m) in enumerate(zip(names, weights, means, strict=True))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.operators.ordered import numbered, placed
 from quillmark.sources.connectors import scratch
 
 
@@ -59,38 +60,46 @@ def hash_order(*columns: str, seed: int = 42) -> Column:
 
 
 def grouped_folds(rows: DataFrame, group: str, label: str, k: int = 5) -> DataFrame:
-    """``rows`` with a fold: groups are placed one by one, those of the most
-    uneven labels first, where the label shares of the folds stay closest.
-    The group-by-label counts of at most a million groups go to the driver;
-    more groups are placed by hash."""
+    """``rows`` with a fold, whole groups in one.
+
+    Groups with equal label counts are alike: each fold gets as many of them
+    as every other, and those left over are placed one by one where the label
+    shares of the folds stay closest; the most uneven counts come first.  Only
+    the distinct label counts, not the groups, reach the driver; which of
+    equal groups goes where follows from their numbers in order of name."""
     import numpy as np
 
-    counts = rows.groupBy(group).pivot(label).count().na.fill(0)
-    if counts.limit(1_000_001).count() > 1_000_000:
-        return rows.withColumn("fold", F.pmod(F.xxhash64(group, F.lit(42)), F.lit(k)).cast("int"))
-    table = counts.toPandas().sort_values(group)
-    names, values = table[group].tolist(), table.drop(columns=[group]).to_numpy(float)
-    held, placed = np.zeros((k, values.shape[1])), {}
-    whole = np.maximum(values.sum(0), 1)
-    for i in sorted(range(len(names)), key=lambda i: (-values[i].std(), names[i])):
-        best = min(range(k), key=lambda f: (np.std((held + np.eye(k)[f][:, None] * values[i]) / whole, axis=0).mean().round(12), held[f].sum(), f))
-        held[best] += values[i]
-        placed[names[i]] = best
-    folds = rows.sparkSession.createDataFrame(list(placed.items()), f"{group} string, fold int")
+    names = sorted((r[0] for r in rows.select(label).distinct().collect()), key=str)  # a row for each label
+    sizes = rows.groupBy(group).agg(F.array(*(F.count_if(F.col(label).eqNullSafe(n)) for n in names)).alias("_sizes"))
+    alike = sizes.groupBy("_sizes").agg(F.count("*").alias("m")).toPandas()
+    alike = sorted(zip(map(tuple, alike["_sizes"]), map(int, alike["m"]), strict=True), key=lambda x: (-np.std(x[0]), x[0]))
+    whole = np.maximum(sum((np.array(v, float) * m for v, m in alike), np.zeros(len(names))), 1)
+    held, ends = np.zeros((k, len(names))), []
+    for v, m in alike:
+        each = np.full(k, m // k)
+        held += m // k * np.array(v, float)
+        for _ in range(m % k):
+            best = min(range(k), key=lambda f: (np.std((held + np.eye(k)[f][:, None] * v) / whole, axis=0).mean().round(12), held[f].sum(), f))
+            held[best] += v
+            each[best] += 1
+        ends.append((list(v), [int(x) for x in np.cumsum(each)]))
+    spark = rows.sparkSession
+    table = spark.createDataFrame(ends, "_sizes array<long>, _ends array<long>")
+    folds = placed(sizes, ["_sizes"], group, name="_n").join(table, "_sizes").select(group, F.size(F.filter("_ends", lambda e: e <= F.col("_n"))).alias("fold"))
     return rows.join(folds, group)
 
 
 def stratified_folds(rows: DataFrame, key: str, label: str, k: int = 5) -> DataFrame:
     """Folds of equal label shares, in hash order."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(hash_order(key), key))
-    return rows.withColumn("fold", ((place - 1) % k).cast("int"))
+    hashed = rows.withColumn("_h", hash_order(key))
+    return placed(hashed, [label], "_h", key, name="_at").withColumn("fold", (F.col("_at") % k).cast("int")).drop("_h", "_at")
 
 
 def capped(rows: DataFrame, by: list[str], key: str, most: Column | int, seed: int = 42) -> DataFrame:
     """At most ``most`` rows of each group, in hash order, never more than
     there are."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(hash_order(key, seed=seed), key))
-    return rows.withColumn("_place", place).filter(F.col("_place") <= most).drop("_place")
+    hashed = rows.withColumn("_h", hash_order(key, seed=seed))
+    return placed(hashed, by, "_h", key, name="_at").filter(F.col("_at") < most).drop("_h", "_at")
 
 
 def balanced(rows: DataFrame, label: str, key: str) -> DataFrame:
@@ -110,8 +119,6 @@ def human_split(rows: DataFrame, key: str, share: float = 0.2) -> DataFrame:
     cut = human.agg(F.floor(F.count("*") * share).alias("_cut"))
     order = human.select(key, hash_order(key).alias("_h"))
     limit = order.crossJoin(F.broadcast(cut))  # one row
-    from quillmark.operators.text import numbered
-
     return human.join(numbered(limit, "_h", key).select(key, (F.col("n") < F.col("_cut")).alias("test")), key)
 
 

@@ -6,17 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import arrays, cleaning
-
-
-def numbered(rows: DataFrame, *order: str, name: str = "n") -> DataFrame:
-    """``rows`` with consecutive numbers from 0 in the given order, without a
-    task that sees all rows: rows are ranged by the order, counted by range,
-    and numbered inside their range."""
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    inside = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = inside.groupBy("_part").agg(F.count("*").alias("_k"))
-    before = counts.select("_part", (F.sum("_k").over(Window.orderBy("_part")) - F.col("_k")).alias("_before"))  # a row for each partition
-    return inside.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_row") - 1).drop("_part", "_row", "_before")
+from quillmark.operators.ordered import numbered
 
 
 def collected(files: DataFrame, source: str, least: int, most: int, target: int) -> DataFrame:
@@ -42,8 +32,9 @@ def candidates(pages: DataFrame, language: str, last_year: int) -> DataFrame:
 
 
 def first_link(pages: DataFrame, pattern: str) -> DataFrame:
+    """(page_id, link): the first match of a page, under its site's English part."""
     base = F.split_part(F.split_part("url", F.lit("/en/"), F.lit(1)), F.lit("/tr/"), F.lit(1))
-    return pages.filter(F.rlike("html", F.lit(pattern))).select("page_id", F.regexp_extract("html", pattern, 1).alias("link"), base.alias("base"))
+    return pages.filter(F.rlike("html", F.lit(pattern))).select("page_id", F.concat(base, F.lit("/en/"), F.regexp_extract("html", pattern, 0)).alias("link"))
 
 
 def next_ids(rows: DataFrame) -> DataFrame:

@@ -88,9 +88,10 @@ def num07_robust_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operators.fit_robust(base_features(spark, sf_dir), BASE, "NOT holdout").select("feature", r6(F.col("centre")).alias("centre"), r6(F.col("scale")).alias("scale"))
 
 
-@query()
+@query(f"WITH {LONG_SQL}, q AS (SELECT feature, quantile_cont(x, 0.5) AS m, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS s FROM lf WHERE NOT holdout GROUP BY 1), z AS (SELECT sample_id, feature, (x - m) / CASE WHEN s = 0 THEN 1 ELSE s END AS z FROM lf JOIN q USING (feature)) SELECT sample_id, " + ", ".join(f"round(max(z) FILTER (feature = '{n}'), 6) AS {n}" for n in BASE) + " FROM z GROUP BY 1")
 def num08_standardize_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operators.standardize(base_features(spark, sf_dir), BASE, "robust", "NOT holdout").select("sample_id", *BASE)
+    scaled = operators.standardize(base_features(spark, sf_dir), BASE, "robust", "NOT holdout")
+    return scaled.select("sample_id", *(r6(F.col(c)).alias(c) for c in BASE))
 
 
 _RES = "r AS (SELECT feature, regr_slope(x, ln(1 + token_count)) AS a, regr_intercept(x, ln(1 + token_count)) AS b FROM lf WHERE NOT holdout GROUP BY 1)"
@@ -118,12 +119,17 @@ def num11_residualize_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return operators.fuse(base_features(spark, sf_dir), vectors, BASE, "doc_id", "embedding")
+    return operators.fuse(base_features(spark, sf_dir), vectors, BASE, "doc_id", "embedding", "NOT holdout")
 
 
-@query(f"WITH {BASE_SQL} SELECT doc_id, label, CAST(3 + len(embedding) AS BIGINT) AS width FROM f JOIN embeddings ON doc_id = vec_id")
+@query(f"""WITH {LONG_SQL}, {_ZFIT}, e AS (SELECT vec_id, unnest(range(len(embedding))) AS j, unnest(embedding) AS x FROM embeddings),
+ v AS (SELECT j, avg(x) AS m, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS s FROM e JOIN f ON vec_id = doc_id WHERE NOT holdout GROUP BY 1),
+ parts AS (SELECT doc_id, label, list_position(['ttr', 'mean_word_len', 'double_space_rate'], feature) - 1 AS i, (x - m) / s AS z FROM lf JOIN p USING (feature) WHERE doc_id IN (SELECT vec_id FROM embeddings)
+   UNION ALL SELECT doc_id, label, 3 + j AS i, (x - m) / s AS z FROM e JOIN v USING (j) JOIN f ON vec_id = doc_id)
+ SELECT doc_id, label, CAST(i AS BIGINT) AS i, round(z, 4) AS z FROM parts""")
 def num12_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(spark, sf_dir).select("doc_id", "label", F.size("features").cast("long").alias("width"))
+    rows = _fused(spark, sf_dir).select("doc_id", "label", F.posexplode("features").alias("i", "z"))
+    return rows.select("doc_id", "label", F.col("i").cast("long").alias("i"), F.round("z", 4).alias("z"))
 
 
 @query()

@@ -165,9 +165,16 @@ def fea19_function_word_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tags(spark, sf_dir).select("doc_id", r6(stylometry.tag_share(F.col("tags"), stylometry.FUNCTION_TAGS)).alias("function_word_ratio"))
 
 
-@query()
+_STOPS = ", ".join(f"'{w}'" for w in stylometry.STOP_WORDS)
+
+
+@query(rf"""WITH p AS (SELECT doc_id, list_filter(list_transform({_SENT}, lambda x: list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> '')), lambda s: len(s) > 0) AS ss FROM documents),
+ st AS (SELECT doc_id, list_transform(ss, lambda s: list_distinct(list_filter(list_transform(list_filter(s, lambda w: regexp_matches(w, '[^.,!?;:"''()]')), lambda w: lower(w)), lambda w: w NOT IN ({_STOPS})))) AS st FROM p),
+ u AS (SELECT doc_id, unnest(st[:-2]) AS a, unnest(st[2:]) AS b FROM st WHERE len(st) >= 2), sc AS (SELECT doc_id, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS j FROM u WHERE len(a) + len(b) > 0)
+ SELECT d.doc_id, round(avg(j), 6) AS lexical_coherence FROM documents d LEFT JOIN sc USING (doc_id) GROUP BY 1""")
 def fea20_lexical_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", r6(stylometry.lexical_coherence(arrays.sentences(F.col("text")))).alias("lexical_coherence"))
+    pieces = F.filter(F.regexp_extract_all("text", F.lit(r"[^.!?]+[.!?]*"), F.lit(0)), lambda s: F.size(arrays.words(s)) > 0)
+    return table(spark, sf_dir, "documents").select("doc_id", r6(stylometry.lexical_coherence(pieces)).alias("lexical_coherence"))
 
 
 _GRAM = f"""g AS (SELECT doc_id, tokens[i] || ' ' || tokens[i + 1] AS g FROM (SELECT doc_id, tokens, unnest(range(1, len(tokens))) AS i FROM t WHERE len(tokens) >= 2)

@@ -6,48 +6,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmark.operators import corpus, features, metrics, splits
+from quillmark.operators import corpus, inference, metrics, splits
 from quillmark.operators import models as operators
 from quillmark.plans.base import query, r6, samples, table
 from quillmark.plans.corpus import _z
 from quillmark.sources.connectors import scratch
 
-_EMB = 8
-
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(key, y, generator, fold, x): the first components of the embeddings
-    plus a weak signal of the label, so that a model can learn something."""
+    """(key, y, generator, fold, x, features): whole embeddings, the class and
+    the generator that the table's label and key stand for."""
     e = table(spark, sf_dir, "embeddings")
-    y = F.col("label") % 3
     rows = e.select(
         F.col("vec_id").alias("key"),
-        y.cast("double").alias("y"),
+        (F.col("label") % 3).cast("double").alias("y"),
         F.when(F.col("vec_id") % 4 == 0, "human").when(F.col("vec_id") % 4 == 1, "qwen").when(F.col("vec_id") % 4 == 2, "gpt4o_mini").otherwise("claude_sonnet5").alias("generator"),
         (F.col("vec_id") % 3).cast("int").alias("fold"),
-        F.concat(F.transform(F.slice("embedding", 1, _EMB - 3), lambda v: v.cast("double")), F.array(*(F.when(y == c, 0.3).otherwise(0.0) + F.get("embedding", F.lit(10 + c)).cast("double") for c in range(3)))).alias("x"),
+        F.transform("embedding", lambda v: v.cast("double")).alias("x"),
     )
     return operators.vectors(rows)
 
 
+def _width(rows: DataFrame) -> int:
+    return rows.select(F.size("x")).first()[0]
+
+
 def _logreg():
-    return operators.estimator("logreg", _EMB, maxIter=20)
+    return operators.estimator("logreg", 0)
 
 
 def _forest():
-    return operators.estimator("forest", _EMB, numTrees=8, maxDepth=4)
+    return operators.estimator("forest", 0)
+
+
+def _parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows to fit on, and held-out rows."""
+    return rows.filter("key % 5 <> 0"), rows.filter("key % 5 = 0")
 
 
 @query()
 def mod01_factory_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    oof = operators.out_of_fold(matrix(spark, sf_dir), _logreg)
-    return operators.calibrated(oof, operators.calibrators(oof)).select("key", "y", "yhat", "p_0", "p_1", "p_2")
+    train, test = _parts(matrix(spark, sf_dir))
+    return operators.calibrated_cv(train, test, _logreg, "key")
 
 
 @query()
 def mod02_estimators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = matrix(spark, sf_dir)
-    parts = [operators.scored(operators.estimator(n, _EMB, **p).fit(rows), rows).select(F.lit(n).alias("model"), "y", "yhat") for n, p in (("logreg", {"maxIter": 10}), ("forest", {"numTrees": 5}), ("boosting", {"maxIter": 2}), ("mlp", {"maxIter": 5}))]
+    train, test = _parts(matrix(spark, sf_dir))
+    n = _width(train)
+    parts = [operators.scored(operators.estimator(name, n).fit(train), test).select(F.lit(name).alias("model"), "y", "yhat") for name in ("logreg", "forest", "boosting", "mlp")]
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
@@ -68,8 +75,18 @@ def mod04_isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mod05_stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = matrix(spark, sf_dir)
-    return operators.stacked(rows.filter("key % 5 <> 0"), rows.filter("key % 5 = 0"), {"logreg": _logreg, "forest": _forest}, "key").select("key", "y", "yhat", "p_0", "p_1", "p_2")
+    train, test = _parts(matrix(spark, sf_dir))
+    n = _width(train)
+    makes = {name: (lambda name=name: operators.estimator(name, n)) for name in ("logreg", "forest", "mlp")}
+    return operators.stacked(train, test, makes, "key").select("key", "y", "yhat", "p_0", "p_1", "p_2")
+
+
+@query()
+def mod06_stacking_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = _parts(matrix(spark, sf_dir))
+    config = {"common": {"maxIter": 20}, "logreg": {"regParam": 0.1}, "mlp": {"maxIter": 10}, "stacking": {"base_models": ["logreg", "mlp"], "meta_learner": "logreg", "passthrough": True}}
+    makes, meta, passthrough = operators.stacking_from_config(config, _width(train))
+    return operators.stacked(train, test, makes, "key", meta_make=meta, passthrough=passthrough).select("key", "y", "yhat", "p_0", "p_1", "p_2")
 
 
 @query()
@@ -101,12 +118,34 @@ def mod10_save_and_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operators.scored(LogisticRegressionModel.load(path), rows).select("key", "yhat")
 
 
+def _macro_f1(rows: DataFrame) -> float:
+    return metrics.summary(rows).first().macro_f1
+
+
 @query()
 def mod11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = operators.search(matrix(spark, sf_dir), "logreg", _EMB, lambda r: metrics.summary(r).first().macro_f1, {"regParam": [0.01, 0.1], "maxIter": [10]})
+    rows = matrix(spark, sf_dir)
+    found = operators.search(rows, "logreg", _width(rows), _macro_f1, trials=3)
     return spark.createDataFrame([(str(sorted(p.items())), float(s)) for p, s in found], "params string, score double")
 
 
+@query()
+def mod12_search_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(name, trial, key, str(value)) for name in operators.SEARCH_SPACE for trial in range(5) for key, value in operators.suggested(name, trial).items()]
+    return spark.createDataFrame(rows, "model string, trial int, param string, value string")
+
+
+@query()
+def mod14_tune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best setting of a study, written and read back as JSON."""
+    import json
+
+    rows, path = matrix(spark, sf_dir), scratch(spark, "tuned")
+    best, score = operators.search(rows, "logreg", _width(rows), _macro_f1, trials=2)[0]
+    spark.createDataFrame([(json.dumps({"model": "logreg", "params": best, "score": score}),)], "value string").write.text(path)
+    return spark.read.text(path).select(F.from_json("value", "model string, params map<string,string>, score double").alias("r")).select("r.*").select("model", F.to_json("params").alias("params"), "score")
+
+
 @query()
 def mod13_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = matrix(spark, sf_dir).filter("key % 5 <> 0")
@@ -114,45 +153,53 @@ def mod13_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.summary(operators.scored(_logreg().fit(even), matrix(spark, sf_dir).filter("key % 5 = 0")))
 
 
-def _phi(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: A linear model given by its weights, so that both engines explain the same.
+_WEIGHT_SQL = "CASE WHEN i % 3 = 0 THEN 0.5 WHEN i % 3 = 1 THEN -1.0 ELSE 2.0 END"
+
+
+def _phi(spark: SparkSession, sf_dir: str, fitted: bool = True) -> DataFrame:
+    """Attributions of class 1's score by a fitted model, or by given weights."""
     rows = matrix(spark, sf_dir)
-    model = _logreg().fit(rows)
-    weights = model.coefficientMatrix.toArray()[1].tolist()
+    n = _width(rows)
+    weights = operators.unwrapped(_logreg().fit(rows)).coefficientMatrix.toArray()[1].tolist() if fitted else [(0.5, -1.0, 2.0)[i % 3] for i in range(n)]
     means = [r.m for r in rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).orderBy("i").collect()]  # a row for each feature
-    names = [f"dim_{i}" for i in range(_EMB)]
-    return operators.linear_attribution(rows.select("key", "generator", "x"), weights, means, names, "x", "key").join(rows.select("key", "generator"), "key")
+    return operators.linear_attribution(rows.select("key", "x"), weights, means, [f"dim_{i}" for i in range(n)], "x", "key")
 
 
-_XAI = """e AS (SELECT vec_id, embedding FROM embeddings), w AS (SELECT unnest([0, 1, 2]) AS i, unnest([0.5, -1.0, 2.0]) AS w), x AS (SELECT vec_id, i, w, CAST(embedding[i + 1] AS DOUBLE) AS x FROM e, w),
- m AS (SELECT i, avg(x) AS m FROM x GROUP BY 1)"""
+_XAI = f"""x AS (SELECT vec_id, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT i, avg(x) AS m FROM x GROUP BY 1),
+ phi AS (SELECT vec_id, i, ({_WEIGHT_SQL}) * (x - m) AS phi FROM x JOIN m USING (i))"""
 
 
-@query(f"WITH {_XAI} SELECT vec_id AS key, 'dim_' || i AS feature, round(w * (x - m), 6) AS phi FROM x JOIN m USING (i)")
+@query(f"WITH {_XAI} SELECT vec_id AS key, 'dim_' || i AS feature, round(phi, 6) AS phi FROM phi")
 def xai02_linear_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _unrounded(spark, sf_dir).select("key", "feature", r6(F.col("phi")).alias("phi"))
+    return _phi(spark, sf_dir, False).select("key", "feature", r6(F.col("phi")).alias("phi"))
 
 
 @query()
-def xai03_local_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _phi(spark, sf_dir).filter("key < 10").select("key", "feature", "phi")
+def xai01_unwrapped_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributions through a pipeline's first inner model."""
+    from pyspark.ml import Pipeline
 
+    rows = matrix(spark, sf_dir)
+    inner = operators.unwrapped(Pipeline(stages=[_logreg()]).fit(rows))
+    return spark.createDataFrame([(i, float(w)) for i, w in enumerate(inner.coefficientMatrix.toArray()[1])], "i int, weight double")
 
-@query(f"WITH {_XAI} SELECT 'dim_' || i AS feature, round(avg(abs(w * (x - m))), 6) AS importance FROM x JOIN m USING (i) GROUP BY 1 ORDER BY 2 DESC LIMIT 20")
-def xai04_global_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operators.importance(_unrounded(spark, sf_dir)).orderBy(F.desc("importance")).limit(20).select("feature", r6(F.col("importance")).alias("importance"))
 
+@query()
+def xai03_local_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _phi(spark, sf_dir).select("key", "feature", "phi")
 
-def _unrounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double")).alias("x"))
-    means = [r.m for r in rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).orderBy("i").collect()]  # 3 rows
-    return operators.linear_attribution(rows, [0.5, -1.0, 2.0], means, ["dim_0", "dim_1", "dim_2"], "x", "key")
+
+@query(f"WITH {_XAI} SELECT 'dim_' || i AS feature, round(avg(abs(phi)), 6) AS importance FROM phi GROUP BY 1 ORDER BY avg(abs(phi)) DESC LIMIT 20")
+def xai04_global_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return operators.importance(_phi(spark, sf_dir, False)).orderBy(F.desc("importance")).limit(20).select("feature", r6(F.col("importance")).alias("importance"))
 
 
 @query()
 def xai05_consistent_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_generator = operators.importance(_phi(spark, sf_dir), "generator")
+    by_generator = operators.importance(_phi(spark, sf_dir).join(matrix(spark, sf_dir).select("key", "generator"), "key"), "generator")
     ranked = by_generator.withColumn("rank", F.rank().over(Window.partitionBy("generator").orderBy(F.desc("importance"))))
-    return operators.consistent(ranked, "generator", 4)
+    return operators.consistent(ranked, "generator", 20)
 
 
 @query()
@@ -160,22 +207,25 @@ def xai06_class_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operators.importance(_phi(spark, sf_dir))
 
 
+def _built(spark: SparkSession, sf_dir: str, variant: str) -> str:
+    """Artefacts of a variant, fitted on the samples outside the holdout."""
+    folder = scratch(spark, "artefacts")
+    inference.build(samples(spark, sf_dir).filter("NOT holdout"), folder, variant)
+    return folder
+
+
 @query()
 def inf01_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predict(spark, samples(spark, sf_dir))
+    """All texts, without their labels, through saved artefacts."""
+    engine = inference.get_engine(spark, _built(spark, sf_dir, "production"))
+    return engine.predict(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "label", "probabilities", "token_count", "sentence_count", "burstiness", "warnings")
 
 
-def predict(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Texts to label, probabilities, features and warnings: the same feature
-    functions as in training, a model fitted on the human / machine labels."""
-    base = [f for f in ("ttr", "mean_word_len", "entropy_1gram", "burstiness", "double_space_rate", "atesman")]
-    rows = features.row_features(docs).select("doc_id", "label", F.size("tokens").alias("token_count"), *base)
-    scaled = corpus.standardize(rows, base).withColumn("y", F.when(F.col("label") == "human", 0.0).when(F.col("label") == "ai_raw", 1.0).otherwise(2.0)).withColumn("x", F.array(*base))
-    scaled = operators.vectors(scaled)
-    done = operators.scored(_logreg().fit(scaled), scaled)
-    names = F.array(F.lit("human"), F.lit("ai_raw"), F.lit("ai_humanized"))
-    warnings = F.filter(F.array(F.when(F.col("token_count") < 30, "too short"), F.when(F.col("token_count") > 1.5 * 850, "too long")), lambda w: w.isNotNull())
-    return done.select("doc_id", F.get(names, F.col("yhat")).alias("label"), F.map_from_arrays(names, F.array("p_0", "p_1", "p_2")).alias("probabilities"), warnings.alias("warnings"))
+@query()
+def src22_artefacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_built(spark, sf_dir, 'production')}/production"
+    scaler, residuals = spark.read.parquet(f"{path}/scaler"), spark.read.parquet(f"{path}/length_residualizer")
+    return scaler.join(residuals, "feature").select("feature", "centre", "scale", "slope", "intercept")
 
 
 @query()
@@ -203,9 +253,11 @@ def eva10_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def eva11_calibration_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    oof = operators.out_of_fold(matrix(spark, sf_dir), _forest)
-    after = operators.calibrated(oof, operators.calibrators(oof))
-    return metrics.compared(metrics.brier(oof).withColumnRenamed("brier", "value"), metrics.brier(after).withColumnRenamed("brier", "value"), "class")
+    """Brier scores of held-out rows, with and without calibration."""
+    train, test = _parts(matrix(spark, sf_dir))
+    before = operators.scored(_forest().fit(train), test)
+    after = operators.calibrated_cv(train, test, _forest, "key")
+    return metrics.compared(metrics.brier(before).withColumnRenamed("brier", "value"), metrics.brier(after).withColumnRenamed("brier", "value"), "class")
 
 
 @query()
@@ -216,8 +268,7 @@ def eva17_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def inf02_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One model for each variant (flat, binary), kept by name."""
-    rows = matrix(spark, sf_dir)
-    variants = {"flat": rows, "binary": rows.withColumn("y", (F.col("y") > 0).cast("double"))}
-    parts = [operators.scored(_logreg().fit(r), r, 2).select(F.lit(n).alias("variant"), "key", "yhat") for n, r in variants.items()]
+    """The texts through the engine of each variant."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = [inference.get_engine(spark, _built(spark, sf_dir, v), v).predict(docs).select(F.lit(v).alias("variant"), "doc_id", "label") for v in inference.VARIANTS]
     return parts[0].unionByName(parts[1])

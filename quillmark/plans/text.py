@@ -25,6 +25,76 @@ def src03_read_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connectors.read_parquet(spark, f"{sf_dir}/documents.parquet", ["doc_id", "lang"]).filter("lang = 'de'")
 
 
+@query("SELECT doc_id, text, lang FROM documents")
+def src02_write_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = connectors.scratch(spark, "written")
+    rows = _docs(spark, sf_dir).select("doc_id", "text", "lang")
+    connectors.write_jsonl(rows, path)
+    return spark.read.text(path).select(F.from_json("value", rows.schema).alias("r")).select("r.*")
+
+
+@query("SELECT doc_id, text, lang FROM documents")
+def src04_write_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = connectors.scratch(spark, "written")
+    connectors.write_parquet(_docs(spark, sf_dir).select("doc_id", "text", "lang"), path, ("lang",))
+    return connectors.read_parquet(spark, path, ["doc_id", "text", "lang"])
+
+
+@query("SELECT doc_id, replace(text, chr(13), '') AS text FROM documents WHERE text IS NOT NULL")
+def src05_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as Word files, and their text back."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    @F.udf("binary")
+    def word_file(text: str) -> bytes:
+        space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+        body = "".join(f"<w:p><w:r><w:t>{escape(line)}</w:t></w:r></w:p>" for line in text.replace("\r", "").split("\n"))
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as archive:
+            archive.writestr("word/document.xml", f'<w:document xmlns:w="{space}"><w:body>{body}</w:body></w:document>')
+        return held.getvalue()
+
+    files = _docs(spark, sf_dir).filter("text IS NOT NULL").select(F.format_string("%d.docx", "doc_id").alias("path"), word_file("text").alias("content"))
+    return connectors.extract_text(files).select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("doc_id"), "text")
+
+
+@query("SELECT DISTINCT lang || '.txt' AS name FROM documents ORDER BY 1")
+def src06_supported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = connectors.scratch(spark, "files")
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in _docs(spark, sf_dir).select("lang").distinct().collect():  # a row for each language
+        for name in (f"{row.lang}.txt", f"{row.lang}.csv"):
+            held = files.create(spark._jvm.org.apache.hadoop.fs.Path(path, name))
+            held.writeBytes(name)
+            held.close()
+    return connectors.supported_files(spark, path).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"))
+
+
+#: Pages of a harvest made of the pages table: ten records each, the number of
+#: the next page as token, none on the last.
+@query("""WITH p AS (SELECT page_id, url, page_id // 10 AS n FROM pages) SELECT 'oai:' || page_id AS identifier, CASE WHEN page_id % 7 = 0 THEN 'deleted' END AS status, 'tr' AS language, url,
+ CASE WHEN n < (SELECT max(n) FROM p) THEN CAST(n + 1 AS VARCHAR) END AS next_token FROM p""")
+def src11_harvest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.floor(F.col("page_id") / 10).alias("n"))
+    last = p.agg(F.max("n").alias("last"))
+    safe = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    status = F.when(F.col("page_id") % 7 == 0, ' status="deleted"').otherwise("")
+    record = F.concat(F.lit("<record><header"), status, F.lit("><identifier>oai:"), F.col("page_id").cast("string"), F.lit("</identifier></header><metadata><language>tr</language><identifier>"), safe, F.lit("</identifier></metadata></record>"))
+    token = F.when(F.col("n") < F.col("last"), (F.col("n") + 1).cast("string")).otherwise("")
+    pages = p.groupBy("n").agg(F.array_join(F.collect_list(record), "").alias("records")).crossJoin(F.broadcast(last))  # ten records a page; one row
+    saved = pages.select(F.concat(F.lit("<OAI-PMH><ListRecords>"), "records", F.lit("<resumptionToken>"), token, F.lit("</resumptionToken></ListRecords></OAI-PMH>")).alias("xml"))
+    return connectors.oai_records(saved, "xml").select("identifier", "status", "language", "url", "next_token")
+
+
+@query("SELECT '| ' || lang || ' | ' || count(*) || ' |' AS line FROM documents GROUP BY lang")
+def src21_markdown_and_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = connectors.scratch(spark, "table")
+    connectors.write_csv(_docs(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n")), path)
+    return connectors.markdown(spark.read.option("header", "true").csv(path))
+
+
 #: Oracle form of chunking by sentence packing over pieces without look-behind.
 @query()
 def src07_collect_from_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,9 +118,9 @@ def src12_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operators.candidates(table(spark, sf_dir, "pages"), "en", 500)
 
 
-@query('''SELECT page_id, regexp_extract(html, 'href="(/[^"]*)"', 1) AS link, split_part(split_part(url, '/en/', 1), '/tr/', 1) AS base FROM pages WHERE regexp_matches(html, 'href="/[^"]*"')''')
+@query('''SELECT page_id, split_part(split_part(url, '/en/', 1), '/tr/', 1) || '/en/' || regexp_extract(html, '/[A-Z][a-z]+', 0) AS link FROM pages WHERE regexp_matches(html, '/[A-Z][a-z]+')''')
 def src13_first_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operators.first_link(table(spark, sf_dir, "pages"), r'href="(/[^"]*)"')
+    return operators.first_link(table(spark, sf_dir, "pages"), r"/[A-Z][a-z]+")
 
 
 @query(r"SELECT split_part(sample_id, '_', 1) AS kind, max(CAST(regexp_extract(sample_id, '_(\d+)$', 1) AS BIGINT)) + 1 AS next_id, count(DISTINCT source) AS sources FROM samples GROUP BY 1".replace("SELECT split", f"WITH {SAMPLES_SQL} SELECT split", 1))

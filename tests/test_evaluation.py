@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.operators import metrics, splits
-from quillmark.operators.text import numbered
+from quillmark.operators.ordered import numbered, placed, quantiles, running_sums
 from quillmark.sources import connectors
 from quillmark.streaming import events
 
@@ -46,6 +46,9 @@ def test_groups_stay_in_one_fold(spark):
     folds = splits.grouped_folds(rows, "g", "label", 5)
     assert folds.groupBy("g").agg(F.count_distinct("fold").alias("n")).filter("n > 1").count() == 0
     assert folds.count() == 200
+    rare = spark.createDataFrame([(i, f"g{i // 3}", "a" if i < 240 else None) for i in range(300)], "k int, g string, label string")
+    shares = splits.grouped_folds(rare, "g", "label", 5).groupBy("fold").agg(F.count("*").alias("n"), F.count_if(F.col("label").isNull()).alias("b")).collect()
+    assert [(r.n, r.b) for r in shares] == [(60, 12)] * 5
 
 
 def test_connected_chain(spark):
@@ -82,3 +85,25 @@ def test_sources(spark):
     assert sorted(r.prompt for r in connectors.prompts(lines, "line").collect()) == ["a", "b"]
     with pytest.raises(ValueError):
         connectors.read_texts(spark, "/nowhere", "*.pdf")
+
+
+def test_places_sums_and_quantiles_by_group(spark):
+    rows = [(None if i % 3 == 0 else i % 3, i * 7 % 50, i) for i in range(50)]
+    df = spark.createDataFrame(rows, "g int, x int, k int").repartition(4)
+    want = {}
+    for g, x, k in sorted(rows, key=lambda r: r[1]):
+        want.setdefault(g, []).append((x, k))
+    got = placed(df, ["g"], "x").collect()
+    assert all(want[r.g][r.n] == (r.x, r.k) for r in got) and len(got) == 50
+    sums = {(r.g, r.x): r.sum_k for r in running_sums(df, ["g"], "x", "k").collect()}
+    for g, held in want.items():
+        total = 0
+        for x, k in held:
+            total += k
+            assert sums[(g, x)] == total
+    known = df.filter("g IS NOT NULL").withColumn("x", F.col("x").cast("double"))
+    found = {r.g: r.q for r in quantiles(known, "g", "x", [0.0, 0.3, 0.5, 1.0]).collect()}
+    import numpy as np
+
+    for g in (1, 2):
+        assert found[g] == pytest.approx(np.quantile([x for x, _ in want[g]], [0.0, 0.3, 0.5, 1.0]).tolist())

@@ -1,6 +1,7 @@
 """Text, feature and corpus functions on inline rows."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -97,13 +98,34 @@ def test_orthography_and_readability(spark):
 def test_coherence(spark):
     got = column(spark, [["kedi süt içti", "kedi uyudu"], ["tek"], ["ve", "bu"]], "array<string>", stylometry.lexical_coherence(F.col("v")))
     assert got == [pytest.approx(1 / 4), None, None]
+    got = column(spark, [['Kedi " geldi.', 'Kedi " gitti.'], ["(a) b", "a ()"]], "array<string>", stylometry.lexical_coherence(F.col("v")))
+    assert got == [pytest.approx(1 / 3), 0.0]
+
+
+def depths(parse):
+    """Hops to a word without head; a hop back to a word seen before is the last."""
+    heads = dict(parse)
+    out = []
+    for word, _ in parse:
+        hops, seen, at = 0, {word}, word
+        while heads.get(at, 0):
+            hops, at = hops + 1, heads[at]
+            if at in seen:
+                break
+            seen.add(at)
+        out.append(hops)
+    return out
 
 
 def test_depths_use_one_map_and_stop_at_cycles(spark):
-    parse = [[(1, 2), (2, 0), (1, 0), (2, 3), (3, 2)]]
-    rows = [[(i, "w", "w", "NOUN", h, "dep") for i, h in parse[0]]]
+    rnd = random.Random(9)
+    parses = [[(1, 2), (2, 0), (1, 0), (2, 3), (3, 2)], [(1, 1), (2, 1)], [(i, i - 1) for i in range(1, 101)], [(2, 7), (5, 2)], []]
+    for _ in range(30):
+        n = rnd.randrange(1, 12)
+        parses.append([(i, rnd.randrange(0, n + 1)) for _ in range(rnd.choice([1, 2])) for i in range(1, n + 1)])
+    rows = [[(i, "w", "w", "NOUN", h, "dep") for i, h in parse] for parse in parses]
     got = column(spark, rows, annotate.PARSE, annotate.word_depths(F.col("v")))
-    assert got == [[0, 1, 0, 1, 1]]
+    assert got == [depths(p) for p in parses] and max(got[2]) == 99
 
 
 def test_scaling(spark):
