@@ -12,15 +12,17 @@ every letter a letter of its case (cards, phones, mail names, IBANs).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.spans import matches
+from quillmark.llm.spans import matches, running
 
 ROUNDS = 8
-KEY = "quillmark"
+#: Digits at the end of a telephone number that are permuted (all, if fewer).
+PHONE_DIGITS = 10
 
 #: Characters of an IBAN by country (SWIFT registry; fixed values).
 IBAN_LENGTHS = {
@@ -57,7 +59,12 @@ def _rounds() -> Column:
 
 
 def _hash(key: str, kind: str, number: Column, *parts: Column) -> Column:
-    return F.sha2(F.concat_ws("\x1f", F.lit(f"{key}\x1f{kind}"), number.cast("string"), *parts), 256)
+    """HMAC-SHA-256 (RFC 2104) of the round and what it depends on, in hex."""
+    block = key.encode()
+    block = (hashlib.sha256(block).digest() if len(block) > 64 else block).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    message = F.concat_ws("\x1f", F.lit(kind), number.cast("string"), *parts).cast("binary")
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256)
 
 
 def _residue(digest: Column, modulus: int) -> Column:
@@ -261,8 +268,14 @@ def _email(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    country = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)  # a code set off by a sign stays
-    return F.concat(country, _feistel_string(F.substring(value, F.length(country) + 1, F.length(value)), key, "phone"))
+    """The last digits are permuted by themselves, so every notation of a
+    number, with its country's code or without, has the same ones."""
+
+    def made(digits: Column) -> Column:
+        head = F.greatest(F.length(digits) - PHONE_DIGITS, F.lit(0))
+        return F.concat(F.substring(digits, F.lit(1), head), _feistel_string(F.substring(digits, head + 1, F.length(digits)), key, "phone"))
+
+    return _poured(value, _each(_digits(value), made))
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -285,7 +298,7 @@ def _valid(kind: str, value: Column) -> Column:
 _MAKERS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "iban": _iban, "phone": _phone, "card": _card}
 
 
-def with_pseudonyms(docs: DataFrame, key: str = KEY) -> DataFrame:
+def with_pseudonyms(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with ``_pii``: array<struct<gap, kind, hit, made>> of the
     matches of a text without nulls; kind is null where a match isn't valid."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -309,8 +322,8 @@ def with_pseudonyms(docs: DataFrame, key: str = KEY) -> DataFrame:
     return staged.withColumn("_pii", F.transform("_pii", made))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """doc_id, text with pseudonyms, n_found, and found (kind, place and
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """Under a secret key: doc_id, text with pseudonyms, n_found, and found (kind, place and
     pseudonym of every value; place is the code point where the value began).
 
     Null texts stay null, with nothing found; matches that aren't valid values
@@ -318,21 +331,20 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     other; other columns are ignored; an empty table gives no rows.
     """
     found = with_pseudonyms(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), key)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,made:string>>").alias("out"))
-
-    def step(s: Column, m: Column) -> Column:
-        low = s["at"] + F.length(m["gap"])
+    def step(at: Column, m: Column) -> tuple[Column, Column]:
+        low = at + F.length(m["gap"])
         high = low + F.length(m["hit"])
         one = F.array(F.struct(m["kind"].alias("kind"), low.alias("start"), high.alias("end"), m["made"].alias("made")))
-        return F.struct(high.alias("at"), F.when(m["kind"].isNull(), s["out"]).otherwise(F.concat(s["out"], one)).alias("out"))
+        return high, F.filter(one, lambda x: x["kind"].isNotNull())
 
-    end = F.aggregate("_pii", start, step)
-    staged = found.withColumn("_end", end)
-    rest = F.substring(F.col("text"), F.col("_end.at") + 1, F.length("text"))
+    places = running(F.col("_pii"), "struct<kind:string,start:int,end:int,made:string>", step)
+    size = F.aggregate("_pii", F.lit(0), lambda n, m: n + F.length(m["gap"]) + F.length(m["hit"]))
+    staged = found.withColumns({"_found": places, "_size": size})
+    rest = F.substring(F.col("text"), F.col("_size") + 1, F.length("text"))
     joined = F.concat(F.array_join(F.transform("_pii", lambda m: F.concat(m["gap"], m["made"])), ""), rest)
     return staged.select(
         "doc_id",
         F.when(F.size("_pii") == 0, F.col("text")).otherwise(joined).alias("text"),
-        F.size("_end.out").cast("long").alias("n_found"),
-        F.col("_end.out").alias("found"),
+        F.size("_found").cast("long").alias("n_found"),
+        F.col("_found").alias("found"),
     )

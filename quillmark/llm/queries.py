@@ -50,7 +50,8 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(read_table(spark, sf_dir, "documents"))
+    # the tables are made up; real ones need a secret in the session's configuration
+    return pii.pseudonymise(read_table(spark, sf_dir, "documents"), spark.conf.get("spark.quillmark.pii.key", "key of the test tables"))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
