@@ -12,13 +12,15 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Public license notices (fixed values), by SPDX identifier.
+#: Public license notices (fixed values), by SPDX identifier; BSD stands for the
+#: notice whose clauses are not shown.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -29,10 +31,15 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     ),
-    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.", "Licensed under the Simplified BSD License."),
+    "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
+    "BSD-2-Clause": (
+        "Licensed under the BSD 2-Clause License.",
+        "Licensed under the Simplified BSD License.",
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    ),
     "BSD-3-Clause": (
         "Licensed under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
     ),
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
@@ -55,13 +62,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 #: Words that tell licenses apart (fixed values); all numbers do as well.
 TELLING = frozenset(
-    "apache mit bsd gnu general lesser affero public mozilla isc cc cc0 by sa nc nd by-sa by-nc by-nd by-nc-sa by-nc-nd creative commons attribution sharealike noncommercial noderivatives simplified clause 2-clause 3-clause free unencumbered domain universal".split()
+    "apache mit bsd gnu general lesser affero public mozilla isc cc cc0 by sa nc nd by-sa by-nc by-nd by-nc-sa by-nc-nd creative commons attribution sharealike noncommercial noderivatives simplified clause 2-clause 3-clause free unencumbered domain universal neither endorse promote".split()
 )
 CUE = r"(?i)licen[cs]e|permission is hereby|redistribution and use|creative commons|public domain|copyright"
-#: Lines of one block at most, templates whose wording is compared, share of
-#: the template's words that must be there.
-BLOCK_LINES = 12
-RANKED = 6
+#: Share of the template's words that must be there.
 LEAST_SHARE = 0.8
 
 _WORD = re.compile(r"[0-9]+(?:\.[0-9]+)*|[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*")
@@ -77,9 +81,8 @@ WORDS_AFTER = 20 + max(len(_words(t)) for texts in TEMPLATES.values() for t in t
 
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of candidate blocks: each line with a cue; where such
-    lines stand near each other, the run from the first to the last; and round
-    each the lines that a wrapped notice may go on in."""
+    """(start, end) of candidate blocks: each line with a cue, and round it the
+    lines that the longest notice, wrapped, may go on in."""
     cue = re.compile(CUE)
     lines = [(m.start(), m.end()) for m in re.finditer(r"[^\n]+", text)]
     marked = [i for i, (a, b) in enumerate(lines) if cue.search(text, a, b)]
@@ -90,7 +93,6 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
             sizes[i] = len(_WORD.findall(text, *lines[i]))
         return sizes[i]
 
-    run: list[int] = []
     for i in marked:
         yield lines[i]
         low, high, before, after = i, i, 0, size(i)
@@ -102,14 +104,6 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
             after += size(high)
         if low < high:
             yield lines[low][0], lines[high][1]
-        if run and i - run[-1] <= 2 and i - run[0] < BLOCK_LINES:
-            run.append(i)
-        else:
-            if len(run) > 1:
-                yield lines[run[0]][0], lines[run[-1]][1]
-            run = [i]
-    if len(run) > 1:
-        yield lines[run[0]][0], lines[run[-1]][1]
 
 
 class _Matcher:
@@ -117,11 +111,12 @@ class _Matcher:
         import zstandard
 
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
-        self.templates = []
+        self.templates, self.counts = [], []
         for name, texts in TEMPLATES.items():
             for text in texts:
                 low = text.lower()
                 data = zstandard.ZstdCompressionDict(low.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                self.counts.append(Counter(_words(text)))
                 self.templates.append((name, _words(text), zstandard.ZstdCompressor(level=3, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)))
 
     def _pieces(self, block: str) -> Iterator[tuple[int, str]]:
@@ -141,10 +136,14 @@ class _Matcher:
             alone = len(self.plain.compress(data))
             ranked = sorted(((alone - len(c.compress(data)), i) for i, (_, _, c) in enumerate(self.templates)), key=lambda x: (-x[0], x[1]))
             words = _words(piece)
-            for saved, i in ranked[:RANKED]:
+            held = Counter(words)
+            for saved, i in ranked:
                 name, wanted, _ = self.templates[i]
                 if saved <= 0:
                     break
+                # matched words are no more than the words in common, in any order
+                if sum(min(n, held[w]) for w, n in self.counts[i].items()) < LEAST_SHARE * len(wanted):
+                    continue
                 where = self._confirmed(words, wanted)
                 if where is not None:
                     marks = [m.span() for m in _WORD.finditer(piece.lower())]
@@ -189,7 +188,9 @@ def licenses(docs: DataFrame) -> DataFrame:
                 for a, b, name, saved in matcher.match(text[low:high].replace("\n", " ")):  # wrapped sentences are whole
                     key = (low + a, low + b, name)
                     found[key] = max(saved, found.get(key, 0.0))
-            inner = [k for k in found if not any(o != k and o[2] == k[2] and o[0] >= k[0] and o[1] <= k[1] for o in found)]
+            # of one license the narrowest place; what a fuller notice of the family holds is part of that
+            family = [k for k in found if not any(o[2] != k[2] and o[2].startswith(f"{k[2]}-") and o[0] <= k[0] and o[1] >= k[1] for o in found)]
+            inner = [k for k in family if not any(o != k and o[2] == k[2] and o[0] >= k[0] and o[1] <= k[1] for o in family)]
             out.append([{"license": k[2], "start": k[0], "end": k[1], "saved": found[k]} for k in sorted(inner)])
         kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("saved", pa.float64())]))
         return pa.array(out, kind)
