@@ -211,7 +211,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_on, sample: int = SA
 
 def train(docs: DataFrame, labels: DataFrame, train_on, sample: int = SAMPLE, weight: float = COUNTERFACTUAL_WEIGHT):
     """Scoring column function fitted on a bounded sample."""
-    found = _features(training_rows(docs, labels, train_on, sample)).toLocalIterator()
+    found = materialize(_features(training_rows(docs, labels, train_on, sample)), "features").toLocalIterator()
     weights, bias = fit([(r.toxic, bytes(r.features), None if r.swapped is None else bytes(r.swapped)) for r in found], weight)
     return scorer(docs.sparkSession, weights, bias)
 
