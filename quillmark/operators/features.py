@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import annotate, arrays, cleaning, stylometry
+from quillmark.sources.connectors import scratch
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -167,7 +168,10 @@ def row_features(docs: DataFrame) -> DataFrame:
 def all_features(samples: DataFrame, enabled: tuple[str, ...] = FEATURES) -> DataFrame:
     """doc_id, sample_id, label and the enabled features, in their order.  The
     references are taken from the human samples."""
-    rows = row_features(samples)
+    spark, path = samples.sparkSession, scratch(samples.sparkSession, "rows")
+    computed = row_features(samples)
+    computed.select("doc_id", "sample_id", "label", "tokens", "counts", "depths", *(c for c in FEATURES if c in computed.columns)).write.parquet(path)
+    rows = spark.read.parquet(path)  # texts are parsed once, whatever reads the rows
     human = rows.filter("label = 'human'")
     scalars = human.agg(F.avg("conjunction_density").alias("ref_density")).crossJoin(human.select(F.explode("depths").alias("x")).agg(F.avg("x").alias("ref_depth")))
     rows = rows.crossJoin(F.broadcast(scalars)).withColumn("syntactic_depth_shift", F.col("mean_dep_depth") - F.col("ref_depth")).withColumn("conjunction_deviation", stylometry.deviation(F.col("conjunction_density"), F.col("ref_density")))  # one row
