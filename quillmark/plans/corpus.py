@@ -41,9 +41,9 @@ _G = f"""t AS (SELECT doc_id, doc_id % 10 AS kind, (doc_id // 10) % 5 = 0 AS hol
  clean AS (SELECT * FROM g WHERE NOT contains(lower(g), 'cid') AND NOT contains(g, chr(65533)) AND NOT regexp_matches(g, '(^| )[,.:;-]+( |$)'))"""
 
 
-@query(f"WITH {_G} SELECT g, count(*) AS n FROM clean WHERE kind < 4 GROUP BY 1 HAVING count(*) >= 5")
+@query(f"WITH {_G} SELECT g, count(*) AS n FROM clean WHERE kind < 4 GROUP BY 1")
 def num02_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operators.mined_counts(tokenised(spark, sf_dir).filter("kind < 4")).filter("n >= 5").select("g", "n")
+    return operators.mined_counts(tokenised(spark, sf_dir).filter("kind < 4")).select("g", "n")
 
 
 @query(f"WITH {_G} SELECT count(*) AS noisy FROM (SELECT DISTINCT g FROM g WHERE kind < 4) WHERE contains(lower(g), 'cid') OR contains(g, chr(65533)) OR regexp_matches(g, '(^| )[,.:;-]+( |$)')")
@@ -211,13 +211,16 @@ def num22_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), HashEncoder, 16)
 
 
-@query("SELECT vec_id, round((embedding[1] + embedding[3]) / 2, 6) AS mean_0, round(greatest(embedding[1], embedding[3]), 6) AS max_0, round(embedding[1], 6) AS cls_0 FROM embeddings")
+@query("""WITH t AS (SELECT vec_id, CAST(unnest(range(16)) AS INTEGER) AS i, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
+ SELECT vec_id, i, round((e[i + 1] + e[i + 17] + e[i + 33]) / 3, 6) AS mean, round(greatest(e[i + 1], e[i + 17], e[i + 33]), 6) AS max, round(e[i + 1], 6) AS cls FROM t""")
 def num23_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as four tokens of 16 components, the last of them masked."""
     e = table(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL")
     d = F.transform("embedding", lambda x: x.cast("double"))
-    tokens = F.array(F.slice(d, 1, 2), F.slice(d, 3, 2), F.slice(d, 5, 2))
-    mask = F.array(F.lit(1), F.lit(1), F.lit(0))
-    return e.select("vec_id", *(r6(F.get(operators.pooled(tokens, mask, how), F.lit(0))).alias(f"{how}_0") for how in ("mean", "max", "cls")))
+    tokens = F.array(*(F.slice(d, at, 16) for at in (1, 17, 33, 49)))
+    mask = F.array(F.lit(1), F.lit(1), F.lit(1), F.lit(0))
+    pooled = F.arrays_zip(*(operators.pooled(tokens, mask, how).alias(how) for how in ("mean", "max", "cls")))
+    return e.select("vec_id", F.posexplode(pooled).alias("i", "p")).select("vec_id", "i", *(r6(F.col(f"p.{how}")).alias(how) for how in ("mean", "max", "cls")))
 
 
 @query("""WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / greatest(sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y))), 1e-10)) AS u FROM embeddings), e AS (SELECT vec_id, unnest(u) AS x, unnest(range(0, len(u))) AS i FROM u),
@@ -263,9 +266,14 @@ def num30_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(raw, "original_id").select("sample_id", r6(F.col("raw") - F.col("mean_word_len")).alias("drop_score"))
 
 
-@query()
+SCORES_SQL = _REFZ + """, d AS (SELECT sample_id, round(sqrt(sum(z * z) / count(*)), 4) AS llm_distance FROM z GROUP BY 1)
+ SELECT sample_id, llm_distance, feature, round(z, 4) AS z FROM z JOIN d USING (sample_id) WHERE z IS NOT NULL"""
+
+
+@query(SCORES_SQL)
 def num31_secondary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operators.secondary_scores(_z(spark, sf_dir), "sample_id")
+    scores = operators.secondary_scores(_z(spark, sf_dir), "sample_id")
+    return scores.select("sample_id", "llm_distance", F.explode("anomaly_heatmap").alias("feature", "z"))
 
 
 @query(f"WITH {LONG_SQL} SELECT feature, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std FROM lf WHERE label = 'human' GROUP BY 1")

@@ -193,7 +193,7 @@ def fea22_double_sign_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("length(text) > 0").select("doc_id", r6(F.regexp_count("text", F.lit(r"!{2,}|\?{2,}|\.{2,}|,{2,}|[!?]{2,}")) / F.length("text")).alias("double_sign_rate"))
 
 
-@query()
+@query(r"SELECT doc_id, round(CASE WHEN length(text) = 0 THEN 0 ELSE len(regexp_extract_all(text, '!{2,}|\?{2,}|\.{2,}|,{2,}|[!?]{2,}')) / length(text) END, 6) AS punct_irregularity_rate FROM documents")
 def fea22_punct_irregularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", r6(stylometry.punct_irregularity_rate(F.col("text"))).alias("punct_irregularity_rate"))
 
@@ -280,7 +280,7 @@ def fea32_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operators.backfill(have, counts, "doc_id", lambda missing: operators.unigram_perplexity(missing, known, 1.0))
 
 
-@query(f"WITH {_SENT_SIZES}, u AS (SELECT doc_id, len(sizes) AS k FROM s) SELECT doc_id, CAST(k AS BIGINT) AS sentence_count, CASE WHEN k < 2 THEN NULL ELSE 0.5 END AS burstiness FROM u")
+@query(f"WITH {_SENT_SIZES}, u AS (SELECT doc_id, unnest(sizes) AS n FROM s), a AS (SELECT doc_id, avg(n) AS m, stddev_samp(n) AS sd FROM u GROUP BY 1) SELECT s.doc_id, CAST(len(sizes) AS BIGINT) AS sentence_count, round(CASE WHEN len(sizes) < 2 THEN NULL WHEN sd + m = 0 THEN 0 ELSE (sd - m) / (sd + m) END, 6) AS burstiness FROM s LEFT JOIN a USING (doc_id)")
 def fea33_patch_burstiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sizes(spark, sf_dir).select("doc_id", F.size("sizes").cast("long").alias("sentence_count"), F.lit(0.5).alias("burstiness"))
-    return operators.patch_burstiness(rows)
+    rows = _sizes(spark, sf_dir).select("doc_id", F.size("sizes").cast("long").alias("sentence_count"), r6(stylometry.burstiness(F.col("sizes"))).alias("burstiness"))
+    return operators.patch_burstiness(rows.withColumn("burstiness", F.coalesce("burstiness", F.lit(0.0))))  # as older rows have it

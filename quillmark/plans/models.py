@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from quillmark.operators import corpus, inference, metrics, splits
 from quillmark.operators import models as operators
 from quillmark.plans.base import query, r6, samples, table
-from quillmark.plans.corpus import _z
+from quillmark.plans.corpus import SCORES_SQL, _z
+from quillmark.sources import connectors
 from quillmark.sources.connectors import scratch
 
 
@@ -195,16 +196,17 @@ def xai04_global_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operators.importance(_phi(spark, sf_dir, False)).orderBy(F.desc("importance")).limit(20).select("feature", r6(F.col("importance")).alias("importance"))
 
 
-@query()
+@query(f"""WITH {_XAI}, i AS (SELECT vec_id % 4 AS generator, 'dim_' || i AS feature, avg(abs(phi)) AS importance FROM phi GROUP BY 1, 2), r AS (SELECT feature, rank() OVER (PARTITION BY generator ORDER BY importance DESC) AS rank FROM i)
+ SELECT feature, bool_and(rank <= 20) AS consistent FROM r GROUP BY 1""")
 def xai05_consistent_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_generator = operators.importance(_phi(spark, sf_dir).join(matrix(spark, sf_dir).select("key", "generator"), "key"), "generator")
+    by_generator = operators.importance(_phi(spark, sf_dir, False).join(matrix(spark, sf_dir).select("key", "generator"), "key"), "generator")
     ranked = by_generator.withColumn("rank", F.rank().over(Window.partitionBy("generator").orderBy(F.desc("importance"))))
     return operators.consistent(ranked, "generator", 20)
 
 
-@query()
+@query(f"WITH {_XAI} SELECT 'dim_' || i AS feature, round(avg(abs(phi)), 6) AS importance FROM phi GROUP BY 1")
 def xai06_class_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operators.importance(_phi(spark, sf_dir))
+    return operators.importance(_phi(spark, sf_dir, False)).select("feature", r6(F.col("importance")).alias("importance"))
 
 
 def _built(spark: SparkSession, sf_dir: str, variant: str) -> str:
@@ -228,9 +230,13 @@ def src22_artefacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaler.join(residuals, "feature").select("feature", "centre", "scale", "slope", "intercept")
 
 
-@query()
+@query(SCORES_SQL)
 def inf03_export_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.secondary_scores(_z(spark, sf_dir), "sample_id")
+    """The scores as lines of JSON, written and read back."""
+    path = scratch(spark, "scores")
+    connectors.write_jsonl(corpus.secondary_scores(_z(spark, sf_dir), "sample_id"), path)
+    found = connectors.read_jsonl(spark, path, "sample_id string, llm_distance double, anomaly_heatmap map<string,double>")
+    return found.select("sample_id", "llm_distance", F.explode("anomaly_heatmap").alias("feature", "z"))
 
 
 @query()

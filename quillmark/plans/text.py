@@ -223,17 +223,20 @@ def txt12_cjk_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", r6(cleaning.cjk_ratio(F.col("text"))).alias("cjk_ratio"))
 
 
-@query(f"WITH {SAMPLES_SQL}, bad AS (SELECT sample_id FROM samples WHERE contains(text, '|')) SELECT sample_id, CASE WHEN sample_id IN (SELECT sample_id FROM bad) OR original_id IN (SELECT sample_id FROM bad) THEN true ELSE false END AS rejected FROM samples")
+@query(f"WITH {SAMPLES_SQL}, bad AS (SELECT sample_id FROM samples WHERE contains(text, '|')), cjk AS (SELECT sample_id FROM samples WHERE length(text) > 0 AND {_CJK} / length(text) > 0.01) SELECT sample_id, CASE WHEN sample_id IN (SELECT sample_id FROM bad) OR original_id IN (SELECT sample_id FROM bad) THEN true ELSE false END AS rejected, CASE WHEN sample_id IN (SELECT sample_id FROM cjk) OR original_id IN (SELECT sample_id FROM cjk) THEN true ELSE false END AS cjk_rejected FROM samples")
 def txt13_cascading_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operators.cascading_filter(samples(spark, sf_dir), F.contains("text", F.lit("|"))).select("sample_id", "rejected")
+    """By the CJK share, and by a sign that the tables do have."""
+    by_sign = operators.cascading_filter(samples(spark, sf_dir), F.contains("text", F.lit("|"))).withColumnRenamed("rejected", "by_sign")
+    found = operators.cascading_filter(by_sign, cleaning.cjk_ratio(F.col("text")) > 0.01)
+    return found.select("sample_id", F.col("by_sign").alias("rejected"), F.col("rejected").alias("cjk_rejected"))
 
 
 _ASCII_WORDS = "regexp_extract_all(lower(text), '[a-z]+')"
 
 
-@query(f"SELECT doc_id, round(CASE WHEN len({_ASCII_WORDS}) < 30 THEN 0 ELSE len(list_filter({_ASCII_WORDS}, lambda w: w IN ('the', 'of', 'and', 'to', 'in'))) / len({_ASCII_WORDS}) END, 6) AS validity FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, round(CASE WHEN len({_ASCII_WORDS}) < 30 THEN 0 ELSE len(list_filter({_ASCII_WORDS}, lambda w: w IN ('the', 'of', 'and', 'to', 'in'))) / len({_ASCII_WORDS}) END, 6) AS validity FROM documents")
 def txt14_validity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir).filter("lang = 'en'")
+    d = _docs(spark, sf_dir)
     return d.select("doc_id", r6(operators.ascii_validity(F.col("text"), ("the", "of", "and", "to", "in"))).alias("validity"))
 
 
@@ -261,9 +264,9 @@ def txt17_looks_like_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", cleaning.looks_like_header(F.col("text"), F.col("lang") == "en").alias("header"))
 
 
-@query("WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents WHERE lang = 'en') SELECT doc_id, source FROM r WHERE rn <= 3 ORDER BY md5(CAST(doc_id AS VARCHAR) || '42') LIMIT 25")
+@query("WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) SELECT doc_id, source FROM r WHERE rn <= 3 ORDER BY md5(CAST(doc_id AS VARCHAR) || '42') LIMIT 25")
 def txt18_short_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operators.short_sample(_docs(spark, sf_dir).filter("lang = 'en'"), "source", "doc_id", 3, 25).select("doc_id", "source")
+    return operators.short_sample(_docs(spark, sf_dir), "source", "doc_id", 3, 25).select("doc_id", "source")
 
 
 @query(f"""WITH d AS (SELECT *, len({WORDS_SQL}) AS n FROM documents) SELECT count(*) AS docs, count(*) FILTER (lang <> 'en') AS other_language, min(n) AS min_words, max(n) AS max_words, round(avg(n), 6) AS avg_words,
