@@ -37,9 +37,12 @@ _QUERIES_AT_ONCE = 512
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v array<float>) of rows that take part: an id, and a vector of
-    finite components, not all zero, of the most common dimension."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"))
+    """(vec_id, v) of rows that take part: an id, and a vector of finite
+    components, not all zero, of the most common dimension (no inner product
+    is defined between two dimensions).  Single precision stays so, all other
+    numbers are held in double precision."""
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind if kind == "array<float>" else "array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
     common = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
@@ -47,7 +50,13 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
-    return np.asarray(column.flatten(), np.float32).reshape(-1, dimension)
+    return np.asarray(column.flatten()).reshape(-1, dimension)
+
+
+def _norm(v: Column) -> Column:
+    """Length of a vector, without the squares of its largest component."""
+    largest = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
+    return F.get(F.transform(F.array(largest), lambda m: m * F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / m) * (x / m)))), F.lit(0))
 
 
 def _planes(dimension: int) -> np.ndarray:
@@ -63,8 +72,8 @@ def _planes(dimension: int) -> np.ndarray:
 
 def _hashes(x: np.ndarray, planes: np.ndarray, longest: float, query: bool) -> np.ndarray:
     """(rows, TREES) bit strings of BITS bits as integers."""
-    x = x.astype(np.float64)
-    lift = np.zeros(len(x)) if query else np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))
+    x = x.astype(np.float64) / longest  # what is on which side of a plane doesn't change
+    lift = np.zeros(len(x)) if query else np.sqrt(np.maximum(1 - (x * x).sum(1), 0))
     bits = (np.column_stack([x, lift]).astype(np.float32) @ planes > 0).reshape(len(x), TREES, BITS)
     return bits @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
@@ -94,7 +103,7 @@ def _top(frame: DataFrame, k: int, item: str = "rid") -> DataFrame:
 
 def _fitted_level(entries: DataFrame, sample: pd.DataFrame, k: int, dimension: int, planes: np.ndarray, longest: float) -> int:
     """Longest prefix that TARGET_RECALL of the sample's true neighbours share."""
-    queries = np.array(sample["v"].tolist(), np.float32).reshape(-1, dimension)
+    queries = np.array(sample["v"].tolist(), np.float64).reshape(-1, dimension)
     shared = entries.sparkSession.sparkContext.broadcast((sample["rid"].to_numpy(), queries, planes))
 
     def brute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +138,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int =
     to the smaller vec_id; all other rows if there are no more than k.
 
     Null, zero and non-finite vectors and rows without id take no part, nor do
-    vectors of another dimension than most; rows that repeat an id are rows of
+    vectors of another dimension than most; scores are exact on the vectors as
+    given, in single or double precision; rows that repeat an id are rows of
     their own, and no row of the query's id is a neighbour; other columns are
     ignored; an empty table gives no rows.
     """
@@ -139,11 +149,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int =
     few = materialize(rows.withColumn("_n", F.row_number().over(by_vector)).filter(F.col("_n") <= k + 1).withColumn("rid", F.min("vec_id").over(Window.partitionBy("v"))), "few")
     entries = materialize(few.filter("_n = 1").select("rid", "v"), "entries")
     asked = rows.filter(is_query).select("vec_id", "v")
-    head = entries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("squares")).first()
+    head = entries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d"), F.max(_norm(F.col("v"))).alias("longest")).first()
     named = materialize(asked.select("v").distinct().join(entries, "v").select("rid", "v"), "queries")
     if not head.n:
         return _shown(spark.createDataFrame([], "q long, rid long, score double"), few, asked, named, k)
-    dimension, longest = head.d, float(np.sqrt(head.squares)) * (1 + 1e-6)
+    dimension, longest = head.d, float(head.longest) * (1 + 1e-6)
     planes = _planes(dimension)
     sample = named.orderBy(F.xxhash64("rid")).limit(SAMPLE_QUERIES).toPandas()
     level = _fitted_level(entries, sample, k, dimension, planes, longest) if len(sample) else 0
@@ -163,7 +173,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int =
 
         return run
 
-    schema = "tree int, hash long, rid long, v array<float>"
+    schema = f"tree int, hash long, rid long, v {entries.schema['v'].dataType.simpleString()}"
     prefix = F.shiftright("hash", BITS - head_bits) if head_bits else F.lit(0).cast("long")
     index = entries.select("rid", "v").mapInArrow(strings(False), schema).withColumn("shard", prefix)
     queries = materialize(named.select("rid", "v").mapInArrow(strings(True), schema).withColumn("shard", prefix), "strings")
@@ -219,9 +229,9 @@ def _candidates(index: DataFrame, sent: DataFrame, dimension: int, k: int) -> Da
         if len(left) and len(right):
             order = np.argsort(left["hash"].to_numpy(np.int64), kind="stable")
             strings = left["hash"].to_numpy(np.int64)[order]
-            x = np.stack(left["v"].to_numpy()).astype(np.float32)[order].reshape(-1, dimension)
+            x = np.stack(left["v"].to_numpy())[order].reshape(-1, dimension)
             ids = left["rid"].to_numpy(np.int64)[order]
-            q = np.stack(right["v"].to_numpy()).astype(np.float32).reshape(-1, dimension)
+            q = np.stack(right["v"].to_numpy()).reshape(-1, dimension)
             asked, stop, rid = (right[c].to_numpy(np.int64) for c in ("hash", "stop", "rid"))
             base = asked >> (BITS - stop)
             low, high = np.searchsorted(strings, base << (BITS - stop)), np.searchsorted(strings, (base + 1) << (BITS - stop))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import wordstream
-from quillmark.llm.common import materialize
+from quillmark.llm.common import materialize, tidy
 
 WINDOW_WORDS = 10
 #: Words from a window's rarest word within which all its words must lie.
@@ -91,7 +91,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 row = _shard(ids[start:end], nulls[start:end], hashes, first)
                 yield pa.RecordBatch.from_pylist([{"shard": uuid.uuid4().hex} | row], schema=schema)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(index, INDEX_SCHEMA)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(index), INDEX_SCHEMA)
     return materialize(rows, "positions")
 
 
@@ -337,7 +337,7 @@ def _search(index: DataFrame, block: list[tuple[str, str]], width: int, slop: in
             for row in batch.to_pylist():
                 yield pa.RecordBatch.from_pylist(_search_shard(row, shared.value, slop), schema=schema)
 
-    return index.mapInArrow(search, PART_SCHEMA)
+    return index.mapInArrow(tidy(search), PART_SCHEMA)
 
 
 def _finished(parts: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm import wordstream
-from quillmark.llm.common import discard, free_shuffles, materialize
+from quillmark.llm.common import discard, free_shuffles, materialize, tidy, tidy_group
 from quillmark.llm.components import components
 
 #: Fragments in which overlaps are counted.
@@ -230,7 +230,7 @@ def _sent(docs: DataFrame, size: int, percent: int, shards: int) -> DataFrame:
         if rows:
             yield from flush()
 
-    return _texts(docs).mapInArrow(run, _SENT_SQL)
+    return _texts(docs).mapInArrow(tidy(run), _SENT_SQL)
 
 
 def _shards_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -284,7 +284,7 @@ def _sets_of(found: DataFrame) -> DataFrame:
                 fps = pa.Array.from_buffers(pa.binary(16), len(n), [None, pa.py_buffer(z)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x[: 8 * len(n)], "<i8"), mask=np.frombuffer(x[8 * len(n) :], bool)), pa.array(keys), pa.array(n), pc.if_else(pa.array(n > 0), fps.cast(pa.binary()), pa.scalar(None, pa.binary()))], ["doc_id", "key", "n", "fp"])
 
-    return found.filter(f"kind = {_DOCS}").select("x", "y", "z").mapInArrow(run, "doc_id long, key long, n long, fp binary")
+    return found.filter(f"kind = {_DOCS}").select("x", "y", "z").mapInArrow(tidy(run), "doc_id long, key long, n long, fp binary")
 
 
 def _owners(found: DataFrame) -> DataFrame:
@@ -299,7 +299,7 @@ def _owners(found: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([fps, *(pa.array(np.ascontiguousarray(c)) for c in columns)], ["fp", "chunk", "at", "n", "group", "share", *_BITS])
 
     names = ", ".join(f"{w} long" for w in _BITS)
-    return found.filter(f"kind = {_OWNERS}").select("chunk", "x", "y", "z").mapInArrow(run, f"fp binary, chunk long, at long, n long, group long, share long, {names}")
+    return found.filter(f"kind = {_OWNERS}").select("chunk", "x", "y", "z").mapInArrow(tidy(run), f"fp binary, chunk long, at long, n long, group long, share long, {names}")
 
 
 def _more(found: DataFrame) -> DataFrame:
@@ -311,7 +311,7 @@ def _more(found: DataFrame) -> DataFrame:
                 gram = _values(x, "<u8").view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.full(len(gram), chunk)), pa.array(_values(z, "<u4").astype(np.int64))], ["gram", "chunk", "at"])
 
-    return found.filter(f"kind = {_MORE}").select("chunk", "x", "z").mapInArrow(run, "gram long, chunk long, at long")
+    return found.filter(f"kind = {_MORE}").select("chunk", "x", "z").mapInArrow(tidy(run), "gram long, chunk long, at long")
 
 
 def _long_lists(found: DataFrame, owners: DataFrame) -> DataFrame:
@@ -485,7 +485,7 @@ def _segments(docs: DataFrame, size: int, names: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    found = _texts(docs).mapInArrow(run, "fp binary, fragment int, segment array<long>")
+    found = _texts(docs).mapInArrow(tidy(run), "fp binary, fragment int, segment array<long>")
     return materialize(found.join(names, "fp", "left_semi").dropDuplicates(["fp", "fragment"]), "segments")
 
 
@@ -542,7 +542,7 @@ def classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     shards = max(16, math.ceil((docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) / SHARD_BYTES))
     short = SHORT_LIST
-    found = materialize(_sent(docs, size, percent, shards).groupBy("shard").applyInArrow(lambda key, table: _lists(table, short), _FOUND_SQL), "lists")
+    found = materialize(_sent(docs, size, percent, shards).groupBy("shard").applyInArrow(tidy_group(lambda key, table: _lists(table, short)), _FOUND_SQL), "lists")
     free_shuffles(spark)
     linked = _linked(docs, found, size, percent)
     return _sets_of(found).join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "key", "n", "fp", F.coalesce("root", "fp").alias("root"))

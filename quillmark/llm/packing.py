@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import materialize
+from quillmark.llm.common import materialize, tidy
 
 MAX_TOKENS = 1024
 END_ID = 2
@@ -69,7 +69,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, e
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.mapInArrow(cut, _PIECES + (", ids array<int>" if keep_ids else ""))
+    return texts.mapInArrow(tidy(cut), _PIECES + (", ids array<int>" if keep_ids else ""))
 
 
 def plan(histogram: dict[int, int], max_tokens: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -157,7 +157,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, end
             offset = own[:, 5] + within % own[:, 4] * length
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array(sequence), pa.array(offset)], [*batch.schema.names[:6], "sequence_id", "offset"])
 
-    placed = ranked.mapInArrow(put, _PIECES + ", sequence_id long, offset long")
+    placed = ranked.mapInArrow(tidy(put), _PIECES + ", sequence_id long, offset long")
     if keep_ids:
         placed = placed.join(cut.select("key", "piece", "ids"), ["key", "piece"])
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if keep_ids else []))

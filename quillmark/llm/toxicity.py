@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm import wordstream
-from quillmark.llm.common import materialize
+from quillmark.llm.common import materialize, tidy
 
 #: Labelled rows that the model is fitted on at most.
 SAMPLE = 20_000
@@ -112,7 +112,7 @@ def _features(rows: DataFrame) -> DataFrame:
                     [{"toxic": toxic[start + i], "features": cut[0][i].tobytes(), "swapped": cut[1][i].tobytes() if mentions[i] else None} for i in range(end - start)], schema=schema
                 )
 
-    return rows.select("toxic", "text").mapInArrow(extract, "toxic int, features binary, swapped binary")
+    return rows.select("toxic", "text").mapInArrow(tidy(extract), "toxic int, features binary, swapped binary")
 
 
 class _Sparse:

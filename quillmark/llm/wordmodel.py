@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import wordstream
-from quillmark.llm.common import discard, free_shuffles, materialize
+from quillmark.llm.common import discard, free_shuffles, materialize, tidy, tidy_cogroup, tidy_group
 
 #: Bits kept of hashes; bytes of text packed together and to a shard.
 HASH_BITS = 48
-CHUNK_BYTES = 8 << 20
-SHARD_BYTES = 48 << 20
+CHUNK_BYTES = 4 << 20
+#: Bigrams of a table's row (all of one first word stand in one row).
+ROW_BIGRAMS = 200_000
+SHARD_BYTES = 20 << 20
 #: Most n-grams of an order that go to every task (16 bytes each), and most
 #: bits of the filter of the others (16 MB).
 HEAD = 1 << 20
@@ -183,21 +185,30 @@ def _pairs(texts: DataFrame, shards: int, pick: Callable | None) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=_PAIRS)
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        parts = [(_summed(r["v"]), _values(r["w"], "<u8"), _values(r["n"], "<u4")) for r in table.to_pylist()]
+        parts = [(_summed(r["v"]), _values(r["w"], "<u8"), _values(r["n"], "<u4").astype(np.int64)) for batch in table.to_batches() for r in _rows(batch)]
         v, w, n = _distinct(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        return pa.Table.from_pylist([{"shard": key[0].as_py(), "v": _steps(v), "w": _planes(w), "n": _planes(n.astype("<i8"))}], schema=_PAIRS)
+        heads = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        cuts = np.unique(heads[np.searchsorted(heads, np.arange(0, len(v), ROW_BIGRAMS), "right") - 1])
+        rows = [{"shard": key[0].as_py(), "v": _steps(v[a:b]), "w": _planes(w[a:b]), "n": _planes(n[a:b].astype("<i8"))} for a, b in zip(cuts, np.append(cuts[1:], len(v)), strict=True)]
+        return pa.Table.from_pylist(rows, schema=_PAIRS)
 
-    return texts.mapInArrow(count, _PAIRS_SQL).groupBy("shard").applyInArrow(merge, _PAIRS_SQL)
+    return texts.mapInArrow(tidy(count), _PAIRS_SQL).groupBy("shard").applyInArrow(tidy_group(merge), _PAIRS_SQL)
 
 
 def _distinct(v: np.ndarray, w: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((w, v))
     v, w = v[order], w[order]
     at = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])])) if len(v) else np.zeros(0, np.int64)
-    n = np.diff(np.append(at, len(v))) if n is None else np.add.reduceat(n[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+    n = np.diff(np.append(at, len(v))) if n is None else np.add.reduceat(n[order], at) if len(at) else np.zeros(0, np.int64)
     return v[at], w[at], n
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One row at a time: packed rows are large."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _read_pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _summed(row["v"]), _values(row["w"], "<u8"), _values(row["n"], "<i8")
 
@@ -252,14 +263,14 @@ def _known(table: DataFrame, head: int) -> Known:
 
     def top(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 gram, weight, n = _read_model(row)
                 there = _level(n) >= least
                 yield pa.RecordBatch.from_arrays([pa.array([x[there].tobytes()], pa.binary()) for x in (gram, weight, n)], ["gram", "weight", "n"])
 
     def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 found = np.unique(_summed(row["gram"]) >> np.uint64(HASH_BITS - bits))
                 yield pa.RecordBatch.from_arrays([pa.array([row["shard"]], pa.int32()), pa.array([_steps(found)], pa.binary())], ["shard", "places"])
 
@@ -291,7 +302,7 @@ def train(texts: DataFrame, shards: int, pick: Callable | None = None, head: int
 
     def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in np.bincount(np.minimum(_read_pairs(row)[2], 5), minlength=6)[1:5]], ["n1", "n2", "n3", "n4"])
 
     d = np.array(discounts(*(x or 0 for x in pairs.mapInArrow(tally, "n1 long, n2 long, n3 long, n4 long").agg(*(F.sum(f"n{i}") for i in range(1, 5))).first())))
@@ -300,7 +311,7 @@ def train(texts: DataFrame, shards: int, pick: Callable | None = None, head: int
         """(word, c, n, gamma): pieces of a word's counts after others, and
         what it holds back before others."""
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 v, w, n = _read_pairs(row)
                 if len(v):
                     at = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
@@ -313,7 +324,7 @@ def train(texts: DataFrame, shards: int, pick: Callable | None = None, head: int
                     for low in range(0, len(columns[0]), 50_000):
                         yield pa.RecordBatch.from_arrays([pa.array(x[low : low + 50_000]) for x in columns], ["word", "c", "n", "gamma"])
 
-    counted = materialize(pairs.mapInArrow(contexts, "word long, c long, n long, gamma double").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.sum("gamma").alias("gamma")), "words")
+    counted = materialize(pairs.mapInArrow(tidy(contexts), "word long, c long, n long, gamma double").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.sum("gamma").alias("gamma")), "words")
     total = counted.agg(F.sum("c").alias("total"), *(F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, 5))).first()
     d1, d2, d3 = discounts(total.n1, total.n2, total.n3, total.n4)
     less = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
@@ -333,7 +344,7 @@ def train(texts: DataFrame, shards: int, pick: Callable | None = None, head: int
         """Finished bigrams whose second word is in the head."""
         probable = shared.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 gram, w, n, r = ratios(row)
                 at, there = probable.find(w)
                 if there.any():
@@ -344,7 +355,7 @@ def train(texts: DataFrame, shards: int, pick: Callable | None = None, head: int
         """(gram, word, n, r) of the other bigrams."""
         probable = shared.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 gram, w, n, r = ratios(row)
                 left = ~probable.find(w)[1]
                 columns = [gram[left].astype(np.int64), w[left].astype(np.int64), n[left], r[left]]
@@ -368,11 +379,11 @@ def train(texts: DataFrame, shards: int, pick: Callable | None = None, head: int
             yield pack(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     model = Model(shards, math.log(held / total.total) if total.total and held else 0.0)
-    model.tables[1] = materialize(words.select(F.col("word").alias("gram"), (F.log("p") + F.log("gamma")).alias("weight"), "n").mapInArrow(packed, _MODEL_SQL), "model1")
-    probable = materialize(words.select(F.col("word").alias("gram"), F.col("p").alias("weight"), "n").mapInArrow(packed, _MODEL_SQL), "words1")
+    model.tables[1] = materialize(words.select(F.col("word").alias("gram"), (F.log("p") + F.log("gamma")).alias("weight"), "n").mapInArrow(tidy(packed), _MODEL_SQL), "model1")
+    probable = materialize(words.select(F.col("word").alias("gram"), F.col("p").alias("weight"), "n").mapInArrow(tidy(packed), _MODEL_SQL), "words1")
     shared = spark.sparkContext.broadcast(_known(probable, head))
-    joined = pairs.mapInArrow(others, "gram long, word long, n long, r double").join(words.select("word", "p"), "word").select("gram", F.log1p(F.col("r") / F.col("p")).alias("weight"), "n").mapInArrow(packed, _MODEL_SQL)
-    model.tables[2] = materialize(pairs.mapInArrow(common, _MODEL_SQL).unionByName(joined), "model2")
+    joined = pairs.mapInArrow(tidy(others), "gram long, word long, n long, r double").join(words.select("word", "p"), "word").select("gram", F.log1p(F.col("r") / F.col("p")).alias("weight"), "n").mapInArrow(tidy(packed), _MODEL_SQL)
+    model.tables[2] = materialize(pairs.mapInArrow(tidy(common), _MODEL_SQL).unionByName(joined), "model2")
     shared.unpersist()
     for table in (pairs, probable, counted):
         discard(table)
@@ -424,7 +435,7 @@ def _asked(texts: DataFrame, model: Model, order: int, spell_of: Callable) -> Da
             for row in rows:
                 yield pa.RecordBatch.from_pylist([row], schema=_ASKED)
 
-    return texts.mapInArrow(run, _ASKED_SQL)
+    return texts.mapInArrow(tidy(run), _ASKED_SQL)
 
 
 def _sums(texts: DataFrame, model: Model, order: int, spell_of: Callable) -> DataFrame:
@@ -465,7 +476,7 @@ def _sums(texts: DataFrame, model: Model, order: int, spell_of: Callable) -> Dat
         return pa.table({"key": keys, "words": words, "loss": loss, "unseen": alone})
 
     asked = _asked(texts, model, order, spell_of)
-    found = model.tables[order].groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(look_up, _SUMS_SQL)
+    found = model.tables[order].groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(tidy_cogroup(look_up), _SUMS_SQL)
     return found.groupBy("chunk").applyInArrow(gather, "key long, words long, loss double, unseen double")
 
 
