@@ -9,7 +9,7 @@ def brute(rows, k, step):
     out = {}
     for i, q in good:
         if i % step == 0:
-            near = sorted((-(v.astype(np.float32).astype(np.float64) * q.astype(np.float32).astype(np.float64)).sum(), j) for j, v in good if j != i)
+            near = sorted((-(v * q).sum(), j) for j, v in good if j != i)
             out[i] = [(j, -s) for s, j in near[:k]]
     return out
 
@@ -22,8 +22,8 @@ def vectors(n, seed=0):
     return rows + [(5000, None), (5020, [0.0] * 8), (5040, [float("nan")] * 8), (5060, [1.0, None] + [0.0] * 6), (5080, [float("inf")] * 8), (5100, [1.0]), (None, same), (5120, [])]
 
 
-def searched(spark, rows, k, step, **options):
-    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, rank int")
+def searched(spark, rows, k, step, kind="float", **options):
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], f"vec_id long, embedding array<{kind}>, rank int")
     got = {}
     for r in ann.search(df, F.col("vec_id") % step == 0, k, **options).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
@@ -65,3 +65,14 @@ def test_mixed_density_gives_every_query_k_rows(spark):
     every /= np.linalg.norm(every, axis=1, keepdims=True)
     got = searched(spark, list(enumerate(rng.permutation(every).astype(np.float32).tolist())), 20, 2)
     assert len(got) == 1500 and all(len(near) == 20 for near in got.values())
+
+
+def test_double_precision_is_kept(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(8)
+    rows = [(i, (base * (1 + i * 1e-12)).tolist()) for i in range(12)] + [(50, [1e300, *([0.0] * 7)]), (7, rng.standard_normal(8).tolist())]
+    want = brute(rows, 20, 1)
+    got = searched(spark, rows[:12], 20, 1, "double")
+    assert {q: [i for i, _ in near] for q, near in got.items()} == {q: [i for i, _ in near] for q, near in brute(rows[:12], 20, 1).items()}
+    again = searched(spark, rows, 20, 1, "double")
+    assert set(again) == set(want) and all(np.isfinite(s) for near in again.values() for _, s in near)
