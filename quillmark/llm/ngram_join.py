@@ -151,7 +151,7 @@ class _Groups:
         if share <= 0:  # so many segments are empty that these may be all it shares
             empty = np.setdiff1d(np.arange(cuts, dtype=np.uint64), which)
             which, sums = np.concatenate([which, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
-        return wordstream.mix(sums + which * _K[0] + np.uint64(group + 1) * _K[1]), max(share, 1)
+        return wordstream.mix(sums + which * _K[0] + np.uint64((group + 1) * int(_K[1]) % (1 << 64))), max(share, 1)
 
 
 def _planes(values: np.ndarray) -> bytes:
