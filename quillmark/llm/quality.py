@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import wordmodel, wordstream
-from quillmark.llm.common import discard, free_shuffles, materialize, tidy
+from quillmark.llm.common import discard, free_shuffles, materialize, tidy, tidy_group
 
 ORDER = 4
 SYMBOL_BITS = 5
@@ -93,7 +93,7 @@ def _counts(texts: DataFrame, pick: Callable | None) -> np.ndarray:
         return pa.table({"run": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([total.tobytes()], pa.binary())})
 
     found = np.zeros((SYMBOLS**ORDER >> _RUN_BITS, 1 << _RUN_BITS), np.int64)
-    for row in texts.mapInArrow(tidy(count), "run long, n binary").groupBy("run").applyInArrow(add, "run long, n binary").toLocalIterator():
+    for row in texts.mapInArrow(tidy(count), "run long, n binary").groupBy("run").applyInArrow(tidy_group(add), "run long, n binary").toLocalIterator():
         found[row.run] = np.frombuffer(row.n, np.int64)
     return found.ravel()
 

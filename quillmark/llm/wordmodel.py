@@ -97,6 +97,13 @@ def _word_bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.flatnonzero(heads), np.flatnonzero(tails) + 1
 
 
+def _marked(grams: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of an n-gram in a filter, in one block of 512: ascending
+    n-grams have ascending blocks."""
+    place = grams >> np.uint64(HASH_BITS - bits)
+    return place, (place & ~np.uint64(511)) | (grams & np.uint64(511))
+
+
 class Known:
     """The most frequent n-grams of an order, sorted, and the filter of all."""
 
@@ -112,8 +119,10 @@ class Known:
 
     def maybe(self, grams: np.ndarray) -> np.ndarray:
         """False only for n-grams that no trusted text has."""
-        place = grams >> np.uint64(HASH_BITS - self.bits)
-        return self.marks[place >> np.uint64(3)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+        there = np.ones(len(grams), bool)
+        for place in _marked(grams, self.bits):
+            there &= self.marks[place >> np.uint64(3)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+        return there
 
 
 class _Chunk:
@@ -255,7 +264,7 @@ def _known(table: DataFrame, head: int) -> Known:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(found)], ["level", "k"])
 
     counts = np.zeros(32 * _STEPS + 1, np.int64)
-    for row in table.select("n").mapInArrow(levels, "level long, k long").groupBy("level").agg(F.sum("k").alias("k")).collect():
+    for row in table.select("n").mapInArrow(tidy(levels), "level long, k long").groupBy("level").agg(F.sum("k").alias("k")).collect():
         counts[row.level] = row.k
     fits = np.flatnonzero(np.cumsum(counts[::-1])[::-1] <= head)
     least = int(fits[0]) if len(fits) else len(counts)
@@ -271,7 +280,7 @@ def _known(table: DataFrame, head: int) -> Known:
     def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                found = np.unique(_summed(row["gram"]) >> np.uint64(HASH_BITS - bits))
+                found = np.unique(np.concatenate(_marked(_summed(row["gram"]), bits)))
                 yield pa.RecordBatch.from_arrays([pa.array([row["shard"]], pa.int32()), pa.array([_steps(found)], pa.binary())], ["shard", "places"])
 
     def marks(key: tuple, table: pa.Table) -> pa.Table:
@@ -282,13 +291,13 @@ def _known(table: DataFrame, head: int) -> Known:
         return pa.table({"first": pa.array([first // 8], pa.int64()), "marks": pa.array([np.packbits(flags).tobytes()], pa.binary())})
 
     parts: tuple[list, list, list] = ([], [], [])
-    for row in table.select("gram", "weight", "n").mapInArrow(top, "gram binary, weight binary, n binary").toLocalIterator():
+    for row in table.select("gram", "weight", "n").mapInArrow(tidy(top), "gram binary, weight binary, n binary").toLocalIterator():
         for held, data, kind in zip(parts, row, ("<u8", "<f4", "<u4"), strict=True):
             held.append(np.frombuffer(data, kind))
     gram, weight, n = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in zip(parts, ("<u8", "<f4", "<u4"), strict=True))
     by = np.argsort(gram)
     whole = np.zeros((1 << bits) // 8, np.uint8)
-    for row in table.select("shard", "gram").mapInArrow(places, "shard int, places binary").groupBy("shard").applyInArrow(marks, "first long, marks binary").toLocalIterator():
+    for row in table.select("shard", "gram").mapInArrow(tidy(places), "shard int, places binary").groupBy("shard").applyInArrow(tidy_group(marks), "first long, marks binary").toLocalIterator():
         whole[row.first : row.first + len(row.marks)] |= np.frombuffer(row.marks, np.uint8)
     return Known(gram[by], weight[by], n[by], whole, bits)
 
@@ -305,7 +314,7 @@ def train(texts: DataFrame, shards: int, pick: Callable | None = None, head: int
             for row in _rows(batch):
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in np.bincount(np.minimum(_read_pairs(row)[2], 5), minlength=6)[1:5]], ["n1", "n2", "n3", "n4"])
 
-    d = np.array(discounts(*(x or 0 for x in pairs.mapInArrow(tally, "n1 long, n2 long, n3 long, n4 long").agg(*(F.sum(f"n{i}") for i in range(1, 5))).first())))
+    d = np.array(discounts(*(x or 0 for x in pairs.mapInArrow(tidy(tally), "n1 long, n2 long, n3 long, n4 long").agg(*(F.sum(f"n{i}") for i in range(1, 5))).first())))
 
     def contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(word, c, n, gamma): pieces of a word's counts after others, and
@@ -325,6 +334,7 @@ def train(texts: DataFrame, shards: int, pick: Callable | None = None, head: int
                         yield pa.RecordBatch.from_arrays([pa.array(x[low : low + 50_000]) for x in columns], ["word", "c", "n", "gamma"])
 
     counted = materialize(pairs.mapInArrow(tidy(contexts), "word long, c long, n long, gamma double").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.sum("gamma").alias("gamma")), "words")
+    free_shuffles(spark)
     total = counted.agg(F.sum("c").alias("total"), *(F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, 5))).first()
     d1, d2, d3 = discounts(total.n1, total.n2, total.n3, total.n4)
     less = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
@@ -368,6 +378,13 @@ def train(texts: DataFrame, shards: int, pick: Callable | None = None, head: int
         cuts = np.searchsorted(_shards_of(gram, shards), np.arange(shards + 1))
         return pa.RecordBatch.from_pylist([{"shard": s, "gram": _steps(gram[a:b]), "weight": _planes(weight[a:b]), "n": _planes(n[a:b])} for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a], schema=_MODEL)
 
+    def whole(key: tuple, table: pa.Table) -> pa.Table:
+        """A shard's rows as few: the closer n-grams stand, the fewer bytes."""
+        gram, weight, n = (np.concatenate(x) for x in zip(*(_read_model(r) for batch in table.to_batches() for r in _rows(batch)), strict=True))
+        order = np.argsort(gram)
+        parts = np.array_split(order, -(-len(order) // ROW_BIGRAMS))
+        return pa.Table.from_pylist([{"shard": key[0].as_py(), "gram": _steps(gram[i]), "weight": _planes(weight[i]), "n": _planes(n[i])} for i in parts], schema=_MODEL)
+
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
@@ -382,8 +399,9 @@ def train(texts: DataFrame, shards: int, pick: Callable | None = None, head: int
     model.tables[1] = materialize(words.select(F.col("word").alias("gram"), (F.log("p") + F.log("gamma")).alias("weight"), "n").mapInArrow(tidy(packed), _MODEL_SQL), "model1")
     probable = materialize(words.select(F.col("word").alias("gram"), F.col("p").alias("weight"), "n").mapInArrow(tidy(packed), _MODEL_SQL), "words1")
     shared = spark.sparkContext.broadcast(_known(probable, head))
+    free_shuffles(spark)
     joined = pairs.mapInArrow(tidy(others), "gram long, word long, n long, r double").join(words.select("word", "p"), "word").select("gram", F.log1p(F.col("r") / F.col("p")).alias("weight"), "n").mapInArrow(tidy(packed), _MODEL_SQL)
-    model.tables[2] = materialize(pairs.mapInArrow(tidy(common), _MODEL_SQL).unionByName(joined), "model2")
+    model.tables[2] = materialize(pairs.mapInArrow(tidy(common), _MODEL_SQL).unionByName(joined).groupBy("shard").applyInArrow(tidy_group(whole), _MODEL_SQL), "model2")
     shared.unpersist()
     for table in (pairs, probable, counted):
         discard(table)
@@ -461,23 +479,25 @@ def _sums(texts: DataFrame, model: Model, order: int, spell_of: Callable) -> Dat
             value, seen = else_.copy(), np.zeros(len(gram), np.int64)
             value[hit], seen[hit] = weight[at[hit]], count[at[hit]]
             value, other = np.repeat(value, size), np.where(np.repeat(seen, size) > n, np.repeat(value, size), np.repeat(else_, size))
-            texts = int(np.frombuffer(r["words"], "<i8")[0])
-            out.append({"chunk": r["chunk"], "loss": (-np.bincount(doc, value * n, texts)).astype("<f8").tobytes(), "unseen": (-np.bincount(doc, other * n, texts)).astype("<f8").tobytes()})
+            whose, at = np.unique(doc, return_inverse=True)  # only texts that asked: few, if there are many shards
+            out.append({"chunk": r["chunk"], "words": _planes(np.diff(whose, prepend=np.uint32(0)).astype("<u4")), **{name: (-np.bincount(at, x * n)).astype("<f4").tobytes() for name, x in (("loss", value), ("unseen", other))}})
         return pa.Table.from_pylist(out, schema=_SUMS)
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
-        keys = words = None
-        loss = alone = 0.0
-        for r in sorted(table.to_pylist(), key=lambda r: r["loss"] or b""):  # one order of addition
+        rows = sorted(table.to_pylist(), key=lambda r: (r["keys"] is None, r["loss"]))  # one order of addition, the texts' own row first
+        for r in rows:
             if r["keys"] is not None:
                 keys, words = np.frombuffer(r["keys"], "<i8"), np.frombuffer(r["words"], "<i8")
-            if r["loss"] is not None:
-                loss, alone = loss + np.frombuffer(r["loss"], "<f8"), alone + np.frombuffer(r["unseen"], "<f8")
+                loss, alone = (np.frombuffer(r[name], "<f8").copy() for name in ("loss", "unseen"))
+            else:
+                whose = np.cumsum(_values(r["words"], "<u4"))
+                loss[whose] += np.frombuffer(r["loss"], "<f4")
+                alone[whose] += np.frombuffer(r["unseen"], "<f4")
         return pa.table({"key": keys, "words": words, "loss": loss, "unseen": alone})
 
     asked = _asked(texts, model, order, spell_of)
     found = model.tables[order].groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(tidy_cogroup(look_up), _SUMS_SQL)
-    return found.groupBy("chunk").applyInArrow(gather, "key long, words long, loss double, unseen double")
+    return found.groupBy("chunk").applyInArrow(tidy_group(gather), "key long, words long, loss double, unseen double")
 
 
 def losses(texts: DataFrame, model: Model, spell_of: Callable) -> DataFrame:
