@@ -47,7 +47,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)  # tables are read once or twice
     finally:
         spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
