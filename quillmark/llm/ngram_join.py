@@ -75,6 +75,14 @@ _FOUND = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("x", pa.binary
 _FOUND_SQL = "kind int, chunk long, x binary, y binary, z binary, gram long, total long, at long, chunk2 long, at2 long"
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """A table in the shared folder; the shuffle files it took are deleted
+    before the next one takes its own."""
+    table = materialize(df, name)
+    free_shuffles(df.sparkSession)
+    return table
+
+
 # --- sets -------------------------------------------------------------------
 
 
@@ -322,9 +330,9 @@ def _long_lists(found: DataFrame, owners: DataFrame) -> DataFrame:
     every = hot.unionByName(_more(found).join(totals, "gram").select("gram", "total", "chunk", "at"))
     classes = every.join(owners.select("chunk", "at", "fp", "n", "group", "share"), ["chunk", "at"]).select("gram", "fp", "total", "n", "group", "share").distinct()
     by = Window.partitionBy("fp", "group").orderBy(F.desc("total"), F.desc("gram"))
-    kept = materialize(classes.withColumn("rank", F.row_number().over(by)).filter("rank >= share").select("gram", "fp", "n"), "kept")
+    kept = _written(classes.withColumn("rank", F.row_number().over(by)).filter("rank >= share").select("gram", "fp", "n"), "kept")
     several = kept.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1").select("gram")
-    lists = materialize(kept.join(several, "gram", "left_semi"), "long")
+    lists = _written(kept.join(several, "gram", "left_semi"), "long")
     discard(kept)
     return lists
 
@@ -486,7 +494,7 @@ def _segments(docs: DataFrame, size: int, names: DataFrame) -> DataFrame:
             yield flush()
 
     found = _texts(docs).mapInArrow(tidy(run), "fp binary, fragment int, segment array<long>")
-    return materialize(found.join(names, "fp", "left_semi").dropDuplicates(["fp", "fragment"]), "segments")
+    return _written(found.join(names, "fp", "left_semi").dropDuplicates(["fp", "fragment"]), "segments")
 
 
 def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -496,7 +504,7 @@ def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     two = segments.select(F.col("fp").alias("b"), "fragment", F.col("segment").alias("two"))
     partial = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("one", "two")).cast("long").alias("common"))
     summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
-    return materialize(summed.filter(f"100 * common >= {percent} * (na + nb - common)").select("a", "b"), "links")
+    return _written(summed.filter(f"100 * common >= {percent} * (na + nb - common)").select("a", "b"), "links")
 
 
 # --- components -------------------------------------------------------------
@@ -504,37 +512,35 @@ def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 
 def _linked(docs: DataFrame, found: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, root) over the fingerprints that have a link."""
-    owners = materialize(_owners(found), "owners")
-    bits = materialize(owners.select("fp", *_BITS).dropDuplicates(["fp"]), "bits")
-    short = materialize(_short_pairs(found, owners, bits, percent), "pairs")
+    owners = _written(_owners(found), "owners")
+    bits = _written(owners.select("fp", *_BITS).dropDuplicates(["fp"]), "bits")
+    short = _written(_short_pairs(found, owners, bits, percent), "pairs")
     lists = _long_lists(found, owners)
     discard(owners)
-    names = materialize(short.select(F.col("a").alias("fp")).unionByName(short.select(F.col("b").alias("fp"))).unionByName(lists.select("fp")).distinct(), "names")
-    free_shuffles(docs.sparkSession)
+    names = _written(short.select(F.col("a").alias("fp")).unionByName(short.select(F.col("b").alias("fp"))).unionByName(lists.select("fp")).distinct(), "names")
     segments = _segments(docs, size, names)
     labels: DataFrame | None = None
     open_lists = lists.withColumn("label", F.col("fp"))
     round_no = 0
     while True:
         candidates = _hub_pairs(open_lists, bits, round_no, percent)
-        links = _links(materialize(candidates.unionByName(short).distinct() if round_no == 0 else candidates, "pairs"), segments, percent)
+        links = _links(_written(candidates.unionByName(short).distinct() if round_no == 0 else candidates, "pairs"), segments, percent)
         labels = _joined(labels, links)
         listed = lists.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("root", "fp")).drop("root")
         several = listed.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("gram")
-        open_lists = materialize(listed.join(several, "gram", "left_semi"), "open")
+        open_lists = _written(listed.join(several, "gram", "left_semi"), "open")
         left = open_lists.count()
         if not left:
             return labels
         if links.count() <= HUB_GAIN * left:
             break
         round_no += 1
-    free_shuffles(docs.sparkSession)
-    return _joined(labels, _links(materialize(_cross_pairs(open_lists, bits, percent), "pairs"), segments, percent))
+    return _joined(labels, _links(_written(_cross_pairs(open_lists, bits, percent), "pairs"), segments, percent))
 
 
 def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     edges = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    return materialize(components(edges), "components")
+    return _written(components(edges), "components")
 
 
 def classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
