@@ -37,7 +37,7 @@ from quillmark.llm.common import discard, free_shuffles, materialize, tidy, tidy
 
 #: Bits kept of hashes; bytes of text packed together and to a shard.
 HASH_BITS = 48
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Bigrams of a table's row (all of one first word stand in one row).
 ROW_BIGRAMS = 200_000
 SHARD_BYTES = 20 << 20
