@@ -40,7 +40,7 @@ def run_counts(items: Column) -> Column:
         heads = F.filter(F.transform(ordered, lambda x, i: F.when((i == 0) | (x != F.get(ordered, i - 1)), i)), lambda i: i.isNotNull())
         return F.get(F.transform(F.array(heads), lambda h: F.transform(h, lambda x, i: F.coalesce(F.get(h, i + 1), n) - x)), F.lit(0))
 
-    return F.get(F.transform(F.array(F.array_sort(items)), counts), F.lit(0))
+    return F.get(F.transform(F.array(F.sort_array(items)), counts), F.lit(0))
 
 
 def total(values: Column) -> Column:

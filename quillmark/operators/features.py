@@ -11,10 +11,17 @@ from quillmark.functions import annotate, arrays, cleaning, stylometry
 from quillmark.sources.connectors import scratch
 
 
+def nonempty(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose array ``column`` has items.  A filter alone is pushed
+    below the projection that makes the array, which is then computed again
+    (inside lambdas even for each item); nothing is pushed below a generator."""
+    return rows.withColumn(column, F.explode_outer(F.array(column))).filter(F.size(column) > 0)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(doc_id, w, c): the distinct tokens of each document, counted in place
     (``counts`` are in the order of the sorted distinct tokens)."""
-    pairs = F.arrays_zip(F.array_sort(F.array_distinct("tokens")).alias("w"), F.col("counts").alias("c"))
+    pairs = F.arrays_zip(F.sort_array(F.array_distinct("tokens")).alias("w"), F.col("counts").alias("c"))
     return docs.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.w", F.col("p.c").cast("long").alias("c"))
 
 
@@ -32,7 +39,7 @@ def by_word(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 def word_freqs(docs: DataFrame) -> DataFrame:
     n = F.size("tokens")
-    pairs = F.arrays_zip(F.array_sort(F.array_distinct("tokens")).alias("w"), F.col("counts").alias("c"))
+    pairs = F.arrays_zip(F.sort_array(F.array_distinct("tokens")).alias("w"), F.col("counts").alias("c"))
     return docs.select("doc_id", n.alias("n"), F.explode(pairs).alias("p")).select("doc_id", "p.w", (F.col("p.c") / F.col("n")).alias("freq"))
 
 
@@ -74,7 +81,7 @@ def lexicon_density(docs: DataFrame, lexicon: DataFrame, orders: tuple[int, ...]
     without n-grams have no row."""
     listed = lexicon.agg(F.collect_set("g").alias("_lexicon"))  # one row
     grams = docs.select("doc_id", F.concat(*(arrays.ngrams(F.col("tokens"), n) for n in orders)).alias("_grams"))
-    found = grams.filter(F.size("_grams") > 0).crossJoin(F.broadcast(listed)).withColumn("_hits", F.array_intersect("_grams", "_lexicon"))
+    found = nonempty(grams, "_grams").crossJoin(F.broadcast(listed)).withColumn("_hits", F.array_intersect("_grams", "_lexicon"))
     hits = F.when(F.size("_hits") == 0, 0).otherwise(F.size(F.filter("_grams", lambda g: F.array_contains("_hits", g))))
     return found.select("doc_id", (hits / F.size("_grams")).alias("density"))
 

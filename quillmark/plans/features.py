@@ -16,7 +16,7 @@ _TC = f"""WITH {_TOK}, tok AS (SELECT doc_id, unnest(tokens) AS w FROM t), tc AS
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", arrays.tokens(F.col("text")).alias("tokens"))
-    return d.withColumn("counts", arrays.run_counts(F.col("tokens"))).filter("size(tokens) > 0")
+    return operators.nonempty(d, "tokens").withColumn("counts", arrays.run_counts(F.col("tokens")))
 
 
 def _each(column: Column, spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,7 +85,7 @@ def fea08_kl_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_TC + f""", {SAMPLES_SQL}, e AS (SELECT doc_id, log2(n) - cl / n + (v - 1) / (2 * n * ln(2)) AS h FROM agg)
  SELECT s.doc_id, round(a.h - b.h, 6) AS entropy_drop FROM samples s JOIN samples o ON s.original_id = o.sample_id JOIN e a ON a.doc_id = o.doc_id JOIN e b ON b.doc_id = s.doc_id""")
 def fea09_entropy_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = tokenised(spark, sf_dir).filter("size(tokens) > 0").select("doc_id", "sample_id", "original_id", stylometry.entropy_ngram(F.col("tokens"), 1).alias("h"))
+    h = operators.nonempty(tokenised(spark, sf_dir), "tokens").select("doc_id", "sample_id", "original_id", stylometry.entropy_ngram(F.col("tokens"), 1).alias("h"))
     return operators.entropy_drop(h).select("doc_id", r6(F.col("entropy_drop")).alias("entropy_drop"))
 
 
@@ -102,12 +102,12 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SENT_SIZES}, u AS (SELECT doc_id, unnest(sizes) AS n FROM s), a AS (SELECT doc_id, count(*) AS k, avg(n) AS m, stddev_samp(n) AS sd FROM u GROUP BY 1) SELECT doc_id, round(CASE WHEN sd + m = 0 THEN 0 ELSE (sd - m) / (sd + m) END, 6) AS burstiness FROM a WHERE k >= 2")
 def fea10_burstiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sizes(spark, sf_dir).filter("size(sizes) >= 2").select("doc_id", r6(stylometry.burstiness(F.col("sizes"))).alias("burstiness"))
+    return operators.nonempty(_sizes(spark, sf_dir), "sizes").filter("size(sizes) >= 2").select("doc_id", r6(stylometry.burstiness(F.col("sizes"))).alias("burstiness"))
 
 
 @query(f"WITH {_SENT_SIZES}, u AS (SELECT doc_id, unnest(sizes) AS n FROM s) SELECT doc_id, round(avg(n), 6) AS sent_len_mean, round(coalesce(var_samp(n), 0), 6) AS sent_len_var FROM u GROUP BY 1")
 def fea11_sentence_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sizes(spark, sf_dir).filter("size(sizes) > 0").select("doc_id", r6(arrays.mean(F.col("sizes"))).alias("sent_len_mean"), r6(arrays.sample_variance(F.col("sizes"))).alias("sent_len_var"))
+    return operators.nonempty(_sizes(spark, sf_dir), "sizes").select("doc_id", r6(arrays.mean(F.col("sizes"))).alias("sent_len_mean"), r6(arrays.sample_variance(F.col("sizes"))).alias("sent_len_var"))
 
 
 @query()
@@ -130,7 +130,7 @@ _UPOS = f"WITH {_TOK}, tg AS (SELECT doc_id, {annotate.UPOS_SQL} AS upos FROM (S
 
 
 def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenised(spark, sf_dir).filter("size(tokens) > 0").select("doc_id", F.transform("tokens", annotate.upos).alias("tags"))
+    return operators.nonempty(tokenised(spark, sf_dir), "tokens").select("doc_id", F.transform("tokens", annotate.upos).alias("tags"))
 
 
 @query(_UPOS + " SELECT doc_id, " + ", ".join(f"round(count(*) FILTER (upos = '{t}') / count(*), 6) AS pos_{t.lower()}" for t in annotate.SHOWN_TAGS) + " FROM tg GROUP BY 1")
