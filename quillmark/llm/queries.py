@@ -13,6 +13,7 @@ from quillmark.llm.common import read_table
 from quillmark.llm.decontamination import SLOP, contamination
 from quillmark.llm.ngram_join import near_duplicates
 from quillmark.llm.packing import pack
+from quillmark.llm.repeats import without_repeats
 
 
 def tokenizer_path() -> str:
@@ -62,9 +63,15 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(read_table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_ngram_join, op3_quality, op4_toxicity, op5_licenses, op6_pii, op7_packing, op8_decontamination, op9_secrets, op10_ann)
+    for f in (op1_warc, op2_ngram_join, op3_quality, op4_toxicity, op5_licenses, op6_pii, op7_packing, op8_decontamination, op9_secrets, op10_ann, op13_substring_dedup)
 }
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -99,7 +106,14 @@ close AS (SELECT r, count(DISTINCT item) AS near_items FROM near JOIN win USING
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(near_items, 0) AS near_items
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r) LEFT JOIN close USING (r)"""
 
+_OP13 = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13 AND doc_id IS NOT NULL)),
+first AS (SELECT g, min(doc_id) AS lo FROM g GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM g JOIN first USING (g) WHERE lo < doc_id),
+kept AS (SELECT r, count(gone.p) AS n, string_agg(t, ' ' ORDER BY p) FILTER (gone.p IS NULL) AS k FROM (SELECT r, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d) LEFT JOIN gone USING (r, p) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
+
 #: Models, compression, keyed pseudonyms, entropy windows, packing and
 #: approximate search have no SQL form; tests hold them against brute force,
 #: exact round trips or held-out accuracy.
-ORACLES: dict[str, str] = {"op1_warc": _OP1, "op2_ngram_join": _OP2, "op8_decontamination": _OP8}
+ORACLES: dict[str, str] = {"op1_warc": _OP1, "op2_ngram_join": _OP2, "op8_decontamination": _OP8, "op13_substring_dedup": _OP13}

@@ -21,13 +21,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def _byte_codes() -> np.ndarray:
-    codes = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    codes[65:91] = codes[97:123]  # A-Z count as a-z
-    return codes
-
-
-_CODES = _byte_codes()
+#: Numbers of the bytes in word hashes: as they are, and with A-Z as a-z.
+EXACT = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FOLDED = EXACT.copy()
+FOLDED[65:91] = EXACT[97:123]
 
 
 def _class_table(is_word) -> np.ndarray:
@@ -99,14 +96,25 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         start = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, codes: np.ndarray = FOLDED) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and for each text the index of its first word (one
     entry more than texts)."""
-    hashes, first, _ = words_and_heads(data, offsets, table, ())
+    hashes, first, _ = words_and_heads(data, offsets, table, (), codes)
     return hashes, first
 
 
-def words_and_heads(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+def runs(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words from every word on that has so many from
+    there on: a polynomial in the words' hashes, from one running sum."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = _POWERS.upto(len(hashes))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up, dtype=np.uint64)])
+    return mix((sums[size:] - sums[:n]) * down[:n])
+
+
+def words_and_heads(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, sizes: tuple[int, ...], codes: np.ndarray = FOLDED) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """As ``words``, and for each size (word index, hash of its first bytes)
     of all words longer than that."""
     n = len(data)
@@ -123,7 +131,7 @@ def words_and_heads(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, si
     tails[borders - 1] = flags[borders - 1]
     starts, ends = np.flatnonzero(heads), np.flatnonzero(tails)
     up, down = _POWERS.upto(n)
-    sums = np.take(_CODES, data)
+    sums = np.take(codes, data)
     sums *= up
     np.cumsum(sums, out=sums)
     before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
