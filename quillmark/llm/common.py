@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -119,3 +120,24 @@ def free_shuffles(spark: SparkSession) -> None:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have, made from ``names``."""
+    taken, mark = {c.lower() for c in df.columns}, "_"
+    while any((mark + name).lower() in taken for name in names):
+        mark += "_"
+    return [mark + name for name in names]
+
+
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a 64-bit number of each row's text in the new column
+    ``name`` (null texts have one, too).  Texts that share the first hash with
+    another text (as 128 bits tell) are numbered by a second one, so different
+    texts of a corpus have different numbers."""
+    text = F.col("text").cast("string")
+    first, second = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    alike = docs.select(first.alias("first"), second.alias("second")).groupBy("first").agg(F.min("second").alias("lo"), F.max("second").alias("hi"))
+    (shared,) = free_names(docs, "shared")
+    table = materialize(alike.filter("lo <> hi").select(F.col("first").alias(shared)), "shared-hashes")
+    return docs.join(table, first == F.col(shared), "left").withColumn(name, F.when(F.col(shared).isNull(), first).otherwise(second)).drop(shared)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import wordstream
-from quillmark.llm.common import materialize, tidy
+from quillmark.llm.common import free_names, keyed, materialize, tidy
 
 WINDOW_WORDS = 10
 #: Words from a window's rarest word within which all its words must lie.
@@ -46,7 +46,7 @@ def _pack(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _unpack(data: bytes) -> np.ndarray:
+def unpack(data: bytes) -> np.ndarray:
     planes = np.frombuffer(data, np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int64)
 
@@ -95,17 +95,17 @@ def build_index(docs: DataFrame) -> DataFrame:
     return materialize(rows, "positions")
 
 
-class _Shard:
+class Shard:
     """A shard's lists as one sorted array of (term, position) keys."""
 
     def __init__(self, row: dict) -> None:
         self.ids = np.frombuffer(row["doc_ids"], "<i8")
         self.nulls = np.frombuffer(row["id_nulls"], np.uint8).astype(bool)
-        self.first = _unpack(row["doc_first"])
+        self.first = unpack(row["doc_first"])
         self.terms = _terms(row["terms"])
-        counts = _unpack(row["counts"])
+        counts = unpack(row["counts"])
         self.starts = np.concatenate([[0], np.cumsum(counts)])
-        deltas = np.cumsum(_unpack(row["postings"]))
+        deltas = np.cumsum(unpack(row["postings"]))
         base = np.concatenate([[0], deltas])[self.starts[:-1]]
         self.postings = deltas - np.repeat(base, counts)
         self.keys = np.repeat(np.arange(len(counts)) << 32, counts) + self.postings
@@ -172,7 +172,7 @@ class Windows:
         """Order each window's offsets from the rarest term on."""
         self.orders = [np.argsort(totals[np.searchsorted(self.vocabulary, self.terms(start, size))], axis=1, kind="stable").astype(np.int16) for size, start, _, _ in self.groups]
 
-    def here(self, group: int, shard: _Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def here(self, group: int, shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows all of whose words the shard has: rows, the shard's numbers
         of their words, and the order of their offsets."""
         size, start, _, _ = self.groups[group]
@@ -182,7 +182,7 @@ class Windows:
         return rows, number[start[rows][:, None] + np.arange(size)], self.orders[group][rows].astype(np.int64)
 
 
-def phrase_hits(shard: _Shard, windows: Windows) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def phrase_hits(shard: Shard, windows: Windows) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(group, length, window rows, start positions) per length."""
     for group, (size, _, _, _) in enumerate(windows.groups):
         rows, local, order = windows.here(group, shard)
@@ -201,10 +201,13 @@ def phrase_hits(shard: _Shard, windows: Windows) -> Iterator[tuple[int, int, np.
             yield group, size, rows[which[kept]], at[kept]
 
 
-def near_hits(shard: _Shard, windows: Windows, slop: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(group, window rows, position of the rarest word) where every word of the
-    window lies within ``slop`` words of that position, in the same document."""
+def near_hits(shard: Shard, windows: Windows, slop: int, least: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(group, window rows, position of the rarest word) where every word of a
+    window of ``least`` words or more lies within ``slop`` words of that
+    position, in the same document."""
     for group, (size, _, _, _) in enumerate(windows.groups):
+        if size < least:
+            continue
         rows, local, order = windows.here(group, shard)
         if not len(rows):
             continue
@@ -218,8 +221,8 @@ def near_hits(shard: _Shard, windows: Windows, slop: int) -> Iterator[tuple[int,
             yield group, rows[which], at
 
 
-def _search_shard(row: dict, windows: Windows, slop: int | None) -> list[dict]:
-    shard = _Shard(row)
+def _search_shard(row: dict, windows: Windows, slop: int | None, least: int) -> list[dict]:
+    shard = Shard(row)
     n_docs, n_words = len(shard.ids), int(shard.first[-1])
     edges = np.zeros(n_words + 1, np.int64)
     named: list[set[str]] = [set() for _ in range(n_docs)]
@@ -230,7 +233,7 @@ def _search_shard(row: dict, windows: Windows, slop: int | None) -> list[dict]:
         for d, r in set(zip(shard.document(at).tolist(), rows.tolist(), strict=True)):
             named[d].update(windows.items_of(group, r))
     if slop is not None:
-        for group, rows, at in near_hits(shard, windows, slop):
+        for group, rows, at in near_hits(shard, windows, slop, least):
             for d, r in set(zip(shard.document(at).tolist(), rows.tolist(), strict=True)):
                 near[d].update(windows.items_of(group, r))
     covered = np.cumsum(edges[:-1]) > 0
@@ -260,7 +263,7 @@ def _term_totals(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
                 terms = _terms(terms)
                 at = np.minimum(np.searchsorted(shared.value, terms), len(shared.value) - 1)
                 kept = shared.value[at] == terms
-                np.add.at(totals, at[kept], _unpack(counts)[kept])
+                np.add.at(totals, at[kept], unpack(counts)[kept])
         found = np.flatnonzero(totals)
         yield pd.DataFrame({"term": found, "n": totals[found]})
 
@@ -288,7 +291,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
         yield [(r.item_id, r.text) for r in chosen.toLocalIterator()]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW_WORDS, slop: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW_WORDS, slop: int | None = None, block_bytes: int = BLOCK_BYTES, short_near: bool = True) -> DataFrame:
     """Benchmark windows in whole documents: one row per row of ``docs``.
 
     Words are runs of ASCII letters and digits (A-Z lower-cased) and all
@@ -297,14 +300,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW_WOR
     inside any occurrence of a window, ``n_items`` the items with occurring
     windows, ``items_sha256`` digests their ids; with ``slop``, ``near_items``
     counts items with a window whose words all lie within ``slop`` words of its
-    rarest word.
+    rarest word (without ``short_near``: a window of ``width`` words).
 
     Nulls and empty texts have no words and are clean; benchmark rows without
     id or text are ignored; repeated rows and ids give a row each; an empty
     benchmark leaves every document clean; other columns are ignored.
     """
     index = build_index(docs)
-    found = [_search(index, block, width, slop) for block in _blocks(benchmark, block_bytes)] or [_search(index, [], width, slop)]
+    least = 1 if short_near else width
+    found = [_search(index, block, width, slop, least) for block in _blocks(benchmark, block_bytes)] or [_search(index, [], width, slop, least)]
     if len(found) == 1:
         return _finished(found[0])
     every = found[0]
@@ -325,7 +329,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW_WOR
     return _finished(every.groupBy("shard", "ordinal").applyInPandas(merge, PART_SCHEMA))
 
 
-def _search(index: DataFrame, block: list[tuple[str, str]], width: int, slop: int | None) -> DataFrame:
+def _search(index: DataFrame, block: list[tuple[str, str]], width: int, slop: int | None, least: int) -> DataFrame:
     """Each document's hits for one block of items (PART_SCHEMA)."""
     windows = Windows(list(zip([n for n, _ in block], _item_words([t for _, t in block]), strict=True)), width)
     windows.rank(_term_totals(index, windows.vocabulary) if windows.groups else np.zeros(0, np.int64))
@@ -335,7 +339,7 @@ def _search(index: DataFrame, block: list[tuple[str, str]], width: int, slop: in
         schema = pa.schema([("shard", pa.string()), ("ordinal", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.string())), ("near", pa.list_(pa.string()))])
         for batch in batches:
             for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist(_search_shard(row, shared.value, slop), schema=schema)
+                yield pa.RecordBatch.from_pylist(_search_shard(row, shared.value, slop, least), schema=schema)
 
     return index.mapInArrow(tidy(search), PART_SCHEMA)
 
@@ -352,12 +356,17 @@ def _finished(parts: DataFrame) -> DataFrame:
     )
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark window, whatever their
-    ids: null and repeated ids are rows like any other, null and empty texts
-    are clean and stay, other columns are untouched, an empty table or an empty
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW_WORDS, slop: int | None = SLOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark window, word for word or,
+    with ``slop``, all its words within ``slop`` words of its rarest one (windows
+    of fewer than ``width`` words: word for word only, as a few common words
+    stand close by in clean texts, too).
+
+    Null and repeated ids are rows like any other, null and empty texts are
+    clean and stay, other columns are untouched, an empty table or an empty
     benchmark changes nothing."""
-    key = F.xxhash64(F.col("text").cast("string"))
-    rows = docs.select(key.alias("doc_id"), "text")  # a row is known by its text
-    found = contamination(rows, benchmark, width, None, block_bytes).filter("contaminated").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.join(materialize(found, "contaminated"), key == F.col("_key"), "left_anti")
+    key, hit = free_names(docs, "key", "hit")
+    rows = keyed(docs, key)  # a row is known by its text
+    found = contamination(rows.select(F.col(key).alias("doc_id"), "text"), benchmark, width, slop, block_bytes, short_near=False)
+    gone = materialize(found.filter("contaminated OR near_items > 0").select(F.col("doc_id").alias(hit)).distinct(), "contaminated")
+    return rows.join(gone, F.col(key) == F.col(hit), "left_anti").drop(key)
