@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm import wordstream
-from quillmark.llm.common import discard, free_shuffles, materialize, tidy, tidy_group
+from quillmark.llm.common import discard, free_names, free_shuffles, materialize, tidy, tidy_group
 from quillmark.llm.components import components
 
 #: Fragments in which overlaps are counted.
@@ -585,10 +585,18 @@ def first_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80) -> Da
     they are; an empty table stays empty.
     """
     rows = materialize(classes(docs, size, percent).filter("n > 0").select("doc_id", "key", "root"), "rows")
-    first = rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("first")).select("root", F.col("first.key").alias("first"))
-    other = materialize(rows.join(first, "root").filter("key <> first").select(F.col("key").alias("_key")).distinct(), "others")
-    kept = docs.withColumn("_key", _row_key()).join(other, "_key", "left_anti")
-    again = materialize(rows.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("k")).filter("k > 1").select("_key"), "again")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("first")).select("root", "first")
+    own, key = free_names(docs, "id", "key")
+    names = [F.col("doc_id").alias(own), F.col("key").alias(key)]
+    other = materialize(rows.join(first, "root").filter("key <> first.key OR NOT doc_id <=> first.doc_id").select(*names).distinct(), "others")
+    again = materialize(rows.groupBy(*names).agg(F.count("*").alias("k")).filter("k > 1").drop("k"), "again")
+    marked = docs.withColumn(key, _row_key())
+
+    def same(table: DataFrame) -> Column:  # an id and a hash: rows of different ids are never taken for each other
+        return (marked[key] == table[key]) & F.col("doc_id").cast("long").eqNullSafe(table[own])
+
+    kept = marked.join(other, same(other), "left_anti")
     if again.limit(1).count():  # rows that are equal to one another
-        kept = kept.join(again, "_key", "left_anti").unionByName(kept.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
+        once = kept.join(again, same(again), "left_semi").withColumn(own, F.col("doc_id").cast("long")).dropDuplicates([own, key]).drop(own)
+        kept = kept.join(again, same(again), "left_anti").unionByName(once)
     return kept.select(*docs.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import wordmodel, wordstream
-from quillmark.llm.common import discard, free_shuffles, materialize, tidy, tidy_group
+from quillmark.llm.common import discard, free_names, free_shuffles, keyed, materialize, tidy, tidy_group
 
 ORDER = 4
 SYMBOL_BITS = 5
@@ -167,13 +167,12 @@ def _trusted_texts(typed: DataFrame, trusted: DataFrame, most_ids: int) -> tuple
     return texts.filter("doc_id IS NOT NULL"), pick
 
 
-def _judged(docs: DataFrame, labels: DataFrame, quantile: float, margin: float, prior: int, most_ids: int) -> tuple[DataFrame, Column, DataFrame]:
+def _judged(docs: DataFrame, key: Column, labels: DataFrame, quantile: float, margin: float, prior: int, most_ids: int) -> tuple[DataFrame, DataFrame]:
     """(key, lang, symbols, perplexity, limit, keep) of every distinct text and
-    language, the key of a row of ``docs``, and the thresholds by language."""
+    language, and the thresholds by language.  ``key``: of a row's text."""
     spark = docs.sparkSession
-    key = F.xxhash64(F.col("text").cast("string"))
-    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    asked = typed.filter("text <> ''").select(key.alias("key"), "text")
+    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), key.alias("key"))
+    asked = typed.filter("text <> ''").select("key", "text")
     trusted = materialize(trusted_ids(labels).select(F.col("doc_id").cast("long").alias("doc_id")), "ids")
     good, pick = _trusted_texts(typed, trusted, most_ids)
     free_shuffles(spark)
@@ -182,7 +181,7 @@ def _judged(docs: DataFrame, labels: DataFrame, quantile: float, margin: float,
     if pick is None:
         discard(good)
     losses = wordmodel.losses(asked, model, spell)
-    names = typed.select("doc_id", "lang", key.alias("key"))
+    names = typed.select("doc_id", "lang", "key")
     # a text is judged alike wherever it stands, so what is trusted is known by its key
     own = names.join(trusted, "doc_id", "left_semi").select("key", "lang")
     scores = materialize(own.join(losses, "key", "left").select("lang", F.coalesce("words", F.lit(0)).alias("symbols"), F.coalesce("unseen", F.lit(0.0)).alias("loss")), "scores")
@@ -199,7 +198,7 @@ def _judged(docs: DataFrame, labels: DataFrame, quantile: float, margin: float,
     symbols = F.coalesce("words", F.lit(0)).cast("long")
     loss = F.coalesce(F.when(F.col("trusted"), F.col("unseen")).otherwise(F.col("loss")), F.lit(0.0))
     scored = each.select("key", "lang", symbols.alias("symbols"), perplexity(symbols, loss).alias("perplexity"), F.coalesce("own", F.lit(of_all)).alias("limit"))
-    return materialize(scored.withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(True))), "judged"), key, limits
+    return materialize(scored.withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(True))), "judged"), limits
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, prior: int = PRIOR, most_ids: int = MOST_IDS) -> DataFrame:
@@ -212,8 +211,10 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, marg
     Rows without id and repeated rows are rows like any other; other columns
     are ignored; an empty table gives no rows.
     """
-    judged, key, _ = _judged(docs, labels, quantile, margin, prior, most_ids)
-    rows = docs.select("doc_id", F.col("lang").alias("_lang"), key.alias("_key"))
+    (name,) = free_names(docs, "key")
+    docs = keyed(docs, name)
+    judged, _ = _judged(docs, F.col(name), labels, quantile, margin, prior, most_ids)
+    rows = docs.select("doc_id", F.col("lang").alias("_lang"), F.col(name).alias("_key"))
     found = rows.join(judged, F.col("_key").eqNullSafe(F.col("key")) & F.col("_lang").cast("string").eqNullSafe(F.col("lang")), "left")
     return found.select("doc_id", F.col("_lang").alias("lang"), "symbols", "perplexity", "limit", "keep")
 
@@ -225,8 +226,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, ma
     that isn't rejected, repeated rows all go or all stay, other columns are
     untouched, and an empty table stays empty.
     """
-    judged, key, _ = _judged(docs, labels, quantile, margin, prior, most_ids)
-    rejected = materialize(judged.filter("NOT keep").select(F.col("key").alias("_key"), F.col("lang").alias("_lang")), "rejected")
+    key, text_key, lang = free_names(docs, "key", "text_key", "lang")
+    rows = keyed(docs, key)
+    judged, _ = _judged(rows, F.col(key), labels, quantile, margin, prior, most_ids)
+    rejected = materialize(judged.filter("NOT keep").select(F.col("key").alias(text_key), F.col("lang").alias(lang)), "rejected")
     discard(judged)
-    same = (key == F.col("_key")) & F.col("lang").cast("string").eqNullSafe(F.col("_lang"))
-    return docs.join(rejected, same, "left_anti")
+    same = (F.col(key) == F.col(text_key)) & F.col("lang").cast("string").eqNullSafe(F.col(lang))
+    return rows.join(rejected, same, "left_anti").drop(key)

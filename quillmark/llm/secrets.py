@@ -15,6 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.llm.common import free_names
 from quillmark.llm.spans import bound, joined, matches, replaced, spans
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -84,9 +85,15 @@ def _entropy_window(text: Column, window: int, bits: Column) -> Column:
     return F.aggregate(bound(codes, changes), start, step, lambda end: F.struct(end["low"].alias("low"), end["high"].alias("high")))
 
 
-def with_spans(docs: DataFrame, window: int = WINDOW, hex_bits: float = HEX_BITS, base64_bits: float = BASE64_BITS, allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """``docs`` with ``_base`` and ``_all``: sorted arrays of spans
-    (start, ord, end, kind), end exclusive, in code points."""
+#: New columns of ``with_spans``: the base spans of each kind, candidate
+#: strings, all base spans, all spans.
+COLUMNS = ("_assign", "_access", "_hex", "_candidates", "_base", "_all")
+
+
+def with_spans(docs: DataFrame, window: int = WINDOW, hex_bits: float = HEX_BITS, base64_bits: float = BASE64_BITS, allow: tuple[str, ...] = ALLOW, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """``docs`` with sorted arrays of spans (start, ord, end, kind), end
+    exclusive, in code points, in new columns of the names ``columns``."""
+    a, b, c, d, e, f = columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string,hit:string>>")
 
@@ -118,10 +125,10 @@ def with_spans(docs: DataFrame, window: int = WINDOW, hex_bits: float = HEX_BITS
     def bare(places: Column) -> Column:
         return F.transform(places, lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), s["kind"].alias("kind"))).cast(plain)
 
-    staged = docs.withColumns({"_assign": bare(assign), "_access": bare(access), "_hex": bare(hexes), "_candidates": candidates})
-    entropy = F.filter(F.transform("_candidates", scored), lambda s: s["start"].isNotNull()).cast(plain)
-    base = F.array_sort(F.concat("_assign", "_access", "_hex"))
-    return staged.withColumns({"_base": base, "_all": F.array_sort(F.concat("_assign", "_access", "_hex", entropy))}).drop("_candidates")
+    staged = docs.withColumns({a: bare(assign), b: bare(access), c: bare(hexes), d: candidates})
+    entropy = F.filter(F.transform(d, scored), lambda s: s["start"].isNotNull()).cast(plain)
+    base = F.array_sort(F.concat(a, b, c))
+    return staged.withColumns({e: base, f: F.array_sort(F.concat(a, b, c, entropy))}).drop(d)
 
 
 def scan(docs: DataFrame, **options: object) -> DataFrame:
@@ -148,5 +155,6 @@ def redact(docs: DataFrame, word: str = "[SECRET]", **options: object) -> DataFr
     Null texts stay null and empty ones empty; repeated rows, rows without id
     and other columns stay as they are; an empty table stays empty.
     """
-    found = with_spans(docs, **options)
-    return found.withColumn("text", F.when(F.col("text").isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col("_all"), word))).select(*docs.columns)
+    columns = free_names(docs, *COLUMNS)
+    found = with_spans(docs, columns=tuple(columns), **options)
+    return found.withColumn("text", F.when(F.col("text").isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col(columns[-1]), word))).select(*docs.columns)
