@@ -144,19 +144,6 @@ def filter_by_vif(gram: np.ndarray, threshold: float = 10.0) -> list[int]:
     return kept
 
 
-def mutual_information(rows: DataFrame, features: list[str], label: str, bins: int = 10) -> DataFrame:
-    """Plug-in mutual information (nats) of binned features with a label (the
-    declared substitute for the nearest-neighbour estimate).  Bins are quantile
-    ranges, so no window sees all rows."""
-    long = long_form(rows, features, label).filter("x IS NOT NULL")
-    edges = quantiles(long, "feature", "x", [i / bins for i in range(1, bins)]).withColumnRenamed("q", "e")
-    binned = long.join(F.broadcast(edges), "feature").select("feature", label, F.size(F.filter("e", lambda e: e < F.col("x"))).alias("bin"))  # a row for each feature
-    cells = binned.groupBy("feature", "bin", label).agg(F.count("*").alias("k"))
-    each = Window.partitionBy("feature")
-    joint = cells.select("feature", "k", F.sum("k").over(each).alias("n"), F.sum("k").over(Window.partitionBy("feature", "bin")).alias("nb"), F.sum("k").over(Window.partitionBy("feature", label)).alias("nl"))
-    return joint.groupBy("feature").agg(F.sum(F.col("k") / F.col("n") * F.log(F.col("k") * F.col("n") / (F.col("nb") * F.col("nl")))).alias("mi"))
-
-
 def cluster_columns(gram: np.ndarray, eps: float = 0.2) -> np.ndarray:
     """Complete-linkage clusters of columns by cosine distance up to ``eps``."""
     norms = np.sqrt(np.maximum(np.diag(gram), 1e-30))
@@ -212,28 +199,6 @@ def direction_collapse(rows: DataFrame, column: str) -> float:
     return 1.0 if values.sum() <= 1e-12 else float(values[-1] / values.sum())
 
 
-def neighbourhood_dispersion(rows: DataFrame, key: str, column: str, k: int = 10, block: int = 4096) -> DataFrame:
-    """(key, mean of the k largest cosines with other rows), block by block:
-    every block of rows meets every other as two matrices, and only the k best
-    of a row leave a block pair."""
-    n_blocks = max(1, -(-rows.count() // block))
-    blocks = rows.select(F.col(key).alias("id"), unit(F.col(column)).alias("u")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
-    left = blocks.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    right = blocks.withColumnRenamed("b", "c").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-
-    def best(_, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"id": [], "sim": []})
-        s = np.stack(x["u"].to_numpy()) @ np.stack(y["u"].to_numpy()).T
-        s[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]] = -np.inf
-        top = -np.sort(-s, axis=1)[:, :k]
-        return pd.DataFrame({"id": np.repeat(x["id"].to_numpy(), top.shape[1]), "sim": top.ravel()}).query("sim > -2")
-
-    found = left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInPandas(best, "id long, sim double")
-    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim")))).filter(F.col("r") <= k)
-    return ranked.groupBy("id").agg(F.avg("sim").alias("dispersion")).withColumnRenamed("id", key)
-
-
 def human_reference(rows: DataFrame, features: list[str], human: str) -> DataFrame:
     """(feature, mean, std): sample deviation, null for fewer than two values."""
     return long_form(rows.filter(human), features).groupBy("feature").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))

@@ -72,13 +72,11 @@ def quality_report(docs: DataFrame, language: str) -> DataFrame:
     return main.crossJoin(repeated)  # one row each
 
 
-def language_report(docs: DataFrame, language: str) -> DataFrame:
-    return docs.groupBy("source", "lang").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == language).alias("kept"))
-
-
-def language_split(docs: DataFrame, language: str) -> tuple[DataFrame, DataFrame]:
-    """Documents in the language, and the rest with ``detected_lang``."""
-    return docs.filter(F.col("lang") == language), docs.filter(F.col("lang") != language).withColumn("detected_lang", F.col("lang"))
+def language_report(named: DataFrame, language: str) -> DataFrame:
+    """Of documents with ``detected_lang``, by source and language, how many
+    there are and how many are kept."""
+    kept = F.count_if(F.coalesce(F.col("detected_lang") == language, F.lit(False)))
+    return named.groupBy("source", "detected_lang").agg(F.count("*").alias("n"), kept.alias("kept"))
 
 
 def target_words(mean: float, deviation: float, least: int, most: int, seed: int) -> Column:

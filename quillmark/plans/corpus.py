@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import annotate, arrays, stylometry
 from quillmark.operators import corpus as operators
-from quillmark.operators import features
+from quillmark.operators import features, neighbours
 from quillmark.plans.base import SAMPLES_SQL, TOKENS_SQL, WORDS_SQL, query, r6, samples, table, tokenised
 
 #: A small feature table that both engines can make: three features and the
@@ -20,7 +20,7 @@ LONG_SQL = BASE_SQL + ", lf AS (" + " UNION ALL ".join(f"SELECT doc_id, sample_i
 
 
 def base_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tokenised(spark, sf_dir).filter("size(tokens) > 0")
+    t = features.nonempty(tokenised(spark, sf_dir), "tokens")
     n = F.size("tokens")
     return t.select(
         "doc_id", "sample_id", "original_id", "label", "holdout", n.cast("long").alias("token_count"),
@@ -165,13 +165,19 @@ def num16_filter_by_vif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frame(spark, [(names[i],) for i in operators.filter_by_vif(gram)], "feature string")
 
 
-_MI = f"""WITH {LONG_SQL}, e AS (SELECT feature, quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM lf GROUP BY 1), b AS (SELECT feature, label, len(list_filter(e, lambda q: q < x)) AS bin FROM lf JOIN e USING (feature)),
- c AS (SELECT feature, bin, label, count(*) AS k FROM b GROUP BY 1, 2, 3), j AS (SELECT feature, k, sum(k) OVER (PARTITION BY feature) AS n, sum(k) OVER (PARTITION BY feature, bin) AS nb, sum(k) OVER (PARTITION BY feature, label) AS nl FROM c),
- mi AS (SELECT feature, round(sum(k / n * ln(k * n / (nb * nl))), 6) AS mi FROM j GROUP BY 1)"""
+def _digamma_sql(n: str) -> str:
+    steps = " + ".join(f"1.0 / ({n} + {i})" for i in range(6))
+    return f"(ln({n} + 6) - 1.0 / (2 * ({n} + 6)) - 1.0 / (12 * pow({n} + 6, 2)) + 1.0 / (120 * pow({n} + 6, 4)) - 1.0 / (252 * pow({n} + 6, 6)) - ({steps}))"
+
+
+_MI = f"""WITH {LONG_SQL}, mm AS (SELECT feature, avg(x) AS m FROM lf GROUP BY 1), p AS (SELECT row_number() OVER () AS r, feature, label, coalesce(x, m) AS x, count(*) OVER (PARTITION BY feature, label) AS own FROM lf JOIN mm USING (feature) QUALIFY own > 1),
+ g AS (SELECT a.r, a.feature, a.x, a.own, list_sort(list(abs(b.x - a.x)))[least(3, a.own - 1)] AS d FROM p a JOIN p b ON a.feature = b.feature AND a.label = b.label AND a.r <> b.r GROUP BY a.r, a.feature, a.x, a.own),
+ c AS (SELECT g.r, g.feature, g.own, count(*) AS m FROM g JOIN p b ON b.feature = g.feature AND CASE WHEN d > 0 THEN b.x < g.x + d AND b.x > g.x - d ELSE b.x = g.x END GROUP BY g.r, g.feature, g.own),
+ mi AS (SELECT feature, round(greatest(0, {_digamma_sql('count(*)')} + avg({_digamma_sql('least(3, own - 1)')}) - avg({_digamma_sql('own')}) - avg({_digamma_sql('m')})), 6) AS mi FROM c GROUP BY 1)"""
 
 
 def _mi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = operators.mutual_information(base_features(spark, sf_dir), BASE, "label")
+    found = neighbours.mutual_information(base_features(spark, sf_dir), BASE, "label")
     return found.select("feature", r6(F.col("mi")).alias("mi"))
 
 
@@ -237,7 +243,7 @@ def num26_direction_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS u FROM embeddings),
  p AS (SELECT a.vec_id, list_inner_product(a.u, b.u) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.u, b.u) DESC) AS r FROM u a JOIN u b ON a.vec_id <> b.vec_id) SELECT vec_id, round(avg(s), 6) AS dispersion FROM p WHERE r <= 10 GROUP BY 1""")
 def num27_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = operators.neighbourhood_dispersion(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
+    found = neighbours.neighbourhood_dispersion(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
     return found.select("vec_id", r6(F.col("dispersion")).alias("dispersion"))
 
 

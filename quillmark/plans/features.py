@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import annotate, arrays, stylometry
+from quillmark.operators import context
 from quillmark.operators import features as operators
 from quillmark.plans.base import SAMPLES_SQL, TOKENS_SQL, WORDS_SQL, query, r6, samples, table, tokenised
 
@@ -236,34 +237,58 @@ def fea27_bezirci_yilmaz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _readability(spark, sf_dir, "bezirci_yilmaz")
 
 
-_LM = _TC + """, hum AS (SELECT w, sum(c) AS c FROM tc WHERE doc_id % 10 < 4 GROUP BY 1), tot AS (SELECT sum(c) AS n, count(*) AS v FROM hum)"""
+_CUT = context.MOST_TOKENS
+_PLACES = f"""WITH {_TOK}, h AS (SELECT doc_id, doc_id % 10 AS kind, tokens, tokens[1:{_CUT}] AS head FROM t WHERE len(tokens) > 0),
+ whole AS (SELECT kind, CASE WHEN i > 1 THEN tokens[i - 1] ELSE '' END AS l, tokens[i] AS w, coalesce(tokens[i + 1], '') AS r FROM (SELECT kind, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM h)),
+ q AS (SELECT doc_id, CASE WHEN i > 1 THEN head[i - 1] ELSE '' END AS l, head[i] AS w, coalesce(head[i + 1], '') AS r FROM (SELECT doc_id, head, unnest(range(1, len(head) + 1)) AS i FROM h))"""
 
 
-@query(_LM + " SELECT doc_id, round(exp(-sum(tc.c * ln((coalesce(hum.c, 0) + 1) / (n + v + 1))) / sum(tc.c)), 6) AS perplexity FROM tc LEFT JOIN hum USING (w), tot GROUP BY 1")
+def _masked_sql(name: str, training: str) -> str:
+    """Tables of the model of some documents, and ``name`` (doc_id, p)."""
+    both, single, k = context.BOTH, context.SINGLE / 2, context.SMOOTHING
+    counts = ", ".join(f"{name}_{c} AS (SELECT {', '.join(c)}, count(*) AS c FROM {name}_t GROUP BY ALL)" for c in ("lwr", "lr", "lw", "l", "wr", "r", "w"))
+    joins = " ".join(f"LEFT JOIN {name}_{c} c_{c} USING ({', '.join(c)})" for c in ("lwr", "lr", "lw", "l", "wr", "r", "w"))
+    shares = [(both, "lwr", "lr"), (single, "lw", "l"), (single, "wr", "r")]
+    mixed = " + ".join(f"CASE WHEN c_{of}.c > 0 THEN {w} * coalesce(c_{part}.c, 0) / c_{of}.c ELSE 0.0 END" for w, part, of in shares)
+    rest = " + ".join(f"CASE WHEN c_{of}.c > 0 THEN {w} ELSE 0.0 END" for w, _, of in shares)
+    return f"""{name}_t AS (SELECT l, w, r FROM whole WHERE {training}), {counts}, {name}_n AS (SELECT sum(c) AS n, count(*) AS v FROM {name}_w),
+ {name} AS (SELECT doc_id, exp(-avg(ln({mixed} + (1 - ({rest})) * (coalesce(c_w.c, 0) + {k}) / (n + {k} * (v + 1))))) AS p FROM q {joins}, {name}_n GROUP BY 1)"""
+
+
+def _model(spark: SparkSession, sf_dir: str, training: str) -> DataFrame:
+    return context.two_sided_counts(_counts(spark, sf_dir).filter(training))
+
+
+@query(f"{_PLACES}, {_masked_sql('m', 'kind < 4')} SELECT doc_id, round(p, 6) AS perplexity FROM m")
 def fea28_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _counts(spark, sf_dir)
-    return operators.unigram_perplexity(counts, operators.vocabulary(counts.filter("doc_id % 10 < 4")), 1.0).select("doc_id", r6(F.col("perplexity")).alias("perplexity"))
+    """Model of the human documents."""
+    found = context.masked_perplexity(_counts(spark, sf_dir), context.cut(_model(spark, sf_dir, "doc_id % 10 < 4"), "model"))
+    return found.select("doc_id", r6(F.col("perplexity")).alias("perplexity"))
 
 
-@query(_LM + """, p AS (SELECT doc_id, exp(-sum(tc.c * ln((coalesce(hum.c, 0) + 1) / (n + v + 1))) / sum(tc.c)) AS a, exp(-sum(tc.c * ln((coalesce(hum.c, 0) + 0.1) / (n + 0.1 * (v + 1)))) / sum(tc.c)) AS b FROM tc LEFT JOIN hum USING (w), tot GROUP BY 1)
- SELECT doc_id, round(CASE WHEN a / b <= 0 THEN 0 ELSE ln(a / b) END, 6) AS perplexity_ratio FROM p""")
+@query(f"{_PLACES}, {_masked_sql('m', 'kind < 4')}, {_masked_sql('g', 'kind BETWEEN 4 AND 6')} SELECT doc_id, round(ln(m.p / g.p), 6) AS perplexity_ratio FROM m JOIN g USING (doc_id)")
 def fea29_perplexity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model of the human documents over that of the generated ones."""
     counts = _counts(spark, sf_dir)
-    known = operators.vocabulary(counts.filter("doc_id % 10 < 4"))
-    one, two = (operators.unigram_perplexity(counts, known, k).withColumnRenamed("perplexity", n) for k, n in ((1.0, "a"), (0.1, "b")))
-    return one.join(two, "doc_id").select("doc_id", r6(F.when(F.col("a") / F.col("b") <= 0, 0.0).otherwise(F.log(F.col("a") / F.col("b")))).alias("perplexity_ratio"))
+    one, two = (context.masked_perplexity(counts, context.cut(_model(spark, sf_dir, of), "model")) for of in ("doc_id % 10 < 4", "doc_id % 10 BETWEEN 4 AND 6"))
+    return context.log_ratio(one, two).select("doc_id", r6(F.col("perplexity_ratio")).alias("perplexity_ratio"))
 
 
-_RANK = _LM + """, ranked AS (SELECT w, rank() OVER (ORDER BY c DESC) AS r FROM hum), rv AS (SELECT count(*) + 1 AS vmax FROM ranked),
- dr AS (SELECT doc_id, coalesce(r, vmax) AS r, c, vmax FROM tc LEFT JOIN ranked USING (w), rv)"""
+_RANK = f"""WITH {_TOK}, u AS (SELECT w, count(*) AS c FROM (SELECT unnest(tokens) AS w FROM t WHERE doc_id % 10 < 4) GROUP BY 1), r1 AS (SELECT w, c, rank() OVER (ORDER BY c DESC) AS r FROM u), v AS (SELECT count(*) + 1 AS vmax FROM u),
+ s AS (SELECT l, w, count(*) AS c FROM (SELECT tokens[i] AS l, tokens[i + 1] AS w FROM (SELECT tokens, unnest(range(1, len(tokens))) AS i FROM t WHERE doc_id % 10 < 4)) GROUP BY 1, 2), sr AS (SELECT l, w, rank() OVER (PARTITION BY l ORDER BY c DESC) AS r FROM s),
+ p AS (SELECT doc_id, tokens[i] AS l, tokens[i + 1] AS w, count(*) AS n FROM (SELECT doc_id, tokens, unnest(range(1, least(len(tokens), {_CUT}))) AS i FROM t) GROUP BY 1, 2, 3),
+ o AS (SELECT DISTINCT l, w FROM p ANTI JOIN s USING (l, w)), oc AS (SELECT l, w, coalesce(c, 0) AS c, coalesce(r, vmax) AS r FROM o LEFT JOIN r1 USING (w), v),
+ b AS (SELECT q.l, q.c, count(sc.c) AS k FROM (SELECT DISTINCT l, c FROM oc) q LEFT JOIN (SELECT l, r1.c FROM s JOIN r1 USING (w)) sc ON sc.l = q.l AND sc.c > q.c GROUP BY 1, 2), len AS (SELECT l, count(*) AS k FROM s GROUP BY 1),
+ x AS (SELECT l, w, r FROM sr UNION ALL SELECT oc.l, oc.w, coalesce(len.k, 0) + oc.r - b.k FROM oc JOIN b ON b.l = oc.l AND b.c = oc.c LEFT JOIN len ON len.l = oc.l),
+ dr AS (SELECT doc_id, r, n, vmax FROM p JOIN x USING (l, w), v), k AS (SELECT doc_id, least(floor(log2(r) / (log2(vmax) / 10)), 9) AS bucket, sum(n) AS n FROM dr GROUP BY 1, 2), h AS (SELECT doc_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS e FROM k GROUP BY 1),
+ a AS (SELECT doc_id, sum(r * n) / sum(n) AS m, coalesce(sum(n) FILTER (r <= 1), 0) / sum(n) AS t1, coalesce(sum(n) FILTER (r <= 5), 0) / sum(n) AS t5, coalesce(sum(n) FILTER (r <= 10), 0) / sum(n) AS t10 FROM dr GROUP BY 1)"""
 
 
-@query(_RANK + """, b AS (SELECT doc_id, least(floor(log2(r) / (log2(vmax) / 10)), 9) AS bucket, sum(c) AS c FROM dr GROUP BY 1, 2), h AS (SELECT doc_id, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM b GROUP BY 1)
- SELECT doc_id, round(sum(r * c) / sum(c), 6) AS mean_token_rank, round(sum(c) FILTER (r <= 1) / sum(c), 6) AS frac_rank_top1, round(coalesce(sum(c) FILTER (r <= 5), 0) / sum(c), 6) AS frac_rank_top5,
- round(coalesce(sum(c) FILTER (r <= 10), 0) / sum(c), 6) AS frac_rank_top10, round(any_value(e), 6) AS rank_entropy FROM dr JOIN h USING (doc_id) GROUP BY 1""".replace("round(sum(c) FILTER (r <= 1) / sum(c), 6)", "round(coalesce(sum(c) FILTER (r <= 1), 0) / sum(c), 6)"))
+@query(_RANK + """ SELECT t.doc_id, round(coalesce(m, 0), 6) AS mean_token_rank, round(coalesce(t1, 0), 6) AS frac_rank_top1, round(coalesce(t5, 0), 6) AS frac_rank_top5, round(coalesce(t10, 0), 6) AS frac_rank_top10, round(coalesce(e, 0), 6) AS rank_entropy
+ FROM t LEFT JOIN a USING (doc_id) LEFT JOIN h USING (doc_id) WHERE len(tokens) > 0""")
 def fea30_token_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _counts(spark, sf_dir)
-    found = operators.token_ranks(counts, operators.vocabulary(counts.filter("doc_id % 10 < 4")))
+    found = context.context_ranks(counts, counts.filter("doc_id % 10 < 4"))
     return found.select("doc_id", *(r6(F.col(c)).alias(c) for c in found.columns[1:]))
 
 
@@ -272,12 +297,13 @@ def fea31_all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operators.all_features(samples(spark, sf_dir))
 
 
-@query()
+@query(f"{_PLACES}, {_masked_sql('m', 'kind < 4')} SELECT doc_id, round(p, 6) AS perplexity FROM m")
 def fea32_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the rows have their perplexity, the others get it."""
     counts = _counts(spark, sf_dir)
-    known = operators.vocabulary(counts.filter("doc_id % 10 < 4"))
-    have = operators.unigram_perplexity(counts.filter("doc_id % 3 = 0"), known, 1.0)
-    return operators.backfill(have, counts, "doc_id", lambda missing: operators.unigram_perplexity(missing, known, 1.0))
+    model = context.cut(_model(spark, sf_dir, "doc_id % 10 < 4"), "model")
+    have = context.cut(context.masked_perplexity(counts.filter("doc_id % 3 = 0"), model), "have")
+    return operators.backfill(have, counts, "doc_id", lambda missing: context.masked_perplexity(missing, model)).select("doc_id", r6(F.col("perplexity")).alias("perplexity"))
 
 
 @query(f"WITH {_SENT_SIZES}, u AS (SELECT doc_id, unnest(sizes) AS n FROM s), a AS (SELECT doc_id, avg(n) AS m, stddev_samp(n) AS sd FROM u GROUP BY 1) SELECT s.doc_id, CAST(len(sizes) AS BIGINT) AS sentence_count, round(CASE WHEN len(sizes) < 2 THEN NULL WHEN sd + m = 0 THEN 0 ELSE (sd - m) / (sd + m) END, 6) AS burstiness FROM s LEFT JOIN a USING (doc_id)")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import annotate, arrays, cleaning
+from quillmark.operators import language
 from quillmark.operators import text as operators
 from quillmark.plans.base import GENERATOR_SQL, SAMPLES_SQL, WORDS_SQL, query, r6, samples, table
 from quillmark.sources import connectors
@@ -245,9 +246,30 @@ def txt14_turkish_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", cleaning.validity_ratio(F.col("text")).alias("validity"))
 
 
-@query("SELECT doc_id, lang = 'de' AS is_language FROM documents")
+#: Profiles come from the labels of four documents in five, and name all.
+_LANG = rf"""WITH x AS (SELECT doc_id, lang, source, string_split(' ' || regexp_replace(translate(text, '{language.UPPER}', '{language.LOWER}'), '[\x09-\x0D\x20]+', ' ', 'g') || ' ', '') AS x FROM documents WHERE text IS NOT NULL),
+ c AS (SELECT doc_id, any_value(lang) AS lang, g, count(*) AS c FROM (SELECT doc_id, lang, x[i] || x[i + 1] || x[i + 2] AS g FROM (SELECT doc_id, lang, x, unnest(range(1, len(x) - 1)) AS i FROM x WHERE len(x) >= 3)) GROUP BY doc_id, g),
+ m AS (SELECT lang, g, sum(c) AS c FROM c WHERE doc_id % 5 <> 0 AND lang IS NOT NULL GROUP BY 1, 2), tot AS (SELECT lang, sum(c) AS t FROM m GROUP BY 1), p AS (SELECT lang, g, c FROM m QUALIFY row_number() OVER (PARTITION BY lang ORDER BY c DESC, g) <= {language.PROFILE}),
+ n AS (SELECT doc_id, sum(c) AS n FROM c GROUP BY 1), s AS (SELECT c.doc_id, tot.lang, sum(c.c * coalesce(ln(p.c + 1), 0)) / any_value(n.n) - ln(any_value(t) + {language.PROFILE}) AS score FROM c CROSS JOIN tot LEFT JOIN p ON p.lang = tot.lang AND p.g = c.g JOIN n ON n.doc_id = c.doc_id GROUP BY 1, 2),
+ det AS (SELECT doc_id, lang AS detected_lang FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, lang) = 1), d AS (SELECT documents.doc_id, source, detected_lang FROM documents LEFT JOIN det USING (doc_id))"""
+
+
+def _profiles(spark: SparkSession, sf_dir: str) -> language.Profiles:
+    return language.Profiles(_docs(spark, sf_dir).filter("doc_id % 5 <> 0").select("lang", "text"))
+
+
+@query(_LANG + " SELECT doc_id, lang, round(score, 6) AS score FROM s")
+def txt15_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = _profiles(spark, sf_dir)
+    every = F.array(*(F.struct(F.lit(lang).alias("lang"), r6(F.col(f"score_{i}")).alias("score")) for i, lang in enumerate(profiles.languages)))
+    return profiles.scored(_docs(spark, sf_dir), "doc_id").select("doc_id", F.explode(every).alias("s")).select("doc_id", "s.lang", "s.score")
+
+
+@query(_LANG + " SELECT doc_id, coalesce(detected_lang = 'de', false) AS is_language FROM d")
 def txt15_is_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", (F.col("lang") == "de").alias("is_language"))
+    """By the text alone; the column ``lang`` only labels the training texts."""
+    named = _profiles(spark, sf_dir).detected(_docs(spark, sf_dir), "doc_id")
+    return named.select("doc_id", F.coalesce(F.col("detected_lang") == "de", F.lit(False)).alias("is_language"))
 
 
 _BIB = r"CASE WHEN len(lines) = 0 THEN 0 ELSE len(list_filter(lines, lambda x: regexp_matches(x, '\(\d{4}\)|\d{4}\)\.|pp\.\s*\d|ss\.\s*\d'))) / len(lines) END"
@@ -275,9 +297,10 @@ def txt19_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operators.quality_report(_docs(spark, sf_dir), "en")
 
 
-@query("SELECT source, lang, count(*) AS n, count(*) FILTER (lang = 'en') AS kept FROM documents GROUP BY 1, 2")
+@query(_LANG + " SELECT source, detected_lang, count(*) AS n, count(*) FILTER (detected_lang = 'en') AS kept FROM d GROUP BY 1, 2")
 def txt20_language_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operators.language_report(_docs(spark, sf_dir), "en")
+    named = _docs(spark, sf_dir).select("doc_id", "source").join(_profiles(spark, sf_dir).detected(_docs(spark, sf_dir), "doc_id"), "doc_id")
+    return operators.language_report(named, "en")
 
 
 @query()

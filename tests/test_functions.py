@@ -157,8 +157,6 @@ def test_geometry(spark):
         assert corpus.anisotropy(frame(m), "v").first()[0] == pytest.approx(want)
     assert corpus.direction_collapse(frame(np.ones((5, 4))), "v") == 1.0
     assert corpus.direction_collapse(frame(np.eye(4)), "v") == pytest.approx(1 / 3)
-    near = {r.k: r.dispersion for r in corpus.neighbourhood_dispersion(frame(np.eye(4)), "k", "v", 2, block=2).collect()}
-    assert near == {i: pytest.approx(0.0) for i in range(4)}
 
 
 def test_selection():
