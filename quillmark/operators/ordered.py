@@ -1,17 +1,25 @@
 """Numbers, ranks, running sums and quantiles in a global order, without a task
 that sees all rows or all rows of a group: rows are ranged by the order, and
-what stands before a range comes from one row for each range and group."""
+what stands before a range comes from one row for each range and group.
+
+Ranged rows are written with their range before they are read twice: borders of
+ranges are sampled and ranges may be merged as a plan runs, so a plan that ranges
+rows twice can range them in two ways."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.sources.connectors import scratch
+
 
 def _ranged(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """``rows`` with their range, their group and their place in both."""
     group = F.struct(*by) if by else F.lit(0)  # fields that are null are equal in a struct
-    ranged = rows.repartitionByRange(*by, *order).withColumns({"_part": F.spark_partition_id(), "_group": group})
+    path = scratch(rows.sparkSession, "ranged")
+    rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    ranged = rows.sparkSession.read.parquet(path).withColumn("_group", group)
     return ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part", "_group").orderBy(*order)))
 
 

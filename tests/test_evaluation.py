@@ -57,6 +57,22 @@ def test_connected_chain(spark):
     assert got == {**{f"g{i:02d}": "g00" for i in range(20)}, "z": "z"}
 
 
+def test_numbers_of_many_rows_in_ranges_that_are_merged(spark):
+    """More rows than borders are sampled from, in more ranges than are kept:
+    every row is there once, with its number."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        rows = spark.range(0, 300_000, 1, 3).select(F.hash("id").alias("v"), "id", F.repeat(F.lit("x"), 200).alias("wide"))
+        got = numbered(rows, "v", "id", name="n").select("v", "id", "n")
+        assert got.count() == 300_000 and got.select("n").distinct().count() == 300_000
+        assert got.agg(F.min("n"), F.max("n")).first() == (0, 299_999)
+        first = [r.id for r in got.orderBy("n").limit(50).collect()]
+        assert first == [r.id for r in rows.orderBy("v", "id").limit(50).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_numbered_without_one_task(spark):
     got = numbered(spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")).repartition(5), "x").collect()
     assert sorted(r.n for r in got) == list(range(1000)) and all(r.n == r.x for r in got)
