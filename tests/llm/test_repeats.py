@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import zstandard
 from pyspark.sql import functions as F
 
 from quillmark.llm import repeats
@@ -64,11 +65,23 @@ def test_nulls_ties_repeats_case_and_long_texts(spark):
 
 
 def test_more_windows_than_an_automaton_holds():
-    rows = np.arange(60).reshape(20, 3)
-    built = list(repeats.automata(rows, 7))
-    assert [base for base, _ in built] == [0, 7, 14]
-    hits = [base + k for base, automaton in built for _, k in automaton.iter(tuple(rows.ravel().tolist()))]
-    assert sorted(hits) == list(range(20))
+    """Automata of few windows find what one of all finds."""
+    text = " ".join(f"w{i % 17}" if i % 50 else "x" for i in range(400))
+    raw = f"{text}\n{text} end".encode()
+    chunk = repeats._Chunk([1, 2], [len(text), len(text) + 5], zstandard.ZstdCompressor().compress(raw))
+    _, places = np.unique(np.lib.stride_tricks.sliding_window_view(chunk.hashes, 4), axis=0, return_index=True)
+    owners = np.where(places % 2, 1, 2)
+    whole = repeats._covered(chunk, places, owners, 4)
+    assert whole.any() and not whole.all()
+    assert (whole == repeats._covered(chunk, places, owners, 4, limit=7)).all()
+
+
+def test_words_as_characters():
+    hashes = np.arange(70_000, dtype=np.uint64) * np.uint64(3)
+    words = repeats.spelled(hashes, hashes[1:])
+    assert len({words[i : i + 2] for i in range(0, 140_000, 2)}) == 70_000 and words[:2] == "\0\0"
+    assert not set(words[2::2]) & set(words[3::2]) and len(set(words)) < 600
+    assert repeats.spelled(hashes[5:9], hashes[1:]) == words[10:18]
 
 
 def test_query(spark):
