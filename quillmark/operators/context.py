@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.operators.features import ranks
 from quillmark.sources.connectors import scratch
 
 MOST_TOKENS = 512
@@ -50,6 +49,14 @@ def looked_up(rows: DataFrame, known: DataFrame, key: list[str], weight: str = "
 # --- ranks after the left neighbour -------------------------------------------
 
 
+def ranks(known: DataFrame) -> DataFrame:
+    """(w, r): rank of each word by count, ties alike.  Ranks come from the
+    histogram of counts, so no window sees the whole vocabulary."""
+    by_count = known.groupBy("c").agg(F.count("*").alias("words"))
+    above = by_count.select("c", (F.coalesce(F.sum("words").over(Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).alias("r"))
+    return known.join(above, "c").select("w", "r")
+
+
 def pairs(docs: DataFrame, most: int | None = None) -> DataFrame:
     """(doc_id, l, w): each token with the one before it, of the first ``most``
     tokens of each document."""
@@ -92,8 +99,21 @@ def context_ranks(docs: DataFrame, training: DataFrame, most: int = MOST_TOKENS)
     ``most`` tokens: each token's place in the list of what follows its left
     neighbour in ``training`` (the rest of the vocabulary behind it), and the
     entropy of ten equal buckets of log2 rank.  Zeros for fewer than two tokens."""
-    successors = cut(pairs(training).groupBy("l", "w").agg(F.count("*").alias("c")), "successors")
-    known = cut(training.select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count("*").alias("c")), "words")
+    return placed_ranks(docs, cut(successor_counts(training), "successors"), cut(word_totals(training), "words"), most)
+
+
+def successor_counts(training: DataFrame) -> DataFrame:
+    """(l, w, c): how often a word follows another."""
+    return pairs(training).groupBy("l", "w").agg(F.count("*").alias("c"))
+
+
+def word_totals(training: DataFrame) -> DataFrame:
+    """(w, c): how often each word occurs."""
+    return training.select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+
+
+def placed_ranks(docs: DataFrame, successors: DataFrame, known: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
+    """``context_ranks`` from the counts of its training documents."""
     rows = cut(pairs(docs, most).groupBy("doc_id", "l", "w").agg(F.count("*").alias("n")), "pairs")
     asked = rows.select("l", "w").distinct()
     direct = successor_ranks(successors)
@@ -124,46 +144,60 @@ def _asked(kind: str) -> Column:
     return F.array(*(F.struct(F.lit(k).alias("kind"), F.xxhash64(F.lit(k), *(F.col(f"{kind}.{c}") for c in parts)).alias("key")) for k, parts in enumerate(_KINDS)))
 
 
-def places(docs: DataFrame, most: int | None = None) -> DataFrame:
-    """(doc_id, at, p<l, w, r>): each token between its neighbours; the ends of
-    what is read are the neighbour ''."""
+def places(docs: DataFrame, most: int | None = None, *more: str) -> DataFrame:
+    """(doc_id, more columns, at, p<l, w, r>): each token between its
+    neighbours; the ends of what is read are the neighbour ''."""
     tokens = F.slice("tokens", 1, most) if most else F.col("tokens")
-    held = docs.select("doc_id", F.explode_outer(F.array(tokens)).alias("_t"))
+    held = docs.select("doc_id", *more, F.explode_outer(F.array(tokens)).alias("_t"))
     size = F.greatest(F.size("_t"), F.lit(1)) - 1
     end = F.array(F.lit(""))
     zipped = F.arrays_zip(F.concat(end, F.slice("_t", F.lit(1), size)).alias("l"), F.col("_t").alias("w"), F.concat(F.slice("_t", F.lit(2), size), end).alias("r"))
-    return held.filter(F.size("_t") > 0).select("doc_id", F.posexplode(zipped).alias("at", "p"))
+    return held.filter(F.size("_t") > 0).select("doc_id", *more, F.posexplode(zipped).alias("at", "p"))
 
 
-def two_sided_counts(training: DataFrame) -> DataFrame:
-    """(kind, key, c): the model.  Keys are 64-bit hashes of the words; of n
-    different ones about n * n / 2**65 pairs share a count."""
-    return places(training).select(F.explode(_asked("p")).alias("k")).groupBy("k.kind", "k.key").agg(F.count("*").alias("c"))
+def two_sided_counts(training: DataFrame, **parts: str) -> DataFrame:
+    """(kind, key, c): the model.  With ``parts``, a condition on the training
+    documents for each name, one model for each part, as columns c_<name>.
+    Keys are 64-bit hashes of the words; of n different ones about
+    n * n / 2**65 pairs share a count."""
+    conditions = parts or {"": "true"}
+    marks = {f"c_{name}" if name else "c": F.expr(f"CASE WHEN {condition} THEN 1 ELSE 0 END") for name, condition in conditions.items()}
+    rows = places(training.withColumns({name: mark.cast("long") for name, mark in marks.items()}), None, *marks)
+    counted = rows.select(*marks, F.explode(_asked("p")).alias("k")).groupBy("k.kind", "k.key").agg(*(F.sum(name).alias(name) for name in marks))
+    return counted.filter(" + ".join(marks) + " > 0")
 
 
-def masked_perplexity(docs: DataFrame, model: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
-    """(doc_id, perplexity): exp of minus the mean log probability of the first
-    ``most`` tokens, each hidden and guessed from both its neighbours.
+def masked_perplexities(docs: DataFrame, model: DataFrame, names: tuple[str, ...], most: int = MOST_TOKENS) -> DataFrame:
+    """(doc_id, perplexity_<name> of each name): exp of minus the mean log
+    probability of the first ``most`` tokens, each hidden and guessed from both
+    its neighbours by the model in column c_<name>.
 
     The probability mixes the share of the word between both neighbours, after
     the left and before the right one, and its smoothed own share; the weight
     of a context that was never seen goes to the latter.  Documents without
     tokens have no row."""
-    words = model.filter(F.col("kind") == len(_KINDS) - 1).agg(F.sum("c").alias("_n"), F.count("*").alias("_v"))  # one row
+    kinds = range(len(_KINDS))
+    own = model.filter(F.col("kind") == len(_KINDS) - 1)
+    sizes = own.agg(*(f for name in names for f in (F.sum(f"c_{name}").alias(f"_n_{name}"), F.count_if(F.col(f"c_{name}") > 0).alias(f"_v_{name}"))))  # one row
     asked = places(docs, most).select("doc_id", "at", F.explode(_asked("p")).alias("k")).select("doc_id", "at", "k.kind", "k.key")
-    found = looked_up(asked, model, ["kind", "key"])
-    counts = found.groupBy("doc_id", "at").agg(*(F.coalesce(F.max(F.when(F.col("kind") == k, F.col("c"))), F.lit(0)).alias(f"c{k}") for k in range(len(_KINDS))))
-    seen = [F.col(f"c{k}") > 0 for k in (1, 3, 5)]
-    weights = [F.when(s, w).otherwise(0.0) for s, w in zip(seen, (BOTH, SINGLE / 2, SINGLE / 2), strict=True)]
-    shares = [F.when(s, F.col(f"c{k - 1}") / F.col(f"c{k}")).otherwise(0.0) for s, k in zip(seen, (1, 3, 5), strict=True)]
-    own = (F.col("c6") + SMOOTHING) / (F.coalesce("_n", F.lit(0)) + SMOOTHING * (F.col("_v") + 1))
-    p = sum((w * s for w, s in zip(weights, shares, strict=True)), (1 - sum(weights, F.lit(0.0))) * own)
-    return counts.crossJoin(F.broadcast(words)).groupBy("doc_id").agg(F.exp(-F.avg(F.log(p))).alias("perplexity"))
-
-
-def log_ratio(one: DataFrame, two: DataFrame) -> DataFrame:
-    """(doc_id, perplexity_ratio): logarithm of the ratio of two perplexities, 0
-    where there is none above 0."""
-    ratio = F.col("perplexity") / F.col("_second")
-    joined = one.join(two.withColumnRenamed("perplexity", "_second"), "doc_id")
-    return joined.select("doc_id", F.when(ratio > 0, F.log(ratio)).otherwise(0.0).alias("perplexity_ratio"))
+    found = looked_up(asked, model, ["kind", "key"], f"c_{names[0]}")
+    counts = found.groupBy("doc_id", "at").agg(*(F.coalesce(F.max(F.when(F.col("kind") == k, F.col(f"c_{name}"))), F.lit(0)).alias(f"{name}_{k}") for name in names for k in kinds))
+
+    def probability(name: str) -> Column:
+        c = [F.col(f"{name}_{k}") for k in kinds]
+        mixed = [(F.when(c[whole] > 0, weight).otherwise(0.0), F.when(c[whole] > 0, c[whole - 1] / c[whole]).otherwise(0.0)) for whole, weight in ((1, BOTH), (3, SINGLE / 2), (5, SINGLE / 2))]
+        share = (c[-1] + SMOOTHING) / (F.coalesce(f"_n_{name}", F.lit(0)) + SMOOTHING * (F.col(f"_v_{name}") + 1))
+        return sum((w * s for w, s in mixed), (1 - sum((w for w, _ in mixed), F.lit(0.0))) * share)
+
+    return counts.crossJoin(F.broadcast(sizes)).groupBy("doc_id").agg(*(F.exp(-F.avg(F.log(probability(name)))).alias(f"perplexity_{name}") for name in names))
+
+
+def masked_perplexity(docs: DataFrame, model: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
+    """(doc_id, perplexity) by one model (kind, key, c)."""
+    return masked_perplexities(docs, model.withColumnRenamed("c", "c_own"), ("own",), most).withColumnRenamed("perplexity_own", "perplexity")
+
+
+def log_ratio(one: Column, two: Column) -> Column:
+    """Logarithm of the ratio of two perplexities, 0 where there is none above
+    0."""
+    return F.when(one / two > 0, F.log(one / two)).otherwise(0.0)

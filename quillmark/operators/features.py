@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import annotate, arrays, cleaning, stylometry
+from quillmark.operators import context
 from quillmark.sources.connectors import scratch
 
 
@@ -25,18 +26,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.w", F.col("p.c").cast("long").alias("c"))
 
 
-#: Parts into which the rows of a word are dealt before they are joined.
-SALTS = 16
-
-
-def by_word(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, w, ...) with the columns of ``known`` (w, ...), null
-    where it has no such word.  Every document has the common words, so their
-    rows are dealt into SALTS parts, and ``known`` is sent to each."""
-    parts = known.withColumn("_salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(parts, ["w", "_salt"], "left").drop("_salt")
-
-
 def word_freqs(docs: DataFrame) -> DataFrame:
     n = F.size("tokens")
     pairs = F.arrays_zip(F.sort_array(F.array_distinct("tokens")).alias("w"), F.col("counts").alias("c"))
@@ -55,7 +44,7 @@ def reference_freqs(docs: DataFrame) -> DataFrame:
 
 def kl_divergence(docs: DataFrame, reference: DataFrame) -> DataFrame:
     """Sum of p ln(p / q), q of unseen words 1e-10, never below 0."""
-    joined = by_word(word_freqs(docs), reference)
+    joined = context.looked_up(word_freqs(docs), reference, ["w"], "q")
     term = F.col("freq") * F.log(F.col("freq") / F.coalesce("q", F.lit(1e-10)))
     return joined.groupBy("doc_id").agg(F.greatest(F.lit(0.0), F.sum(term)).alias("kl"))
 
@@ -86,40 +75,6 @@ def lexicon_density(docs: DataFrame, lexicon: DataFrame, orders: tuple[int, ...]
     return found.select("doc_id", (hits / F.size("_grams")).alias("density"))
 
 
-def unigram_perplexity(docs: DataFrame, known: DataFrame, smoothing: float) -> DataFrame:
-    """Perplexity of each document under an add-k unigram model (the declared
-    substitute for a masked language model); unseen words share one place."""
-    size = known.agg(F.sum("c").alias("n"), F.count("*").alias("v"))
-    joined = by_word(word_counts(docs), known.withColumnRenamed("c", "seen")).crossJoin(F.broadcast(size))  # one row
-    p = (F.coalesce("seen", F.lit(0)) + smoothing) / (F.col("n") + smoothing * (F.col("v") + 1))
-    return joined.groupBy("doc_id").agg(F.exp(-F.sum(F.col("c") * F.log(p)) / F.sum("c")).alias("perplexity"))
-
-
-def ranks(known: DataFrame) -> DataFrame:
-    """(w, r): rank of each word by count, ties alike.  Ranks come from the
-    histogram of counts, so no window sees the whole vocabulary."""
-    by_count = known.groupBy("c").agg(F.count("*").alias("words"))
-    above = by_count.select("c", (F.coalesce(F.sum("words").over(Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).alias("r"))
-    return known.join(above, "c").select("w", "r")
-
-
-def token_ranks(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Mean rank, shares of ranks up to 1, 5 and 10, and the entropy of ten
-    equal buckets of log2 rank; unseen words rank last."""
-    ranked = ranks(known)
-    last = ranked.agg((F.count("*") + 1).alias("vmax"))
-    rows = by_word(word_counts(docs), ranked).crossJoin(F.broadcast(last)).withColumn("r", F.coalesce("r", "vmax"))  # one row
-    bucket = F.least(F.floor(F.log2("r") / (F.log2("vmax") / 10)), F.lit(9))
-    n = F.sum("c")
-    buckets = [F.sum(F.when(bucket == b, F.col("c"))) for b in range(10)]
-    plogp = sum((F.coalesce(b * F.log2(b), F.lit(0.0)) for b in buckets), F.lit(0.0))
-
-    def upto(k: int):
-        return (F.coalesce(F.sum(F.when(F.col("r") <= k, F.col("c"))), F.lit(0)) / n).alias(f"frac_rank_top{k}")
-
-    return rows.groupBy("doc_id").agg((F.sum(F.col("r") * F.col("c")) / n).alias("mean_token_rank"), upto(1), upto(5), upto(10), (F.log2(n) - plogp / n).alias("rank_entropy"))
-
-
 def backfill(have: DataFrame, wanted: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``have`` and, for keys of ``wanted`` it lacks, what ``compute`` gives."""
     return have.unionByName(compute(wanted.join(have.select(key), key, "left_anti")), allowMissingColumns=True)
@@ -174,24 +129,18 @@ def row_features(docs: DataFrame) -> DataFrame:
 
 def all_features(samples: DataFrame, enabled: tuple[str, ...] = FEATURES) -> DataFrame:
     """doc_id, sample_id, label and the enabled features, in their order.  The
-    references are taken from the human samples."""
-    spark, path = samples.sparkSession, scratch(samples.sparkSession, "rows")
-    computed = row_features(samples)
-    computed.select("doc_id", "sample_id", "label", "tokens", "counts", "depths", *(c for c in FEATURES if c in computed.columns)).write.parquet(path)
-    rows = spark.read.parquet(path)  # texts are parsed once, whatever reads the rows
-    human = rows.filter("label = 'human'")
-    scalars = human.agg(F.avg("conjunction_density").alias("ref_density")).crossJoin(human.select(F.explode("depths").alias("x")).agg(F.avg("x").alias("ref_depth")))
-    rows = rows.crossJoin(F.broadcast(scalars)).withColumn("syntactic_depth_shift", F.col("mean_dep_depth") - F.col("ref_depth")).withColumn("conjunction_deviation", stylometry.deviation(F.col("conjunction_density"), F.col("ref_density")))  # one row
-    small = rows.select("doc_id", "sample_id", "label", *(c for c in FEATURES if c in rows.columns))
-    narrow = rows.select("doc_id", "label", "tokens", "counts")
-    people = narrow.filter("label = 'human'")
-    known = vocabulary(people)
-    joined = [kl_divergence(narrow, reference_freqs(people)).withColumnRenamed("kl", "kl_div_word_freq"), token_ranks(narrow, known)]
-    one, two = unigram_perplexity(narrow, known, 1.0), unigram_perplexity(narrow, known, 0.1).withColumnRenamed("perplexity", "second")
-    joined += [one, one.join(two, "doc_id").select("doc_id", F.log(F.col("perplexity") / F.col("second")).alias("perplexity_ratio"))]
-    for name, kind in (("ai_cliche_density", "label <> 'human'"), ("human_informality_density", "label = 'human'")):
-        lexicon = gram_counts(narrow.filter(kind), (2, 3)).orderBy(F.desc("n"), "g").limit(300).select("g")
-        joined.append(lexicon_density(narrow, F.broadcast(lexicon)).withColumnRenamed("density", name))  # 300 rows
-    for table in joined:
-        small = small.join(table, "doc_id", "left")
-    return small.select("doc_id", "sample_id", "label", *enabled)
+    references are taken from the samples themselves."""
+    from quillmark.operators.references import References
+
+    rows = context.cut(parsed(samples, "doc_id", "sample_id", "label"), "rows")  # texts are parsed once, whatever reads the rows
+    folder = scratch(samples.sparkSession, "references")
+    References.save(rows, folder)
+    return References(samples.sparkSession, folder).added(rows).select("doc_id", "sample_id", "label", *enabled)
+
+
+def parsed(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep``, what references are taken from, and the features
+    that a document has by itself."""
+    computed = row_features(docs)
+    sizes = [F.size("tokens").cast("long").alias("token_count"), F.size("sentences").cast("long").alias("sentence_count")]
+    return computed.select(*keep, "tokens", "counts", "depths", *sizes, *(c for c in FEATURES if c in computed.columns))

@@ -15,6 +15,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.operators import tuning
+
 #: Search space of the tuner (fixed values: names, kinds and ranges).
 SEARCH_SPACE = {
     "xgboost": {"max_depth": ("int", 3, 10), "n_estimators": ("int", 100, 600), "eta": ("log", 0.01, 0.3), "colsample_bytree": ("float", 0.5, 1.0), "min_child_weight": ("int", 1, 10)},
@@ -24,26 +26,17 @@ SEARCH_SPACE = {
 }
 
 
-def suggested(name: str, trial: int, seed: int = 42) -> dict[str, object]:
-    """Setting number ``trial`` of a model's search space (seeded draws; the
-    declared substitute for the guided sampler)."""
-    import random
-
+def space_of(name: str) -> dict[str, tuple]:
     if name not in SEARCH_SPACE:
         raise ValueError(f"no search space for: {name}")
-    draw = random.Random(f"{seed}/{name}/{trial}")
-    found: dict[str, object] = {}
-    for key, (kind, *span) in SEARCH_SPACE[name].items():
-        if kind == "int":
-            found[key] = draw.randint(*span)
-        elif kind == "choice":
-            found[key] = draw.choice(span)
-        else:
-            found[key] = span[0] * (span[1] / span[0]) ** draw.random() if kind == "log" else draw.uniform(*span)
-    if name == "mlp":
-        found["hidden_layers"] = [found["n_units"], *(draw.randint(64, 512) for _ in range(found["n_layers"] - 1))]
-        del found["n_layers"], found["n_units"]
-    return found
+    return SEARCH_SPACE[name]
+
+
+def laid_out(name: str, params: dict[str, object]) -> dict[str, object]:
+    """A setting with the layers that its numbers stand for."""
+    if name != "mlp":
+        return params
+    return {"hidden_layers": [params["n_units"]] * params["n_layers"], **{k: v for k, v in params.items() if k not in ("n_layers", "n_units")}}
 
 
 def translated(name: str, params: dict[str, object], n_features: int, n_classes: int, n_rows: int = 1000) -> tuple[str, dict[str, object]]:
@@ -170,7 +163,8 @@ def stacked(train: DataFrame, test: DataFrame, makes: dict[str, Callable[[], Est
     inner = meta({n: out_of_fold(train, m, k) for n, m in makes.items()}, train)
     outer = meta({n: scored(m().fit(train), test, k) for n, m in makes.items()}, test)
     make = meta_make or (lambda n: estimator("logreg", n, k))
-    return scored(make(len(inner.first().features)).fit(inner), outer, k)
+    width = len(makes) * k + (len(train.select("features").first().features) if passthrough else 0)
+    return scored(make(width).fit(inner), outer, k)
 
 
 def stacking_from_config(config: dict, n_features: int, n_classes: int = 3) -> tuple[dict[str, Callable[[], Estimator]], Callable[[int], Estimator], bool]:
@@ -195,15 +189,16 @@ def cascade(train: DataFrame, test: DataFrame, make: Callable[[int], Estimator],
     return a.join(b, key).select(key, "y", F.when(F.col("_a") == 0, 0).otherwise(1 + F.col("_b")).alias("yhat"))
 
 
-def search(rows: DataFrame, name: str, n_features: int, score: Callable[[DataFrame], float], settings: list[dict] | None = None, trials: int = 50, n_classes: int = 3) -> list[tuple[dict, float]]:
-    """Settings with their out-of-fold score, best first: those given, else
-    ``trials`` of the search space."""
+def search(rows: DataFrame, name: str, n_features: int, score: Callable[[DataFrame], float], trials: int = 50, n_classes: int = 3, batch: int = 4, seed: int = 42, startup: int = tuning.STARTUP) -> list[tuple[dict, float]]:
+    """Settings of the model's search space with their out-of-fold score, best
+    first, by a guided study of ``trials`` trials, ``batch`` at a time."""
     n_rows = rows.count()
-    found = []
-    for params in settings if settings is not None else [suggested(name, i) for i in range(trials)]:
-        kind, own = translated(name, params, n_features, n_classes, n_rows)
-        found.append((params, score(out_of_fold(rows, lambda kind=kind, own=own: estimator(kind, n_features, n_classes, **own), n_classes))))
-    return sorted(found, key=lambda x: -x[1])
+
+    def tried(params: dict) -> float:
+        kind, own = translated(name, laid_out(name, params), n_features, n_classes, n_rows)
+        return score(out_of_fold(rows, lambda: estimator(kind, n_features, n_classes, **own), n_classes))
+
+    return tuning.study(space_of(name), tried, trials, batch, seed, startup)
 
 
 def unwrapped(model: Model) -> Model:

@@ -270,8 +270,9 @@ def fea28_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fea29_perplexity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model of the human documents over that of the generated ones."""
     counts = _counts(spark, sf_dir)
-    one, two = (context.masked_perplexity(counts, context.cut(_model(spark, sf_dir, of), "model")) for of in ("doc_id % 10 < 4", "doc_id % 10 BETWEEN 4 AND 6"))
-    return context.log_ratio(one, two).select("doc_id", r6(F.col("perplexity_ratio")).alias("perplexity_ratio"))
+    model = context.cut(context.two_sided_counts(counts, human="doc_id % 10 < 4", generated="doc_id % 10 BETWEEN 4 AND 6"), "model")
+    both = context.masked_perplexities(counts, model, ("human", "generated"))
+    return both.select("doc_id", r6(context.log_ratio(F.col("perplexity_human"), F.col("perplexity_generated"))).alias("perplexity_ratio"))
 
 
 _RANK = f"""WITH {_TOK}, u AS (SELECT w, count(*) AS c FROM (SELECT unnest(tokens) AS w FROM t WHERE doc_id % 10 < 4) GROUP BY 1), r1 AS (SELECT w, c, rank() OVER (ORDER BY c DESC) AS r FROM u), v AS (SELECT count(*) + 1 AS vmax FROM u),

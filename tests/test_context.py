@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillmark.operators import context, language
 
@@ -91,15 +92,18 @@ def test_masked_perplexity(spark):
 
 
 def test_ratio_is_of_its_own(spark):
-    """Two models: the ratio is no function of one perplexity."""
+    """Two models in one table: both as alone, and a ratio that is no function
+    of one perplexity."""
     rng = random.Random(3)
-    docs = frame(spark, corpus(rng, 40))
-    one, two = (context.cut(context.masked_perplexity(docs, context.two_sided_counts(frame(spark, corpus(rng, n)))), "p") for n in (10, 25))
-    ratio = {r.doc_id: r.perplexity_ratio for r in context.log_ratio(one, two).collect()}
-    a, b = ({r.doc_id: r.perplexity for r in t.collect()} for t in (one, two))
-    assert ratio == {d: pytest.approx(math.log(a[d] / b[d])) for d in a}
+    docs, training = corpus(rng, 40), corpus(rng, 35)
+    model = context.two_sided_counts(frame(spark, training), one="doc_id < 10", two="doc_id >= 10")
+    both = context.masked_perplexities(frame(spark, docs), model, ("one", "two"))
+    got = {r.doc_id: r for r in both.withColumn("ratio", context.log_ratio(F.col("perplexity_one"), F.col("perplexity_two"))).collect()}
+    a, b = masked_by_hand(docs, training[:10], 512), masked_by_hand(docs, training[10:], 512)
+    for d in a:
+        assert (got[d].perplexity_one, got[d].perplexity_two, got[d].ratio) == pytest.approx((a[d], b[d], math.log(a[d] / b[d])))
     order = sorted(a, key=a.get)
-    assert sorted(ratio, key=ratio.get) not in (order, order[::-1])
+    assert sorted(a, key=lambda d: got[d].ratio) not in (order, order[::-1])
 
 
 def test_hot_words_are_dealt_out(spark):
