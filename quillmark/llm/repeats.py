@@ -27,6 +27,7 @@ of 2**-96; words are numbered by 64-bit hashes inside a chunk.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -141,35 +142,44 @@ def _windows(chunks: DataFrame, width: int, anchor: int) -> DataFrame:
     return chunks.mapInArrow(tidy(run), "h long, g int, chunk long, place int, lo long, hi long")
 
 
-def automata(sequences: np.ndarray, limit: int = PATTERNS) -> Iterator[tuple[int, ahocorasick.Automaton]]:
-    """Automata of up to ``limit`` rows of word numbers each, with the number of
-    their first row; a match gives the place of its last word and the row's
-    number in the automaton."""
-    for base in range(0, len(sequences), limit):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for k, row in enumerate(sequences[base : base + limit].tolist()):
-            automaton.add_word(tuple(row), k)
-        automaton.make_automaton()
-        yield base, automaton
+def spelled(hashes: np.ndarray, vocabulary: np.ndarray) -> str:
+    """Words as a string of two characters each: the upper and the lower digit
+    of the word's number in the sorted vocabulary, from two alphabets of about
+    the square root of its size; zeros for all other words.  An automaton looks
+    through a state's successors one by one, so it needs small alphabets."""
+    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+    base = math.isqrt(len(vocabulary)) + 1
+    digits = np.stack(np.divmod(at, base), axis=1) + np.array([1, 1 + base])
+    digits[vocabulary[at] != hashes] = 0
+    return digits.astype("<u4").tobytes().decode("utf-32-le")
 
 
-def _covered(chunk: _Chunk, places: np.ndarray, owners: np.ndarray, width: int) -> np.ndarray:
+def compiled(words: str, places: np.ndarray, width: int) -> ahocorasick.Automaton:
+    """Automaton of the ``width`` words from each place on; a match gives
+    the last character of its last word and the number of its pattern."""
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for k, at in enumerate(places.tolist()):
+        automaton.add_word(words[2 * at : 2 * (at + width)], k)
+    automaton.make_automaton()
+    return automaton
+
+
+def _covered(chunk: _Chunk, places: np.ndarray, owners: np.ndarray, width: int, limit: int = PATTERNS) -> np.ndarray:
     """Which words of the chunk a listed window covers whose smallest document
-    is smaller than theirs."""
+    is smaller than theirs; ``limit`` windows an automaton."""
     edges = np.zeros(len(chunk.hashes) + 1, np.int64)
-    sequences = np.lib.stride_tricks.sliding_window_view(chunk.hashes, width)[places]
-    vocabulary = np.unique(sequences)
-    at = np.minimum(np.searchsorted(vocabulary, chunk.hashes), len(vocabulary) - 1)
-    numbers = np.where(vocabulary[at] == chunk.hashes, at + 1, 0)  # 0: a word of no window
-    sequences = np.searchsorted(vocabulary, sequences) + 1
-    for base, automaton in automata(sequences):
+    windows = np.lib.stride_tricks.sliding_window_view(chunk.hashes, width)
+    for base in range(0, len(places), limit):
+        some, own = places[base : base + limit], owners[base : base + limit]
+        words = spelled(chunk.hashes, np.unique(windows[some]))
+        automaton = compiled(words, some, width)
         for doc, low, high in zip(chunk.ids, chunk.first[:-1].tolist(), chunk.first[1:].tolist(), strict=True):
             if doc is None or high - low < width:
                 continue
-            found = list(automaton.iter(tuple(numbers[low:high].tolist())))
+            found = list(automaton.iter(words[2 * low : 2 * high]))
             if found:
                 last, row = np.array(found, np.int64).T
-                last = last[owners[base + row] < doc] + low
+                last = last[own[row] < doc] // 2 + low
                 np.add.at(edges, last - width + 1, 1)
                 np.add.at(edges, last + 1, -1)
     return np.cumsum(edges[:-1]) > 0
