@@ -126,7 +126,7 @@ def _macro_f1(rows: DataFrame) -> float:
 @query()
 def mod11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = matrix(spark, sf_dir)
-    found = operators.search(rows, "logreg", _width(rows), _macro_f1, trials=12, startup=6)
+    found = operators.search(rows, "logreg", _width(rows), _macro_f1, trials=8, startup=4)
     return spark.createDataFrame([(str(sorted(p.items())), float(s)) for p, s in found], "params string, score double")
 
 

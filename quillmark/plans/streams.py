@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.plans.base import query, r6, table
+from quillmark.plans.base import query, table
 from quillmark.streaming import events as operators
 
 
@@ -66,7 +66,10 @@ def str07_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id").orderBy("doc_id").limit(100)
 
 
-@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+_TUMBLING = "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
+
+
+@query(_TUMBLING)
 def ext02_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operators.tumbling(_events(spark, sf_dir), "1 day").select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
@@ -81,7 +84,8 @@ def ext04_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operators.sessions(_events(spark, sf_dir), "6 hours")
 
 
-@query()
+@query(_TUMBLING + " HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def ext05_tumbling_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As a stream, which gives a window when its events can't be late any more."""
     stream = operators.tumbling(operators.file_stream(spark, sf_dir, "events"), "1 day")
-    return operators.drained(spark, stream, "windows").select("start", "event_type", "n", r6(F.col("total")).alias("total"))
+    return operators.drained(spark, stream, "windows").select("start", "event_type", "n", F.round("total", 4).alias("total"))
