@@ -65,13 +65,15 @@ def generated(requests: DataFrame, make: Callable[[], object], batch: int = 1000
     return requests.select("sample_id", "prompt").mapInPandas(run, "sample_id string, text string")
 
 
-def encoded(docs: DataFrame, make: Callable[[int], object], width: int) -> DataFrame:
+def encoded(docs: DataFrame, make: Callable[[int], object], width: int, key: str = "doc_id") -> DataFrame:
+    """(key, embedding) of each row's text, a batch at a time."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = make(width)
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "embedding": encoder.encode(frame["text"].tolist())})
+            yield pd.DataFrame({key: frame[key], "embedding": encoder.encode(frame["text"].tolist())})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, embedding array<double>")
+    return docs.select(key, "text").mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, embedding array<double>")
 
 
 def rewritten(samples: DataFrame, make: Callable[[], object], prefix: str, label: str = "ai_humanized", words: int = 80) -> DataFrame:

@@ -9,6 +9,7 @@ from quillmark.functions import annotate, arrays, stylometry
 from quillmark.operators import corpus as operators
 from quillmark.operators import features, neighbours
 from quillmark.plans.base import SAMPLES_SQL, TOKENS_SQL, WORDS_SQL, query, r6, samples, table, tokenised
+from quillmark.sources.connectors import scratch
 
 #: A small feature table that both engines can make: three features and the
 #: token count of each sample.
@@ -212,9 +213,14 @@ def num21_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def num22_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillmark.operators.generation import HashEncoder, encoded
-
-    return encoded(table(spark, sf_dir, "documents"), HashEncoder, 16)
+    """Through a store of vectors: equal texts are encoded once."""
+    from quillmark.operators.generation import HashEncoder
+    from quillmark.operators.vector_store import VectorStore
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    store = VectorStore(spark, scratch(spark, "vectors"), "hashed words", "mean")
+    store.add(docs, HashEncoder, 16)
+    return store.vectors(docs).select("doc_id", F.col("vector").alias("embedding"))
 
 
 @query("""WITH t AS (SELECT vec_id, CAST(unnest(range(16)) AS INTEGER) AS i, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
