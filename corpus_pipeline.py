@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import materialize, read_table
+from quillmark.llm.common import discard, materialize, read_table
 from quillmark.llm.decontamination import without_contaminated
 from quillmark.llm.ngram_join import first_of_each_group
 from quillmark.llm.packing import pack
@@ -51,6 +51,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written and read again."""
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for number, (name, stage) in enumerate(STAGES[:-1]):
+        kept = materialize(stage(spark, docs, sf_dir), name)
+        if number:  # the table of the stage before; documents stay
+            discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
