@@ -25,6 +25,16 @@ MANY_FOOTNOTES = r"\d+\s+[A-ZÇĞİÖŞÜ][a-zçğıöşüi]+,"
 CITED_PAGES = r"\(\d+\)[,:]?\s*\d+[-–]\d+"
 
 
+#: What is dropped or replaced, in this order.
+MARKS = "[\\uFEFF\\x00]"
+CONTROLS = r"[\x01-\x08\x0B\x0C\x0E-\x1F\x7F]"
+BLANKS = r"[ \t]+"
+EMPTY_LINES = r"\n{3,}"
+BROKEN_WORD = r"-\n(?=[a-zA-ZğüşıöçĞÜŞİÖÇ])"
+#: Parts of an id and the generators they stand for.
+GENERATORS = {"_transformers_": "qwen", "_openai_": "gpt4o_mini", "_anthropic_": "claude_sonnet5"}
+
+
 def _nfc(text: Column) -> Column:
     @F.pandas_udf("string")
     def normal(texts: pd.Series) -> pd.Series:
@@ -39,11 +49,9 @@ def strip(text: Column) -> Column:
 
 def without_noise(text: Column) -> Column:
     """The cleaning steps after normalisation, in their order."""
-    text = F.regexp_replace(text, "[\\uFEFF\\x00]", "")
-    text = F.regexp_replace(text, r"[\x01-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    text = F.regexp_replace(text, r"[ \t]+", " ")
-    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return strip(F.regexp_replace(text, r"-\n(?=[a-zA-ZğüşıöçĞÜŞİÖÇ])", ""))
+    for pattern, to in ((MARKS, ""), (CONTROLS, ""), (BLANKS, " "), (EMPTY_LINES, "\n\n"), (BROKEN_WORD, "")):
+        text = F.regexp_replace(text, pattern, to)
+    return strip(text)
 
 
 def clean_text(text: Column) -> Column:
@@ -127,13 +135,10 @@ def looks_like_header(text: Column, expected_language: Column) -> Column:
 
 def generator(sample_id: Column) -> Column:
     """Which generator an id names; an unknown id is an error."""
-    return (
-        F.when(F.startswith(sample_id, F.lit("human")), "human")
-        .when(F.contains(sample_id, F.lit("_transformers_")), "qwen")
-        .when(F.contains(sample_id, F.lit("_openai_")), "gpt4o_mini")
-        .when(F.contains(sample_id, F.lit("_anthropic_")), "claude_sonnet5")
-        .otherwise(F.raise_error(F.concat(F.lit("no generator in id "), sample_id)))
-    )
+    named = F.when(F.startswith(sample_id, F.lit("human")), "human")
+    for part, name in GENERATORS.items():
+        named = named.when(F.contains(sample_id, F.lit(part)), name)
+    return named.otherwise(F.raise_error(F.concat(F.lit("no generator in id "), sample_id)))
 
 
 def slug(title: Column, index: Column) -> Column:

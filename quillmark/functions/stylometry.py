@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.arrays import mean, ngrams, ratio, run_counts, sample_variance, total, words
 
+#: Vowels; readability's constant, and its weights of syllables
+#: per word and words per sentence.
 VOWELS = "aeıioöuüAEIİOÖUÜ"
+READABILITY = (198.825, 40.175, 2.610)
 #: Closed-class tags, coherence stop words.
 CONJUNCTIONS = ("CCONJ", "SCONJ")
 FUNCTION_TAGS = ("DET", "PRON", "ADP", "AUX", "PART", "SCONJ", "CCONJ", "INTJ")
@@ -117,4 +120,4 @@ def atesman(words_: Column, n_sentences: Column) -> Column:
     """Readability from syllables per word and words per sentence."""
     n = F.size(words_)
     per_word = ratio(total(F.transform(words_, lambda w: syllables(w).cast("double"))), n)
-    return F.when((n == 0) | (n_sentences == 0), 0.0).otherwise(198.825 - 40.175 * per_word - 2.610 * ratio(n, n_sentences))
+    return F.when((n == 0) | (n_sentences == 0), 0.0).otherwise(READABILITY[0] - READABILITY[1] * per_word - READABILITY[2] * ratio(n, n_sentences))

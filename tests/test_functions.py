@@ -46,27 +46,40 @@ def test_cleaning(spark):
     assert column(spark, dirty, "string", cleaning.clean_text(F.col("v"))) == ["a b c", "x\n\ny", "ab", "kelime", "x", "ë", "kel-\n1", None]
 
 
-def chunked(text, least, most):
-    import re
-
-    sentences = [s.strip() for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
-    out, now = [], []
-    for s in sentences:
-        if now and sum(len(x.split()) for x in now) + len(s.split()) > most:
-            out.append(now)
-            now = []
-        now.append(s)
-    out += [now] if now else []
-    parts = [" ".join(x) for x in out]
-    if len(parts) > 1 and len(parts[-1].split()) < least:
-        parts[-2:] = [parts[-2] + " " + parts[-1]]
-    return parts
+def follow_the_rules(parts, sentences, least, most):
+    """Chunks hold all sentences in order; one of several sentences has at most
+    ``most`` words (but for a short end that joined it); a chunk could not have
+    taken the next sentence; only a single chunk is shorter than ``least`` at
+    the end."""
+    sizes = [len(s.split()) for s in sentences]
+    assert " ".join(parts) == " ".join(sentences)
+    at, ends = 0, []
+    for part in parts:
+        first = at
+        while " ".join(sentences[first:at]) != part:
+            at += 1
+        ends.append((first, at))
+    for number, (a, b) in enumerate(ends):
+        words = sum(sizes[a:b])
+        if number < len(ends) - 1:
+            assert (words <= most or b - a == 1) and words + sizes[b] > most
+        else:
+            short = next((c for c in range(a + 1, b) if sum(sizes[a:c]) + sizes[c] > most), b)
+            assert sum(sizes[short:b]) < least and (short < b or words <= most or b - a == 1)
+            assert len(parts) == 1 or words >= least
 
 
 def test_chunks(spark):
     texts = ["Bu bir cümle. " * 100, "a b c. " * 20 + "d.", "", " \n", "word " * 200 + ". x y.", "One."]
     for least, most in ((10, 50), (1, 7), (30, 850)):
-        assert column(spark, texts, "string", cleaning.chunks(F.col("v"), least, most)) == [chunked(t, least, most) for t in texts]
+        sentences = column(spark, texts, "string", arrays.sentences(F.col("v")))
+        for parts, own in zip(column(spark, texts, "string", cleaning.chunks(F.col("v"), least, most)), sentences, strict=True):
+            if own:
+                follow_the_rules(parts, own, least, most)
+            else:
+                assert parts == []
+    assert column(spark, ["a b. c d. e. f g h."], "string", cleaning.chunks(F.col("v"), 2, 4)) == [["a b. c d.", "e. f g h."]]
+    assert column(spark, ["a b. c d. e."], "string", cleaning.chunks(F.col("v"), 2, 4)) == [["a b. c d. e."]]
     assert column(spark, ["", "a. b."], "string", cleaning.translation_pieces(F.col("v"), 1)) == [[""], ["a.", "b."]]
 
 
