@@ -40,11 +40,38 @@ BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+#: Paths of the tables written inside each ``only_kept`` that is open.
+_WRITTEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def only_kept(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are materialised inside are deleted at the end, but for those
+    passed through what this gives: an operator whose result rests on one small
+    table doesn't leave the others behind."""
+    kept: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(_WRITTEN[-1][-1])  # the last one written
+        return table
+
+    _WRITTEN.append([])
+    try:
+        yield keep
+        for path in _WRITTEN[-1]:
+            if path not in kept:
+                delete_path(spark, path)
+    finally:
+        _WRITTEN.pop()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage in
     a way that survives the loss of any executor."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     before = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
     try:

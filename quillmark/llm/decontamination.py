@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import wordstream
-from quillmark.llm.common import free_names, keyed, materialize, tidy
+from quillmark.llm.common import free_names, keyed, materialize, only_kept, tidy
 
 WINDOW_WORDS = 10
 #: Words from a window's rarest word within which all its words must lie.
@@ -367,6 +367,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIN
     benchmark changes nothing."""
     key, hit = free_names(docs, "key", "hit")
     rows = keyed(docs, key)  # a row is known by its text
-    found = contamination(rows.select(F.col(key).alias("doc_id"), "text"), benchmark, width, slop, block_bytes, short_near=False)
-    gone = materialize(found.filter("contaminated OR near_items > 0").select(F.col("doc_id").alias(hit)).distinct(), "contaminated")
+    with only_kept(docs.sparkSession) as keep:
+        found = contamination(rows.select(F.col(key).alias("doc_id"), "text"), benchmark, width, slop, block_bytes, short_near=False)
+        gone = keep(materialize(found.filter("contaminated OR near_items > 0").select(F.col("doc_id").alias(hit)).distinct(), "contaminated"))
     return rows.join(gone, F.col(key) == F.col(hit), "left_anti").drop(key)

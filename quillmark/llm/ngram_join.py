@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm import wordstream
-from quillmark.llm.common import discard, free_names, free_shuffles, materialize, tidy, tidy_group
+from quillmark.llm.common import discard, free_names, free_shuffles, materialize, only_kept, tidy, tidy_group
 from quillmark.llm.components import components
 
 #: Fragments in which overlaps are counted.
@@ -584,7 +584,8 @@ def first_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80) -> Da
     Rows without words are in no group and stay; other columns are kept as
     they are; an empty table stays empty.
     """
-    rows = materialize(classes(docs, size, percent).filter("n > 0").select("doc_id", "key", "root"), "rows")
+    with only_kept(docs.sparkSession) as keep:
+        rows = keep(materialize(classes(docs, size, percent).filter("n > 0").select("doc_id", "key", "root"), "rows"))
     first = rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("first")).select("root", "first")
     own, key = free_names(docs, "id", "key")
     names = [F.col("doc_id").alias(own), F.col("key").alias(key)]

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import wordmodel, wordstream
-from quillmark.llm.common import discard, free_names, free_shuffles, keyed, materialize, tidy, tidy_group
+from quillmark.llm.common import discard, free_names, free_shuffles, keyed, materialize, only_kept, tidy, tidy_group
 
 ORDER = 4
 SYMBOL_BITS = 5
@@ -228,8 +228,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, ma
     """
     key, text_key, lang = free_names(docs, "key", "text_key", "lang")
     rows = keyed(docs, key)
-    judged, _ = _judged(rows, F.col(key), labels, quantile, margin, prior, most_ids)
-    rejected = materialize(judged.filter("NOT keep").select(F.col("key").alias(text_key), F.col("lang").alias(lang)), "rejected")
-    discard(judged)
+    with only_kept(docs.sparkSession) as keep:
+        judged, _ = _judged(rows, F.col(key), labels, quantile, margin, prior, most_ids)
+        rejected = keep(materialize(judged.filter("NOT keep").select(F.col("key").alias(text_key), F.col("lang").alias(lang)), "rejected"))
     same = (F.col(key) == F.col(text_key)) & F.col("lang").cast("string").eqNullSafe(F.col(lang))
     return rows.join(rejected, same, "left_anti").drop(key)
