@@ -193,3 +193,19 @@ def test_kl_of_equal_and_unseen(spark):
     docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["z", "a"])], "doc_id long, tokens array<string>").withColumn("counts", arrays.run_counts(F.col("tokens")))
     got = {r.doc_id: r.kl for r in features.kl_divergence(docs, features.reference_freqs(docs.filter("doc_id = 1"))).collect()}
     assert got[1] == pytest.approx(0) and 0 < got[2] < 100
+
+
+def test_parses_are_computed_once(spark):
+    """The root of a sentence is looked for once, not at each of its words, and
+    texts are parsed once."""
+    texts = ["the old dog barks. it is of the house, and 3 more!", "of the", "", None]
+    docs = spark.createDataFrame([(i, t, "human") for i, t in enumerate(texts)], "doc_id long, text string, label string")
+    parsed = annotate.annotated(docs)
+    plan = parsed.select("dep_parse")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_position") == 1
+    rows = {r.doc_id: r.dep_parse for r in parsed.select("doc_id", "dep_parse").collect()}
+    assert [w.head for w in rows[0]] == [2, 0, 2, 2, 2, 2, 3, 4, 5, 0, 5, 8, 5, 5, 5] and [w.head for w in rows[1]] == [0, 1] and rows[2] == [] and rows[3] is None
+    totals = features.depth_totals(parsed, "doc_id")
+    assert totals._jdf.queryExecution().optimizedPlan().toString().count("array_position") == 1
+    depths = {r.doc_id: r.depths for r in parsed.select("doc_id", annotate.word_depths(F.col("dep_parse")).alias("depths")).collect()}
+    assert {r.doc_id: (r.total, r.n) for r in totals.collect()} == {i: (None, None) if d is None else (float(sum(d)), len(d)) for i, d in depths.items()}
