@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,16 @@ def test_language_split_by_text(spark):
     kept, rest = language.split(docs, detected, "doc_id", "de")
     assert [r.doc_id for r in kept.collect()] == [1] and {r.doc_id: r.detected_lang for r in rest.collect()} == {2: "en", 3: None, 4: None}
     assert kept.columns == docs.columns
+
+
+def test_places_are_no_rows_of_a_shuffle(spark):
+    """A chunk asks once for each key; runs of documents hold whole ones."""
+    docs = frame(spark, corpus(random.Random(4), 30))
+    model = context.two_sided_counts(docs)
+    found = context.masked_perplexity(docs, model)
+    for rows in (model, found):
+        assert "Generate" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    most = context.CHUNK
+    assert list(context._cuts(np.array([most - 1, 1, 1, most + 5, 0, 2]))) == [(0, 2), (2, 3), (3, 4), (4, 6)] and list(context._cuts(np.array([], int))) == []
+    l, w, r = context._words(np.array([0, 5, 6, 0, 0, 0, 0, 7, 0]), np.array([2, 0, 1]))
+    assert (l.tolist(), w.tolist(), r.tolist()) == ([0, 5, 0], [5, 6, 7], [6, 0, 0])
