@@ -209,3 +209,10 @@ def test_parses_are_computed_once(spark):
     assert totals._jdf.queryExecution().optimizedPlan().toString().count("array_position") == 1
     depths = {r.doc_id: r.depths for r in parsed.select("doc_id", annotate.word_depths(F.col("dep_parse")).alias("depths")).collect()}
     assert {r.doc_id: (r.total, r.n) for r in totals.collect()} == {i: (None, None) if d is None else (float(sum(d)), len(d)) for i, d in depths.items()}
+
+
+def test_ngrams_are_counted_once(spark):
+    docs = spark.createDataFrame([(1, "a b a b c".split()), (2, [])], "doc_id long, tokens array<string>")
+    found = docs.select("doc_id", stylometry.entropy_ngram(F.col("tokens"), 2).alias("h"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("sort_array") == 1
+    assert {r.doc_id: r.h for r in found.collect()} == {1: pytest.approx(1.5 + 2 / (8 * math.log(2))), 2: 0.0}
