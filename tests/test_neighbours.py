@@ -1,6 +1,7 @@
 """Neighbour estimates against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +79,15 @@ def test_mutual_information_equals_brute_force(spark):
 def test_digamma(spark):
     got = [r.p for r in spark.range(1, 40).select(neighbours.digamma(F.col("id")).alias("p")).collect()]
     assert got == [pytest.approx(psi(n), abs=1e-9) for n in range(1, 40)]
+
+
+def test_open_cells_leave_in_small_frames():
+    """Vectors whose bound closes no cell are copied for each, a few at a time."""
+    rng = np.random.default_rng(5)
+    u, pivots = rng.normal(size=(50, 8)), rng.normal(size=(20, 8))
+    frame = pd.DataFrame({"v": np.arange(50), "u": list(u), "cell": np.arange(50) % 20, "kth": [np.nan] * 25 + [1.0] * 25})
+    parts = list(neighbours._opened([frame, frame.iloc[:0]], pivots, np.full(20, 9.0), 7))
+    assert max(map(len, parts)) <= 7
+    found = pd.concat(parts)
+    assert set(zip(found["v"], found["target"], strict=True)) == {(v, c) for v in range(50) for c in range(20) if c != v % 20}
+    assert all((row.u == u[row.v]).all() for row in found.itertuples())
