@@ -148,3 +148,12 @@ def test_places_are_no_rows_of_a_shuffle(spark):
     assert list(context._cuts(np.array([most - 1, 1, 1, most + 5, 0, 2]))) == [(0, 2), (2, 3), (3, 4), (4, 6)] and list(context._cuts(np.array([], int))) == []
     l, w, r = context._words(np.array([0, 5, 6, 0, 0, 0, 0, 7, 0]), np.array([2, 0, 1]))
     assert (l.tolist(), w.tolist(), r.tolist()) == ([0, 5, 0], [5, 6, 7], [6, 0, 0])
+
+
+def test_profiles_are_counted_once(spark):
+    """What profiles are made of is written, so texts aren't counted again with
+    each use."""
+    profiles = language.Profiles(spark.createDataFrame([("de", "der die das"), ("en", "the and")], "lang string, text string"))
+    assert "translate" not in profiles.gains._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r.g: (r.gain_0, r.gain_1) for r in profiles.gains.collect()}
+    assert rows[" di"] == (pytest.approx(math.log(2)), 0.0) and rows[" d" + "e"] == (pytest.approx(math.log(2)), 0.0) and rows["the"] == (0.0, pytest.approx(math.log(2)))
