@@ -157,3 +157,5 @@ def test_profiles_are_counted_once(spark):
     assert "translate" not in profiles.gains._jdf.queryExecution().optimizedPlan().toString()
     rows = {r.g: (r.gain_0, r.gain_1) for r in profiles.gains.collect()}
     assert rows[" di"] == (pytest.approx(math.log(2)), 0.0) and rows[" d" + "e"] == (pytest.approx(math.log(2)), 0.0) and rows["the"] == (0.0, pytest.approx(math.log(2)))
+    docs = spark.createDataFrame([(1, "the"), (2, "")], "doc_id long, text string")
+    assert "sort_array" not in profiles.scored(docs, "doc_id")._jdf.queryExecution().optimizedPlan().toString()
