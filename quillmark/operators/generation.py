@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import cleaning
+from quillmark.operators.features import nonempty
 from quillmark.operators.ordered import numbered
 
 
@@ -79,7 +80,8 @@ def encoded(docs: DataFrame, make: Callable[[int], object], width: int, key: str
 def rewritten(samples: DataFrame, make: Callable[[], object], prefix: str, label: str = "ai_humanized", words: int = 80) -> DataFrame:
     """Texts cut into pieces, each rewritten, and joined again; the new row
     names its original."""
-    pieces = samples.select("sample_id", F.posexplode(cleaning.translation_pieces(F.col("text"), words)).alias("pos", "piece"))
+    cut = samples.select("sample_id", cleaning.translation_pieces(F.col("text"), words).alias("pieces"))
+    pieces = nonempty(cut, "pieces").select("sample_id", F.posexplode("pieces").alias("pos", "piece"))
     asked = pieces.select(F.concat_ws("#", "sample_id", "pos").alias("sample_id"), F.col("piece").alias("prompt"))
     done = generated(asked, make).select(F.split("sample_id", "#").alias("k"), "text").select(F.col("k")[0].alias("original_id"), F.col("k")[1].cast("int").alias("pos"), "text")
     whole = done.groupBy("original_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda p: p["text"]), " ").alias("text"))
