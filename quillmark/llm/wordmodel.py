@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,9 @@ SHARD_BYTES = 20 << 20
 #: bits of the filter of the others (16 MB).
 HEAD = 1 << 20
 FILTER_BITS = 27
+#: Parts of the texts, one after the other, that ask for n-grams of an order:
+#: what bigrams send is most of the disk that scoring takes.
+PARTS = {1: 1, 2: 2}
 
 _EDGE = np.uint64(1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -402,7 +406,7 @@ def train(texts: DataFrame, shards: int, pick: Callable | None = None, head: int
     free_shuffles(spark)
     joined = pairs.mapInArrow(tidy(others), "gram long, word long, n long, r double").join(words.select("word", "p"), "word").select("gram", F.log1p(F.col("r") / F.col("p")).alias("weight"), "n").mapInArrow(tidy(packed), _MODEL_SQL)
     model.tables[2] = materialize(pairs.mapInArrow(tidy(common), _MODEL_SQL).unionByName(joined).groupBy("shard").applyInArrow(tidy_group(whole), _MODEL_SQL), "model2")
-    shared.unpersist()
+    shared.destroy()  # with the driver's file, which unpersist leaves
     for table in (pairs, probable, counted):
         discard(table)
     del joined, words
@@ -508,11 +512,13 @@ def losses(texts: DataFrame, model: Model, spell_of: Callable) -> DataFrame:
     spark = texts.sparkSession
     parts = []
     for order in model.tables:
-        found = _sums(texts, model, order, spell_of).groupBy("key").agg(F.max("words").alias("words"), F.max("loss").alias("loss"), F.max("unseen").alias("unseen"))
-        parts.append(materialize(found, f"sums{order}"))
+        for part in range(PARTS[order]):
+            some = texts.filter(F.pmod("key", F.lit(PARTS[order])) == part) if PARTS[order] > 1 else texts
+            found = _sums(some, model, order, spell_of).groupBy("key").agg(F.max("words").alias("words"), F.max("loss").alias("loss"), F.max("unseen").alias("unseen"))
+            parts.append(materialize(found, f"sums{order}"))
+            del found
+            free_shuffles(spark)
         discard(model.tables[order])
-        model.known[order].unpersist()
-        del found
-        free_shuffles(spark)
-    both = parts[0].unionByName(parts[1])
+        model.known[order].destroy()
+    both = reduce(DataFrame.unionByName, parts)
     return materialize(both.groupBy("key").agg(F.max("words").alias("words"), F.sum("loss").alias("loss"), F.sum("unseen").alias("unseen")), "losses")

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 from collections import Counter
 
@@ -73,3 +74,20 @@ def test_a_repeated_made_up_word_is_rejected(spark):
     got = {r.doc_id: r.keep for r in quality.quality(docs, labels).collect()}
     assert not got[100]
     assert sum(got[i] for i in range(60)) >= 58
+
+
+def test_bigrams_are_asked_for_in_parts(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, f"a b{i % 3} c{i}") for i in range(-10, 10)], "key long, text string")
+    model = wordmodel.train(texts, 3)
+    files, asked, sums = [known._path for known in model.known.values()], [], wordmodel._sums
+
+    def noted(some, model, order, spell_of):
+        asked.append((order, [r.key for r in some.collect()]))
+        return sums(some, model, order, spell_of)
+
+    monkeypatch.setattr(wordmodel, "_sums", noted)
+    got = wordmodel.losses(texts, model, lambda: lambda data, offsets: -9.0 * np.diff(offsets)).collect()
+    assert sorted(r.key for r in got) == list(range(-10, 10))
+    parts = [keys for order, keys in asked if order == 2]
+    assert len(parts) > 1 and max(map(len, parts)) < 20 and sorted(sum(parts, [])) == list(range(-10, 10))
+    assert not any(os.path.exists(path) for path in files)  # the driver's copies go, too
