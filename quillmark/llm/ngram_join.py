@@ -16,7 +16,9 @@ and every document's set is cut likewise into segments.
 3. *Bound*: a class carries 512 parity bits of its n-grams; the bits in which
    two classes differ are no more than the n-grams in which they differ.
 4. *Partial counts*: for the pairs left, overlaps are counted fragment by
-   fragment, separately, and summed per pair; the sum decides.
+   fragment, separately, and summed per pair; the sum decides.  Each class is
+   first held against the most alike of its partners; pairs whose ends are in
+   one component by then need no count.
 5. *Long lists* (groups of many near copies): in each round every class is only
    compared with one hub of its list, and pairs inside a known component are
    never looked at again.  When hubs find little more, the classes of
@@ -34,6 +36,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +65,9 @@ CHUNK_SEGMENTS = 1 << 19
 HUB_GAIN = 0.02
 #: Parity bits of a class, as 64-bit words.
 WORDS = 8
+#: Pairs whose names go to every task, and whose fragments are counted at once;
+#: the fragments of more are counted one after the other.
+PAIRS_AT_ONCE = 1 << 12
 #: Least and most bits of the filter that picks the sets to read again.
 FILTER_BITS = (16, 28)
 
@@ -75,10 +81,10 @@ _FOUND = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("x", pa.binary
 _FOUND_SQL = "kind int, chunk long, x binary, y binary, z binary, gram long, total long, at long, chunk2 long, at2 long"
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
+def _written(df: DataFrame, name: str, by: Iterable[str] = ()) -> DataFrame:
     """A table in the shared folder; the shuffle files it took are deleted
     before the next one takes its own."""
-    table = materialize(df, name)
+    table = materialize(df, name, by)
     free_shuffles(df.sparkSession)
     return table
 
@@ -349,24 +355,45 @@ def _fits(percent: int) -> str:
     return f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
 
 
+def _apart() -> str:
+    """SQL: parity bits in which the two sides differ."""
+    return " + ".join(f"bit_count({w}a ^ {w}b)" for w in _BITS)
+
+
 def _can_link(percent: int) -> str:
     """SQL: sizes and parity bits of the two sides allow the similarity."""
-    apart = " + ".join(f"bit_count({w}a ^ {w}b)" for w in _BITS)
-    return f"{_fits(percent)} AND {100 + percent} * ((na + nb - ({apart})) div 2) >= {percent} * (na + nb)"
+    return f"{_fits(percent)} AND {100 + percent} * ((na + nb - ({_apart()})) div 2) >= {percent} * (na + nb)"
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    """(a, b, na, nb), a < b, of pairs (fpa, fpb, na, nb), each once."""
-    swap = F.col("fpa") > F.col("fpb")
+    """(a, b, na, nb) of pairs (fpa, fpb, na, nb), each once: in the order of
+    the first round's hubs, so that a hub is the ``a`` of its pairs."""
+    swap = F.xxhash64(F.lit(0), "fpa") > F.xxhash64(F.lit(0), "fpb")
     return pairs.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name) for x, y, name in (("fpa", "fpb", "a"), ("fpb", "fpa", "b"), ("na", "nb", "na"), ("nb", "na", "nb")))).distinct()
 
 
 def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (fpa, fpb, na, nb) those that can be linked, each once: sizes
-    first, then the parity bits of what is left."""
+    """Of pairs (fpa, fpb, na, nb) those that can be linked, each once, and in
+    how many bits they differ: sizes first, then the parity bits of what is
+    left."""
     unlike = _ordered(pairs.filter("fpa <> fpb").filter(_fits(percent)))
     one, two = bits.select(F.col("fp").alias("a"), *_side(_BITS, "a")), bits.select(F.col("fp").alias("b"), *_side(_BITS, "b"))
-    return unlike.join(one, "a").join(two, "b").filter(_can_link(percent)).select("a", "b", "na", "nb")
+    return unlike.join(one, "a").join(two, "b").filter(_can_link(percent)).select("a", "b", "na", "nb", F.expr(_apart()).alias("apart"))
+
+
+def _one_each(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, na, nb, apart) that of each ``b`` with the most alike
+    ``a``: a forest, as ``a`` comes first in the order of the pairs."""
+    best = F.min_by(F.struct("a", "na", "nb"), F.struct("apart", "a"))
+    return pairs.groupBy("b").agg(best.alias("best")).select("best.a", "b", "best.na", "best.nb")
+
+
+def _still_apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components so far."""
+    for end in ("a", "b"):
+        own = labels.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        pairs = pairs.join(own, end, "left")
+    return pairs.filter("coalesce(root_a, a) <> coalesce(root_b, b)").drop("root_a", "root_b")
 
 
 def _short_pairs(found: DataFrame, owners: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -494,17 +521,41 @@ def _segments(docs: DataFrame, size: int, names: DataFrame) -> DataFrame:
             yield flush()
 
     found = _texts(docs).mapInArrow(tidy(run), "fp binary, fragment int, segment array<long>")
-    return _written(found.join(names, "fp", "left_semi").dropDuplicates(["fp", "fragment"]), "segments")
+    return _written(found.join(names, "fp", "left_semi").dropDuplicates(["fp", "fragment"]), "segments", ["fragment"])
+
+
+def _named(segments: DataFrame, names: DataFrame, few: bool) -> DataFrame:
+    """Rows of ``segments`` whose ``fp`` is in ``names`` (of many names, and a
+    few others): only these are dealt out."""
+    if few:
+        return segments.join(F.broadcast(names), "fp", "left_semi")
+    shared = segments.sparkSession.sparkContext.broadcast(_filter_of(names))
+
+    def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, bits = shared.value
+        for batch in batches:
+            first = np.frombuffer(b"".join(fp[:4] for fp in batch.column(0).to_pylist()), ">u4").astype(np.int64) & ((1 << bits) - 1)
+            yield batch.filter(pa.array(marks[first >> 3] >> (7 - (first & 7)).astype(np.uint8) & 1 > 0))
+
+    return segments.select("fp", "fragment", "segment").mapInArrow(tidy(pick), "fp binary, fragment int, segment array<long>")
 
 
 def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b, na, nb), those whose summed partial overlaps reach
     the similarity."""
-    one = segments.select(F.col("fp").alias("a"), "fragment", F.col("segment").alias("one"))
-    two = segments.select(F.col("fp").alias("b"), "fragment", F.col("segment").alias("two"))
-    partial = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("one", "two")).cast("long").alias("common"))
-    summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
-    return _written(summed.filter(f"100 * common >= {percent} * (na + nb - common)").select("a", "b"), "links")
+    few = pairs.count() <= PAIRS_AT_ONCE
+    ends = {end: pairs.select(F.col(end).alias("fp")).distinct() for end in ("a", "b")}
+    parts = []
+    for part in [segments] if few else [segments.filter(F.col("fragment") == i) for i in range(1 << FRAGMENT_BITS)]:
+        one = _named(part, ends["a"], few).select(F.col("fp").alias("a"), "fragment", F.col("segment").alias("one"))
+        two = _named(part, ends["b"], few).select(F.col("fp").alias("b"), "fragment", F.col("segment").alias("two"))
+        parts.append(_written(pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("one", "two")).cast("long").alias("common")), "partial"))
+        del one, two
+    summed = reduce(DataFrame.unionByName, parts).groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+    links = _written(summed.filter(f"100 * common >= {percent} * (na + nb - common)").select("a", "b"), "links")
+    for part in parts:
+        discard(part)
+    return links
 
 
 # --- components -------------------------------------------------------------
@@ -519,23 +570,30 @@ def _linked(docs: DataFrame, found: DataFrame, size: int, percent: int) -> DataF
     discard(owners)
     names = _written(short.select(F.col("a").alias("fp")).unionByName(short.select(F.col("b").alias("fp"))).unionByName(lists.select("fp")).distinct(), "names")
     segments = _segments(docs, size, names)
-    labels: DataFrame | None = None
-    open_lists = lists.withColumn("label", F.col("fp"))
+    listed = lists.withColumn("label", F.col("fp"))
+    candidates = _written(_hub_pairs(listed, bits, 0, percent).unionByName(short).distinct(), "pairs")
+    discard(short)
+    first = _written(_one_each(candidates), "first")
+    links = _links(first, segments, percent)
+    labels = _joined(None, links)
+    # most classes are linked by now: what is left of the pairs goes with the next ones
+    rest = _written(_still_apart(candidates.join(first.select("a", "b"), ["a", "b"], "left_anti"), labels).select("a", "b", "na", "nb"), "rest")
+    discard(candidates)
     round_no = 0
     while True:
-        candidates = _hub_pairs(open_lists, bits, round_no, percent)
-        links = _links(_written(candidates.unionByName(short).distinct() if round_no == 0 else candidates, "pairs"), segments, percent)
-        labels = _joined(labels, links)
         listed = lists.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("root", "fp")).drop("root")
         several = listed.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("gram")
         open_lists = _written(listed.join(several, "gram", "left_semi"), "open")
         left = open_lists.count()
-        if not left:
-            return labels
-        if links.count() <= HUB_GAIN * left:
+        if not left or links.count() <= HUB_GAIN * left:
             break
         round_no += 1
-    return _joined(labels, _links(_written(_cross_pairs(open_lists, bits, percent), "pairs"), segments, percent))
+        hubs = _hub_pairs(open_lists, bits, round_no, percent).select("a", "b", "na", "nb")
+        links = _links(_written(hubs.unionByName(rest).distinct(), "pairs"), segments, percent)
+        labels, rest = _joined(labels, links), rest.limit(0)
+    if left:
+        rest = _written(_cross_pairs(open_lists, bits, percent).unionByName(rest).distinct(), "pairs")
+    return _joined(labels, _links(rest, segments, percent)) if rest.limit(1).count() else labels
 
 
 def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:

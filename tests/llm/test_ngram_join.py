@@ -118,3 +118,23 @@ def test_two_thousand_near_copies(spark):
     docs += [(3000 + i, " ".join(base[:100] + [f"y{rnd.randrange(10**6)}" for _ in range(70)])) for i in range(300)]  # share a passage, linked with nothing
     got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
     assert {r.doc_id: r.component_id for r in got} == {**{i: 0 for i in range(2000)}, **{3000 + i: 3000 + i for i in range(300)}}
+
+
+def test_pairs_inside_a_component_are_not_counted(spark, monkeypatch):
+    base = [f"w{i}" for i in range(200)]
+    docs = [(i, " ".join([*base[: 10 * i + 5], f"x{i}", *base[10 * i + 5 :]])) for i in range(8)]  # one short list: 28 pairs
+    counted, links = [], ngram_join._links
+
+    def noted(pairs, segments, percent):
+        counted.append(pairs.count())
+        return links(pairs, segments, percent)
+
+    monkeypatch.setattr(ngram_join, "_links", noted)
+    assert rows(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+    assert counted == [7]
+
+
+def test_fragments_one_after_the_other_give_the_same_rows(spark, monkeypatch):
+    docs = corpus(7)
+    monkeypatch.setattr(ngram_join, "PAIRS_AT_ONCE", 0)
+    assert rows(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
