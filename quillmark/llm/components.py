@@ -1,7 +1,8 @@
 """Connected components of a distributed edge list.
 
 Each task first joins the links it holds, a bounded number at a time, and
-passes on a star for each part it found.  Alternating large-star and
+passes on a star for each part it found; there are as many tasks as the number
+of links asks for, not as many as a shuffle has.  Alternating large-star and
 small-star steps (Kiveris et al., 2014) on tables then join the stars: each
 step is a grouped minimum with map-side combine, and every iteration is
 written to the shared folder, so lineage stays short and no component, link
@@ -10,6 +11,7 @@ or label is ever gathered on the driver or in a task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -76,14 +78,14 @@ def components(edges: DataFrame, held_links: int = HELD_LINKS) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the least node
     of the component.  Rows with a null or two equal ends are ignored."""
     edges = edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = materialize(_local_stars(edges, held_links).distinct(), "edges")
+    tasks = max(1, math.ceil(edges.count() / held_links))  # each as full as it may be: fewer stars for the steps
+    edges = materialize(_local_stars(edges.coalesce(tasks), held_links), "edges")
     while True:
-        stars = materialize(_star(_star(edges, True), False), "stars")
         # a fixpoint has one parent for each node and no parent that has one
-        many = stars.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-        chained = many or stars.select("a").join(stars.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count()
+        many = edges.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+        if not many and not edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count():
+            break
+        stars = materialize(_star(_star(edges, True), False), "stars")
         discard(edges)
         edges = stars
-        if not chained:
-            break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -1,6 +1,7 @@
 import random
 import re
 
+from quillmark.llm import components as parts
 from quillmark.llm import ngram_join
 from quillmark.llm.components import components
 from quillmark.llm.ngram_join import first_of_each_group, near_duplicates
@@ -138,3 +139,11 @@ def test_fragments_one_after_the_other_give_the_same_rows(spark, monkeypatch):
     docs = corpus(7)
     monkeypatch.setattr(ngram_join, "PAIRS_AT_ONCE", 0)
     assert rows(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+
+
+def test_links_that_a_task_may_hold_need_no_steps(spark, monkeypatch):
+    steps, star = [], parts._star
+    monkeypatch.setattr(parts, "_star", lambda *x: steps.append(x) or star(*x))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").repartition(4)
+    assert {r.node: r.root for r in components(edges).collect()} == {i: 0 for i in range(41)} and not steps
+    assert {r.node: r.root for r in components(edges, 10).collect()} == {i: 0 for i in range(41)} and steps
