@@ -13,12 +13,14 @@ and every document's set is cut likewise into segments.
    pairs.  Of the segments with long lists a class leaves out the ``k - d - 1``
    most frequent ones, as it must share one of the others with each similar
    class (those that it shares with more are not all left out).
-3. *Bound*: a class carries 512 parity bits of its n-grams; the bits in which
-   two classes differ are no more than the n-grams in which they differ.
+3. *Bound*: a class carries parity bits of its n-grams, 512 or a power of two
+   with a bit for each n-gram; the bits in which two classes differ are no more
+   than the n-grams in which they differ.  More bits are folded onto fewer.
 4. *Partial counts*: for the pairs left, overlaps are counted fragment by
    fragment, separately, and summed per pair; the sum decides.  Each class is
    first held against the most alike of its partners; pairs whose ends are in
-   one component by then need no count.
+   one component by then need no count.  The texts are read again for the sets
+   of the pairs to be counted, and only these are dealt out.
 5. *Long lists* (groups of many near copies): in each round every class is only
    compared with one hub of its list, and pairs inside a known component are
    never looked at again.  When hubs find little more, the classes of
@@ -35,7 +37,7 @@ bits.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -63,7 +65,7 @@ SHARD_BYTES = 32 << 20
 CHUNK_SEGMENTS = 1 << 19
 #: Hubs are tried on while a round links more than this part of the open rows.
 HUB_GAIN = 0.02
-#: Parity bits of a class, as 64-bit words.
+#: Least parity bits of a class, as 64-bit words; blocks are compared by as many.
 WORDS = 8
 #: Pairs whose names go to every task, and whose fragments are counted at once;
 #: the fragments of more are counted one after the other.
@@ -130,8 +132,15 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _row_key().alias("key"))
 
 
+def _width(n: int) -> int:
+    """Words of the parity bits of a set of ``n``: a bit for each n-gram at
+    least, as fewer bits than n-grams that may differ tell nothing."""
+    return max(WORDS, (1 << (n - 1).bit_length()) // 64)
+
+
 def _parity(grams: np.ndarray) -> np.ndarray:
-    bits = np.bincount((grams & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    size = 64 * _width(len(grams))
+    bits = np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view("<i8")
 
 
@@ -183,8 +192,8 @@ def _values(data: bytes, kind: str) -> np.ndarray:
 
 def _sent(docs: DataFrame, size: int, percent: int, shards: int) -> DataFrame:
     """Packed rows, by kind.  _DOCS: x ids and null marks, y set sizes
-    and row keys, z fingerprints of the rows of a chunk.  _OWNERS: x (n, group, share) and y
-    parity bits, z fingerprints of each class and group of the chunk.
+    and row keys, z fingerprints of the rows of a chunk.  _OWNERS: x (n, group, share) and z
+    fingerprints of each class and group of the chunk, y parity bits of each class.
     _SEGMENTS: x sorted hashes, y number of owners of each, z owners.  _MORE:
     x hash and z owner beyond the first ``SHORT_LIST + 1`` in the chunk."""
     groups, short = _Groups(percent), SHORT_LIST
@@ -202,7 +211,7 @@ def _sent(docs: DataFrame, size: int, percent: int, shards: int) -> DataFrame:
             chunk = part | number
             out = [{"shard": chunk % shards, "kind": _DOCS, "chunk": chunk, "x": np.array([0 if r[0] is None else r[0] for r in rows], "<i8").tobytes() + np.array([r[0] is None for r in rows], bool).tobytes(), "y": np.array([r[1:3] for r in rows], "<i8").T.tobytes(), "z": b"".join(r[3] for r in rows)}]
             if owners:
-                out.append({"shard": chunk % shards, "kind": _OWNERS, "chunk": chunk, "x": np.array([o[:3] for o in owners], "<i8").tobytes(), "y": np.concatenate([o[3] for o in owners]).tobytes(), "z": b"".join(o[4] for o in owners)})
+                out.append({"shard": chunk % shards, "kind": _OWNERS, "chunk": chunk, "x": np.array([o[:3] for o in owners], "<i8").tobytes(), "y": b"".join(o[3] for o in owners), "z": b"".join(o[4] for o in owners)})
                 every = np.concatenate(hashes)
                 who = np.repeat(np.arange(len(owners), dtype=np.int64), [len(h) for h in hashes])
                 by = np.argsort(every, kind="stable")
@@ -232,7 +241,7 @@ def _sent(docs: DataFrame, size: int, percent: int, shards: int) -> DataFrame:
                 for group in groups.of(n):
                     if groups.apart[group]:
                         found, share = groups.segments(grams, mixed, group)
-                        bits = _parity(grams) if bits is None else bits
+                        bits = _parity(grams).tobytes() if bits is None else b""  # with the first of its groups
                         owners.append((n, group, share, bits, fp))
                         hashes.append(found)
                         held += len(found)
@@ -302,18 +311,21 @@ def _sets_of(found: DataFrame) -> DataFrame:
 
 
 def _owners(found: DataFrame) -> DataFrame:
-    """(chunk, at, fp, n, group, share, parity bits)."""
+    """(chunk, at, fp, n, group, share, bits): the parity bits stand with the
+    first group of a class, others have none."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, x, y, z in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                numbers, bits = np.frombuffer(x, "<i8").reshape(-1, 3), np.frombuffer(y, "<i8").reshape(-1, WORDS)
-                fps = pa.Array.from_buffers(pa.binary(16), len(bits), [None, pa.py_buffer(z)]).cast(pa.binary())
-                columns = [np.full(len(bits), chunk), np.arange(len(bits)), *numbers.T, *bits.T]
-                yield pa.RecordBatch.from_arrays([fps, *(pa.array(np.ascontiguousarray(c)) for c in columns)], ["fp", "chunk", "at", "n", "group", "share", *_BITS])
+                numbers, own = np.frombuffer(x, "<i8").reshape(-1, 3), np.frombuffer(z, "<u8").reshape(-1, 2)
+                first = np.concatenate([[True], (own[1:] != own[:-1]).any(axis=1)])
+                ends = np.concatenate([[0], np.cumsum(np.where(first, [_width(n) for n in numbers[:, 0].tolist()], 0))])
+                bits = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(y, "<i8")))
+                fps = pa.Array.from_buffers(pa.binary(16), len(own), [None, pa.py_buffer(z)]).cast(pa.binary())
+                columns = [np.full(len(own), chunk), np.arange(len(own)), *numbers.T]
+                yield pa.RecordBatch.from_arrays([fps, *(pa.array(np.ascontiguousarray(c)) for c in columns), bits], ["fp", "chunk", "at", "n", "group", "share", "bits"])
 
-    names = ", ".join(f"{w} long" for w in _BITS)
-    return found.filter(f"kind = {_OWNERS}").select("chunk", "x", "y", "z").mapInArrow(tidy(run), f"fp binary, chunk long, at long, n long, group long, share long, {names}")
+    return found.filter(f"kind = {_OWNERS}").select("chunk", "x", "y", "z").mapInArrow(tidy(run), "fp binary, chunk long, at long, n long, group long, share long, bits array<long>")
 
 
 def _more(found: DataFrame) -> DataFrame:
@@ -355,14 +367,20 @@ def _fits(percent: int) -> str:
     return f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
 
 
+def _folded(bits: str, words: str) -> str:
+    """SQL: parity bits, folded onto ``words`` words."""
+    return f"if(size({bits}) = {words}, {bits}, transform(sequence(0, {words} - 1), i -> aggregate(sequence(i, size({bits}) - 1, {words}), 0L, (x, j) -> x ^ {bits}[j])))"
+
+
 def _apart() -> str:
     """SQL: parity bits in which the two sides differ."""
-    return " + ".join(f"bit_count({w}a ^ {w}b)" for w in _BITS)
+    one, two = (_folded(bits, "least(size(bitsa), size(bitsb))") for bits in ("bitsa", "bitsb"))
+    return f"aggregate(zip_with({one}, {two}, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
 
 
 def _can_link(percent: int) -> str:
-    """SQL: sizes and parity bits of the two sides allow the similarity."""
-    return f"{_fits(percent)} AND {100 + percent} * ((na + nb - ({_apart()})) div 2) >= {percent} * (na + nb)"
+    """SQL: bits in which the two sides differ allow the similarity."""
+    return f"{100 + percent} * ((na + nb - apart) div 2) >= {percent} * (na + nb)"
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -372,13 +390,22 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name) for x, y, name in (("fpa", "fpb", "a"), ("fpb", "fpa", "b"), ("na", "nb", "na"), ("nb", "na", "nb")))).distinct()
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(fp): the classes of pairs (a, b)."""
+    return pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+
+
 def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Of pairs (fpa, fpb, na, nb) those that can be linked, each once, and in
     how many bits they differ: sizes first, then the parity bits of what is
     left."""
-    unlike = _ordered(pairs.filter("fpa <> fpb").filter(_fits(percent)))
-    one, two = bits.select(F.col("fp").alias("a"), *_side(_BITS, "a")), bits.select(F.col("fp").alias("b"), *_side(_BITS, "b"))
-    return unlike.join(one, "a").join(two, "b").filter(_can_link(percent)).select("a", "b", "na", "nb", F.expr(_apart()).alias("apart"))
+    unlike = _written(_ordered(pairs.filter("fpa <> fpb").filter(_fits(percent))), "unlike")
+    named = _named(bits, _ends(unlike), unlike.count() <= PAIRS_AT_ONCE)
+    one, two = named.select(F.col("fp").alias("a"), F.col("bits").alias("bitsa")), named.select(F.col("fp").alias("b"), F.col("bits").alias("bitsb"))
+    apart = unlike.join(one, "a").join(two, "b").select("a", "b", "na", "nb", F.expr(_apart()).alias("apart"))
+    bounded = _written(apart.filter(_can_link(percent)), "bounded")
+    discard(unlike)
+    return bounded
 
 
 def _one_each(pairs: DataFrame) -> DataFrame:
@@ -424,7 +451,8 @@ def _cross_pairs(open_lists: DataFrame, bits: DataFrame, percent: int) -> DataFr
     sizes = open_lists.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     first = F.row_number().over(Window.partitionBy("fp").orderBy("gram"))
     named = open_lists.withColumn("i", first).filter(f"i <= {NAMED_LISTS}").groupBy("fp").agg(F.array_sort(F.collect_list("gram")).alias("lists"))
-    described = bits.join(open_lists.select("fp").distinct(), "fp", "left_semi").join(named, "fp").select("fp", "lists", *_BITS)
+    words = [F.expr(f"aggregate(sequence({i}, size(bits) - 1, {WORDS}), 0L, (x, j) -> x ^ bits[j])").alias(w) for i, w in enumerate(_BITS)]
+    described = bits.select("fp", *words).join(named, "fp").select("fp", "lists", *_BITS)
     rows = open_lists.join(sizes, "gram").join(described, "fp").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     copies = rows.withColumn("other", other).select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "label", "lists", *_CLASS)
@@ -459,7 +487,7 @@ def _cross_pairs(open_lists: DataFrame, bits: DataFrame, percent: int) -> DataFr
         fp = table.column("fp").combine_chunks()
         return pa.table({"fpa": fp.take(pa.array(a)), "fpb": fp.take(pa.array(b)), "na": n[a], "nb": n[b]})
 
-    return _ordered(copies.groupBy("gram", "i", "j").applyInArrow(compare, "fpa binary, fpb binary, na long, nb long"))
+    return _bounded(copies.groupBy("gram", "i", "j").applyInArrow(compare, "fpa binary, fpb binary, na long, nb long"), bits, percent)
 
 
 # --- partial counts ---------------------------------------------------------
@@ -485,6 +513,12 @@ def _filter_of(fps: DataFrame) -> tuple[np.ndarray, int]:
     return out, bits
 
 
+def _marked(marks: np.ndarray, bits: int, first: np.ndarray) -> np.ndarray:
+    """Which of the numbers in the first 32 bits of fingerprints a filter has."""
+    at = first & ((1 << bits) - 1)
+    return marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0
+
+
 def _segments(docs: DataFrame, size: int, names: DataFrame) -> DataFrame:
     """(fp, fragment, segment): the sets named in ``names``, once each, cut at
     the fragments' borders.  The texts are read where they lie."""
@@ -524,20 +558,20 @@ def _segments(docs: DataFrame, size: int, names: DataFrame) -> DataFrame:
     return _written(found.join(names, "fp", "left_semi").dropDuplicates(["fp", "fragment"]), "segments", ["fragment"])
 
 
-def _named(segments: DataFrame, names: DataFrame, few: bool) -> DataFrame:
-    """Rows of ``segments`` whose ``fp`` is in ``names`` (of many names, and a
+def _named(table: DataFrame, names: DataFrame, few: bool) -> DataFrame:
+    """Rows of ``table`` whose ``fp`` is in ``names`` (of many names, and a
     few others): only these are dealt out."""
     if few:
-        return segments.join(F.broadcast(names), "fp", "left_semi")
-    shared = segments.sparkSession.sparkContext.broadcast(_filter_of(names))
+        return table.join(F.broadcast(names), "fp", "left_semi")
+    shared = table.sparkSession.sparkContext.broadcast(_filter_of(names))
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, bits = shared.value
         for batch in batches:
-            first = np.frombuffer(b"".join(fp[:4] for fp in batch.column(0).to_pylist()), ">u4").astype(np.int64) & ((1 << bits) - 1)
-            yield batch.filter(pa.array(marks[first >> 3] >> (7 - (first & 7)).astype(np.uint8) & 1 > 0))
+            first = np.frombuffer(b"".join(fp[:4] for fp in batch.column("fp").to_pylist()), ">u4").astype(np.int64)
+            yield batch.filter(pa.array(_marked(marks, bits, first)))
 
-    return segments.select("fp", "fragment", "segment").mapInArrow(tidy(pick), "fp binary, fragment int, segment array<long>")
+    return table.mapInArrow(tidy(pick), table.schema)
 
 
 def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -564,17 +598,19 @@ def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 def _linked(docs: DataFrame, found: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, root) over the fingerprints that have a link."""
     owners = _written(_owners(found), "owners")
-    bits = _written(owners.select("fp", *_BITS).dropDuplicates(["fp"]), "bits")
-    short = _written(_short_pairs(found, owners, bits, percent), "pairs")
+    bits = _written(owners.filter("size(bits) > 0").select("fp", "bits").dropDuplicates(["fp"]), "bits")
+    short = _short_pairs(found, owners, bits, percent)
     lists = _long_lists(found, owners)
     discard(owners)
-    names = _written(short.select(F.col("a").alias("fp")).unionByName(short.select(F.col("b").alias("fp"))).unionByName(lists.select("fp")).distinct(), "names")
-    segments = _segments(docs, size, names)
     listed = lists.withColumn("label", F.col("fp"))
-    candidates = _written(_hub_pairs(listed, bits, 0, percent).unionByName(short).distinct(), "pairs")
+    hubs = _hub_pairs(listed, bits, 0, percent)
+    candidates = _written(hubs.unionByName(short).distinct(), "pairs")
     discard(short)
+    discard(hubs)
     first = _written(_one_each(candidates), "first")
+    segments = _segments(docs, size, _ends(first))
     links = _links(first, segments, percent)
+    discard(segments)
     labels = _joined(None, links)
     # most classes are linked by now: what is left of the pairs goes with the next ones
     rest = _written(_still_apart(candidates.join(first.select("a", "b"), ["a", "b"], "left_anti"), labels).select("a", "b", "na", "nb"), "rest")
@@ -588,12 +624,19 @@ def _linked(docs: DataFrame, found: DataFrame, size: int, percent: int) -> DataF
         if not left or links.count() <= HUB_GAIN * left:
             break
         round_no += 1
+        if round_no == 1:  # lists that are closed stay so: these are all that any later round asks for
+            segments = _segments(docs, size, open_lists.select("fp").unionByName(_ends(rest)).distinct())
         hubs = _hub_pairs(open_lists, bits, round_no, percent).select("a", "b", "na", "nb")
         links = _links(_written(hubs.unionByName(rest).distinct(), "pairs"), segments, percent)
         labels, rest = _joined(labels, links), rest.limit(0)
     if left:
-        rest = _written(_cross_pairs(open_lists, bits, percent).unionByName(rest).distinct(), "pairs")
-    return _joined(labels, _links(rest, segments, percent)) if rest.limit(1).count() else labels
+        cross = _cross_pairs(open_lists, bits, percent).select("a", "b", "na", "nb")
+        rest = _written(cross.unionByName(rest).distinct(), "pairs")
+    if not rest.limit(1).count():
+        return labels
+    if not round_no:
+        segments = _segments(docs, size, _ends(rest))
+    return _joined(labels, _links(rest, segments, percent))
 
 
 def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -634,6 +677,19 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
     )
 
 
+def _asked(keys: DataFrame) -> Callable[[Column], Column]:
+    """Whether a row key is in ``keys`` (of one column), and of a few others."""
+    key = F.col(keys.columns[0])
+    shared = keys.sparkSession.sparkContext.broadcast(_filter_of(keys.select(F.unhex(F.lpad(F.hex(key), 16, "0")).alias("fp"))))
+
+    @F.arrow_udf("boolean")
+    def asked(keys: pa.Array) -> pa.Array:
+        marks, bits = shared.value
+        return pa.array(_marked(marks, bits, keys.to_numpy(zero_copy_only=False) >> 32))
+
+    return asked
+
+
 def first_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of the smallest
     doc_id (null only if all are), of rows that repeat an id the one with the
@@ -650,6 +706,8 @@ def first_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80) -> Da
     other = materialize(rows.join(first, "root").filter("key <> first.key OR NOT doc_id <=> first.doc_id").select(*names).distinct(), "others")
     again = materialize(rows.groupBy(*names).agg(F.count("*").alias("k")).filter("k > 1").drop("k"), "again")
     marked = docs.withColumn(key, _row_key())
+    asked = _asked(other.select(key).unionByName(again.select(key)).distinct())(F.col(key))
+    clear, marked = marked.filter(~asked), marked.filter(asked)  # whole texts: only what a join may ask for is dealt out
 
     def same(table: DataFrame) -> Column:  # an id and a hash: rows of different ids are never taken for each other
         return (marked[key] == table[key]) & F.col("doc_id").cast("long").eqNullSafe(table[own])
@@ -658,4 +716,4 @@ def first_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80) -> Da
     if again.limit(1).count():  # rows that are equal to one another
         once = kept.join(again, same(again), "left_semi").withColumn(own, F.col("doc_id").cast("long")).dropDuplicates([own, key]).drop(own)
         kept = kept.join(again, same(again), "left_anti").unionByName(once)
-    return kept.select(*docs.columns)
+    return clear.select(*docs.columns).unionByName(kept.select(*docs.columns))

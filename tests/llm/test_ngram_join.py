@@ -147,3 +147,53 @@ def test_links_that_a_task_may_hold_need_no_steps(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").repartition(4)
     assert {r.node: r.root for r in components(edges).collect()} == {i: 0 for i in range(41)} and not steps
     assert {r.node: r.root for r in components(edges, 10).collect()} == {i: 0 for i in range(41)} and steps
+
+
+def test_long_texts_that_are_too_far_apart_are_not_counted(spark, monkeypatch):
+    words = [[f"{x}{i}" for i in range(4000)] for x in "stuv"]
+    docs = [(i, " ".join(w[:2600] + words[0][2600:])) for i, w in enumerate(words)]  # a common third, so common segments
+    docs += [(10, " ".join([*words[1][:3900], *words[0][3900:]])), (11, " ".join([*words[1][:3890], "x", *words[0][3890:]]))]
+    counted, links = [], ngram_join._links
+
+    def noted(pairs, segments, percent):
+        counted.append(pairs.count())
+        return links(pairs, segments, percent)
+
+    monkeypatch.setattr(ngram_join, "_links", noted)
+    assert rows(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+    assert sum(counted) == 1
+
+
+def test_parity_bits_of_sets_of_unlike_sizes_bound_their_difference(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rnd = np.random.default_rng(3)
+    grams = [np.unique(rnd.integers(0, 1 << 64, n, np.uint64)) for n in (1, 500, 513, 1000, 1030, 4100, 9000)]
+    rows_ = [([int(w) for w in ngram_join._parity(g)],) for g in grams]
+    assert [len(r[0]) for r in rows_] == [ngram_join._width(len(g)) for g in grams] == [8, 8, 16, 16, 32, 128, 256]
+    df = spark.createDataFrame(rows_, "bits array<long>")
+    for words in (8, 16, 64):
+        got = [r[0] for r in df.filter(f"size(bits) >= {words}").select(F.expr(ngram_join._folded("bits", str(words)))).collect()]
+        for bits, g in zip(got, [g for g in grams if ngram_join._width(len(g)) >= words], strict=True):
+            want = np.packbits((np.bincount((g & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1).astype(np.uint8)).view("<i8")
+            assert bits == want.tolist()
+    one, two = np.sort(grams[4])[:1000], grams[4]  # 16 and 32 words
+    pair = spark.createDataFrame([([int(w) for w in ngram_join._parity(one)], [int(w) for w in ngram_join._parity(two)])], "bitsa array<long>, bitsb array<long>")
+    apart = pair.select(F.expr(ngram_join._apart())).first()[0]
+    assert 0 < apart <= len(two) - len(one)
+
+
+def test_only_texts_that_may_go_are_dealt_out(spark):
+    base = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(f"{i}x{j}" for j in range(30))) for i in range(300)] + [(1000 + i, " ".join([*base, f"y{i}"])) for i in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = first_of_each_group(df)
+        got = sorted(r.doc_id for r in left.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [*range(300), 1000]
+    branches = left._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert branches.strip().startswith("Union")  # rows that no join may ask for pass beside it
